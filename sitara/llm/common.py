@@ -60,6 +60,11 @@ def count_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, NOT_WORD))).cast("long")
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if counting shows ``most`` rows at most; beyond, the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def pick_columns(df: DataFrame, *names: str) -> None:
     """Raise a clear error if a needed column is missing."""
     missing = [n for n in names if n not in df.columns]
@@ -109,7 +114,7 @@ def spread_rank(rows: DataFrame, groups: DataFrame, group: list[str], h: str, or
     buckets = 8 * shuffle_partitions(rows.sparkSession)
     share = F.ceil(F.col("n") * F.lit(float(buckets)) / F.lit(float(max(1, total))))
     unit = F.shiftrightunsigned(F.col(h), 33).cast("double") / F.lit(float(1 << 31))
-    dealt = rows.join(groups, group).withColumn("bucket", F.floor(unit * F.greatest(F.lit(1), share)).cast("long"))
+    dealt = rows.join(small(groups), group).withColumn("bucket", F.floor(unit * F.greatest(F.lit(1), share)).cast("long"))
     key = [*group, "bucket"]
     starts = bucket_starts(dealt.groupBy(*key).agg(F.count("*").alias("bucket_n")), group, "bucket", "bucket_n", "bucket_start")
     inside = ranked(dealt.join(starts.select(*key, "bucket_start"), key), key, [F.shiftrightunsigned(F.col(h), 1), F.col(h), *[F.col(c) for c in order]], "rank")

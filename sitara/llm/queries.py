@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitara.llm import mixing, quality, sharding
+from sitara.llm import decontam, html, licenses, lm, mixing, quality, secrets, sharding, simhash, tokens
 from sitara.llm.common import materialize
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))).select("text"))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -26,14 +33,59 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(simhash.fingerprints(_table(spark, sf_dir, "documents")), "prints")
+    return simhash.groups(prints).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = tokens.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read(spark, files)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    table = secrets.fit(docs, _table(spark, sf_dir, "labels"))
+    found = secrets.scan(docs, table)
+    spans = F.col("secret_spans")
+    kinds = F.transform(spans, lambda s: s["kind"])
+    n = lambda kind: F.size(F.filter(kinds, lambda x: x == kind)).cast("long").alias(f"n_{kind}")
+    counts = [n(kind) for kind in ("assign", "access", "hex")]
+    base = F.filter(spans, lambda s: s["kind"] != "markov")
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(spans).alias("spans"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).cast("long").alias("taken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_simhash": op6_simhash,
+    "op7_token_files": op7_token_files,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
