@@ -57,8 +57,14 @@ def _ranges(points: list[int]) -> list[tuple[int, int]]:
 _INVISIBLE_CLASS = _class([(p, p) for p in INVISIBLE])
 _MARKS_CLASS = _class([(TATWEEL, TATWEEL), *DIACRITICS])
 ARABIC_CLASS = _class(list(ARABIC_BLOCKS))
-#: Characters that compatibility composition changes, from Python's Unicode tables (surrogates are no characters).
-_CHANGED_CLASS = _class(_ranges([p for p in range(0x110000) if not 0xD800 <= p <= 0xDFFF and unicodedata.normalize("NFKC", chr(p)) != chr(p)]))
+#: Blocks whose characters mostly fold to themselves; text outside them is folded in Python.
+_COMMON = ((0x00, 0x24F), (0x370, 0x4FF), (0x5D0, 0x5EA), (0x600, 0x6FF), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def _steady(strip_marks: bool) -> str:
+    """Class of the characters of common blocks that no fold drops or expands, by Python's Unicode tables."""
+    gone = set(INVISIBLE) | ({TATWEEL, *(p for a, b in DIACRITICS for p in range(a, b + 1))} if strip_marks else set())
+    return _class(_ranges([p for a, b in _COMMON for p in range(a, b + 1) if p not in gone and unicodedata.normalize("NFKC", chr(p)) == chr(p)]))
 
 
 def fold_text(text: str, profile: Profile = DIGITS) -> tuple[str, list[int]]:
@@ -88,11 +94,10 @@ def _slow_udf(profile: Profile):
 def normalize(text: Column, profile: Profile = DIGITS) -> Column:
     """struct(text, offset_map); a null map stands for "every character keeps its place".
 
-    Texts in which no character goes or changes its length are folded by
-    ``translate``; only the others reach Python.
+    Texts of steady characters are folded by ``translate``; only the others
+    reach Python. Put the result in a column of its own before using it twice.
     """
-    moved = _INVISIBLE_CLASS + _CHANGED_CLASS + (_MARKS_CLASS if profile.strip_marks else "")
-    needs = text.rlike(f"[{moved}]")
+    needs = text.rlike(f"[^{_steady(profile.strip_marks)}]")
     source, target = DIGITS_FROM, DIGITS_TO
     if profile.fold_letters:
         source, target = source + LETTERS_FROM, target + LETTERS_TO
@@ -113,6 +118,10 @@ def to_original(offset_map: Column, start: Column, end: Column, length: Column)
     return F.struct(first.cast("int").alias("start"), last.cast("int").alias("end"))
 
 
+def _not(letters: str) -> str:
+    return f"[^{letters}]"
+
+
 def dominant_script(text: Column) -> Column:
     """'arabic' if at least a fifth of the letters are, else 'latin'; texts without letters are latin."""
     letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
@@ -126,9 +135,9 @@ def script_segments(text: Column) -> Column:
     Characters that are no letters belong to the run before them, those at
     the beginning to the first run; a text without letters has no runs.
     """
-    arabic = rf"(?:[{ARABIC_CLASS}&&\p{{L}}]\P{{L}}*)+"
-    latin = rf"(?:[\p{{L}}&&[^{ARABIC_CLASS}]]\P{{L}}*)+"
-    runs = F.regexp_extract_all(text, F.lit(rf"{arabic}|{latin}"), F.lit(0))
+    arabic, latin = rf"[{ARABIC_CLASS}&&\p{{L}}]", rf"[\p{{L}}&&[^{ARABIC_CLASS}]]"
+    # A run goes on until the other script's next letter; one class and a star, so long texts need no deep matching.
+    runs = F.regexp_extract_all(text, F.lit(f"{arabic}{_not(latin)}*|{latin}{_not(arabic)}*"), F.lit(0))
     lead = F.char_length(text) - F.aggregate(runs, F.lit(0), lambda s, r: s + F.char_length(r))
     empty = F.array().cast("array<struct<script:string,start:int,end:int>>")
 
@@ -141,6 +150,11 @@ def script_segments(text: Column) -> Column:
     return F.aggregate(runs, F.struct(lead.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """All matches of a Java pattern: array of (start, end, value), places in code points.
 

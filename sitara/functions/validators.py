@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitara.functions.text import let
+
 # Weights of the national id's check digit.
 NID_WEIGHTS = (2, 7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 # Governorate codes with a name; 01 to 35 and 88 (born abroad) are valid.
@@ -27,32 +29,38 @@ def _chars(value: Column) -> Column:
 
 def nid_check_digit(nid: Column) -> Column:
     """Expected check digit of the first 13 digits; null where the rule gives none."""
-    sum_ = sum((F.substring(nid, i + 1, 1).cast("int") * w for i, w in enumerate(NID_WEIGHTS)), F.lit(0))
-    check = F.pmod(11 - F.pmod(sum_, F.lit(11)), F.lit(11))
-    return F.when(check != 10, check)
+    weights = F.array(*[F.lit(w) for w in NID_WEIGHTS])
+    total = F.aggregate(F.zip_with(F.slice(_chars(nid), 1, 13), weights, lambda d, w: d.try_cast("int") * w), F.lit(0), lambda s, x: s + x)
+    return let(F.pmod(11 - F.pmod(total, F.lit(11)), F.lit(11)), lambda check: F.when(check != 10, check))
 
 
 def parse_nid(nid: Column, today: Column | None = None) -> Column:
     """struct(birth_date, governorate_code, governorate, serial, check_digit, female, checksum_ok); null if no national id."""
-    today = F.current_date() if today is None else today
+    return let(nid, lambda n: _parse_nid(n, F.current_date() if today is None else today))
+
+
+def _parse_nid(nid: Column, today: Column) -> Column:
     century = F.substring(nid, 1, 1)
     year = F.concat(F.when(century == "2", "19").when(century == "3", "20"), F.substring(nid, 2, 2))
-    born = F.try_to_date(F.concat(year, F.substring(nid, 4, 4)), "yyyyMMdd")
     code = F.substring(nid, 8, 2)
-    known = F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in GOVERNORATES.items()], F.lit(None).cast("string"))
     valid_code = code.between("01", "35") | (code == "88")
-    ok = nid.rlike("^[0-9]{14}$") & born.isNotNull() & (born <= today) & (F.year(born) >= F.year(today) - OLDEST_YEARS) & valid_code
     check = F.substring(nid, 14, 1).cast("int")
-    fields = F.struct(
-        born.alias("birth_date"),
-        code.alias("governorate_code"),
-        known.alias("governorate"),
-        F.substring(nid, 10, 4).alias("serial"),
-        check.alias("check_digit"),
-        (F.pmod(F.substring(nid, 13, 1).cast("int"), F.lit(2)) == 0).alias("female"),
-        F.coalesce(nid_check_digit(nid) == check, F.lit(False)).alias("checksum_ok"),
-    )
-    return F.when(ok, fields)
+
+    def fields(born: Column) -> Column:
+        known = F.coalesce(*[F.when(code == k, F.lit(name)) for k, name in GOVERNORATES.items()], F.lit(None).cast("string"))
+        made = F.struct(
+            born.alias("birth_date"),
+            code.alias("governorate_code"),
+            known.alias("governorate"),
+            F.substring(nid, 10, 4).alias("serial"),
+            check.alias("check_digit"),
+            (F.pmod(F.substring(nid, 13, 1).cast("int"), F.lit(2)) == 0).alias("female"),
+            F.coalesce(nid_check_digit(nid) == check, F.lit(False)).alias("checksum_ok"),
+        )
+        return F.when(born.isNotNull() & (born <= today) & (F.year(born) >= F.year(today) - OLDEST_YEARS), made)
+
+    born = F.try_to_date(F.concat(year, F.substring(nid, 4, 4)), "yyyyMMdd")
+    return F.when(nid.rlike("^[0-9]{14}$") & valid_code, let(born, fields))
 
 
 def nid_score(parsed: Column) -> Column:
@@ -61,9 +69,12 @@ def nid_score(parsed: Column) -> Column:
 
 def mobile_e164(value: Column) -> Column:
     """'+201' and nine digits for an Egyptian mobile number in any usual form, else null."""
-    bare = F.regexp_replace(value, r"[ \-().]", "")
-    local = F.when(bare.startswith("+20"), F.substring(bare, 4, 99)).when(bare.startswith("0020"), F.substring(bare, 5, 99)).when(bare.startswith("20") & (F.length(bare) == 12), F.substring(bare, 3, 99)).when(bare.startswith("0"), F.substring(bare, 2, 99))
-    return F.when(local.rlike("^1[0125][0-9]{8}$"), F.concat(F.lit("+20"), local))
+
+    def local(bare: Column) -> Column:
+        return F.when(bare.startswith("+20"), F.substring(bare, 4, 99)).when(bare.startswith("0020"), F.substring(bare, 5, 99)).when(bare.startswith("20") & (F.length(bare) == 12), F.substring(bare, 3, 99)).when(bare.startswith("0"), F.substring(bare, 2, 99))
+
+    found = let(F.regexp_replace(value, r"[ \-().]", ""), local)
+    return let(found, lambda x: F.when(x.rlike("^1[0125][0-9]{8}$"), F.concat(F.lit("+20"), x)))
 
 
 def _letters_to_numbers(value: Column) -> Column:
@@ -86,13 +97,11 @@ def bare_iban(value: Column) -> Column:
 
 
 def eg_iban_valid(value: Column) -> Column:
-    iban = bare_iban(value)
-    return F.when(iban.rlike(r"^EG[0-9]{2}[A-Z0-9]{25}$"), iban_remainder(iban) == 1).otherwise(F.lit(False))
+    return let(bare_iban(value), lambda iban: F.when(iban.rlike(r"^EG[0-9]{2}[A-Z0-9]{25}$"), iban_remainder(iban) == 1).otherwise(F.lit(False)))
 
 
 def iban_valid(value: Column) -> Column:
-    iban = bare_iban(value)
-    return F.when(iban.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), iban_remainder(iban) == 1).otherwise(F.lit(False))
+    return let(bare_iban(value), lambda iban: F.when(iban.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), iban_remainder(iban) == 1).otherwise(F.lit(False)))
 
 
 def iban_check_digits(country: Column, bban: Column) -> Column:
@@ -102,13 +111,15 @@ def iban_check_digits(country: Column, bban: Column) -> Column:
 
 def tax_id_plausible(value: Column) -> Column:
     """Nine digits after blanks, hyphens and dots go, not all the same."""
-    bare = F.regexp_replace(value, r"[ \-.]", "")
-    return bare.rlike("^[0-9]{9}$") & (F.size(F.array_distinct(_chars(bare))) > 1)
+    return let(F.regexp_replace(value, r"[ \-.]", ""), lambda bare: bare.rlike("^[0-9]{9}$") & (F.size(F.array_distinct(_chars(bare))) > 1))
 
 
 def luhn_ok(value: Column) -> Column:
     """Luhn's checksum over the digits of a value with 13 to 19 of them."""
-    bare = digits(value)
+    return let(digits(value), _luhn)
+
+
+def _luhn(bare: Column) -> Column:
     places = F.zip_with(F.reverse(_chars(bare)), F.sequence(F.lit(0), F.lit(18)), lambda d, i: F.struct(d.cast("int").alias("d"), i.alias("i")))
     double = lambda x: x["d"] * 2 - F.when(x["d"] > 4, 9).otherwise(0)
     total = F.aggregate(F.filter(places, lambda x: x["d"].isNotNull()), F.lit(0), lambda s, x: s + F.when(F.pmod(x["i"], F.lit(2)) == 1, double(x)).otherwise(x["d"]))
