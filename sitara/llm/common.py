@@ -60,7 +60,7 @@ def count_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, NOT_WORD))).cast("long")
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, most: int = 300_000) -> DataFrame:
     """Marked for broadcast if counting shows ``most`` rows at most; beyond, the join shuffles."""
     return F.broadcast(df) if df.count() <= most else df
 

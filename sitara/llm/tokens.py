@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,9 @@ SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 16_384
 DICT_BYTES = 65_536
 #: A worker remembers the ids of so many distinct words.
-WORDS = 1 << 19
+WORDS = 1 << 20
+#: Marks that end words often.
+MARKS = b".,!?;:*#$%&"
 _INDEX = (("doc_id", "<i8"), ("named", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u8"))
 
 
@@ -69,14 +72,15 @@ class Encoder:
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Serialized ids of each text and its end."""
-        split = [t.split() for t in texts]
+        # The tokenizer lowers all letters, but knows its special strings before that.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if new:
-            order = sorted(new)
-            for lo in range(0, len(order), 4096):
-                some = order[lo : lo + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+            cut = {w: self._cut(w) for w in new}
+            self._learn({p for parts in cut.values() for p in parts}.difference(self.known))
+            for w, parts in cut.items():
+                if len(parts) > 1:
+                    self.known[w] = b"".join([self.known[p] for p in parts])
         tail = np.array([end], dtype=self.kind).tobytes()
         out = [b"".join(map(self.known.__getitem__, words)) + tail for words in split]
         if len(self.known) > WORDS:
@@ -87,6 +91,21 @@ class Encoder:
                     del self.known[w]
         return out
 
+    @staticmethod
+    def _cut(word: bytes) -> tuple[bytes, ...]:
+        """A word and the marks at its end: after a letter or number these are tokens of their own."""
+        stem = word.rstrip(MARKS)
+        if stem and len(stem) < len(word) and (stem[-1] < 0x80 and stem[-1:].isalnum() or unicodedata.category(stem.decode()[-1])[0] in "LN"):
+            return stem, word[len(stem) :]
+        return (word,)
+
+    def _learn(self, words: set[bytes]) -> None:
+        order = sorted(words)
+        for lo in range(0, len(order), 4096):
+            some = order[lo : lo + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
