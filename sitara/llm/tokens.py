@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +43,10 @@ SAMPLE_BYTES = 16_384
 DICT_BYTES = 65_536
 #: A worker remembers the ids of so many distinct words.
 WORDS = 1 << 20
-#: Marks that end words often.
-MARKS = b".,!?;:*#$%&"
+#: How tokens that end a word are written in the vocabulary; without any such token words are encoded one by one.
+WORD_END = "</w>"
+#: Marks at the end of a run whose character before them is an ASCII or Latin-1 letter or digit: tokens of their own.
+_MARKS = re.compile(rb"[.,!?;:*#$%&](?:(?<=[a-zA-Z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:*#$%&]*(?!\S)")
 _INDEX = (("doc_id", "<i8"), ("named", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u8"))
 
 
@@ -57,9 +59,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class Encoder:
     """Ids of whole texts, word by word.
 
-    The tokenizer drops white space and no token reaches over it, so a text's
-    ids are those of its runs without ASCII white space one after another;
-    each distinct run is encoded once and remembered.
+    The tokenizer drops white space and no token reaches over it, nor from a
+    letter or digit to a mark, so a text's ids are those of its runs without
+    ASCII white space, and of the marks at their ends, one after another; each
+    distinct run is encoded once and remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,18 +72,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.last = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith(WORD_END)
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Serialized ids of each text and its end."""
         # The tokenizer lowers all letters, but knows its special strings before that.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [_MARKS.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if new:
-            cut = {w: self._cut(w) for w in new}
-            self._learn({p for parts in cut.values() for p in parts}.difference(self.known))
-            for w, parts in cut.items():
-                if len(parts) > 1:
-                    self.known[w] = b"".join([self.known[p] for p in parts])
+            self._learn(new)
         tail = np.array([end], dtype=self.kind).tobytes()
         out = [b"".join(map(self.known.__getitem__, words)) + tail for words in split]
         if len(self.known) > WORDS:
@@ -91,20 +94,29 @@ class Encoder:
                     del self.known[w]
         return out
 
-    @staticmethod
-    def _cut(word: bytes) -> tuple[bytes, ...]:
-        """A word and the marks at its end: after a letter or number these are tokens of their own."""
-        stem = word.rstrip(MARKS)
-        if stem and len(stem) < len(word) and (stem[-1] < 0x80 and stem[-1:].isalnum() or unicodedata.category(stem.decode()[-1])[0] in "LN"):
-            return stem, word[len(stem) :]
-        return (word,)
-
     def _learn(self, words: set[bytes]) -> None:
-        order = sorted(words)
-        for lo in range(0, len(order), 4096):
-            some = order[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+        """Encode words. Those of letters only are one pre-token each; many go through in one string and are parted where a word's last token ends."""
+        spelled, other = [], []
+        for w in sorted(words):
+            t = w.decode()
+            (spelled if t.isalpha() else other).append((w, t))
+        groups = [spelled[lo : lo + 256] for lo in range(0, len(spelled), 256)]
+        for g, e in zip(groups, self._encode([" ".join(t for _, t in g) for g in groups]), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(g):  # a letter that folds into more than letters
+                other += g
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(g, (ends * self.kind.itemsize).tolist(), strict=True):
+                self.known[w] = raw[at:end]
+                at = end
+        for (w, _), e in zip(other, self._encode([t for _, t in other]), strict=True):
+            self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+
+    def _encode(self, texts: list[str]):
+        for lo in range(0, len(texts), 1024):
+            yield from self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
