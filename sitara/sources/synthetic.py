@@ -69,14 +69,14 @@ def corpus(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """Texts of four corpora (the fourth joins 40 of the others); two fifths of those with Arabic letters have Arabic digits."""
     ids = spark.range(n).withColumn("birth", F.date_add(F.lit("1960-01-01").cast("date"), F.pmod(F.col("id") * 37, F.lit(15_000)).cast("int")))
     ids = ids.withColumns({"nid": national_id(F.col("id"), F.col("birth")), "mobile": mobile(F.col("id")), "iban": iban(F.col("id")), "tax": tax_id(F.col("id"))})
-    out = None
+    made = []
     for kind, shapes in TEMPLATES.items():
         shape = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(shapes))) + 1).cast("int"))
         for name in ("nid", "mobile", "iban", "tax"):
             shape = F.replace(shape, F.lit("{" + name + "}"), F.col(name))
-        one = ids.select(F.lit(kind).alias("corpus"), "id", shape.alias("text"))
-        out = one if out is None else out.union(one)
+        made.append(F.struct(F.lit(kind).alias("corpus"), "id", shape.alias("text")))
+    out = ids.select(F.inline(F.array(*made)))
     turned = F.when(F.contains("text", F.lit("ا")) & (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) < 2), to_arabic_digits(F.col("text"))).otherwise(F.col("text"))
     out = out.withColumn("text", turned)
     long = out.groupBy(F.lit("long").alias("corpus"), F.floor(F.col("id") / 14).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "corpus", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return out.union(long)
+    return out.union(long).repartition(8)
