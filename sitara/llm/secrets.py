@@ -29,6 +29,19 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: A candidate is a secret if the ratio exceeds PRIOR (natural log: random strings are rare) and PER_CHAR per pair.
 PRIOR = 12.0
 PER_CHAR = 0.45
+#: A secret has so many different characters at least; runs of a few characters are ornament.
+DISTINCT = 8
+#: Pseudo-counts of each character pair: contexts that a sample hardly holds say little.
+PSEUDO = 5.0
+# Common words of program text, of which sample identifiers are made.
+PROGRAM_WORDS = (
+    "access action active add address after agent array async auth base batch before block body byte cache call change char check child class clear client close code "
+    "column command commit connect content context control copy create cursor database date debug delete description device disable document domain driver edge element "
+    "enable encode end entry error event exception execute export factory field file filter find first flag folder format frame function generator get global graph group "
+    "handle hash header height host identifier image import initialize insert instance integer interface item iterator key label language last layer length level library "
+    "limit line link list load local location lock log loop main make map match max member memory merge message method min model module name network next node number "
+    "object offset open operation option order output package page parent parse password path pattern"
+).split()
 #: Documents whose words are the sample of ordinary strings, at most; and random strings made.
 SAMPLE_DOCS = 500
 RANDOM_STRINGS = 4000
@@ -74,7 +87,8 @@ def samples(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, st
     Random strings are SHA-256 digests of a counter, in hexadecimal and base64,
     whole and without signs or cases. Ordinary strings are the words of the
     documents of at most ``most_docs`` labels of good quality (those whose
-    ids have the least hashes), alone and joined as names in code are.
+    ids have the least hashes), and common words of program text, joined as
+    names in code are.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
@@ -87,7 +101,10 @@ def samples(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, st
     plain = some.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z0-9+/_=-]", "")))).alias("w")).where(F.length("w") >= 2)
     second = F.reverse(F.col("w"))
     joined = F.array(F.col("w"), F.concat("w", F.lit("_"), F.lower("w")), F.concat("w", F.initcap("w")), F.concat(F.upper("w"), F.lit("_"), F.upper(second)), F.concat(F.lower("w"), F.lit("-"), F.lower("w")), F.concat("w", F.lit("/"), "w", F.lit("1")))
-    return random.union(plain.select(F.lit(False), F.explode(joined)))
+    one = lambda name: F.explode(F.array(*[F.lit(w) for w in PROGRAM_WORDS])).alias(name)
+    two = spark.range(1).select(one("a")).select("a", one("b"))
+    names = F.array(F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat(F.initcap("a"), F.initcap("b")), F.concat_ws("-", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))
+    return random.union(plain.select(F.lit(False), F.explode(joined))).union(two.select(F.lit(False), F.explode(names)))
 
 
 def train(strings: DataFrame) -> list[float]:
@@ -101,7 +118,7 @@ def train(strings: DataFrame) -> list[float]:
     pairs = strings.where(F.char_length("value") >= 2).select("random", "value", F.explode(at).alias("i"))
     pairs = pairs.select("random", F.expr("substring(value, i, 1)").alias("a"), F.expr("substring(value, i + 1, 1)").alias("b"))
     rows = pairs.groupBy("random", "a", "b").agg(F.count("*").alias("n")).collect()
-    counts = {True: [1.0] * (n * n), False: [1.0] * (n * n)}
+    counts = {True: [PSEUDO] * (n * n), False: [PSEUDO] * (n * n)}
     for r in rows:
         if r.a in ALPHABET and r.b in ALPHABET:
             counts[r.random][ALPHABET.index(r.a) * n + ALPHABET.index(r.b)] += r.n
@@ -144,7 +161,8 @@ def scan(docs: DataFrame, table: list[float], prior: float = PRIOR, per_char: fl
 
 def _is_random(value: Column, table: list[float], prior: float, per_char: float) -> Column:
     r = ratio(value, table)
-    return (r > prior) & (r > F.char_length(value) * per_char)
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT
+    return varied & (r > prior) & (r > F.char_length(value) * per_char)
 
 
 def spans_text(spans: Column) -> Column:

@@ -201,7 +201,7 @@ def test_markov_models_on_held_out_strings(spark, ratios):
     import base64
 
     random_ = [base64.b64encode(hashlib.sha256(str(rng.random()).encode()).digest()).decode().rstrip("=") for _ in range(200)]
-    parts = "account user total session manager payload response handler internal request buffer config default value counter index".split()
+    parts = "account user total session manager payload response internal request buffer default value counter weather quarter invoice".split()
     plain = ["_".join(rng.choice(parts) for _ in range(4)) for _ in range(100)] + ["".join(rng.choice(parts).title() for _ in range(4)) for _ in range(100)]
     df = spark.createDataFrame([(True, x) for x in random_] + [(False, x) for x in plain], "random boolean, value string")
     out = df.select("random", secrets._is_random(F.col("value"), ratios, secrets.PRIOR, secrets.PER_CHAR).alias("said")).collect()
