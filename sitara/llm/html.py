@@ -108,6 +108,8 @@ class PageLines(HTMLParser):
             top = self.stack[-1]
         hidden = top.hidden or tag in _HIDDEN
         bad = top.bad or hidden or tag in _FURNITURE or (bool(attrs) and tag not in ("html", "body") and _is_marked(attrs))
+        if bad != top.bad and not hidden:
+            self.flush()
         box = top.box
         if tag in _CONTAINERS and not hidden:
             self.boxes.append(_Box(tag, box))
@@ -126,7 +128,8 @@ class PageLines(HTMLParser):
         self._tags += 1
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                self.flush()
+                if self.stack[-1].bad != self.stack[i - 1].bad and not self.stack[-1].hidden:
+                    self.flush()
                 del self.stack[i:]
                 return
             if self.stack[i].tag in _STRONG and tag not in ("body", "html", "main", "article"):
