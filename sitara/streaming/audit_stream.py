@@ -70,8 +70,9 @@ class Spill:
         return self.spark.read.schema(audit.EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(segment)
 
     def corrupt(self, segment: str) -> int:
-        lines = self.spark.read.schema(f"{audit.EVENT_SCHEMA}, _corrupt_record string").option("mode", "PERMISSIVE").json(segment)
-        return lines.select("id", "_corrupt_record").where("_corrupt_record is not null").count()
+        kinds = f"{audit.EVENT_SCHEMA}, broken string"
+        parsed = F.from_json("value", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+        return self.spark.read.text(segment).where(F.trim("value") != "").where(parsed["broken"].isNotNull()).count()
 
     def pending(self) -> int:
         return sum(self.read(s).count() for s in self.segments())
