@@ -19,6 +19,8 @@ and 3 or more come from the counts of counts (Chen and Goodman).
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -69,13 +71,15 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
 
 @lru_cache(maxsize=100_000)
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory where the shared folder is a mounted one."""
+    """The arrays of a file, mapped into memory."""
     fs, path = _filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         source = pa.memory_map(path)
-    else:  # a store without mounts: the file's bytes are held while the worker lives
-        with fs.open_input_file(path) as f:
-            source = pa.BufferReader(f.readall())
+    else:  # a store without mounts: a local copy that has no name any more and goes with the mapping
+        with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile() as copy:
+            shutil.copyfileobj(f, copy)
+            copy.flush()
+            source = pa.memory_map(copy.name)
     table = pa.ipc.open_file(source).read_all()
     return {k: (table.column(k).chunk(0).to_numpy() if len(table) else np.zeros(0, table.schema.field(k).type.to_pandas_dtype())) for k in table.column_names}
 
