@@ -60,6 +60,16 @@ def count_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, NOT_WORD))).cast("long")
 
 
+def hash_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the least hashes.
+
+    A threshold from the number of rows leaves about twice as many before
+    they are sorted, so what tasks hand over does not grow with their number.
+    """
+    share = min(1.0, 2 * most / max(1, df.count()))
+    return df.where(F.shiftrightunsigned(h, 1) <= F.lit(int(share * ((1 << 63) - 1)))).orderBy(h).limit(most)
+
+
 def small(df: DataFrame, most: int = 300_000) -> DataFrame:
     """Marked for broadcast if counting shows ``most`` rows at most; beyond, the join shuffles."""
     return F.broadcast(df) if df.count() <= most else df

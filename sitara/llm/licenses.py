@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitara.llm.blocks import Block, mix, span_hashes, text_blocks
-from sitara.llm.common import pick_columns
+from sitara.llm.common import hash_sample, pick_columns
 
 # Notices in common use, by family. "unknown" is licence language of other origins.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -202,9 +202,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> Cl
     Sample paragraphs that speak of licences are left out of the ordinary
     ones. The sample is the only part of the corpus that reaches the driver.
     """
-    pick_columns(docs, "text")
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text")
-    some = [r.text for r in short.orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect()]
+    pick_columns(docs, "doc_id", "text")
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
+    some = [r.text for r in hash_sample(short, F.xxhash64("doc_id", "text"), sample_docs).collect()]
     rng = np.random.default_rng(seed)
     ordinary = [p for t in some for p in t.split("\n") if p.strip() and not any(k in p.lower() for k in ("licen", "copyright", "rights reserved", "spdx"))]
     ordinary = ordinary or ["nothing of note is written here"]

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitara.llm.common import fresh_name, pick_columns, words
+from sitara.llm.common import fresh_name, hash_sample, pick_columns, words
 
 # Fixed patterns: kind, pattern, group whose length counts, least length. In the order of ties.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,7 +96,7 @@ def samples(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, st
     forms = F.array(F.substring(digest, 1, 40), base64, F.regexp_replace(base64, "[+/]", ""), F.upper(F.regexp_replace(base64, "[+/]", "")), F.lower(F.regexp_replace(base64, "[+/]", "")))
     random = spark.range(strings).select(F.lit(True).alias("random"), F.explode(forms).alias("value"))
     good = labels.where((F.col("quality") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(most_docs)
+    good = hash_sample(good, F.xxhash64("good_id"), most_docs)
     some = docs.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
     plain = some.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z0-9+/_=-]", "")))).alias("w")).where(F.length("w") >= 2)
     second = F.reverse(F.col("w"))

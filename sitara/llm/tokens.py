@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitara.llm.common import pick_columns, run_dir, shuffle_partitions
+from sitara.llm.common import hash_sample, pick_columns, run_dir, shuffle_partitions
 
 MAGIC = b"SITTOK1\n"
 END_ID = 1
@@ -264,7 +264,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> TokenFile
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    few = rows.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCS)
+    few = hash_sample(rows.where(F.octet_length("text") <= SAMPLE_BYTES), F.xxhash64("doc_id", "text"), SAMPLE_DOCS)
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
