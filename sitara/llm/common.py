@@ -67,7 +67,7 @@ def hash_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
     they are sorted, so what tasks hand over does not grow with their number.
     """
     share = min(1.0, 2 * most / max(1, df.count()))
-    return df.where(F.shiftrightunsigned(h, 1) <= F.lit(int(share * ((1 << 63) - 1)))).orderBy(h).limit(most)
+    return df.where(F.shiftrightunsigned(h, 1) <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))).orderBy(h).limit(most)
 
 
 def small(df: DataFrame, most: int = 300_000) -> DataFrame:
