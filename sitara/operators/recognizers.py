@@ -106,7 +106,7 @@ def recognizers(policy: Policy, today: Column | None = None) -> list[Recognizer]
         Recognizer("EG_TAX_ID", "tax_id", r"(?<![0-9/-])[0-9]{3}[ \-/]?[0-9]{3}[ \-/]?[0-9]{3}(?![0-9/-])", 0.3, _keep_if(v.tax_id_plausible), c.get("tax", ())),
         Recognizer("EG_PASSPORT", "passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", 0.3, None, c.get("passport", ())),
         Recognizer("EMAIL_ADDRESS", "email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.){1,20}[A-Za-z]{2,}(?![A-Za-z0-9])", 1.0),
-        Recognizer("CREDIT_CARD", "card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])", 1.0, _keep_if(v.luhn_ok)),
+        Recognizer("CREDIT_CARD", "card", r"(?<![0-9])(?=[1-9])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])", 1.0, _keep_if(v.luhn_ok)),
         Recognizer("IBAN_CODE", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ \-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 1.0, _keep_if(v.iban_valid)),
         Recognizer("EG_ADDRESS", "address", _address(policy), 0.45, None, c.get("address", ()), 48, folded_terms(policy.gazetteer.places), True),
     ]

@@ -61,7 +61,7 @@ _LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(
 _CARDS = f"""SELECT doc_id, source, digits FROM (
   SELECT doc_id, source, regexp_replace(run, '[^0-9]', '', 'g') AS digits FROM (
     SELECT doc_id, source, unnest(regexp_extract_all(text, '{_RUNS}')) AS run FROM documents))
-  WHERE length(digits) BETWEEN 13 AND 19"""
+  WHERE length(digits) BETWEEN 13 AND 19 AND digits[1] <> '0'"""
 _LUHN_CARDS = f"SELECT doc_id, source, digits FROM (SELECT *, string_split(digits, '') AS d FROM ({_CARDS})) WHERE {_LUHN}"
 
 
