@@ -37,7 +37,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer pieces than there are cores are dealt out, as scanning them is what takes time."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "conversations") and df.rdd.getNumPartitions() < cores else df
 
 
 def today() -> Column:
