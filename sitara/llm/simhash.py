@@ -12,6 +12,11 @@ by exact Hamming distance.
 
 A cell gives back no pairs but one row for each member that joins another, so
 a group of copies costs as many rows as it has members.
+
+The pipeline's stage ``keep_one`` follows another rule: texts are near copies
+if the Jaccard similarity of their five-word shingles is 0.8 or more. In 64 bits
+such pairs differ in up to 19, which the grid cannot carry, so candidates
+come from bands of MinHash values, and exact similarity decides.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sitara.llm.common import materialize, pick_columns, shuffle_partitions
+from sitara.llm.blocks import Block, mix, text_blocks
+from sitara.llm.common import materialize, pick_columns, shuffle_partitions, small
 
 RADIUS = 3
 SHINGLE = 3
@@ -37,6 +43,16 @@ CELL_ROWS = 20_000
 #: Bits of the six parts: whole segments of two bits.
 PARTS = (12, 12, 10, 10, 10, 10)
 _LOW = 0x5555555555555555
+#: Shingle size and least similarity of near copies, for ``keep_one``.
+COPY_SHINGLE = 5
+COPY_SIMILARITY = 0.8
+#: Bands of MinHash values. At similarity 0.8 a pair shares none of them once in 38,000 (0.59 ** 20).
+BANDS, BAND_ROWS = 20, 4
+#: Cells of near copies with more members are compared block by block.
+COPY_ROWS = 2_000
+_draw = np.random.default_rng(SEED)
+_FACTORS = _draw.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = _draw.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
 def _signed(x: int) -> int:
@@ -250,18 +266,142 @@ def groups(prints: DataFrame) -> DataFrame:
     return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document for each group of near-duplicates: that of the smallest doc_id.
+def _block_shingles(b: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, borders by text, hashes of whole word sequences); a text of fewer words than ``k`` is one shingle."""
+    h, n = b.hashes(), np.diff(b.first)
+    at = np.arange(len(h)) - np.repeat(b.first[:-1], n)
+    place = mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ place), dtype=np.uint64)))
+    whole = sums[b.first[1:]] - sums[b.first[:-1]]
+    size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    borders = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(int(borders[-1]), np.uint64)
+    for m in range(1, k + 1):
+        which = np.flatnonzero(n >= k if m == k else n == m)
+        starts = np.repeat(b.first[which], size[which]) + np.arange(int(size[which].sum())) - np.repeat(np.cumsum(size[which]) - size[which], size[which])
+        key = np.full(len(starts), m, np.uint64)
+        for j in range(m):
+            key = mix(key) + h[starts + j]
+        out[np.repeat(borders[which], size[which]) + starts - np.repeat(b.first[which], size[which])] = mix(key)
+    return out, borders, whole
+
+
+def _bands(texts: pa.Array, k: int) -> pa.StructArray:
+    """node: a hash of the word sequence; bands: hashes of groups of MinHash values, none for a text without words."""
+    nodes, bands, lengths = [], [], []
+    for b in text_blocks(texts, lower=True):
+        hs, borders, whole = _block_shingles(b, k)
+        full = np.flatnonzero(np.diff(borders))
+        keys = np.zeros((len(full), BANDS), np.uint64)
+        for i in range(BANDS * BAND_ROWS if len(full) else 0):
+            keys[:, i // BAND_ROWS] = mix(keys[:, i // BAND_ROWS] + np.minimum.reduceat((hs ^ _MASKS[i]) * _FACTORS[i], borders[:-1][full]))
+        nodes.append(whole)
+        bands.append(keys.ravel())
+        lengths.append(np.where(np.diff(borders) > 0, BANDS, 0))
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    offsets = np.concatenate(([0], np.cumsum(joined(lengths, np.int64)))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined(bands, np.uint64).view(np.int64)))
+    return pa.StructArray.from_arrays([pa.array(joined(nodes, np.uint64).view(np.int64)), lists], names=["node", "bands"])
+
+
+def _sets(texts: pa.Array, k: int) -> pa.StructArray:
+    """node, and the distinct shingle hashes of each text in ascending order."""
+    nodes, sets = [], []
+    for b in text_blocks(texts, lower=True):
+        hs, borders, whole = _block_shingles(b, k)
+        nodes.append(whole)
+        sets += [np.unique(hs[i:j].view(np.int64)) for i, j in zip(borders, borders[1:], strict=False)]
+    ids = np.concatenate(nodes) if nodes else np.zeros(0, np.uint64)
+    return pa.StructArray.from_arrays([pa.array(ids.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hs"])
+
+
+def copy_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of the groups of a cell: each set is compared with all later ones that are not yet in its group."""
+    n = len(nodes)
+    root, sizes = np.arange(n), np.array([len(x) for x in sets])
+    for i in range(n - 1):
+        later = np.arange(i + 1, n)
+        less, more = np.minimum(sizes[later], sizes[i]), np.maximum(sizes[later], sizes[i])
+        later = later[(root[later] != root[i]) & (less > 0) & (less >= similarity * more - 1e-9)]
+        if not len(later):
+            continue
+        flat = np.concatenate([sets[j] for j in later])
+        at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+        both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[later])[:-1])))
+        for r in np.unique(root[later[both >= similarity * (sizes[later] + sizes[i] - both) - 1e-9]]):
+            low, high = min(r, root[i]), max(r, root[i])
+            root[root == high] = low
+    moved = np.flatnonzero(root != np.arange(n))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _copy_cells(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows (cell, node, hs) that come sorted by cell."""
+    cell, nodes, sets = None, [], []
 
-    Of rows with the same doc_id one stays. Rows without doc_id cannot be
-    told apart by name and all stay. Columns stay as they are.
+    def emit() -> pa.RecordBatch:
+        u, v = copy_links(np.array(nodes, np.int64), sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        hs = batch.column("hs")
+        offsets, flat = hs.offsets.to_numpy(), hs.values.to_numpy()
+        for c, node, i, j in zip(batch.column("cell").to_pylist(), batch.column("node").to_pylist(), offsets, offsets[1:], strict=False):
+            if c != cell:
+                if len(nodes) > 1:
+                    yield emit()
+                cell, nodes, sets = c, [], []
+            nodes.append(node)
+            sets.append(flat[i:j])
+    if len(nodes) > 1:
+        yield emit()
+
+
+def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, root) of every row: ``root`` is shared by the texts that near copies connect.
+
+    Texts of the same words (ASCII case and white space aside) are one node;
+    texts without words are one too. Cells with the same members count once,
+    and shingles are made only for texts that share a cell.
+    """
+    pick_columns(docs, "doc_id", "text")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    bands = F.arrow_udf(lambda t: _bands(t, shingle), "node long, bands array<long>")
+    sets = F.arrow_udf(lambda t: _sets(t, shingle), "node long, hs array<long>")
+    prints = docs.select("doc_id", key.alias("text_key"), bands(F.coalesce(F.col("text"), F.lit(""))).alias("b"))
+    prints = materialize(prints.select("doc_id", "text_key", "b.node", "b.bands"), "copy-prints")
+    cells = prints.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("cell")).distinct()
+    mixed = F.xxhash64("node").cast("decimal(38,0)")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(mixed).alias("s"), F.bit_xor("node").alias("x")).where("n > 1")
+    shared = materialize(shared.groupBy("n", "s", "x").agg(F.min("cell").alias("cell")).select("cell", "n"), "copy-cells")
+    members = materialize(cells.join(small(shared), "cell"), "copy-members")
+    wanted = prints.select("node", "text_key").join(small(members.select("node").distinct()), "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    wanted = materialize(wanted.select("text_key"), "copy-texts")
+    texts = docs.select(key.alias("text_key"), "text").join(small(wanted), "text_key").select(sets(F.col("text")).alias("s"))
+    texts = materialize(texts.groupBy("s.node").agg(F.any_value("s.hs").alias("hs")), "copy-shingles")
+    blocks = F.ceil(F.col("n") / COPY_ROWS)
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    pair = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    dealt = members.select(pair, "node").join(texts, "node").repartition(shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
+    found = components(dealt.select("cell", "node", "hs").mapInArrow(lambda batches: _copy_cells(batches, similarity), "u long, v long"))
+    rooted = prints.select("doc_id", "text_key", "node").join(small(found), "node", "left")
+    return rooted.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` with one row for each group of near copies: that of the smallest doc_id.
+
+    Of repeated rows one stays; rows that share a doc_id but not a group stay
+    both. Rows without doc_id cannot be told apart by name and all stay.
+    Columns stay as they are.
     """
-    found = groups(materialize(fingerprints(docs), "prints"))
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
+    found = copy_groups(docs, shingle, similarity).where(F.col("doc_id").isNotNull())
+    keepers = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key"))
+    keepers = materialize(keepers, "copy-keepers")
     named, nameless = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
     names = docs.columns
-    kept = named.join(keepers, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in names])
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    numbered = kept.select(*cols, F.row_number().over(first).alias("__nth")).where("__nth = 1")
+    marked = named.select(*cols, F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__key"))
+    first = Window.partitionBy("__id", "__key").orderBy(F.xxhash64("__id", "__key"))
+    numbered = marked.join(keepers, ["__id", "__key"], "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
     return numbered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]).unionByName(nameless)

@@ -132,6 +132,48 @@ def test_links_with_small_blocks(spark, monkeypatch):
     assert {tuple(r) for r in simhash.components(simhash.links(df)).collect()} == want
 
 
+def test_keep_one_by_five_word_shingles(spark):
+    """Near copies of similarity 0.8 or more go, transitively; others stay, and so do unrelated rows of one doc_id."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(30):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 160))]
+        for k in range(5):
+            ws = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                ws[rng.randrange(len(ws))] = f"edit{rng.randrange(10**6)}"
+            texts.append((g * 10 + k, " ".join(ws)))
+    texts += [(3, "another text of the same name"), (500, None), (501, " "), (502, "Another  TEXT of the\nsame name")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if either == 0 or len(sets[i] & sets[j]) >= 0.8 * either - 1e-9:
+                near += texts[i][1] != texts[j][1]
+                parent[root(i)] = root(j)
+    assert near > 20
+    want = sorted(min(texts[j][0] for j in range(len(texts)) if root(j) == r) for r in {root(i) for i in range(len(texts))})
+    docs = _docs(spark, texts)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    assert want.count(3) >= 1 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_copies_with_small_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    docs = _docs(spark, [(i, " ".join([*base[: 100 + i % 90], f"end{i}", *base[100 + i % 90 :]])) for i in range(60)])
+    monkeypatch.setattr(simhash, "COPY_ROWS", 7)
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
+
+
 def _kneser_ney(train: list[list], score: list[list]) -> tuple[list[float], int, int]:
     uni, bi = Counter(x for s in train for x in s), Counter()
     for s in train:
