@@ -1,13 +1,18 @@
 """Quality rules whose cutoffs limit false rejection, with a proof from labels.
 
 Each rule rejects a text whose measure exceeds a cutoff. Labelled good texts
-are a holdout: for every stratum, rule and cutoff of a fixed ladder the exact
-binomial tail tells whether the data refute "the rule rejects more than its
-share ALPHA / rules of good texts". A ladder is climbed from lenient to strict
-and left at the first cutoff that fails (fixed-sequence testing, which needs
-no correction inside a ladder); DELTA is split over strata and rules
-(Bonferroni). So with probability 1 - DELTA no stratum loses more than ALPHA
-of its good texts to all rules together.
+are a holdout. For every stratum all rules climb one nested path of cutoffs,
+lenient to strict, and the exact binomial tail tells at each step whether the
+data refute "the rules together reject more than ALPHA of good texts"; the
+path is left at the first step that fails (fixed-sequence testing, which
+needs no correction inside a path), and DELTA is split over strata
+(Bonferroni). The path comes from labels that do not prove it: those of other
+strata and bad ones, or else half of the good ones. So with probability
+1 - DELTA no stratum loses more than ALPHA of its good texts.
+
+Strata with too few good labels of their own share the cutoffs that are
+certified on all of them pooled, if need be with the next larger strata; for
+those the promise holds over the pool, not for each.
 """
 
 from __future__ import annotations
@@ -126,54 +131,142 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """Certified cutoffs by (stratum, rule); a stratum without a proof has none and rejects nothing."""
+    """Cutoffs by (stratum, rule) for the strata in ``own``, which have a proof of their own; ``rest`` by rule, proved on a pool, for all others."""
 
     at: dict[tuple[str | None, str], float] = field(default_factory=dict)
+    own: frozenset[str | None] = frozenset()
+    rest: dict[str, float] = field(default_factory=dict)
 
     def rejects(self, stratum: Column) -> Column:
         out = F.lit(False)
         values = rule_values()
+        same = lambda name: stratum.isNull() if name is None else F.coalesce(stratum == F.lit(name), F.lit(False))
         for (name, rule), cut in self.at.items():
-            same = stratum.isNull() if name is None else stratum == F.lit(name)
-            out = out | (F.coalesce(same, F.lit(False)) & (values[rule] > cut))
+            out = out | (same(name) & (values[rule] > cut))
+        other = F.lit(True)
+        for name in self.own:
+            other = other & ~same(name)
+        for rule, cut in self.rest.items():
+            out = out | (other & (values[rule] > cut))
         return out
 
 
-def certify(good: int, good_hit: list[int], bad: int, bad_hit: list[int], ladder: tuple[float, ...], alpha: float, delta: float) -> float | None:
-    """The certified cutoff of one ladder that parts good from bad best; the more lenient on ties; None if none helps."""
+@dataclass(frozen=True)
+class Counted:
+    """Labelled texts by the first cutoff of each rule's ladder that they exceed (``level``, a column per rule)."""
+
+    stratum: np.ndarray
+    good: np.ndarray
+    half: np.ndarray
+    level: np.ndarray
+    n: np.ndarray
+
+    def pick(self, where: np.ndarray) -> Counted:
+        return Counted(self.stratum[where], self.good[where], self.half[where], self.level[where], self.n[where])
+
+    def total(self, good: bool) -> int:
+        return int(self.n[self.good == good].sum())
+
+    def hit(self, state: np.ndarray, good: bool) -> int:
+        """Texts that some rule rejects when rule r stands at cutoff ``state[r]`` (-1: at none)."""
+        return int(self.n[(self.good == good) & (self.level <= state).any(axis=1)].sum())
+
+
+def nested_path(c: Counted, alpha: float) -> list[np.ndarray]:
+    """States from none to strict, one cutoff of one rule at a time: that which rejects most bad texts for each good one; ends beyond 3 alpha."""
+    sizes = [len(x) for x in LADDERS.values()]
+    state, path = np.full(len(sizes), -1), []
+    n_good, n_bad = max(1, c.total(True)), max(1, c.total(False))
+    free = c
+    lost = 0
+    while lost <= 3 * alpha * n_good:
+        best = None
+        for r in range(len(sizes)):
+            if state[r] + 1 < sizes[r]:
+                new = state.copy()
+                new[r] += 1
+                won = (free.hit(new, False) / n_bad + 1e-9) / (free.hit(new, True) / n_good + 1e-9)
+                if best is None or won > best[0]:
+                    best = won, new
+        if best is None:
+            break
+        state = best[1]
+        path.append(state)
+        lost += free.hit(state, True)
+        free = free.pick(~(free.level <= state).any(axis=1))
+    return path
+
+
+def certify(proof: Counted, path: list[np.ndarray], alpha: float, delta: float) -> np.ndarray | None:
+    """The certified state of a path that parts good from bad best; the more lenient on ties; None if none helps."""
     best, gain = None, 0.0
-    for cut, g, x in zip(ladder, good_hit, bad_hit, strict=True):
+    good, bad = proof.total(True), proof.total(False)
+    for state in path:
+        g = proof.hit(state, True)
         if binomial_tail(g, good, alpha) > delta:
             break
-        if (won := x / max(1, bad) - g / max(1, good)) > gain + 1e-12:
-            best, gain = cut, won
+        if (won := proof.hit(state, False) / max(1, bad) - g / max(1, good)) > gain + 1e-12:
+            best, gain = state, won
     return best
 
 
+def fewest(alpha: float, delta: float) -> float:
+    """Good labels that a proof without any hit needs."""
+    return math.log(delta) / math.log1p(-alpha)
+
+
+def _cutoffs(c: Counted, inside: np.ndarray, alpha: float, delta: float) -> dict[str, float] | None:
+    """Certified cutoffs by rule for the strata of the rows ``inside``; None if the labels are too few for a proof."""
+    own, others = c.pick(inside), c.pick(~inside)
+    if others.total(True) >= fewest(alpha, delta):
+        proof, learn = own, c.pick(~inside | ~c.good)
+    else:
+        proof, learn = own.pick((own.half == 1) | ~own.good), c.pick(~inside | ~c.good | (c.half == 0))
+    if proof.total(True) < fewest(alpha, delta):
+        return None
+    if (state := certify(proof, nested_path(learn, alpha), alpha, delta)) is None:
+        return {}
+    return {rule: ladder[i] for (rule, ladder), i in zip(LADDERS.items(), state.tolist(), strict=True) if i >= 0}
+
+
 def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> Cutoffs:
     """Choose cutoffs from ``measured`` (doc_id, stratum, m) and ``labels`` (doc_id, quality).
 
     Every labelled row counts. A document labelled twice is good only if all
     its labels are; null ids or qualities are ignored. What reaches the driver
-    is two counts per stratum and cutoff, for strata with enough good labels
-    for any proof.
+    is a count for each stratum and combination of levels. Strata without
+    labels fall under the pooled cutoffs.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    values = rule_values()
-    held = measured.where(~base_failed()).select("doc_id", F.col(stratum).cast("string").alias("stratum"), *[v.alias(r) for r, v in values.items()])
-    hits = [F.count_if((F.col("good") == F.lit(lit)) & (F.col(r) > c)).alias(f"{r}|{i}|{int(lit)}") for r, cuts in LADDERS.items() for i, c in enumerate(cuts) for lit in (True, False)]
-    rule_alpha = alpha / len(LADDERS)
-    fewest = math.log(delta) / math.log1p(-rule_alpha)
-    counts = held.join(marks, "doc_id").groupBy("stratum").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"), *hits)
-    rows = counts.where(F.col("n_good") >= fewest).collect()
-    share = delta / max(1, len(rows) * len(LADDERS))
-    found = {}
-    for row in rows:
-        for rule, ladder in LADDERS.items():
-            at = lambda lit, rule=rule, ladder=ladder, row=row: [row[f"{rule}|{i}|{lit}"] for i in range(len(ladder))]
-            if (cut := certify(row["n_good"], at(1), row["n_bad"], at(0), ladder, rule_alpha, share)) is not None:
-                found[(row["stratum"], rule)] = cut
-    return Cutoffs(found)
+    levels = {}
+    for rule, value in rule_values().items():
+        above = F.lit(0)
+        for cut in LADDERS[rule]:
+            above = above + (value > cut).cast("int")
+        levels[rule] = F.lit(len(LADDERS[rule])) - above
+    held = measured.where(~base_failed()).select("doc_id", F.col(stratum).cast("string").alias("stratum"), *[v.alias(r) for r, v in levels.items()])
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")
+    rows = held.join(marks, "doc_id").groupBy("stratum", "good", half, *LADDERS).agg(F.count("*").alias("n")).collect()
+    if not rows:
+        return Cutoffs()
+    c = Counted(np.array([r.stratum for r in rows], dtype=object), np.array([r.good for r in rows], dtype=bool), np.array([r.half for r in rows]), np.array([[r[rule] for rule in LADDERS] for r in rows]), np.array([r.n for r in rows]))
+    sizes = sorted(((c.pick(c.stratum == s).total(True), s) for s in set(c.stratum.tolist())), key=lambda x: (-x[0], x[1] is None, x[1] or ""))
+    n_own = max((m for m in range(len(sizes) + 1) if all(n >= fewest(alpha, delta / (m + 1)) for n, _ in sizes[:m])), default=0)
+    share = delta / (n_own + 1)
+    at, own, pool = {}, [], sizes[n_own:]
+    for n, s in sizes[:n_own]:
+        cuts = _cutoffs(c, c.stratum == s, alpha, share)
+        if cuts is None:
+            pool.append((n, s))
+            continue
+        own.append(s)
+        at |= {(s, rule): cut for rule, cut in cuts.items()}
+    # The pool: all strata without a proof, and the smallest of the others until one is possible.
+    names = {s for _, s in pool}
+    left = [s for _, s in sizes if s not in names]
+    while (rest := _cutoffs(c, np.array([s in names for s in c.stratum.tolist()], dtype=bool), alpha, share)) is None and left:
+        names.add(left.pop())
+    return Cutoffs(at, frozenset(own), rest or {})
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:

@@ -85,6 +85,19 @@ def test_cutoffs_hold_their_promise(spark):
     assert quality.keep_good(docs.limit(0), cut).count() == 0
 
 
+def test_cutoffs_of_small_strata(spark):
+    """200 good labels prove a language's cutoffs; languages with fewer, or none, share those of a pool."""
+    rng = random.Random(9)
+    langs = ["en"] * 900 + ["fr"] * 300 + ["it"] * 150 + [None] * 150 + ["xx"] * 5
+    rows = [(i, " ".join(f"word{rng.randrange(10**6)}" + ("***" if i % 4 == 0 and rng.random() < 0.5 else "") for _ in range(60)), lang) for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(1500)], "doc_id long, quality int")
+    measured = quality.measure(docs, "doc_id", "lang")
+    cut = quality.fit(measured, labels)
+    assert cut.own == {"en", "fr"} and "symbols" in cut.rest
+    assert {r.doc_id for r in quality.judge(measured, cut).where("kept").collect()} == {i for i in range(len(langs)) if i % 4}
+
+
 def _fingerprint(t: str) -> int:
     w = WORDS.findall(_lower(t))
     hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)] or ([xxhash.xxh64_intdigest(" ".join(w).encode(), 42)] if w else [])
