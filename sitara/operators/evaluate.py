@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sitara.llm.common import shuffle_partitions
 
 #: A variant is accepted from this coverage on, up to so many false positives per sentence without entities.
 COVERAGE, FALSE_POSITIVES = 0.80, 0.10
@@ -91,17 +94,46 @@ def precision(cases: DataFrame, gold: DataFrame, predictions: DataFrame) -> Data
     return one.withColumns({"span_precision": ratio(F.col("true_spans"), F.col("predicted")), "fp_per_clean": ratio(F.col("false_in_clean"), F.col("clean_cases"))})
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Quantile by nearest rank, halves rounded to the even rank; an element of the data, never between two."""
-    ordered = F.sort_array(F.collect_list(values))
-    at = F.rint(F.lit(q) * (F.size(ordered) - 1)).cast("int")
-    return F.get(ordered, at)
+def nearest_rank(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """``by`` and a column for each quantile, by nearest rank, halves rounded to the even rank; an element of the data, never between two."""
+    return at_ranks(rows, by, value, {name: F.rint(F.lit(q) * (F.col("n") - 1)) for name, q in quantiles.items()})
+
+
+def at_ranks(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``by`` and a column for each rank (from 0, in terms of the group's size ``n``).
+
+    Equal values of a group are counted once each; bucket by bucket of a
+    group's range of values, running sums of the counts give the ranks, so no
+    task holds a group. Nulls are ignored; a group of nulls has null quantiles.
+    """
+    counts = rows.groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count(F.col(value)).alias("c"))
+    sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    # Places that cut the values of each group evenly; a bucket is the number of places below a value.
+    pieces = 8 * shuffle_partitions(rows.sparkSession)
+    places = counts.where("c > 0").groupBy("g").agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10_000).alias("places"))
+    dealt = counts.where("c > 0").join(F.broadcast(places.withColumnRenamed("g", "g2")), F.col("g").eqNullSafe(F.col("g2")))
+    dealt = dealt.select("g", "v", "c", F.size(F.filter("places", lambda x: x < F.col("v"))).alias("bucket"))
+    before = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("g", "bucket").agg(F.sum("c").alias("b")).withColumn("start", F.coalesce(F.sum("b").over(before), F.lit(0)))
+    starts = starts.select(F.col("g").alias("g2"), F.col("bucket").alias("b2"), "start")
+    dealt = dealt.join(starts, F.col("g").eqNullSafe(F.col("g2")) & (F.col("bucket") == F.col("b2"))).drop("g2", "b2")
+    inside = F.sum("c").over(Window.partitionBy("g", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = dealt.withColumn("last", F.col("start") + inside)
+    ranked = ranked.join(F.broadcast(sizes.withColumnRenamed("g", "g2")), F.col("g").eqNullSafe(F.col("g2")))
+    picked = [F.max(F.when((F.col("last") > k) & (F.col("last") - F.col("c") <= k), F.col("v"))).alias(name) for name, k in ranks.items()]
+    found = ranked.groupBy("g").agg(*picked)
+    all_ = sizes.select(F.col("g").alias("g2")).join(found, F.col("g").eqNullSafe(F.col("g2")), "left")
+    return all_.select(F.col("g2").alias(by), *ranks)
 
 
 def latency(runs: DataFrame, by: str = "variant", value: str = "latency_ms") -> DataFrame:
     """Median, 95th and 99th percentile, mean, maximum and throughput of timed runs."""
     v = F.col(value)
-    return runs.groupBy(by).agg(F.percentile(v, 0.5).alias("median_ms"), nearest_rank(v, 0.95).alias("p95_ms"), nearest_rank(v, 0.99).alias("p99_ms"), F.avg(v).alias("mean_ms"), F.max(v).alias("max_ms"), (F.count("*") * 1000 / F.sum(v)).alias("per_second"))
+    means = runs.groupBy(F.col(by).alias("g3")).agg(F.avg(v).alias("mean_ms"), F.max(v).alias("max_ms"), (F.count("*") * 1000 / F.sum(v)).alias("per_second"))
+    last = F.col("n") - 1
+    ranks = at_ranks(runs, by, value, {"low": F.floor(last / 2), "high": F.ceil(last / 2), "p95_ms": F.rint(F.lit(0.95) * last), "p99_ms": F.rint(F.lit(0.99) * last)})
+    ranks = ranks.withColumn("median_ms", (F.col("low") + F.col("high")) / 2)
+    return ranks.join(means, F.col(by).eqNullSafe(F.col("g3"))).select(by, "median_ms", "p95_ms", "p99_ms", "mean_ms", "max_ms", "per_second")
 
 
 def score_variant(cases: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFrame:

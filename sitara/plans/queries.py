@@ -545,8 +545,8 @@ def gold_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def quantile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank quantiles."""
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variant"))
-    return e.agg(evaluate.nearest_rank(F.col("value"), 0.95).alias("p95"), evaluate.nearest_rank(F.col("value"), 0.5).alias("p50"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), "value")
+    return evaluate.nearest_rank(e, "variant", "value", {"p95": 0.95, "p50": 0.5})
 
 
 _VARIANTS = [("a", 0.8014, 0.0, 22.6), ("b", 0.8011, 0.0, 20.0), ("c", 0.9, 0.2, 10.0), ("d", 0.79, 0.0, 1.0), ("e", 0.85, 0.1, 50.0), ("f", 0.8013, 0.05, 5.0)]

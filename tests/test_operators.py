@@ -128,3 +128,22 @@ def test_logs_are_redacted():
     record.text = "secret"
     st.RedactText().filter(record)
     assert record.text == "[redacted]" and len(record.msg) == 500
+
+
+def test_nearest_rank_holds_no_group_in_a_task(spark):
+    import random
+
+    from sitara.operators import evaluate
+
+    rng = random.Random(3)
+    groups = {"a": [rng.random() for _ in range(999)], "b": [float(rng.randrange(3)) for _ in range(400)], "c": [7.5], None: [1.0, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "variant string, latency_ms double")
+    out = evaluate.nearest_rank(df, "variant", "latency_ms", {"p95": 0.95, "p50": 0.5})
+    want = {g: tuple(sorted(vs)[round(q * (len(vs) - 1))] for q in (0.95, 0.5)) for g, vs in groups.items()} | {"d": (None, None)}
+    assert {r.variant: (r.p95, r.p50) for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    import statistics
+
+    median = {g: statistics.median(vs) for g, vs in groups.items()} | {"d": None}
+    assert {r.variant: (r.p95_ms, r.median_ms) for r in evaluate.latency(df).collect()} == {g: (v[0], median[g]) for g, v in want.items()}
