@@ -6,6 +6,10 @@ family) and ordinary text is fitted by proximal gradient steps with an L1
 penalty, and its probabilities are calibrated by a temperature on held-out
 samples. A predicted family counts only if the paragraph also holds enough of
 one of the family's templates; otherwise it is unknown.
+
+Wrapped notices and those inside long lines are found in windows: consecutive
+lines that hold words are joined, and overlapping windows of a few sizes are
+classified like paragraphs.
 """
 
 from __future__ import annotations
@@ -93,6 +97,8 @@ LEAST_PROBABILITY = 0.5
 LEAST_SHARE = 0.7
 #: Licence language of no confirmed family must still share so much of some template's two-grams.
 UNKNOWN_SHARE = 0.3
+#: Words of the windows, which begin every half window; a notice of up to half a window lies in one.
+WINDOWS = (8, 16, 32, 64, 128)
 #: Variants of each template, paragraphs of ordinary text (from so many documents, of so many bytes at most) to fit on.
 VARIANTS = 24
 SAMPLE_DOCS = 400
@@ -111,6 +117,8 @@ class Grams:
     one: np.ndarray
     two: np.ndarray
     line_doc: np.ndarray
+    row: np.ndarray | None = None  # number of the line in the block, blank ones counted
+    bare: np.ndarray | None = None  # words of punctuation only
 
 
 def grams(b: Block) -> Grams:
@@ -128,7 +136,7 @@ def grams(b: Block) -> Grams:
     two = np.zeros(len(one), np.uint64)
     same = np.flatnonzero(line[1:] == line[:-1])
     two[same] = mix(mix(one[same]) + one[same + 1])
-    return Grams(line, one, two, doc[new])
+    return Grams(line, one, two, doc[new], np.searchsorted(feed, b.starts), starts == ends)
 
 
 @dataclass
@@ -168,6 +176,49 @@ class Classifier:
         return max((len(t & have) / len(t) for t in self.templates.get(family, ()) if t), default=0.0)
 
 
+def window_grams(model: Classifier, g: Grams) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """Windows of joined lines as paragraphs of their own, with their first and last words in ``g``.
+
+    Left out are windows whose pairs cannot reach UNKNOWN_SHARE of any
+    template, as those are never confirmed.
+    """
+    weight: dict[int, float] = {}
+    for t in (t for ts in model.templates.values() for t in ts):
+        for h in t:
+            weight[h] = max(weight.get(h, 0.0), 1.0 / len(t))
+    known = np.array(sorted(weight), dtype=np.uint64)
+    worth = np.array([weight[int(h)] for h in known])
+    keep = np.flatnonzero(~g.bare)
+    one, line, row = g.one[keep], g.line[keep], g.row[keep]
+    n, doc = len(one), g.line_doc[line]
+    new = np.ones(n, dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] > row[:-1] + 1)
+    first = np.flatnonzero(new)
+    size = np.diff(np.concatenate((first, [n])))
+    begin, end = np.repeat(first, size), np.repeat(first + size, size)
+    two = np.zeros(n, np.uint64)
+    inner = np.flatnonzero(~new)
+    two[inner] = mix(mix(one[inner - 1]) + one[inner])
+    value = np.zeros(n)
+    for h in (one, two):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        value += np.where(known[at] == h, worth[at], 0.0)
+    sums = np.concatenate(([0.0], np.cumsum(value)))
+    starts, ends = [], []
+    for width in WINDOWS:
+        s = np.flatnonzero((np.arange(n) - begin) % (width // 2) == 0)
+        e = np.minimum(s + width, end[s])
+        ok = sums[e] - sums[s] >= UNKNOWN_SHARE - 1e-9
+        starts.append(s[ok])
+        ends.append(e[ok])
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    length = e - s
+    unit = np.repeat(np.arange(len(s)), length)
+    word = np.repeat(s, length) + np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length)
+    pairs = np.where(word == s[unit], np.uint64(0), two[word])
+    return Grams(unit, one[word], pairs, doc[s]), keep[s], keep[e - 1]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -263,6 +314,7 @@ def _scan_batch(model: Classifier, texts: pa.Array) -> pa.StructArray:
         p = model.probabilities(g)
         paragraphs = np.bincount(g.line_doc, minlength=b.n)
         found: list[dict[str, int]] = [{} for _ in range(b.n)]
+        told: dict[int, list[tuple[int, int, str]]] = {}
         best = np.zeros(b.n), np.zeros(b.n)
         borders = np.searchsorted(g.line, np.arange(len(g.line_doc) + 1))
         for i in np.flatnonzero(1 - p[:, none] >= LEAST_PROBABILITY):
@@ -274,8 +326,40 @@ def _scan_batch(model: Classifier, texts: pa.Array) -> pa.StructArray:
                 continue
             name = CLASSES[c] if sure else "unknown"
             found[doc][name] = found[doc].get(name, 0) + 1
+            told.setdefault(doc, []).append((int(borders[i]), int(borders[i + 1]) - 1, name))
             if sure or best[0][doc] == 0:
                 best[0][doc], best[1][doc] = max(best[0][doc], p[i, c]), max(best[1][doc], share)
+        w, low, high = window_grams(model, g)
+        p = model.probabilities(w)
+        borders = np.searchsorted(w.line, np.arange(len(w.line_doc) + 1))
+        sought = []
+        for i in np.flatnonzero(1 - p[:, none] >= LEAST_PROBABILITY):
+            c = int(np.argmax(p[i, :none]))
+            two = w.two[borders[i] : borders[i + 1]]
+            share = model.confirm(CLASSES[c], two)
+            sure = p[i, c] >= LEAST_PROBABILITY and share >= LEAST_SHARE
+            if sure or max(model.confirm(family, two) for family in TEMPLATES) >= UNKNOWN_SHARE:
+                sought.append((not sure, -share, int(high[i] - low[i]), i, c))
+        # The surest and shortest windows come first; one that touches a span of its family extends it, of another yields to it.
+        for unsure, share, _, i, c in sorted(sought):
+            doc, name, a, z = w.line_doc[i], "unknown" if unsure else CLASSES[c], int(low[i]), int(high[i])
+            spans = told.setdefault(doc, [])
+            beside = [x for x in spans if x[0] <= z + 1 and x[1] >= a - 1]
+            same = [x for x in beside if x[2] == name]
+            others = [x for x in beside if x[2] not in (name, "unknown") and x[1] - x[0] < WINDOWS[-1]]
+            if others or (unsure and beside):
+                continue
+            gone = [x for x in beside if x[2] in (name, "unknown")]
+            for x in gone:
+                spans.remove(x)
+                found[doc][x[2]] -= 1
+            for x in same:
+                a, z = min(a, x[0]), max(z, x[1])
+            spans.append((a, z, name))
+            found[doc][name] = found[doc].get(name, 0) + max(1, len(same))
+            if not unsure or best[0][doc] == 0:
+                best[0][doc], best[1][doc] = max(best[0][doc], p[i, c]), max(best[1][doc], -share)
+        found = [{k: v for k, v in f.items() if v} for f in found]
         cols[0].extend(paragraphs.tolist())
         cols[1].extend(sum(f.values()) for f in found)
         cols[2].extend(",".join(sorted(f)) if f else "none" for f in found)

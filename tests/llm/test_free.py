@@ -318,3 +318,15 @@ def test_licences(spark, classifier, sf_dir):
     right = sum(r.license == (",".join(sorted(f for f, s in families.items() if s in r.text)) or "none") for r in said)
     assert right / len(said) > 0.98
     assert licenses.scan(docs.limit(0), classifier).count() == 0
+
+
+def test_licences_in_wrapped_and_long_lines(spark, classifier):
+    import textwrap
+
+    grant = next(t for t in licenses.TEMPLATES["mit"] if t.startswith("Permission"))
+    rng = random.Random(5)
+    prose = " ".join(f"w{rng.randrange(10**5)}" for _ in range(3000))
+    cases = [(f"Title\n\n{textwrap.fill(grant, 40)}\n\nEnd.", "mit"), ("\n".join("# " + x for x in textwrap.wrap(grant, 50)), "mit"), (f"{prose} Released under the MIT License. {prose}", "mit"), (f"{prose} This work is licensed under the GNU General Public License, version 3. {prose}", "gpl-3.0"), (prose, "none")]
+    cases += [(textwrap.fill(x, 60), f) for f, ts in licenses.TEMPLATES.items() for x in ts if len(x) > 120]
+    out = licenses.scan(_docs(spark, [(i, t) for i, (t, _) in enumerate(cases)]), classifier).collect()
+    assert {r.doc_id: r.license for r in out} == {i: w for i, (_, w) in enumerate(cases)}
