@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; bounds the temporary arrays, not the texts.
-CHUNK = 1 << 21
-#: Texts are grouped up to so many bytes.
-BLOCK = 1 << 23
+CHUNK = 1 << 18
+#: Texts are grouped up to so many bytes; what a block needs beside them is about 40 times as much.
+BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,9 +98,11 @@ class Block:
         return np.repeat(np.arange(self.n), np.diff(self.first))
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
-        """Sum of a value per byte, by text."""
-        sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-        return sums[self.offs[1:]] - sums[self.offs[:-1]]
+        """Number of bytes that a flag marks, by text."""
+        out, full = np.zeros(self.n, dtype=np.int64), np.flatnonzero(self.offs[1:] > self.offs[:-1])
+        if len(full):
+            out[full] = np.add.reduceat(flags.view(np.uint8), self.offs[:-1][full], dtype=np.int64)
+        return out
 
     def per_doc_words(self, values: np.ndarray) -> np.ndarray:
         """Sum of a value per word, by text."""
@@ -117,11 +119,11 @@ def text_blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Itera
         texts = texts.combine_chunks()
     if len(texts) == 0:
         return
-    texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
     _, off, buf = texts.buffers()
-    offs = np.frombuffer(off, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offs = np.frombuffer(off, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     all_bytes = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < len(texts):

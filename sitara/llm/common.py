@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of a batch that a Python worker gets, unless the session sets another number.
+BATCH_BYTES = 1 << 22
 #: A word, in every contract of this subpackage: a run without ASCII white space.
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
@@ -27,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session cuts Arrow batches by bytes too, as 10,000 long texts are too much for a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder, as a URI or path."""
     return f"{shared_dir(spark)}/sitara/{label}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitara.llm.common import pick_columns
+from sitara.llm.common import bounded_batches, pick_columns
 
 SIGMA = 1.0
 #: A child container takes the region over if it holds so much of the clustered text of its parent.
@@ -269,5 +269,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ignored.
     """
     pick_columns(pages, "page_id", "url", "html")
-    out = pages.select("page_id", "url", extract("html").alias("text"))
+    out = bounded_batches(pages).select("page_id", "url", extract("html").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitara.llm.blocks import Block, mix, span_hashes, text_blocks
-from sitara.llm.common import hash_sample, pick_columns
+from sitara.llm.common import bounded_batches, hash_sample, pick_columns
 
 # Notices in common use, by family. "unknown" is licence language of other origins.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -379,4 +379,4 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """
     pick_columns(docs, "doc_id", "text")
     run = F.arrow_udf(lambda texts: _scan_batch(model, texts), RESULT)
-    return docs.select("doc_id", run(F.coalesce(F.col("text"), F.lit(""))).alias("s")).select("doc_id", "s.*")
+    return bounded_batches(docs).select("doc_id", run(F.coalesce(F.col("text"), F.lit(""))).alias("s")).select("doc_id", "s.*")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitara.llm.blocks import Block, text_blocks
-from sitara.llm.common import materialize, pick_columns, run_dir, shuffle_partitions
+from sitara.llm.common import bounded_batches, materialize, pick_columns, run_dir, shuffle_partitions
 
 #: The hash that stands for the end of a text (no word has the length that would give it on purpose).
 END = np.uint64(0x7C0FFEE123456789)
@@ -321,7 +321,7 @@ def train(texts: DataFrame) -> Model:
     Null texts are empty: an end and no words. No texts at all give a model
     that knows no word and scores every token 1 (probability of its one unknown word).
     """
-    spark = texts.sparkSession
+    spark = bounded_batches(texts).sparkSession
     path, parts = run_dir(spark, "lm"), shuffle_partitions(spark)
     bits = max(1, (parts - 1).bit_length())
     shift = 64 - bits
@@ -428,7 +428,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     pick_columns(docs, "doc_id", "text")
     run = F.arrow_udf(lambda texts: _score_batch(model, texts), SCORES)
-    scored = docs.select("doc_id", run(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
+    scored = bounded_batches(docs).select("doc_id", run(F.coalesce(F.col("text"), F.lit(""))).alias("s"))
     return scored.select("doc_id", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 

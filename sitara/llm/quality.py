@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitara.llm.blocks import Block, mix, span_hashes, text_blocks
-from sitara.llm.common import pick_columns
+from sitara.llm.common import bounded_batches, pick_columns
 
 ALPHA = 0.03
 DELTA = 0.05
@@ -72,8 +72,7 @@ def _lines(b: Block) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate((starts[1:], [len(b.data)])) if len(starts) else starts
     ends = ends - ((ends > starts) & (b.data[np.maximum(ends - 1, 0)] == 0x0A))
     doc = np.searchsorted(b.offs, starts, side="right") - 1
-    solid = np.concatenate(([0], np.cumsum(~_SPACE[b.data], dtype=np.int64)))
-    wordy = solid[ends] > solid[starts]
+    wordy = np.searchsorted(b.starts, ends) > np.searchsorted(b.starts, starts)
     starts, ends, doc = starts[wordy], ends[wordy], doc[wordy]
     key = mix(span_hashes(b.data, starts, ends) + doc.astype(np.uint64))
     lines = np.bincount(doc, minlength=b.n)
@@ -272,7 +271,7 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns of every row, and the struct ``m`` of its text's measures (null: an empty text)."""
     pick_columns(docs, "text", *keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_measures(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
+    return bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep], text_measures(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
 
 
 def judge(measured: DataFrame, cutoffs: Cutoffs, stratum: str = "lang") -> DataFrame:
@@ -287,7 +286,7 @@ def judge(measured: DataFrame, cutoffs: Cutoffs, stratum: str = "lang") -> DataF
 def keep_good(docs: DataFrame, cutoffs: Cutoffs, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns as they are."""
     m, names = text_measures(F.coalesce(F.col("text"), F.lit(""))), docs.columns
-    marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], m.alias("m"))
+    marked = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], m.alias("m"))
     at = names.index(stratum)
     kept = marked.where(~base_failed() & ~cutoffs.rejects(F.col(f"c{at}").cast("string")))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitara.llm.blocks import Block, mix, text_blocks
-from sitara.llm.common import materialize, pick_columns, shuffle_partitions, small
+from sitara.llm.common import bounded_batches, materialize, pick_columns, shuffle_partitions, small
 
 RADIUS = 3
 SHINGLE = 3
@@ -250,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp of every row; null and word-less texts have the fingerprint zero."""
     pick_columns(docs, "doc_id", "text")
-    return docs.select("doc_id", fingerprint("text").alias("fp"))
+    return bounded_batches(docs).select("doc_id", fingerprint("text").alias("fp"))
 
 
 def groups(prints: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     bands = F.arrow_udf(lambda t: _bands(t, shingle), "node long, bands array<long>")
     sets = F.arrow_udf(lambda t: _sets(t, shingle), "node long, hs array<long>")
-    prints = docs.select("doc_id", key.alias("text_key"), bands(F.coalesce(F.col("text"), F.lit(""))).alias("b"))
+    prints = bounded_batches(docs).select("doc_id", key.alias("text_key"), bands(F.coalesce(F.col("text"), F.lit(""))).alias("b"))
     prints = materialize(prints.select("doc_id", "text_key", "b.node", "b.bands"), "copy-prints")
     cells = prints.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("cell")).distinct()
     mixed = F.xxhash64("node").cast("decimal(38,0)")

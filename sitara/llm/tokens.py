@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitara.llm.common import hash_sample, pick_columns, run_dir, shuffle_partitions
+from sitara.llm.common import bounded_batches, hash_sample, pick_columns, run_dir, shuffle_partitions
 
 MAGIC = b"SITTOK1\n"
 END_ID = 1
@@ -259,7 +259,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> TokenFile
     id alone. Other columns are ignored.
     """
     pick_columns(docs, "doc_id", "text")
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     path = path or run_dir(spark, "tokens")
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
