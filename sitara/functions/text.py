@@ -163,15 +163,39 @@ def spans_of(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), m.alias("m")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), laid_out(gaps, found)).otherwise(empty)
+
+
+#: Matches that are laid out one after another; runs of so many are joined at the end.
+_RUN = 128
+
+
+def laid_out(gaps: Column, found: Column) -> Column:
+    """Places of matches from the texts before each: array of (start, end, value).
+
+    Runs of matches are laid out apart, then moved to where they begin, so
+    what is copied grows far less than the square of their number.
+    """
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), m.alias("m"), F.char_length(m).alias("n")))
+    spans, starts = "array<struct<start:int,end:int,value:string>>", "array<int>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
-        end = start + F.char_length(x["m"])
+        end = start + x["n"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    def run(xs: Column, at: Column) -> Column:
+        return F.aggregate(xs, F.struct(at.alias("at"), F.array().cast(spans).alias("out")), step, lambda acc: acc["out"])
+
+    def many(xs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(xs), F.lit(_RUN))
+        runs = F.transform(firsts, lambda i: F.slice(xs, i, F.least(F.lit(_RUN), F.size(xs) - i + 1)))
+        lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + x["g"] + x["n"]))
+        begun = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast(starts).alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(runs, begun, run))
+
+    return let(pairs, lambda xs: F.when(F.size(xs) > _RUN, many(xs)).otherwise(run(xs, F.lit(0))))
 
 
 def snippet(text: Column, start: Column, end: Column, width: int = 40) -> Column:

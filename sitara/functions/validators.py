@@ -9,14 +9,16 @@ from sitara.functions.text import let
 
 # Weights of the national id's check digit.
 NID_WEIGHTS = (2, 7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
-# Governorate codes with a name; 01 to 35 and 88 (born abroad) are valid.
+# Governorate codes with a name; 01 to 35 and 88 are valid.
 GOVERNORATES = {
     "01": "Cairo", "02": "Alexandria", "03": "Port Said", "04": "Suez", "11": "Damietta", "12": "Dakahlia", "13": "Sharqia",
     "14": "Qalyubia", "15": "Kafr El Sheikh", "16": "Gharbia", "17": "Monufia", "18": "Beheira", "19": "Ismailia", "21": "Giza",
     "22": "Beni Suef", "23": "Fayoum", "24": "Minya", "25": "Asyut", "26": "Sohag", "27": "Qena", "28": "Aswan", "29": "Luxor",
-    "31": "Red Sea", "32": "New Valley", "33": "Matrouh", "34": "North Sinai", "35": "South Sinai", "88": "Outside Egypt",
+    "31": "Red Sea", "32": "New Valley", "33": "Matrouh", "34": "North Sinai", "35": "South Sinai", "88": "Born abroad",
 }
 OLDEST_YEARS = 120
+# Fixed value: what may part the digits and letters of a mobile number, an IBAN or a tax id.
+SEPARATORS = r"(?U)[\s\-().]"
 
 
 def digits(value: Column) -> Column:
@@ -71,9 +73,9 @@ def mobile_e164(value: Column) -> Column:
     """'+201' and nine digits for an Egyptian mobile number in any usual form, else null."""
 
     def local(bare: Column) -> Column:
-        return F.when(bare.startswith("+20"), F.substring(bare, 4, 99)).when(bare.startswith("0020"), F.substring(bare, 5, 99)).when(bare.startswith("20") & (F.length(bare) == 12), F.substring(bare, 3, 99)).when(bare.startswith("0"), F.substring(bare, 2, 99))
+        return F.when(bare.startswith("0020"), F.substring(bare, 5, 99)).when(bare.startswith("20") & (F.length(bare) == 12), F.substring(bare, 3, 99)).when(bare.startswith("0"), F.substring(bare, 2, 99)).otherwise(bare)
 
-    found = let(F.regexp_replace(value, r"[ \-().]", ""), local)
+    found = let(F.regexp_replace(F.regexp_replace(value, SEPARATORS, ""), r"^\+", ""), local)
     return let(found, lambda x: F.when(x.rlike("^1[0125][0-9]{8}$"), F.concat(F.lit("+20"), x)))
 
 
@@ -93,7 +95,7 @@ def iban_remainder(iban: Column) -> Column:
 
 
 def bare_iban(value: Column) -> Column:
-    return F.upper(F.regexp_replace(value, r"(?U)[\s\-]", ""))
+    return F.upper(F.regexp_replace(value, SEPARATORS, ""))
 
 
 def eg_iban_valid(value: Column) -> Column:
@@ -110,8 +112,8 @@ def iban_check_digits(country: Column, bban: Column) -> Column:
 
 
 def tax_id_plausible(value: Column) -> Column:
-    """Nine digits after blanks, hyphens and dots go, not all the same."""
-    return let(F.regexp_replace(value, r"[ \-.]", ""), lambda bare: bare.rlike("^[0-9]{9}$") & (F.size(F.array_distinct(_chars(bare))) > 1))
+    """Nine digits without their separators, not all the same."""
+    return let(F.regexp_replace(value, SEPARATORS, ""), lambda bare: bare.rlike("^[0-9]{9}$") & (F.size(F.array_distinct(_chars(bare))) > 1))
 
 
 def luhn_ok(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EVENT_SCHEMA = (
-    "id long, ts timestamp, request_id string, user_id string, team_id string, key_alias string, key_hash string, "
+    "id string, ts timestamp, request_id string, user_id string, team_id string, key_alias string, key_hash string, "
     "end_user_id string, entity_type string, recognizer string, score double, action string, span_start int, span_end int, "
     "value_len int, message_index int, message_role string, field string, value_fp string, preview string, model string, "
     "lang string, latency_ms int"
@@ -22,13 +23,23 @@ PAGE, PAGE_MOST = 200, 500
 _IDENTITY = ("request_id", "user_id", "team_id", "key_alias", "key_hash", "end_user_id", "model", "message_index", "message_role", "field")
 
 
-def to_events(prepared: DataFrame, ts: Column | None = None, latency_ms: Column | None = None) -> DataFrame:
-    """One row per span of prepared texts, in the audit schema, without values. Identity columns that are absent are null."""
+def to_events(prepared: DataFrame, ts: Column | None = None, latency_ms: Column | None = None, batch: str | None = None) -> DataFrame:
+    """One row per span of prepared texts, in the audit schema, without values. Identity columns that are absent are null.
+
+    The id is 32 digits of a SHA-256 over the request, the text's place in it,
+    the span and its value's fingerprint, so a request that is logged again
+    gets its ids again. A row without request_id goes by its place in
+    ``batch`` (default: a new batch for each call).
+    """
     kinds = dict(x.rsplit(" ", 1) for x in EVENT_SCHEMA.split(", "))
     have = [F.col(c) if c in prepared.columns else F.lit(None).cast(kinds[c]).alias(c) for c in _IDENTITY]
     index = F.col("text_index") if "text_index" in prepared.columns else F.lit(0).alias("text_index")
-    rows = prepared.select(*have, index, "lang", F.explode("spans").alias("s"))
-    key = F.xxhash64("request_id", "text_index", "s.start", "s.end", "s.entity_type")
+    place = F.concat(F.lit(f"row {batch or uuid.uuid4().hex} "), F.monotonically_increasing_id().cast("string"))
+    request = F.when(F.col("request_id").isNotNull(), F.concat(F.lit("request "), F.col("request_id"))).otherwise(place) if "request_id" in prepared.columns else place
+    # An outer generator: below an inner one the optimizer repeats the detection in a filter.
+    rows = prepared.select(*have, index, "lang", request.alias("__request"), F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull())
+    parts = ["__request", "message_index", "text_index", "field", "s.start", "s.end", "s.entity_type", "s.recognizer", "s.value_fp"]
+    key = F.substring(F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])), 256), 1, 32)
     made = {"id": key, "ts": ts if ts is not None else F.current_timestamp(), "entity_type": F.col("s.entity_type"), "recognizer": F.col("s.recognizer"), "score": F.col("s.score"), "action": F.col("s.action"), "span_start": F.col("s.start"), "span_end": F.col("s.end"), "value_len": F.col("s.value_len"), "value_fp": F.col("s.value_fp"), "preview": F.col("s.preview"), "latency_ms": latency_ms if latency_ms is not None else F.lit(None)}
     return rows.select(*[made.get(c, F.col(c)).cast(k).alias(c) for c, k in kinds.items()])
 
@@ -87,7 +98,7 @@ def page(events: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
     return events.select(*[c for c in EVENT_COLUMNS if c in events.columns]).orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit)
 
 
-def event(events: DataFrame, id_: int) -> DataFrame:
+def event(events: DataFrame, id_: str) -> DataFrame:
     return events.where(F.col("id") == id_)
 
 

@@ -1,9 +1,13 @@
-"""Conversations and requests: flattening, masking, writing back."""
+"""Conversations and requests: flattening, masking, writing back.
+
+Tool calls are structs whose ``function`` is a struct or a map with ``arguments``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitara.operators import prepare
 from sitara.operators.detect import detect_distinct
@@ -35,12 +39,26 @@ def flatten_batch(requests: DataFrame) -> DataFrame:
     return rows.select(*keep, "text_index", "text", at(F.col("message_indices"), i).alias("message_index"), at(F.col("message_roles"), i).alias("message_role"), at(F.col("fields"), i).alias("field"))
 
 
+def _slots(requests: DataFrame, key: str) -> DataFrame:
+    """All slots of requests, empty ones too: the key, container, slot, text, field."""
+    texts = requests.select(key, F.lit("texts").alias("container"), F.posexplode("texts").alias("slot", "text"), F.lit("content").alias("field"))
+    calls = requests.select(key, F.lit("tool_calls").alias("container"), F.posexplode("tool_calls").alias("slot", "c"), F.lit("tool_call.args").alias("field"))
+    calls = calls.select(key, "container", "slot", F.col("c.function.arguments").alias("text"), "field")
+    return texts.unionByName(calls)
+
+
+def _set_arguments(call: Column, value: Column, function: T.DataType) -> Column:
+    """A tool call with other arguments; ``function`` may be a struct or a map."""
+    f = call["function"]
+    if isinstance(function, T.MapType):
+        others = F.map_filter(f, lambda k, _: k != "arguments")
+        return call.withField("function", F.when(F.map_contains_key(f, "arguments"), F.map_concat(others, F.create_map(F.lit("arguments"), value))).otherwise(f))
+    return call.withField("function", F.when(f.isNotNull(), f.withField("arguments", value)))
+
+
 def flatten_request(requests: DataFrame) -> DataFrame:
-    """Contents and tool-call arguments of requests as one list of slots: request_id, container, slot, text, field."""
-    texts = requests.select("request_id", F.lit("texts").alias("container"), F.posexplode("texts").alias("slot", "text"), F.lit("content").alias("field"))
-    calls = requests.select("request_id", F.lit("tool_calls").alias("container"), F.posexplode("tool_calls").alias("slot", "c"), F.lit("tool_call.args").alias("field"))
-    calls = calls.select("request_id", "container", "slot", F.col("c.function.arguments").alias("text"), "field")
-    return texts.unionByName(calls).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    """Contents and tool-call arguments of requests as one list of slots: request_id, container, slot, text, field. Empty ones are left out."""
+    return _slots(requests, "request_id").where(F.coalesce(F.col("text"), F.lit("")) != "")
 
 
 def mask_requests(requests: DataFrame, policy: Policy, pepper: bytes, today: Column | None = None) -> DataFrame:
@@ -49,20 +67,23 @@ def mask_requests(requests: DataFrame, policy: Policy, pepper: bytes, today: Col
     Counts come from the spans of each request. A blocked request keeps its
     place; whether it goes on is the caller's decision by ``blocked``.
     """
-    slots = flatten_request(requests)
+    keyed = requests.withColumn("__request", F.sha2(F.to_json(F.struct("request_id", "texts", "tool_calls")), 256))
+    slots = _slots(keyed, "__request")
     done = prepare.prepare(detect_distinct(slots, policy, today), policy, pepper)
-    entry = F.struct("container", "slot", "masked")
-    by = done.groupBy("request_id").agg(
-        F.collect_list(entry).alias("__slots"),
-        F.bool_or("blocked").alias("blocked"),
-        F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["entity_type"].alias("entity_type"))))).alias("__spans"),
-    )
-    out = requests.join(by, "request_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-    masked = lambda kind, i: F.get(F.filter("__slots", lambda s: (s["container"] == kind) & (s["slot"] == i)), F.lit(0))["masked"]
-    texts = F.transform("texts", lambda t, i: F.coalesce(masked("texts", i), t))
-    calls = F.transform("tool_calls", lambda c, i: c.withField("function", c["function"].withField("arguments", F.coalesce(masked("tool_calls", i), c["function"]["arguments"]))))
+    types = F.transform("spans", lambda s: F.struct(s["entity_type"].alias("entity_type")))
+    # Repeated requests share a key and have equal slots; a set keeps one of each, in order of place.
+    entry = F.struct("container", "slot", "masked", "blocked", types.alias("types"))
+    by = done.groupBy("__request").agg(F.array_sort(F.collect_set(entry)).alias("__slots"))
+    out = keyed.join(by, "__request", "left")
+    of = lambda kind: F.transform(F.filter("__slots", lambda s: s["container"] == kind), lambda s: s["masked"])
+    out = out.withColumns({"__texts": of("texts"), "__calls": of("tool_calls")})
+    texts = F.transform("texts", lambda t, i: F.coalesce(F.get("__texts", i), t))
+    function = requests.schema["tool_calls"].dataType.elementType["function"].dataType
+    calls = F.transform("tool_calls", lambda c, i: F.when(c.isNotNull(), _set_arguments(c, F.coalesce(F.get("__calls", i), c["function"]["arguments"]), function)))
     none = F.array().cast("array<struct<entity_type:string>>")
-    return out.withColumns({"texts": texts, "tool_calls": calls, "entity_counts": prepare.counts(F.coalesce("__spans", none))}).drop("__slots", "__spans")
+    spans = F.coalesce(F.flatten(F.transform("__slots", lambda s: s["types"])), none)
+    blocked = F.coalesce(F.exists("__slots", lambda s: s["blocked"]), F.lit(False))
+    return out.withColumns({"blocked": blocked, "entity_counts": prepare.counts(spans), "texts": texts, "tool_calls": calls}).drop("__request", "__slots", "__texts", "__calls")
 
 
 def mask_turns(turns: DataFrame, policy: Policy, pepper: bytes, today: Column | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from sitara.sources.policy import Policy
 
 #: Entities of these name prefixes win ties: they are more specific.
 SPECIFIC = ("EG_", "AR_")
+#: Rows of one text that go to one task when distinct texts are joined back; and how many such texts are broadcast (80 bytes each).
+HOT, HOT_BROADCAST = 100_000, 200_000
 FOUND = "struct<start:int,end:int,entity_type:string,recognizer:string,score:double,context_term:string>"
 
 
@@ -113,7 +115,22 @@ def detect(texts: DataFrame, policy: Policy, today: Column | None = None, extra:
 
 
 def detect_distinct(texts: DataFrame, policy: Policy, today: Column | None = None) -> DataFrame:
-    """``detect`` once for each distinct text, joined back by its hash: for chats that repeat themselves."""
+    """``detect`` once for each distinct text, joined back by its hash: for chats that repeat themselves.
+
+    Texts of more than HOT rows are told apart by a salt, so a text that a
+    third of all rows share goes to as many tasks as its rows need. Their
+    list has a row for each HOT rows at most, and its size is checked.
+    """
     keyed = texts.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    once = detect(keyed.groupBy("__key").agg(F.first(F.coalesce(F.col("text"), F.lit(""))).alias("text")), policy, today)
-    return keyed.join(once.select("__key", "spans", "lang"), "__key", "left").drop("__key")
+    distinct = keyed.groupBy("__key").agg(F.first(F.coalesce(F.col("text"), F.lit(""))).alias("text"), F.count("*").alias("__rows"))
+    salts = F.expr(f"__rows div {HOT}L").alias("__salts")
+    once = detect(distinct, policy, today).select("__key", "spans", "lang", F.explode_outer(F.sequence(F.lit(0).cast("long"), salts)).alias("__salt"))
+    hot = keyed.groupBy("__key").agg(F.count("*").alias("__rows")).where(F.col("__rows") >= HOT).select("__key", salts)
+    n_hot = hot.count()
+    if n_hot:
+        marked = keyed.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "__key", "left")
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__salts", F.lit(0).cast("long")) + 1)
+        marked = marked.withColumn("__salt", salt).drop("__salts")
+    else:
+        marked = keyed.withColumn("__salt", F.lit(0).cast("long"))
+    return marked.join(once, ["__key", "__salt"], "left").drop("__key", "__salt")

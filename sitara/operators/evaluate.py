@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitara.llm.common import shuffle_partitions
-
 #: A variant is accepted from this coverage on, up to so many false positives per sentence without entities.
 COVERAGE, FALSE_POSITIVES = 0.80, 0.10
 REGISTERS = ("egyptian", "mixed_script", "msa")
@@ -109,7 +107,7 @@ def at_ranks(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) ->
     counts = rows.groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count(F.col(value)).alias("c"))
     sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
     # Places that cut the values of each group evenly; a bucket is the number of places below a value.
-    pieces = 8 * shuffle_partitions(rows.sparkSession)
+    pieces = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = counts.where("c > 0").groupBy("g").agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10_000).alias("places"))
     dealt = counts.where("c > 0").join(F.broadcast(places.withColumnRenamed("g", "g2")), F.col("g").eqNullSafe(F.col("g2")))
     dealt = dealt.select("g", "v", "c", F.size(F.filter("places", lambda x: x < F.col("v"))).alias("bucket"))

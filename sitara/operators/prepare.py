@@ -154,8 +154,12 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def findings(prepared: DataFrame, *keep: str) -> DataFrame:
-    """A row per span, without values."""
-    return prepared.select(*keep, F.inline("spans"))
+    """A row per span, without values.
+
+    The generator is an outer one: below an inner one the optimizer puts a
+    test of the spans' size, and with it the whole detection once more.
+    """
+    return prepared.select(*keep, F.inline_outer("spans")).where(F.col("entity_type").isNotNull())
 
 
 def entity_totals(prepared: DataFrame, *by: str) -> DataFrame:

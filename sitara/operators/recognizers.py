@@ -47,8 +47,9 @@ class Recognizer:
     def spans(self, text: Column) -> Column:
         kept = F.filter(F.transform(spans_of(text, self.pattern), lambda s: self._span(text, s)), lambda s: s["score"].isNotNull())
         if self.arabic_only:
-            arabic = lambda runs: F.filter(runs, lambda r: r["script"] == "arabic")
-            kept = F.filter(kept, lambda s: F.exists(arabic(script_segments(text)), lambda r: (r["start"] < s["end"]) & (s["start"] < r["end"])))
+            meets = lambda s, runs: F.exists(runs, lambda r: (r["script"] == "arabic") & (r["start"] < s["end"]) & (s["start"] < r["end"]))
+            within = lambda k: let(script_segments(text), lambda runs: F.filter(k, lambda s: meets(s, runs)))
+            kept = let(kept, lambda k: F.when(F.size(k) > 0, within(k)).otherwise(k))
         return kept
 
     def _span(self, text: Column, s: Column) -> Column:
@@ -93,6 +94,11 @@ def _address(policy: Policy) -> str:
     return rf"(?U)(?:[0-9]{{1,4}}\s+)?\b(?:{markers})\s+[^\n،,.;]{{2,60}}(?:[،,]\s*(?:{places}))?"
 
 
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\."
+#: Labels are taken for good (any number of them, without deep matching) as long as another label or the last one follows.
+EMAIL = rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:{_LABEL}(?=[A-Za-z]{{2,}}+(?![A-Za-z0-9])|{_LABEL}))++[A-Za-z]{{2,}}(?![A-Za-z0-9])"
+
+
 def recognizers(policy: Policy, today: Column | None = None) -> list[Recognizer]:
     """The recognizers of the entities that the policy declares."""
     c = {k: folded_terms(t) for k, t in policy.gazetteer.context.items()}
@@ -105,7 +111,7 @@ def recognizers(policy: Policy, today: Column | None = None) -> list[Recognizer]
         Recognizer("EG_IBAN", "eg_iban", r"(?i)(?<![A-Z0-9])EG[0-9]{2}(?:[ \-]?[A-Z0-9]){25}(?![A-Z0-9])", 0.8, _keep_if(v.eg_iban_valid), c.get("bank", ())),
         Recognizer("EG_TAX_ID", "tax_id", r"(?<![0-9/-])[0-9]{3}[ \-/]?[0-9]{3}[ \-/]?[0-9]{3}(?![0-9/-])", 0.3, _keep_if(v.tax_id_plausible), c.get("tax", ())),
         Recognizer("EG_PASSPORT", "passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", 0.3, None, c.get("passport", ())),
-        Recognizer("EMAIL_ADDRESS", "email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.){1,20}[A-Za-z]{2,}(?![A-Za-z0-9])", 1.0),
+        Recognizer("EMAIL_ADDRESS", "email", EMAIL, 1.0),
         Recognizer("CREDIT_CARD", "card", r"(?<![0-9])(?=[1-9])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])", 1.0, _keep_if(v.luhn_ok)),
         Recognizer("IBAN_CODE", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ \-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 1.0, _keep_if(v.iban_valid)),
         Recognizer("EG_ADDRESS", "address", _address(policy), 0.45, None, c.get("address", ()), 48, folded_terms(policy.gazetteer.places), True),

@@ -56,6 +56,10 @@ def epoch(ts: Column) -> Column:
     return F.unix_timestamp(ts)
 
 
+def _exploded(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.explode_outer("spans").alias("s")).where(F.col("s").isNotNull())
+
+
 # --- texts ---------------------------------------------------------------------
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
@@ -72,7 +76,7 @@ _LUHN_CARDS = f"SELECT doc_id, source, digits FROM (SELECT *, string_split(digit
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses of every document."""
     found = detect(table(spark, sf_dir, "documents"), only("EMAIL_ADDRESS"))
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.char_length("s.value").alias("value_len"), F.md5("s.value").alias("value_md5"))
+    return _exploded(found).select("doc_id", F.char_length("s.value").alias("value_len"), F.md5("s.value").alias("value_md5"))
 
 
 @query(f"SELECT doc_id, length(digits)::INT AS n_digits, md5(digits) AS value_md5 FROM ({_LUHN_CARDS})")
@@ -80,7 +84,7 @@ def card_spans_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 13 to 19 digits that pass Luhn's check."""
     found = detect(table(spark, sf_dir, "documents"), only("CREDIT_CARD"))
     bare = v.digits(F.col("s.value"))
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.length(bare).alias("n_digits"), F.md5(bare).alias("value_md5"))
+    return _exploded(found).select("doc_id", F.length(bare).alias("n_digits"), F.md5(bare).alias("value_md5"))
 
 
 @query(

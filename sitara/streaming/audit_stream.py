@@ -124,9 +124,9 @@ class AuditSink:
 def start(texts: DataFrame, policy: Callable[[], Policy], pepper: bytes, sink: AuditSink, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Starts the stream over a streaming DataFrame of texts. The policy is asked for anew with each micro-batch, so changes hold from the next on."""
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, n: int) -> None:
         p = policy()
-        sink.write(audit.to_events(prepare.prepare(detect(rows, p), p, pepper)))
+        sink.write(audit.to_events(prepare.prepare(detect(rows, p), p, pepper), batch=f"{checkpoint} {n}"))
         sink.replay()
 
     w = texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -160,6 +160,15 @@ def test_distinct_detection_joins_back(spark):
     assert [(r.id, len(r.spans)) for r in detect_distinct(rows, baseline(), today()).orderBy("id").collect()] == [(1, 1), (2, 1), (3, 0), (4, 0)]
 
 
+def test_distinct_detection_of_hot_texts(spark, monkeypatch):
+    from sitara.operators import detect as module
+
+    monkeypatch.setattr(module, "HOT", 5)
+    rows = spark.range(60).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a@b.com' WHEN id % 3 = 1 THEN concat('n', id) END AS text").repartition(7)
+    out = detect_distinct(rows, baseline(), today()).collect()
+    assert sorted((r.id, len(r.spans)) for r in out) == [(i, int(i % 3 == 0)) for i in range(60)]
+
+
 def test_requests(spark):
     rows = [("r", ["mail a@b.com", "", None], [("1", "function", ("f", '{"to":"c@d.com"}')), ("2", "function", ("g", None))], {"user_api_key_user_id": "u"}, None)]
     req = spark.createDataFrame(rows, conversations.REQUEST_SCHEMA)
