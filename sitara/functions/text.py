@@ -122,6 +122,11 @@ def _not(letters: str) -> str:
     return f"[^{letters}]"
 
 
+def has_arabic(text: Column) -> Column:
+    """Whether a text holds any Arabic letter, mark or digit."""
+    return F.coalesce(text.rlike(f"[{ARABIC_CLASS}]"), F.lit(False))
+
+
 def dominant_script(text: Column) -> Column:
     """'arabic' if at least a fifth of the letters are, else 'latin'; texts without letters are latin."""
     letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))

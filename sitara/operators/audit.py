@@ -78,6 +78,11 @@ class Filters:
         return events
 
 
+def shown_time(ts: Column, zone: str = "UTC", pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A time as readers see it, in their zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), ts.cast("timestamp_ntz")), pattern)
+
+
 def timeline(events: DataFrame, unit: str = "hour") -> DataFrame:
     """Events and blocked ones by time bucket and entity, in order of time."""
     if unit not in ("minute", "hour", "day"):

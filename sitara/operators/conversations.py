@@ -103,6 +103,14 @@ def not_cached(slots: DataFrame, cached: DataFrame) -> DataFrame:
     return slots.withColumn("text_hash", F.sha2("text", 256)).join(cached, ["policy_fp", "lang", "text_hash"], "left_anti")
 
 
+def hit_rate(slots: DataFrame, cached: DataFrame) -> DataFrame:
+    """One row: slots found in a table of done ones, those not found, and the share found, to four places (0 for none)."""
+    keyed = slots.withColumn("text_hash", F.sha2("text", 256))
+    marked = keyed.join(cached.select("policy_fp", "lang", "text_hash").distinct().withColumn("__hit", F.lit(True)), ["policy_fp", "lang", "text_hash"], "left")
+    n = marked.agg(F.count_if(F.col("__hit")).alias("hits"), F.count_if(F.col("__hit").isNull()).alias("misses"))
+    return n.withColumn("hit_rate", F.coalesce(F.round(F.col("hits") / F.nullif(F.col("hits") + F.col("misses"), F.lit(0)), 4), F.lit(0.0)))
+
+
 def parse_stream(frames: DataFrame) -> DataFrame:
     """Deltas of server-sent events (request_id, seq, body) joined in order; stops at [DONE], skips bad JSON."""
     lines = frames.select("request_id", "seq", F.posexplode(F.split("body", "\n\n")).alias("at", "frame")).where(F.col("frame").startswith("data: "))

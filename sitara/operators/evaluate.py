@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 COVERAGE, FALSE_POSITIVES = 0.80, 0.10
 REGISTERS = ("egyptian", "mixed_script", "msa")
 LABELS = ("PER", "LOC", "ORG")
+#: A model tier whose 95th percentile is above this many milliseconds stays off.
+SLOWEST_TIER_MS = 500.0
 _MARKUP = r"\[([^\]\[]+)\]\((PER|LOC|ORG)\)"
 
 
@@ -147,12 +149,37 @@ def acceptable(coverage_any: Column, fp_per_clean: Column) -> Column:
     return (coverage_any >= COVERAGE) & (fp_per_clean <= FALSE_POSITIVES)
 
 
+def tier_verdict(available: Column, p95_ms: Column, limit: float = SLOWEST_TIER_MS) -> Column:
+    """Whether a model tier may be on: ``unavailable``, ``too slow`` or ``on``."""
+    return F.when(~F.coalesce(available, F.lit(False)), "unavailable").when(p95_ms > limit, "too slow").otherwise("on")
+
+
+def compare_variants(runs: DataFrame, cases: DataFrame, gold: DataFrame, variants: list[str]) -> DataFrame:
+    """A row per variant of ``runs`` (variant, case_id, latency_ms, spans): coverage, false positives, latency, gate.
+
+    Variants are few; each is scored over all cases by joins and sums.
+    """
+    out = None
+    for name in variants:
+        own = runs.where(F.col("variant") == name)
+        predictions = own.select("case_id", F.inline_outer("spans")).where(F.col("start").isNotNull())
+        row = score_variant(cases, gold, predictions).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.join(latency(runs), "variant")
+
+
 def rank_variants(scores: DataFrame) -> DataFrame:
     """Accepted variants in order: coverage to three places, then fewer false positives, speed, name."""
     kept = scores.where(acceptable(F.col("coverage_any"), F.col("fp_per_clean")))
     return kept.orderBy(F.desc(F.round("coverage_any", 3)), "fp_per_clean", "p95_ms", "variant")
 
 
+def with_place(ranked: DataFrame) -> DataFrame:
+    """Adds ``place`` from 1 to accepted variants; variants are tens by nature, so one task numbers them."""
+    order = Window.orderBy(F.desc(F.round("coverage_any", 3)), "fp_per_clean", "p95_ms", "variant")
+    return ranked.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def register_order(register: Column) -> Column:
     out = F.lit(len(REGISTERS))
     for i, r in reversed(list(enumerate(REGISTERS))):

@@ -6,6 +6,8 @@ weights; ``OnnxTagger`` runs a token classifier if its files are there.
 
 from __future__ import annotations
 
+import math
+import time
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
@@ -128,15 +130,16 @@ class ZeroShotTagger:
     def __init__(self, inner: Tagger, prompts: dict[str, str], threshold: float = SCORE_FLOOR) -> None:
         self.inner, self.prompts, self.threshold = inner, prompts, threshold
 
+    def set_prompts(self, prompts: dict[str, str]) -> None:
+        """From the next call on, other prompts; the model stays loaded."""
+        self.prompts = dict(prompts)
+
     def tag(self, texts: Sequence[str]) -> list[list[Tag]]:
         if not self.prompts:
             return [[] for _ in texts]
         return [[(s, e, self.prompts[label], score) for s, e, label, score in tags if label in self.prompts and score >= self.threshold] for tags in self.inner.tag(texts)]
 
 
-_made: dict[int, Tagger] = {}
-
-
 def tag_spans(make: Callable[[], Tagger], script: str, entities: dict[str, str] | None = None, least: int = 1, name: str = "model") -> Callable[[Column], Column]:
     """A function of a text column to spans (as recognizers give them) over its runs of one script.
 
@@ -146,16 +149,14 @@ def tag_spans(make: Callable[[], Tagger], script: str, entities: dict[str, str]
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tagger = make()
         for texts, runs in batches:
-            out = []
-            for t, segments in zip(texts.to_pylist(), runs.to_pylist(), strict=True):
-                found = []
-                for seg in segments or ():
-                    piece = t[seg["start"] : seg["end"]]
-                    for s, e, label, score in tagger.tag([piece])[0]:
-                        entity = label if entities is None else entities.get(label)
-                        if entity:
-                            found.append({"start": s + seg["start"], "end": e + seg["start"], "entity_type": entity, "recognizer": name, "score": float(score), "context_term": None})
-                out.append(found)
+            out: list[list[dict]] = [[] for _ in texts]
+            pieces = [(i, seg["start"], t[seg["start"] : seg["end"]]) for i, (t, segments) in enumerate(zip(texts.to_pylist(), runs.to_pylist(), strict=True)) for seg in segments or ()]
+            # All runs of a batch in one call.
+            for (i, at, _), tags in zip(pieces, tagger.tag([p for *_, p in pieces]) if pieces else (), strict=True):
+                for s, e, label, score in tags:
+                    entity = label if entities is None else entities.get(label)
+                    if entity:
+                        out[i].append({"start": s + at, "end": e + at, "entity_type": entity, "recognizer": name, "score": float(score), "context_term": None})
             yield pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("recognizer", pa.string()), ("score", pa.float64()), ("context_term", pa.string())])))
 
     from pyspark.sql.pandas.functions import ArrowUDFType
@@ -170,6 +171,37 @@ def tag_spans(make: Callable[[], Tagger], script: str, entities: dict[str, str]
     return apply
 
 
+def timed(cases: DataFrame, make: Callable[[], Tagger], variant: str, warm_ups: int = 5, repeats: int = 3) -> DataFrame:
+    """(variant, case_id, latency_ms, spans) of every case (case_id, text): the best of some runs, after untimed ones in each task.
+
+    Cases are dealt to tasks by Spark; each task loads its tagger once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger, warm = None, warm_ups
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            if tagger is None:
+                tagger = make()
+            for t in texts[:warm]:
+                tagger.tag([t])
+            warm = max(0, warm - len(texts))
+            took, found = [], []
+            for t in texts:
+                best = math.inf
+                for _ in range(max(1, repeats)):
+                    began = time.perf_counter()
+                    tags = tagger.tag([t])[0]
+                    best = min(best, time.perf_counter() - began)
+                took.append(best * 1000)
+                found.append([{"start": s, "end": e, "label": label, "score": float(score)} for s, e, label, score in tags])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([variant] * len(ids)), pa.array(ids, pa.string()), pa.array(took, pa.float64()), pa.array(found, kind)], names=["variant", "case_id", "latency_ms", "spans"])
+
+    rows = cases.select(F.col("case_id").cast("string"), "text")
+    return rows.mapInArrow(run, "variant string, case_id string, latency_ms double, spans array<struct<start:int,end:int,label:string,score:double>>")
+
+
 def bio_rows(tokens: DataFrame) -> DataFrame:
     """BIO decoding over rows (case_id, pos, label, score, start, end): islands of one entity by window, no Python."""
     from pyspark.sql.window import Window

@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitara.functions import validators as v
-from sitara.functions.text import DIGITS, GAZETTEER, NAMES, dominant_script, fold, normalize, script_segments, spans_of
-from sitara.operators import audit, conversations, evaluate, models, prepare
+from sitara.functions.text import dominant_script, fold, script_segments
+from sitara.operators import audit, evaluate, prepare
 from sitara.operators.detect import deconflict_rows, detect
-from sitara.operators.recognizers import context_term
 from sitara.sources import synthetic
-from sitara.sources.policy import CONTEXT, Policy, Preview, baseline, folded_terms, overlay
+from sitara.sources.policy import Policy, Preview, baseline
 
 #: For tests and examples only.
 PEPPER = b"0123456789abcdef0123456789abcdef"
@@ -65,26 +64,31 @@ def _exploded(found: DataFrame) -> DataFrame:
 _EMAIL = r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 _RUNS = "[0-9]+"
 _LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 1 THEN CASE WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END ELSE d[i]::INT END)) % 10 = 0"
-_CARDS = f"""SELECT doc_id, source, digits FROM (
-  SELECT doc_id, source, regexp_replace(run, '[^0-9]', '', 'g') AS digits FROM (
-    SELECT doc_id, source, unnest(regexp_extract_all(text, '{_RUNS}')) AS run FROM documents))
-  WHERE length(digits) BETWEEN 13 AND 19 AND digits[1] <> '0'"""
-_LUHN_CARDS = f"SELECT doc_id, source, digits FROM (SELECT *, string_split(digits, '') AS d FROM ({_CARDS})) WHERE {_LUHN}"
 
 
-@query(f"SELECT doc_id, length(m)::INT AS value_len, md5(m) AS value_md5 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM documents)")
+def _placed(pattern: str) -> str:
+    """SQL: every match of a pattern in documents, with the code points before it."""
+    return f"""(SELECT doc_id, source, ms[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INT) AS start
+  FROM (SELECT doc_id, source, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gaps FROM documents)))"""
+
+
+_CARDS = f"SELECT doc_id, source, m AS digits, start FROM {_placed(_RUNS)} WHERE length(m) BETWEEN 13 AND 19 AND m[1] <> '0'"
+_LUHN_CARDS = f"SELECT doc_id, source, digits, start FROM (SELECT *, string_split(digits, '') AS d FROM ({_CARDS})) WHERE {_LUHN}"
+
+
+@query(f"SELECT doc_id, start, length(m)::INT AS value_len, md5(m) AS value_md5 FROM {_placed(_EMAIL)}")
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses of every document."""
     found = detect(table(spark, sf_dir, "documents"), only("EMAIL_ADDRESS"))
-    return _exploded(found).select("doc_id", F.char_length("s.value").alias("value_len"), F.md5("s.value").alias("value_md5"))
+    return _exploded(found).select("doc_id", "s.start", F.char_length("s.value").alias("value_len"), F.md5("s.value").alias("value_md5"))
 
 
-@query(f"SELECT doc_id, length(digits)::INT AS n_digits, md5(digits) AS value_md5 FROM ({_LUHN_CARDS})")
+@query(f"SELECT doc_id, start, length(digits)::INT AS n_digits, md5(digits) AS value_md5 FROM ({_LUHN_CARDS})")
 def card_spans_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 13 to 19 digits that pass Luhn's check."""
     found = detect(table(spark, sf_dir, "documents"), only("CREDIT_CARD"))
     bare = v.digits(F.col("s.value"))
-    return _exploded(found).select("doc_id", F.length(bare).alias("n_digits"), F.md5(bare).alias("value_md5"))
+    return _exploded(found).select("doc_id", "s.start", F.length(bare).alias("n_digits"), F.md5(bare).alias("value_md5"))
 
 
 @query(
@@ -114,7 +118,19 @@ def masking_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.prepare(detect(once, p), p, PEPPER).select("doc_id", F.md5("masked").alias("masked_md5"))
 
 
-@query()
+_DETECTED = f"""(SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, 'email' AS recognizer, start, m, trim(regexp_replace(lower(m), '[^0-9a-z]+', ' ', 'g')) AS form, NULL::VARCHAR AS preview FROM {_placed(_EMAIL)}
+  UNION ALL SELECT doc_id, 'CREDIT_CARD', 'card', start, digits, digits, repeat('*', length(digits) - 4) || substr(digits, length(digits) - 3) FROM ({_LUHN_CARDS}))"""
+
+
+def _sql_hmac(message: str) -> str:
+    inner, outer = (bytes(b ^ x for b in PEPPER.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+@query(
+    f"""SELECT 'doc-' || doc_id AS request_id, entity_type, recognizer, 1.0::DOUBLE AS score, 'MASK' AS action, start AS span_start, CAST(start + length(m) AS INT) AS span_end, CAST(length(m) AS INT) AS value_len,
+  substr({_sql_hmac("form")}, 1, 16) AS value_fp, preview, 'en' AS lang FROM {_DETECTED}"""
+)
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All recognizers over all documents: audit rows without values."""
     p = baseline()
@@ -133,52 +149,6 @@ def segment_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (dominant_script(F.col("text")) == "arabic").alias("is_arabic"), F.size(script_segments(F.col("text"))).alias("n_segments"))
 
 
-_FOLDS = [
-    (1, "digits", "رقم ٢٨٥٠٣١٢٢١٤٨٢١٩"), (2, "digits", "۱۲۳ و ٤٥٦"), (3, "names", "مُحَمَّد"), (4, "names", "محمـــد"), (5, "gazetteer", "أحمد إسلام آمال"),
-    (6, "gazetteer", "قاهرة مصطفى"), (7, "digits", "plain 123"), (8, "digits", "a​b‎c"), (9, "digits", ""),
-]
-
-
-def _values(rows: list[tuple], *names: str) -> str:
-    def cell(x: object) -> str:
-        return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-    return "(VALUES " + ", ".join("(" + ", ".join(cell(x) for x in r) + ")" for r in rows) + f") AS t({', '.join(names)})"
-
-
-@query(
-    f"""SELECT id, CASE profile WHEN 'gazetteer' THEN translate(marks, 'آأإٱةىیک', 'ااااهييك') ELSE marks END AS folded FROM (
-  SELECT id, profile, CASE profile WHEN 'digits' THEN d ELSE regexp_replace(d, '[ـً-ٰٟۖ-ۜ۟-۪ۨ-ۭ]', '', 'g') END AS marks FROM (
-    SELECT id, profile, translate(regexp_replace(text, '[​‌‍‎‏؜‪-‮⁠⁦-⁩﻿]', '', 'g'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') AS d
-    FROM {_values(_FOLDS, "id", "profile", "text")}))"""
-)
-def normalize_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three folds on writing forms of Arabic."""
-    rows = spark.createDataFrame(_FOLDS, "id int, profile string, text string")
-    out = rows.withColumns({p.name: normalize(F.col("text"), p) for p in (DIGITS, NAMES, GAZETTEER)})
-    return out.select("id", F.when(F.col("profile") == "digits", F.col("digits.text")).when(F.col("profile") == "names", F.col("names.text")).otherwise(F.col("gazetteer.text")).alias("folded"))
-
-
-_CONTEXT_ROWS = [
-    (1, "tax id 123-456-789"), (2, "order number 123-456-789 shipped today"), (3, "الرقم الضريبي 123-456-789"), (4, "123-456-789 tax registration"),
-    (5, "tax id " + "x" * 80 + " 123-456-789"),
-]
-
-
-@query(
-    f"""SELECT id, CASE WHEN term IS NULL THEN 0.3::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE + 0.35::DOUBLE) END AS score, term FROM (
-  SELECT id, CASE {" ".join(f"WHEN contains(hay, '{t}') THEN '{t}'" for t in folded_terms(CONTEXT["tax"]))} END AS term FROM (
-    SELECT id, lower(translate(substr(text, greatest(p - 65, 0) + 1, p - 1 - greatest(p - 65, 0)) || ' | ' || substr(text, p + 11, 64), 'آأإٱةىیک', 'ااااهييك')) AS hay
-    FROM (SELECT id, text, strpos(text, '123-456-789') AS p FROM {_values(_CONTEXT_ROWS, "id", "text")})))"""
-)
-def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms near a value raise its score."""
-    rows = spark.createDataFrame(_CONTEXT_ROWS, "id int, text string")
-    one = rows.select("id", "text", F.explode(spans_of(F.col("text"), "123-456-789")).alias("s"))
-    term = context_term(F.col("text"), F.col("s.start"), F.col("s.end"), folded_terms(CONTEXT["tax"]))
-    return one.select("id", F.when(term.isNull(), F.lit(0.3)).otherwise(F.least(F.lit(1.0), F.lit(0.3) + F.lit(0.35))).alias("score"), term.alias("term"))
-
-
 # --- audit log -------------------------------------------------------------------
 
 _AUDIT = """(SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS user_id, event_type AS entity_type, CASE WHEN event_type = 'error' THEN 'BLOCK' ELSE 'MASK' END AS action,
@@ -365,11 +335,6 @@ def tax_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", v.tax_id_plausible(value).alias("plausible"))
 
 
-def _sql_hmac(message: str) -> str:
-    inner, outer = (bytes(b ^ x for b in PEPPER.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
-    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
-
-
 @query(f"SELECT c_custkey, substr({_sql_hmac('lower(regexp_replace(c_name, ' + chr(39) + '[^0-9A-Za-z]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))')}, 1, 16) AS fp FROM customer")
 def fingerprint_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed fingerprints of customers' names."""
@@ -416,132 +381,8 @@ def deconflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deconflict_rows(spans, "text_id")
 
 
-# --- policy ------------------------------------------------------------------------
-
-_OVERLAY = [
-    {"entity_type": "PERSON", "score_threshold": 0.9}, {"entity_type": "BADGE", "gliner_prompt": "badge number", "action": "block", "category": "ID"},
-    {"entity_type": "LOCATION", "enabled": False}, {"entity_type": "NO_PROMPT", "action": "MASK"},
-]
-
-
-@query(
-    """SELECT * FROM (VALUES ('PERSON', 'person', 'MASK', 0.9::DOUBLE, '<PERSON>'), ('BADGE', 'id', 'BLOCK', 0.5::DOUBLE, '<BADGE>'), ('EMAIL_ADDRESS', 'contact', 'MASK', 0.5::DOUBLE, '<EMAIL>'))
-  AS t(entity_type, category, action, threshold, placeholder)"""
-)
-def policy_overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Custom entities over the baseline: one changed, one new, one off, one refused."""
-    merged, _ = overlay(baseline(), _OVERLAY)
-    rows = merged.rows(spark).where(F.col("entity_type").isin("PERSON", "BADGE", "LOCATION", "NO_PROMPT", "EMAIL_ADDRESS"))
-    return rows.select("entity_type", "category", "action", "threshold", "placeholder")
-
-
-@query("SELECT * FROM (VALUES (1, 1), (2, 0)) AS t(id, n)")
-def vocabulary_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A surrogate that masking wrote is not found again."""
-    merged, _ = overlay(baseline(), [{"entity_type": "EMAIL_ADDRESS", "replacement_strategy": "surrogate", "replacement_pool": ["someone@example.org", "nobody@example.org"]}])
-    rows = spark.createDataFrame([(1, "write to ahmed@example.com"), (2, "write to someone@example.org")], "id int, text string")
-    return detect(rows, merged, today()).select("id", F.size("spans").alias("n"))
-
-
-# --- conversations -----------------------------------------------------------------
-
-
-@query(f"SELECT conv_id, turn, role, md5(regexp_replace(text, '{_EMAIL}', '<EMAIL>', 'g')) AS masked_md5 FROM conversations")
-def conversation_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns masked, each distinct text scanned once."""
-    p = only("EMAIL_ADDRESS", "EG_NATIONAL_ID", "EG_MOBILE")
-    return conversations.mask_turns(table(spark, sf_dir, "conversations"), p, PEPPER, today()).select("conv_id", "turn", "role", F.md5("masked").alias("masked_md5"))
-
-
-@query("SELECT count(*) AS turns, count(DISTINCT text) AS texts FROM conversations")
-def dedupe_detect_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much scanning distinct texts once saves."""
-    t = table(spark, sf_dir, "conversations").withColumn("h", F.sha2("text", 256))
-    return t.agg(F.count("*").alias("turns"), F.countDistinct("h").alias("texts"))
-
-
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as nested requests: user turns as texts, the others as tool-call arguments."""
-    t = table(spark, sf_dir, "conversations")
-    said = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
-    call = F.struct(F.lit("c").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.col("text").alias("arguments")).alias("function"))
-    called = F.array_sort(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", call.alias("call")))))
-    by = t.groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(said.alias("said"), called.alias("called"))
-    meta = F.create_map(F.lit("user_api_key_user_id"), F.concat(F.lit("u"), "request_id"))
-    none = F.lit(None).cast("map<string,string>")
-    return by.select("request_id", F.transform("said", lambda x: x["text"]).alias("texts"), F.transform("called", lambda x: x["call"]).alias("tool_calls"), meta.alias("metadata"), none.alias("fallback_metadata"))
-
-
-@query("SELECT CAST(conv_id AS VARCHAR) AS request_id, CASE role WHEN 'user' THEN 'content' ELSE 'tool_call.args' END AS field, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations WHERE text <> '' GROUP BY ALL")
-def request_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of nested requests."""
-    return conversations.flatten_request(requests(spark, sf_dir)).groupBy("request_id", "field").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
-
-
-@query("SELECT CAST(conv_id AS VARCHAR) AS request_id, count(*) FILTER (role = 'user')::INT AS n_texts, count(*) FILTER (role <> 'user')::INT AS n_calls, false AS blocked FROM conversations GROUP BY conv_id")
-def request_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested requests masked in place."""
-    p = only("EMAIL_ADDRESS")
-    out = conversations.mask_requests(requests(spark, sf_dir), p, PEPPER, today())
-    return out.select("request_id", F.size("texts").alias("n_texts"), F.size("tool_calls").alias("n_calls"), "blocked")
-
-
-@query("SELECT * FROM (VALUES ('a', 'Hello world'), ('b', 'ok')) AS t(request_id, text)")
-def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Server-sent events joined to texts."""
-    piece = lambda s: f'data: {{"choices":[{{"delta":{{"content":"{s}"}}}}]}}'
-    rows = [("a", 0, piece("Hello")), ("a", 1, piece(" world") + "\n\n" + "data: {bad"), ("a", 2, "data: [DONE]\n\n" + piece("late")), ("b", 0, piece("ok") + "\n\ndata: [DONE]")]
-    return conversations.parse_stream(spark.createDataFrame(rows, "request_id string, seq int, body string"))
-
-
 # --- evaluation ---------------------------------------------------------------------
 
-_GOLD = [("p1", "egyptian", 0, 4, "PER"), ("p1", "egyptian", 8, 15, "LOC"), ("p2", "msa", 4, 8, "PER"), ("p3", "mixed_script", 0, 5, "ORG")]
-_PRED = [("p1", 0, 4, "PER", 0.9), ("p1", 14, 16, "PER", 0.8), ("p2", 8, 12, "PER", 0.7), ("n1", 0, 2, "LOC", 0.6), ("p3", 1, 3, "ORG", 0.9), ("p3", 2, 5, "ORG", 0.8)]
-_CASES = [("p1", "egyptian", "[محمد](PER) في [القاهرة](LOC)"), ("p2", "msa", "زار [أحمد](PER) المكان"), ("p3", "mixed_script", "[ACME5](ORG) here"), ("n1", "egyptian", "لا يوجد شيء هنا")]
-_G, _P = _values(_GOLD, "case_id", "register", "s", "e", "label"), _values(_PRED, "case_id", "s", "e", "label", "score")
-
-
-def _gold(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_GOLD, "case_id string, register string, start int, end int, label string")
-
-
-def _pred(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_PRED, "case_id string, start int, end int, label string, score double")
-
-
-_HITS = f"(SELECT g.case_id, g.register, g.s, g.e, g.label, coalesce(bool_or(p.s IS NOT NULL), false) AS hit, coalesce(bool_or(p.label = g.label), false) AS typed FROM (SELECT * FROM {_G}) g LEFT JOIN (SELECT * FROM {_P}) p ON p.case_id = g.case_id AND p.s < g.e AND g.s < p.e GROUP BY ALL)"
-
-
-@query(
-    f"""SELECT register, label, count(*) AS spans, count(*) FILTER (hit) AS covered, count(*) FILTER (typed) AS covered_typed,
-  coalesce(count(*) FILTER (hit) / nullif(count(*), 0)::DOUBLE, 0) AS coverage_any, coalesce(count(*) FILTER (typed) / nullif(count(*), 0)::DOUBLE, 0) AS coverage_typed
-  FROM {_HITS} GROUP BY GROUPING SETS ((), (register), (label))"""
-)
-def coverage_by_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage overall, by register and by label."""
-    return evaluate.coverage(evaluate.span_hits(_gold(spark), _pred(spark)))
-
-
-def _sql_chars(t: str) -> str:
-    return f"(SELECT DISTINCT case_id, unnest(range(s, e)) AS c FROM {t})"
-
-
-@query(
-    f"""SELECT g::BIGINT AS gold_chars, i::BIGINT AS covered_chars, x::BIGINT AS extra_chars, i / g::DOUBLE AS char_recall, x / g::DOUBLE AS over_mask_ratio FROM (
-  SELECT (SELECT count(*) FROM {_sql_chars(_G)}) AS g, (SELECT count(*) FROM {_sql_chars(_G)} JOIN {_sql_chars(_P)} USING (case_id, c)) AS i,
-  (SELECT count(*) FROM {_sql_chars(_P)} ANTI JOIN {_sql_chars(_G)} USING (case_id, c)) AS x)"""
-)
-def char_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of gold spans covered, each once."""
-    return evaluate.character_coverage(_gold(spark), _pred(spark))
-
-
-@query("SELECT * FROM (VALUES ('egyptian', 2::BIGINT, 2::BIGINT, 1::BIGINT), ('mixed_script', 1, 1, 0), ('msa', 1, 1, 0)) AS t(register, cases, spans, negatives)")
-def gold_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gold set parsed from marked text."""
-    return evaluate.gold_summary(evaluate.parse_markup(spark.createDataFrame(_CASES, "case_id string, register string, marked string")))
-
 
 @query(
     """SELECT event_type AS variant, v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INT) + 1] AS p95, v[CAST(round_even(0.5 * (len(v) - 1), 0) AS INT) + 1] AS p50
@@ -553,39 +394,6 @@ def quantile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.nearest_rank(e, "variant", "value", {"p95": 0.95, "p50": 0.5})
 
 
-_VARIANTS = [("a", 0.8014, 0.0, 22.6), ("b", 0.8011, 0.0, 20.0), ("c", 0.9, 0.2, 10.0), ("d", 0.79, 0.0, 1.0), ("e", 0.85, 0.1, 50.0), ("f", 0.8013, 0.05, 5.0)]
-
-
-@query(f"SELECT variant, row_number() OVER (ORDER BY round(c, 3) DESC, f, p, variant) AS place FROM {_values(_VARIANTS, 'variant', 'c', 'f', 'p')} WHERE c >= 0.8 AND f <= 0.1")
-def variant_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted variants in order."""
-    from pyspark.sql.window import Window
-
-    rows = evaluate.rank_variants(spark.createDataFrame(_VARIANTS, "variant string, coverage_any double, fp_per_clean double, p95_ms double"))
-    order = Window.orderBy(F.desc(F.round("coverage_any", 3)), "fp_per_clean", "p95_ms", "variant")
-    return rows.select("variant", F.row_number().over(order).cast("long").alias("place"))
-
-
-_BIO = [("a", 0, "B-PER", 0.9, 0, 4), ("a", 1, "I-PER", 0.8, 5, 9), ("a", 2, "O", 0.99, 10, 14), ("b", 0, "B-PER", 0.9, 0, 4), ("b", 1, "B-PER", 0.9, 5, 9), ("c", 0, "B-PER", 0.9, 0, 4), ("c", 1, "I-LOC", 0.9, 5, 9), ("d", 0, "B-PER", 0.3, 0, 4), ("e", 0, "O", 1.0, 0, 0), ("e", 1, "B-PER", 0.9, 0, 5)]
-
-
-@query("SELECT * FROM (VALUES ('a', 0, 9, 'PER', 0.8::DOUBLE), ('b', 0, 4, 'PER', 0.9), ('b', 5, 9, 'PER', 0.9), ('c', 0, 4, 'PER', 0.9), ('c', 5, 9, 'LOC', 0.9), ('e', 0, 5, 'PER', 0.9)) AS t(case_id, start, \"end\", label, score)")
-def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token labels to spans."""
-    return models.bio_rows(spark.createDataFrame(_BIO, "case_id string, pos int, label string, score double, start int, end int"))
-
-
-@query()
-def ner_dictionary_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model tier with a dictionary in the model's place, beside the patterns."""
-    p = baseline()
-    rows = spark.createDataFrame([(1, "please translate محمد for me"), (2, "أحمد في القاهرة ورقمه 01012345678"), (3, "nothing here")], "id int, text string")
-    tag = models.tag_spans(lambda: models.DictionaryTagger({"محمد": "PER", "أحمد": "PER", "القاهرة": "LOC"}), "arabic", models.LABELS)
-    extra = F.transform(tag(F.col("text")), lambda s: s.withField("action", F.lit("MASK")).withField("value", F.substring("text", s["start"] + 1, s["end"] - s["start"])))
-    found = prepare.prepare(detect(rows, p, today(), extra), p, PEPPER)
-    return prepare.findings(found, "id").select("id", "entity_type", "start", "end", "score")
-
-
 @query()
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection over the synthetic corpora, Arabic digits included: spans by corpus and entity."""
@@ -593,10 +401,10 @@ def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.entity_totals(prepare.prepare(detect(synthetic.corpus(spark, 280), p, today()), p, PEPPER), "corpus")
 
 
-@query()
+@query("SELECT 'user-' || i AS user_id, 1::BIGINT AS occurrences, CAST(epoch(TIMESTAMP '2026-09-19 12:00:00') AS BIGINT) - i * 3600 AS last_seen FROM range(40) AS t(i)")
 def synthetic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of the value that everyone shares, in synthetic audit rows."""
-    return audit.fingerprint_users(synthetic.audit_rows(spark), "5a" * 8)
+    return audit.fingerprint_users(synthetic.audit_rows(spark), "5a" * 8).withColumn("last_seen", epoch(F.col("last_seen")))
 
 
 @query("SELECT doc_id, lower(translate(source, 'آأإٱةىیک', 'ااااهييك')) AS folded FROM documents")

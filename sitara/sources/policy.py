@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitara.functions.text import GAZETTEER, fold_text
 
@@ -303,6 +304,40 @@ def overlay(base: Policy, rows: list[dict]) -> tuple[Policy, list[str]]:
     return Policy(made, base.gazetteer), skipped
 
 
+def upsert_overlay(table: DataFrame, new: DataFrame, base: Policy) -> DataFrame:
+    """The table of custom entities with ``new`` rows in the place of those of the same entity; when a row was made stays.
+
+    Raises if a new row could not become an entity, as it would be skipped
+    at every later load. The new rows are few by nature.
+    """
+    rows = [r.asDict() for r in new.collect()]
+    if bad := overlay(base, rows)[1]:
+        raise PolicyError("; ".join(bad))
+    names = [x.split()[0] for x in OVERLAY_SCHEMA.split(", ")]
+    old = table.select(F.col("entity_type").alias("__name"), F.col("created_at").alias("__made"))
+    fresh = new.join(old, F.col("entity_type") == F.col("__name"), "left").withColumn("created_at", F.coalesce("__made", "created_at")).select(*names)
+    return table.join(new.select("entity_type"), "entity_type", "left_anti").select(*names).unionByName(fresh)
+
+
+def delete_overlay(table: DataFrame, name: str) -> DataFrame:
+    """The table without a custom entity, which goes back to the policy below; raises if it has no row."""
+    if table.where(F.col("entity_type") == name).isEmpty():
+        raise PolicyError(f"no custom row for {name}")
+    return table.where(F.col("entity_type") != name)
+
+
+def strategies(spark: SparkSession) -> DataFrame:
+    """What can stand for a masked value: name, example, whether it could be taken for real data, and what it is good for."""
+    rows = [
+        ("placeholder", "<PERSON>", "the entity's name in brackets; nobody takes it for data"),
+        ("constant", "John Doe", "one text for all values; different values can no longer be told apart"),
+        ("surrogate", "John Doe, Jane Roe", "a text from a pool, by the value's fingerprint: equal values stay equal"),
+        ("redact", "", "nothing; the span goes"),
+        ("labelled_fingerprint", "<PERSON:9f75871d>", "the name and some digits of the fingerprint, which an auditor can look up"),
+    ]
+    return spark.createDataFrame([(n, e, n in ("constant", "surrogate"), d) for n, e, d in rows], "name string, example string, realistic boolean, description string")
+
+
 def overlay_table(base: Policy, table: DataFrame) -> tuple[Policy, list[str]]:
     """``overlay`` with the rows of a table; a policy has tens of entities, so the table is small by nature."""
     return overlay(base, [r.asDict() for r in table.orderBy("entity_type").collect()])

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import json
 import logging
-import os
-import tempfile
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +55,15 @@ class Spill:
         return sorted(p.getPath().toString() for p in self.fs.listStatus(root) if p.getPath().getName().startswith("audit-"))
 
     def append(self, rows: DataFrame) -> int:
-        """Writes a segment; gives the number of old ones dropped."""
+        """Writes a segment; gives the number of rows in old ones dropped."""
         have = self.segments()
         at = int(have[-1].rsplit("-", 1)[1]) + 1 if have else 0
         rows.write.mode("errorifexists").json(f"{self.folder}/audit-{at:08d}")
-        dropped = [*have, "new"][: max(0, len(have) + 1 - self.most)]
-        for old in dropped:
+        lost = 0
+        for old in [*have, "new"][: max(0, len(have) + 1 - self.most)]:
+            lost += self.read(old).count()
             self.discard(old)
-        return len(dropped)
+        return lost
 
     def read(self, segment: str) -> DataFrame:
         """A segment's rows; blank and corrupt lines are passed over."""
@@ -144,13 +144,40 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return w.agg(F.count("*").alias("events"), F.count_if(F.col("action") == "BLOCK").alias("blocked")).select(F.col("w.start").alias("bucket"), "entity_type", "events", "blocked")
 
 
-def write_status(path: str, stats: Stats) -> None:
-    """A status marker that readers never see half written."""
-    target = Path(path)
-    fd, rough = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(fd, "w") as f:
-        json.dump(asdict(stats), f)
-    os.replace(rough, target)
+def drain(query: StreamingQuery, sink: AuditSink, seconds: float = 5.0) -> Stats:
+    """Stops a stream: waits some seconds for what is under way, then replays what was spilled. Unread input stays for the next start, by the checkpoint; unwritten rows stay spilled."""
+    until = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.05)
+    query.stop()
+    sink.replay()
+    return sink.stats
+
+
+def health(sink: AuditSink, query: StreamingQuery | None = None) -> dict[str, object]:
+    """Counters of a sink, rows that wait in its spill, and whether its table can be read and its stream runs."""
+    spark = sink.spill.spark
+    try:
+        spark.read.parquet(sink.table).schema  # noqa: B018
+        readable = True
+    except Exception as e:
+        log.warning("audit table cannot be read: %s", type(e).__name__)
+        readable = False
+    return {**asdict(sink.stats), "pending": sink.spill.pending(), "readable": readable, "running": bool(query and query.isActive)}
+
+
+def write_status(spark: SparkSession, path: str, stats: Stats) -> None:
+    """A status marker that readers never see half written, on any of Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    target, rough = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if "://" in path else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = rough.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(rough, True)
+    out.write(bytearray(json.dumps(asdict(stats)).encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(rough, target, options)
 
 
 class RedactText(logging.Filter):

@@ -113,13 +113,15 @@ def test_stream_spills_and_replays(spark, tmp_path):
     assert sink.replay() == 1 and sink.spill.segments() == []
     out = st.distinct_events(spark.read.parquet(table)).collect()
     assert len(out) == 1 and out[0].entity_type == "EMAIL_ADDRESS" and not any("a@b.com" in str(x) for x in out[0])
-    st.write_status(str(tmp_path / "status.json"), sink.stats)
+    assert st.health(sink, q) == {"written": 0, "spilled": 1, "dropped": 0, "replayed": 1, "failures": 2, "pending": 0, "readable": True, "running": False}
+    st.write_status(spark, str(tmp_path / "status.json"), sink.stats)
+    st.write_status(spark, str(tmp_path / "status.json"), sink.stats)
     assert json.loads((tmp_path / "status.json").read_text())["replayed"] == 1
 
 
 def test_spill_keeps_the_latest_segments(spark, tmp_path, events):
     spill = st.Spill(spark, str(tmp_path / "s"), most=2)
-    assert [spill.append(events.select("id")) for _ in range(4)] == [0, 0, 1, 1]
+    assert [spill.append(events.select("id")) for _ in range(4)] == [0, 0, events.count(), events.count()]
     assert [s.rsplit("-", 1)[1] for s in spill.segments()] == ["00000002", "00000003"]
 
 
