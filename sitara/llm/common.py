@@ -3,6 +3,7 @@ cuts of lineage, and distributed ranking without a window over a whole group."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ NOT_WORD = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Where that is unset, a temporary folder is made and set if all of Spark
+    runs in one process; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sitara-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -38,20 +42,63 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder, as a URI or path."""
-    return f"{shared_dir(spark)}/sitara/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder and this application's, as a URI or path."""
+    path = f"{shared_dir(spark)}/sitara/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Folders of this process that were not deleted yet.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        if p in _made:
+            _made.remove(p)
+
+
+def materialize(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors and computes
-    ``df`` once however often the result is read.
+    ``df`` once however often the result is read. The folder of ``instead``,
+    a table made here that is not needed any more, is deleted.
     """
     spark = df.sparkSession
     path = run_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.made_at = path
+    if instead is not None:
+        release(instead)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialize`` made; nothing may read them later."""
+    for t in tables:
+        if path := getattr(t, "made_at", None):
+            _delete(t.sparkSession, [path])
+
+
+def mark() -> int:
+    """How many folders there are now; see ``release_since``."""
+    return len(_made)
+
+
+def release_since(spark: SparkSession, begun: int, keep: DataFrame | None = None) -> None:
+    """Delete all folders made since ``mark``, but that of ``keep``."""
+    _delete(spark, [p for p in _made[begun:] if p != getattr(keep, "made_at", None)])
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all folders of this application, when its results are written."""
+    _delete(spark, [f"{shared_dir(spark)}/sitara/{spark.sparkContext.applicationId}"])
+    _made.clear()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -65,9 +112,9 @@ def words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    """Number of words, without an interpreted lambda: separators inside the trimmed text, plus one."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, NOT_WORD))).cast("long")
+    """Number of words, without a list of them: each with the blanks around it becomes one letter."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.when(marks.startswith("x"), F.length(marks)).otherwise(F.lit(0)).cast("long")
 
 
 def hash_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
@@ -80,9 +127,42 @@ def hash_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
     return df.where(F.shiftrightunsigned(h, 1) <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))).orderBy(h).limit(most)
 
 
-def small(df: DataFrame, most: int = 300_000) -> DataFrame:
-    """Marked for broadcast if counting shows ``most`` rows at most; beyond, the join shuffles."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes of data up to which a table is broadcast, and parts that a key is dealt to where it is not.
+BROADCAST_BYTES = 32 << 20
+SALTS = 16
+
+
+def weigh(df: DataFrame) -> int:
+    """Bytes of data of a table: 16 for a number, 16 and its own for a text, 8 for each element of a list."""
+    row = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        own = F.octet_length(c) + 16 if kind == "string" else F.size(c) * 8 + 16 if kind == "array" else F.lit(16)
+        row = row + F.coalesce(own, F.lit(16)).cast("long")
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Marked for broadcast if its bytes are counted to be few; beyond, the join shuffles."""
+    return F.broadcast(df) if weigh(df) <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column) -> DataFrame:
+    """Rows with the columns of their group (a row per key), whatever share of the rows a group has.
+
+    Small tables of groups are broadcast. Larger ones are repeated for each
+    of SALTS salts, and rows get one by ``spread``, so a group's rows go to
+    many tasks.
+    """
+    return join_groups_many(rows, groups, key, spread)
+
+
+def join_groups_many(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column) -> DataFrame:
+    """``join_groups`` where a key may have several rows in ``groups``."""
+    if weigh(groups) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), key)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*key, "__salt"]).drop("__salt")
 
 
 def pick_columns(df: DataFrame, *names: str) -> None:
@@ -111,7 +191,8 @@ def bucket_starts(counts: DataFrame, group: list[str], bucket: str, n: str, star
     """For a table of counts per (group, bucket): rows in the earlier buckets of the group.
 
     ``counts`` has a row per bucket, a number that follows the shuffle
-    partitions and not the rows, so the running sum is cheap.
+    partitions and not the rows (eight buckets a partition over all groups,
+    and one more for each group), so the running sum of a group is cheap.
     """
     w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(start, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
@@ -134,8 +215,8 @@ def spread_rank(rows: DataFrame, groups: DataFrame, group: list[str], h: str, or
     buckets = 8 * shuffle_partitions(rows.sparkSession)
     share = F.ceil(F.col("n") * F.lit(float(buckets)) / F.lit(float(max(1, total))))
     unit = F.shiftrightunsigned(F.col(h), 33).cast("double") / F.lit(float(1 << 31))
-    dealt = rows.join(small(groups), group).withColumn("bucket", F.floor(unit * F.greatest(F.lit(1), share)).cast("long"))
+    dealt = join_groups(rows, groups, group, F.col(h)).withColumn("bucket", F.floor(unit * F.greatest(F.lit(1), share)).cast("long"))
     key = [*group, "bucket"]
     starts = bucket_starts(dealt.groupBy(*key).agg(F.count("*").alias("bucket_n")), group, "bucket", "bucket_n", "bucket_start")
-    inside = ranked(dealt.join(starts.select(*key, "bucket_start"), key), key, [F.shiftrightunsigned(F.col(h), 1), F.col(h), *[F.col(c) for c in order]], "rank")
+    inside = ranked(join_groups(dealt, starts.select(*key, "bucket_start"), key, F.col(h)), key, [F.shiftrightunsigned(F.col(h), 1), F.col(h), *[F.col(c) for c in order]], "rank")
     return inside.withColumn("rank", F.col("rank") + F.col("bucket_start")).drop("bucket", "bucket_start")

@@ -18,7 +18,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitara.llm.common import materialize, pick_columns
+from sitara.functions.text import let
+from sitara.llm.common import join_groups_many, materialize, pick_columns, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -26,8 +27,6 @@ SIMILARITY = 0.8
 RADIUS = 19
 #: Widths of the blocks. One of five blocks differs in RADIUS // 5 = 3 bits at most.
 BLOCKS = (13, 13, 13, 13, 12)
-#: The benchmark's shingles, or the texts with any, are broadcast up to so many rows (16 and 24 bytes of data each).
-BROADCAST_ROWS = 1_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -51,11 +50,18 @@ def simhash(hs: Column) -> Column:
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Sum of the lesser over sum of the greater counts of shingles; 0 for two empty lists."""
+    """Sum of the lesser over sum of the greater counts of shingles; 0 for two empty lists.
+
+    Distinct shingles are intersected by hashing; only those that both lists repeat are counted.
+    """
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either > 0, both / either).otherwise(F.lit(0.0))
+
+    def repeated(xs: Column) -> Column:
+        return let(F.array_sort(xs), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + 1))))
+
+    more = F.aggregate(F.array_intersect(repeated(a), repeated(b)), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)) - 1)
+    both = F.size(F.array_intersect(a, b)) + more
+    return let(both, lambda n: F.when(F.size(a) + F.size(b) > 0, n / (F.size(a) + F.size(b) - n)).otherwise(F.lit(0.0)))
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -79,11 +85,6 @@ def _blocks(fp: Column, radius: int | None = None) -> Column:
     return F.concat(*[near(k) for k in range(len(BLOCKS))])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, length, k (shingle size), hs, fp of the items with words; one row for each item_id and text."""
     pick_columns(benchmark, "item_id", "text")
@@ -109,36 +110,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     """
     pick_columns(docs, "text")
     goal = materialize(items(benchmark), "items")
-    sizes = [r.k for r in goal.select("k").distinct().collect()]
-    places = materialize(goal.select("k", "length", F.posexplode("hs").alias("offset", "h")).distinct(), "item-shingles")
-    texts = docs.select(*_text_key(F.col("text")), normal_words(F.col("text")).alias("ws"))
-    hits = None
-    for k in sizes:
-        at = texts.select("t1", "t2", F.posexplode(shingles(F.col("ws"), k)).alias("p", "h"))
-        found = at.join(_small(places.where(F.col("k") == k).drop("k")), "h")
-        found = found.select("t1", "t2", "length", F.greatest(F.col("p") - F.col("offset"), F.lit(0)).alias("start"), F.lit(k).alias("k"))
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
+    sizes = sorted(r.k for r in goal.select("k").distinct().collect())
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "t1 long, t2 long, item_id long, length int, start int, similarity double")
-    spots = hits.groupBy("t1", "t2").agg(F.collect_set(F.struct("length", "start", "k")).alias("spots"))
+    # A shingle's hash and its size are one key, so all sizes take one pass over the texts.
+    places = materialize(goal.select("length", "k", F.posexplode("hs").alias("offset", "h")).distinct(), "item-shingles")
+    texts = docs.select(*_text_key(F.col("text")), normal_words(F.col("text")).alias("ws"))
+
+    def placed(k: int) -> Column:
+        return F.transform(shingles(F.col("ws"), k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("p"), h.alias("h")))
+
+    every = F.concat(*[placed(k) for k in sizes])
+    at = texts.select("t1", "t2", F.inline(every))
+    found = join_groups_many(at, places, ["k", "h"], F.col("p"))
+    spots = found.select("t1", "t2", "length", F.greatest(F.col("p") - F.col("offset"), F.lit(0)).alias("start"), "k").distinct()
     spots = materialize(spots, "window-spots")
-    held = docs.select(*_text_key(F.col("text")), "text").join(_small(spots), ["t1", "t2"])
-    held = held.withColumn("ws", normal_words(F.col("text"))).drop("text")
-    windows = held.select("t1", "t2", "ws", F.explode("spots").alias("w")).select("t1", "t2", "w.length", "w.start", "w.k", F.slice("ws", F.col("w.start") + 1, F.col("w.length")).alias("ws"))
-    by_k = None
-    for k in sizes:
-        by_k = F.when(F.col("k") == k, shingles(F.col("ws"), k)) if by_k is None else by_k.when(F.col("k") == k, shingles(F.col("ws"), k))
-    windows = windows.select("t1", "t2", "length", "start", by_k.alias("whs")).where(F.size("whs") > 0)
+    lists = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("length", "start", "k")).alias("spots"))
+    held = docs.select(*_text_key(F.col("text")), "text").join(small(lists), ["t1", "t2"])
+    held = held.select("t1", "t2", "spots", normal_words(F.col("text")).alias("ws"))
+    held = held.select("t1", "t2", "spots", *[shingles(F.col("ws"), k).alias(f"hs{k}") for k in sizes])
+
+    def window(s: Column) -> Column:
+        """A window's shingles are a run of its text's; cut before rows are made, so no window carries the text."""
+        hs = F.coalesce(*[F.when(s["k"] == k, F.slice(F.col(f"hs{k}"), s["start"] + 1, s["length"] - k + 1)) for k in sizes])
+        return F.struct(s["length"].alias("length"), s["start"].alias("start"), hs.alias("whs"))
+
+    windows = held.select("t1", "t2", F.inline_outer(F.transform("spots", window))).where(F.size("whs") > 0)
     # Copies of a text, and a passage that many texts share, are one window: what is compared is its content.
     content = [F.xxhash64("whs").alias("c1"), F.xxhash64(F.lit(1), F.col("whs")).alias("c2")]
     windows = materialize(windows.select("t1", "t2", "length", "start", *content, "whs"), "windows")
     distinct = windows.groupBy("length", "c1", "c2").agg(F.min(F.struct("whs")).alias("w")).select("length", "c1", "c2", "w.whs")
     printed = materialize(distinct.withColumn("wfp", simhash(F.col("whs"))), "window-prints")
-    sought = goal.select("item_id", "length", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item_id", "length", "b.block", "b.value")
-    dealt = printed.select("length", "c1", "c2", F.explode(_blocks(F.col("wfp"))).alias("b")).select("length", "c1", "c2", "b.block", "b.value")
-    pairs = dealt.join(sought, ["length", "block", "value"]).select("length", "c1", "c2", "item_id").distinct()
-    close = pairs.join(printed, ["length", "c1", "c2"]).join(goal.select("item_id", "length", "hs", "fp"), ["item_id", "length"])
-    close = close.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= radius)
+    # Items go under all values near theirs; the whole fingerprints are compared inside the join, so only close pairs leave it.
+    sought = goal.select("item_id", "length", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item_id", "length", "fp", "b.block", "b.value")
+    dealt = printed.select("length", "c1", "c2", "wfp", F.explode(_blocks(F.col("wfp"))).alias("b")).select("length", "c1", "c2", "wfp", "b.block", "b.value")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= radius
+    pairs = dealt.join(sought, ["length", "block", "value"]).where(near).select("length", "c1", "c2", "item_id").distinct()
+    close = pairs.join(printed, ["length", "c1", "c2"]).join(goal.select("item_id", "length", "hs"), ["item_id", "length"])
     exact = close.withColumn("similarity", weighted_jaccard(F.col("whs"), F.col("hs"))).where(F.col("similarity") >= similarity)
     exact = materialize(exact.groupBy("length", "c1", "c2", "item_id").agg(F.max("similarity").alias("similarity")), "item-windows")
     all_ = windows.select("t1", "t2", "length", "start", "c1", "c2").join(exact, ["length", "c1", "c2"])
@@ -154,12 +162,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     pick_columns(docs, "doc_id", "text")
     found = materialize(matches(docs, benchmark, similarity, radius), "contaminated")
     rows = docs.select("doc_id", *_text_key(F.col("text")))
-    return rows.join(found, ["t1", "t2"]).select("doc_id", "item_id", "similarity", "start", "length")
+    return rows.join(small(found), ["t1", "t2"]).select("doc_id", "item_id", "similarity", "start", "length")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns as they are."""
-    found = _small(materialize(matches(docs, benchmark, similarity, radius).select("t1", "t2").distinct(), "contaminated"))
+    found = small(materialize(matches(docs, benchmark, similarity, radius).select("t1", "t2").distinct(), "contaminated"))
     names = docs.columns
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *_text_key(F.col("text")))
     return marked.join(found, ["t1", "t2"], "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitara.llm.common import count_words, materialize, pick_columns, source_key, spread_rank
+from sitara.llm.common import count_words, join_groups, materialize, pick_columns, source_key, spread_rank
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -22,9 +22,8 @@ SEED = 20240301
 #: Rates are whole numbers of millionths, so sums do not depend on their order.
 UNIT = 1_000_000
 TOLERANCE = 1e-5
-ITERATIONS = 60
-#: The table of copies has a row per source and size; it is broadcast up to so many rows (about 64 bytes each).
-BROADCAST_ROWS = 500_000
+#: A bracket of multipliers that is so narrow, relative to them, holds the same rates at both ends.
+NARROW = 1e-13
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -67,14 +66,22 @@ def _rate(lam, size, mean, free, most: int):
 
 
 def balance(sizes: DataFrame, goal: DataFrame, most: int = MOST, tolerance: float = TOLERANCE) -> DataFrame:
-    """Multiplier ``lam`` of each source: Newton on the logarithm of the words taken, kept inside a bracket."""
+    """Multiplier ``lam`` of each source: Newton on the logarithm of the words taken, kept inside a bracket.
+
+    Every third iteration halves a bracket that has both ends, so the loop
+    ends for every source: at the tolerance, or where the bracket is too
+    narrow to change a rate (rates are whole millionths, so words taken move
+    in steps). A bracket that lacks an end is doubled every fourth.
+    """
     state = goal.join(sizes.groupBy("src").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)), F.lit(1))).alias("mean")), "src")
     state = state.withColumn("mean", F.greatest(F.col("mean"), F.lit(1.0)))
     state = state.withColumn("free", F.col("target") < F.col("source_size") * F.lit(most * (1 - 1e-9)))
     state = state.withColumn("lam", F.when(F.col("free") & (F.col("target") > 0), F.log(F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0)))
     state = state.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "done": ~F.col("free") | (F.col("target") <= 0)})
-    state = materialize(state, "mix-state")
-    for _ in range(ITERATIONS):
+    before = state = materialize(state, "mix-state")
+    turn = 0
+    while not state.where(~F.col("done")).isEmpty():
+        turn += 1
         open_ = state.where(~F.col("done"))
         with_rate = sizes.join(open_, "src").withColumn("r", _rate(F.col("lam"), F.col("size"), F.col("mean"), F.col("free"), most))
         slope = F.when(F.col("r") < most * UNIT, F.col("n") * F.col("size") * F.round(F.col("r") * F.col("size") / F.col("mean")).cast("long")).otherwise(F.lit(0))
@@ -95,11 +102,14 @@ def balance(sizes: DataFrame, goal: DataFrame, most: int = MOST, tolerance: floa
         reach = F.abs(F.col("lam")) + 1
         to = F.col("lam") + F.greatest(-reach, F.least(reach, step))
         outside = (F.col("lo").isNotNull() & (to <= F.col("lo"))) | (F.col("hi").isNotNull() & (to >= F.col("hi")))
-        to = F.when(outside & F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).otherwise(to)
+        both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+        to = F.when(both & (outside | F.lit(turn % 3 == 0)), (F.col("lo") + F.col("hi")) / 2).otherwise(to)
+        to = F.when(~both & F.lit(turn % 4 == 0), F.col("lam") + F.signum(miss) * reach).otherwise(to)
+        narrow = both & (F.col("hi") - F.col("lo") <= NARROW * F.greatest(F.lit(1.0), F.abs("lam")))
+        state = state.withColumn("done", F.col("done") | F.coalesce(narrow, F.lit(False)))
         state = state.withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(to)).drop("got", "slope")
-        state = materialize(state, "mix-state")
-        if state.where(~F.col("done")).isEmpty():
-            break
+        state = materialize(state, "mix-state", instead=before)
+        before = state
     return state
 
 
@@ -139,7 +149,7 @@ def _unsigned(h):
     return h.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
 
     Copies are whole numbers from 0 to ``most``; each source's words times
@@ -148,17 +158,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     alike. Reruns agree whatever the partitioning: all sums are of whole
     numbers. An empty table gives an empty result; other columns stay as they
     are, unless they have one of the four names, which are replaced.
+
+    ``columns`` are those of ``docs`` that the result keeps (default: all).
+    Without the text among them, texts are read once.
     """
     pick_columns(docs, "doc_id", "text", "source")
     added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    keep = [c for c in docs.columns if c.lower() not in added]
+    keep = [c for c in (docs.columns if columns is None else columns) if c.lower() not in added]
     marked = sized(docs, seed)
-    rows = materialize(marked.select(F.col("__mix_src").alias("src"), F.col("__mix_size").alias("size"), F.col("__mix_h").alias("h")), "mix-rows")
+    own = ["__mix_src", "__mix_size", "__mix_h"]
+    if "text" not in keep:
+        marked = materialize(marked.select(*[F.col(f"`{c}`") for c in keep], *own), "mix-rows")
+        rows = marked.select([F.col(c).alias(c.removeprefix("__mix_")) for c in own])
+    else:
+        rows = materialize(marked.select([F.col(c).alias(c.removeprefix("__mix_")) for c in own]), "mix-rows")
     table = copies(rows, weights, most)
     table = table.select([F.col(c).alias(f"__mix_{c}") for c in table.columns])
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    out = marked.join(table, ["__mix_src", "__mix_size"])
+    out = join_groups(marked, table, ["__mix_src", "__mix_size"], F.col("__mix_h"))
     drawn = F.col("__mix_base") + F.coalesce((_unsigned(F.col("__mix_h")) <= F.col("__mix_h_last")).cast("long"), F.lit(0))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
