@@ -165,6 +165,19 @@ def join_groups_many(rows: DataFrame, groups: DataFrame, key: list[str], spread:
     return salted.join(groups.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*key, "__salt"]).drop("__salt")
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with their row of ``table``, which has one for each key and, as ``n``, how many rows have it.
+
+    Keys with a large share of ``total`` are few (four a shuffle partition at
+    most, as their shares add up to all rows), so they are broadcast; rows of
+    all other keys are shuffled to them.
+    """
+    hot = F.col("n") >= max(1_000, -(-total // (4 * shuffle_partitions(rows.sparkSession))))
+    hot_rows = rows.join(F.broadcast(table.where(hot)), key)
+    others = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot), key)
+    return hot_rows.unionByName(others)
+
+
 def pick_columns(df: DataFrame, *names: str) -> None:
     """Raise a clear error if a needed column is missing."""
     missing = [n for n in names if n not in df.columns]

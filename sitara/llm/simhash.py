@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitara.llm.blocks import Block, mix, text_blocks
-from sitara.llm.common import bounded_batches, materialize, pick_columns, shuffle_partitions, small
+from sitara.llm.common import bounded_batches, join_counted, join_groups, materialize, pick_columns, shuffle_partitions, small
 
 RADIUS = 3
 SHINGLE = 3
@@ -220,16 +220,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of a graph's components, by alternating large and small stars.
 
     Every round is joins and minima over edges; only the counts that tell
-    whether a round changed anything reach the driver.
+    whether a round changed anything reach the driver. The edges of a node
+    with a large share of all edges stay where they are: its minimum goes to
+    them.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(e: DataFrame, both: bool) -> DataFrame:
+    def star(e: DataFrame, both: bool, total: int) -> DataFrame:
         around = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = around.join(least, "u")
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        joined = join_counted(around, least, "u", total)
         if both:  # neighbours above go to the least
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # the node and its neighbours below go to the least
@@ -239,7 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     before = state(edges)
     while before[0]:
-        edges = materialize(star(star(edges, True), False), "edges")
+        # What the first star makes has at most as many edges as both ways of those before.
+        edges = materialize(star(star(edges, True, 2 * before[0]), False, before[0]), "edges", instead=edges)
         now = state(edges)
         if now == before:
             break
@@ -259,11 +262,15 @@ def groups(prints: DataFrame) -> DataFrame:
     Null ids take part in links but name no component unless all ids of it
     are null. Repeated rows stay. An empty table gives an empty result.
     """
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n")), "fingerprints")
     found = components(links(nodes.select("fp")))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    named = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("members"))
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # Components are named like nodes: a large one goes to its nodes, not they to it.
+    sized = named.withColumnRenamed("members", "n")
+    told = materialize(join_counted(rooted.withColumnRenamed("n", "rows"), sized, "root", total[1]).select("fp", "component_id", F.col("rows").alias("n")), "components")
+    return join_counted(prints, told, "fp", total[0]).drop("n")
 
 
 def _block_shingles(b: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,15 +384,16 @@ def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float
     members = materialize(cells.join(small(shared), "cell"), "copy-members")
     wanted = prints.select("node", "text_key").join(small(members.select("node").distinct()), "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
     wanted = materialize(wanted.select("text_key"), "copy-texts")
-    texts = docs.select(key.alias("text_key"), "text").join(small(wanted), "text_key").select(sets(F.col("text")).alias("s"))
+    texts = join_groups(docs.select("doc_id", key.alias("text_key"), "text"), wanted, ["text_key"], F.col("doc_id")).select(sets(F.col("text")).alias("s"))
     texts = materialize(texts.groupBy("s.node").agg(F.any_value("s.hs").alias("hs")), "copy-shingles")
     blocks = F.ceil(F.col("n") / COPY_ROWS)
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     pair = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
     dealt = members.select(pair, "node").join(texts, "node").repartition(shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
     found = components(dealt.select("cell", "node", "hs").mapInArrow(lambda batches: _copy_cells(batches, similarity), "u long, v long"))
-    rooted = prints.select("doc_id", "text_key", "node").join(small(found), "node", "left")
-    return rooted.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    nodes = prints.groupBy("node").agg(F.count("*").alias("n")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = join_counted(prints.select("doc_id", "text_key", "node"), materialize(nodes, "copy-nodes"), "node", prints.count())
+    return rooted.select("doc_id", "text_key", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:

@@ -37,7 +37,7 @@ from sitara.llm.common import bounded_batches, hash_sample, pick_columns, run_di
 MAGIC = b"SITTOK1\n"
 END_ID = 1
 LEVEL = 3
-#: The dictionary is trained on so many documents at most, each of so many bytes at most.
+#: The dictionary is trained on the ids of so many documents at most, of any length: of a long one, on a run of so many bytes that its hash picks.
 SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 16_384
 DICT_BYTES = 65_536
@@ -47,6 +47,19 @@ WORDS = 1 << 20
 WORD_END = "</w>"
 #: Marks at the end of a run whose character before them is an ASCII or Latin-1 letter or digit: tokens of their own.
 _MARKS = re.compile(rb"[.,!?;:*#$%&](?:(?<=[a-zA-Z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:*#$%&]*(?!\S)")
+#: Texts on which encoding in parts must give the ids of the whole.
+PROBES = (
+    "Plain words, with marks: here; there! (and) more... end?",
+    "don't can't o'clock e-mail under_score a.b.c 3.14 1,000 50% $5 #tag @name a&b x*y",
+    "tabs\tand\nlines\r\n\n  runs   of blanks ",
+    "\u00c9cole na\u00efve Stra\u00dfe \u0130stanbul \u03a3\u03c3\u03c2 \u01c5 \ufb01ne e\u0301 \u00a0 \u2003 \u200b",
+    "\u0645\u0631\u062d\u0628\u0627 \u0628\u0643\u060c \u4f60\u597d\u3002 \u65e5\u672c \ud55c\uad6d\uc5b4 \U0001f600 \u2014 \u201cquoted\u201d",
+    "MiXeD CASE ABC123 123abc a1b2 word.word word,word !!! ??? ... --- *** \\ / | ~ ^ ` { } [ ] < > = +",
+    "<|endoftext|> <|x |> </w> w</w>",
+    "",
+    " ",
+    "h\u00e9! \u00df, \u00f8; \u00ff: \u00e6# \u00fe$ \u0101% \u0142&",
+)
 _INDEX = (("doc_id", "<i8"), ("named", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u8"))
 
 
@@ -62,7 +75,9 @@ class Encoder:
     The tokenizer drops white space and no token reaches over it, nor from a
     letter or digit to a mark, so a text's ids are those of its runs without
     ASCII white space, and of the marks at their ends, one after another; each
-    distinct run is encoded once and remembered.
+    distinct run is encoded once and remembered. Whether that holds for a
+    tokenizer is tried out on PROBES when it is loaded; if not, whole texts
+    are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,9 +91,19 @@ class Encoder:
         self.last = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith(WORD_END)
+        probes = [p.encode() for p in PROBES]
+        self.whole = False
+        self.whole = self.encode(probes) != self._encode_whole(probes, END_ID)
+        self.known.clear()
+
+    def _encode_whole(self, texts: list[bytes], end: int) -> list[bytes]:
+        tail = np.array([end], dtype=self.kind).tobytes()
+        return [np.array(e.ids, dtype=self.kind).tobytes() + tail for e in self._encode([t.decode() for t in texts])]
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Serialized ids of each text and its end."""
+        if self.whole:
+            return self._encode_whole(texts, end)
         # The tokenizer lowers all letters, but knows its special strings before that.
         split = [_MARKS.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
@@ -147,6 +172,13 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def id_window(ids: bytes, draw: int, itemsize: int, size: int = SAMPLE_BYTES) -> bytes:
+    """All of some serialized ids, or a run of ``size`` bytes of them, from where ``draw`` says."""
+    free = (len(ids) - size) // itemsize
+    start = draw % (free + 1) * itemsize if free > 0 else 0
+    return ids[start : start + size]
+
+
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
@@ -255,7 +287,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> TokenFile
     """Encode every whole text of ``docs`` and write the part files below ``path`` (default: the shared folder).
 
     Documents lie in ascending doc_id order over all parts, nulls first; rows
-    with equal ids in the order of their texts. A null text is empty: its end
+    with equal ids in the order of a hash of their texts. A null text is empty: its end
     id alone. Other columns are ignored.
     """
     pick_columns(docs, "doc_id", "text")
@@ -264,18 +296,20 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None) -> TokenFile
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    few = hash_sample(rows.where(F.octet_length("text") <= SAMPLE_BYTES), F.xxhash64("doc_id", "text"), SAMPLE_DOCS)
+    few = hash_sample(rows.withColumn("h", F.xxhash64("doc_id", "text")), F.col("h"), SAMPLE_DOCS)
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _batches_of_texts(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(encoder(tokenizer).encode(texts), pa.binary())], names=["ids"])
+                ids = [id_window(x, zlib.crc32(t), encoder(tokenizer).kind.itemsize) for t, x in zip(texts, encoder(tokenizer).encode(texts), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     dictionary = train_dictionary([r.ids for r in few.select("text").mapInArrow(serialize, "ids binary").collect()])
     digest = hashlib.sha256(dictionary).hexdigest()
     with fs.open_output_stream(f"{folder}/{digest}.dict") as out:
         out.write(dictionary)
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or of none, are dealt by their texts too, so no file need hold them all.
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     made = sorted(dealt.mapInArrow(_write(path, digest, tokenizer), "part int, n long, ids long").collect())
     before = np.concatenate(([0], np.cumsum([r.ids for r in made]))).tolist()
     return TokenFiles(path, digest, tuple(r.part for r in made), tuple(before[:-1]))
