@@ -113,16 +113,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     sizes = sorted(r.k for r in goal.select("k").distinct().collect())
     if not sizes:
         return docs.sparkSession.createDataFrame([], "t1 long, t2 long, item_id long, length int, start int, similarity double")
-    # A shingle's hash and its size are one key, so all sizes take one pass over the texts.
     places = materialize(goal.select("length", "k", F.posexplode("hs").alias("offset", "h")).distinct(), "item-shingles")
     texts = docs.select(*_text_key(F.col("text")), normal_words(F.col("text")).alias("ws"))
-
-    def placed(k: int) -> Column:
-        return F.transform(shingles(F.col("ws"), k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("p"), h.alias("h")))
-
-    every = F.concat(*[placed(k) for k in sizes])
-    at = texts.select("t1", "t2", F.inline(every))
-    found = join_groups_many(at, places, ["k", "h"], F.col("p"))
+    # Shingles of all sizes follow one another in one list, so all take one pass over the texts.
+    at = texts.select("t1", "t2", F.size("ws").alias("n"), F.posexplode(F.concat(*[shingles(F.col("ws"), k) for k in sizes])).alias("p", "h"))
+    found, first = join_groups_many(at, places, ["h"], F.col("p")), {}
+    for k in sizes:
+        first[k] = sum((F.greatest(F.col("n") - j + 1, F.lit(0)) for j in sizes if j < k), F.lit(0))
+    p = F.col("p") - F.coalesce(*[F.when(F.col("k") == k, first[k]) for k in sizes])
+    found = found.withColumn("p", p).where((F.col("p") >= 0) & (F.col("p") <= F.col("n") - F.col("k")))
     spots = found.select("t1", "t2", "length", F.greatest(F.col("p") - F.col("offset"), F.lit(0)).alias("start"), "k").distinct()
     spots = materialize(spots, "window-spots")
     lists = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("length", "start", "k")).alias("spots"))

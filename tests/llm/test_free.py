@@ -298,11 +298,68 @@ def test_pages(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+STORY = "A long paragraph of the story that goes on for a while and says much of what there is to say about it. " * 3
+HARD_PAGES = {
+    "cards beside the story": ("<body><div id=content><p>" + STORY + "</p><p>" + STORY + "</p></div><article>Card one</article><article>Card two</article></body>", 2),
+    "hidden": ("<article><p>" + STORY + "</p><div hidden>secret</div><p style='display: none'>gone</p><p aria-hidden=true>gone</p></article>", 1),
+    "names that only look like marks": ("<article><div class='share-price'><p>" + STORY + "</p></div><div class='read-more-content'><p>" + STORY + "</p></div></article>", 2),
+    "layout named after a sidebar": ("<body><div class='has-sidebar layout'><div class='post'><p>" + STORY + "</p></div><div class=sidebar><p>" + "link text " * 5 + "</p></div></div></body>", 1),
+    "everything in a marked wrapper": ("<body><div class='page sidebar-right'><p>" + STORY + "</p><p>" + STORY + "</p></div></body>", 2),
+    "story in a container that is marked": ("<body><div class=banner><p>" + STORY + "</p><p>" + STORY + "</p></div><p>Short end.</p></body>", 2),
+    "links inside the article": ("<article><p>" + STORY + "</p><div><a href=a>Buy a very cheap thing now</a></div><ul><li><a>Other story</a><li><a>One more story</a></ul></article>", 1),
+    "comments": ("<main><p>" + STORY + "</p><section id=comments><p>" + STORY + "</p></section></main>", 1),
+}
+
+
+def test_hard_pages():
+    for name, (page, times) in HARD_PAGES.items():
+        assert html.main_text(page) == " ".join([STORY.strip()] * times) + (" Short end." if "container that" in name else ""), name
+    head = "<main><header class='entry-header'><h1>The headline</h1><ul class='share-links'><li><a>Share it</a></ul></header><p>" + STORY + "</p></main>"
+    assert html.main_text(head) == "The headline " + STORY.strip()
+    lead = "<body><div class=wrap><p>A short lead.</p><div class=body><p>" + STORY + "</p><p>" + STORY + "</p></div><p>Closing words.</p></div><footer>f</footer></body>"
+    assert html.main_text(lead) == f"A short lead. {STORY.strip()} {STORY.strip()} Closing words."
+    assert html.main_text("</div>" * 50_000 + "<article>x</article>") == "x"
+    assert len(html.main_text("<article>" + f"<p>{STORY}" * 3000)) == 3000 * len(STORY) - 1
+
+
+def _smooth(values, sigma):
+    at = lambda i, j: math.exp(-((i - j) ** 2) / (2 * sigma**2)) if abs(i - j) <= math.ceil(3 * sigma) else 0.0
+    return [sum(at(i, j) * v for j, v in enumerate(values)) / sum(at(i, j) for j in range(len(values))) for i in range(len(values))]
+
+
 def test_smoothing_and_threshold():
-    assert html.smooth([1.0, 1.0, 1.0]) == pytest.approx([1.0, 1.0, 1.0])
+    rng = random.Random(12)
+    for n in (1, 2, 5, 40):
+        values = [rng.random() * 100 for _ in range(n)]
+        for sigma in (0.5, 1.0, 2.3):
+            assert html.smooth(values, sigma) == pytest.approx(_smooth(values, sigma))
+        t = html.threshold(values)
+        low, high = [v for v in values if v < t], [v for v in values if v >= t]
+        assert not low or not high or t == pytest.approx((sum(low) / len(low) + sum(high) / len(high)) / 2, abs=1e-6)
     assert 2 < html.threshold([1, 1, 2, 50, 60, 55]) < 50 and html.threshold([]) == 0
 
 
+def test_random_pages_give_the_article_in_order():
+    """Pages built at random around an article: exactly its paragraphs, in page order."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "omega")) + str(rng.randrange(99)) for _ in range(n))
+    for _ in range(60):
+        body, want = [], []
+        body.append("<nav><ul>" + "".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(rng.randrange(2, 9))) + "</ul></nav>")
+        if rng.random() < 0.5:
+            body.append(f"<div class='{rng.choice(('ad', 'promo-box', 'cookie-notice', 'sponsored'))}'><p>{say(rng.randrange(3, 25))}</p></div>")
+        wrap = rng.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div id=main><section>", "</section></div>")))
+        paragraphs = [say(rng.randrange(30, 90)) for _ in range(rng.randrange(3, 9))]
+        body.append(wrap[0])
+        for p in paragraphs:
+            body.append(rng.choice(("<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<p><b>{}</b></p>")).format(p))
+            want.append(p)
+        body.append(f"<section id=comments><p>{say(40)}</p></section>" if rng.random() < 0.4 else "")
+        body.append(wrap[1])
+        body.append(f"<aside><p>{say(30)}</p></aside><footer>&copy; {say(5)}</footer>")
+        assert html.main_text("<html><body>" + "\n".join(body) + "</body></html>") == " ".join(want)
+
+
 @pytest.fixture(scope="module")
 def classifier(spark, sf_dir):
     return licenses.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
