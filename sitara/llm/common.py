@@ -200,15 +200,24 @@ def ranked(df: DataFrame, bucket: list[str], order: list[Column], name: str) ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)).cast("long") - 1)
 
 
+#: Buckets that are summed in one go.
+RUN = 64
+
+
 def bucket_starts(counts: DataFrame, group: list[str], bucket: str, n: str, start: str) -> DataFrame:
     """For a table of counts per (group, bucket): rows in the earlier buckets of the group.
 
     ``counts`` has a row per bucket, a number that follows the shuffle
-    partitions and not the rows (eight buckets a partition over all groups,
-    and one more for each group), so the running sum of a group is cheap.
+    partitions and not the rows. Sums run over runs of RUN buckets first, then
+    inside each, so a large group's buckets meet in no one task.
     """
-    w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(start, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
+    run = F.floor(F.col(bucket) / RUN).alias("__run")
+    before = Window.partitionBy(*group).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy(*group, run).agg(F.sum(n).alias("__n")).withColumn("__begun", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*group, "__run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    summed = counts.withColumn("__run", run).withColumn(start, F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    joined = summed.join(small(runs), [*group, "__run"])
+    return joined.withColumn(start, (F.col(start) + F.col("__begun")).cast("long")).drop("__run", "__begun")
 
 
 def source_key(source: Column) -> Column:

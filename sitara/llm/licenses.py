@@ -1,19 +1,21 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line) is a sparse vector of word one- and two-grams. A logistic
+A paragraph (lines with words up to a blank one; single lines and overlapping
+windows of it are judged too) is a sparse vector of word one- and two-grams. A logistic
 regression over families, an unknown class (licence language of no listed
 family) and ordinary text is fitted by proximal gradient steps with an L1
 penalty, and its probabilities are calibrated by a temperature on held-out
 samples. A predicted family counts only if the paragraph also holds enough of
 one of the family's templates; otherwise it is unknown.
 
-Wrapped notices and those inside long lines are found in windows: consecutive
-lines that hold words are joined, and overlapping windows of a few sizes are
-classified like paragraphs.
+Wrapped notices and those inside long lines are found in windows of a few
+sizes over the words of a paragraph; the widest hold whole licence texts.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,17 +35,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ),
     "gpl-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
@@ -64,8 +69,25 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "isc": (
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -98,11 +120,13 @@ LEAST_SHARE = 0.7
 #: Licence language of no confirmed family must still share so much of some template's two-grams.
 UNKNOWN_SHARE = 0.3
 #: Words of the windows, which begin every half window; a notice of up to half a window lies in one.
-WINDOWS = (8, 16, 32, 64, 128)
-#: Variants of each template, paragraphs of ordinary text (from so many documents, of so many bytes at most) to fit on.
+WINDOWS = (8, 16, 32, 64, 128, 256, 512)
+#: Variants of each template; documents of any length whose paragraphs are the sample of ordinary text, so many of each
+#: at most, picked by their hashes, and of a longer paragraph a run of so many words.
 VARIANTS = 24
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 65_536
+SAMPLE_PARAGRAPHS = 8
+SAMPLE_WORDS = 200
 SEED = 5
 
 _PUNCT = np.zeros(256, dtype=bool)
@@ -247,6 +271,19 @@ def _variants(rng: np.random.Generator, template: str, ordinary: list[str], n: i
     return out
 
 
+def _some_paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs of each text that do not speak of licences: those of the least checksums, and of a long one the run of words that its checksum picks."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            lines = [p for p in (text or "").split("\n") if p.strip() and not any(k in p.lower() for k in ("licen", "copyright", "rights reserved", "spdx"))]
+            for h, p in sorted((zlib.crc32(p.encode()), p) for p in lines)[:SAMPLE_PARAGRAPHS]:
+                ws = p.split()
+                at = h % max(1, len(ws) - SAMPLE_WORDS + 1)
+                out.append(" ".join(ws[at : at + SAMPLE_WORDS]))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["p"])
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> Classifier:
     """Fit on the templates' variants and on ordinary paragraphs of at most ``sample_docs`` texts (those with the least hashes).
 
@@ -254,12 +291,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> Cl
     ones. The sample is the only part of the corpus that reaches the driver.
     """
     pick_columns(docs, "doc_id", "text")
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    some = [r.text for r in hash_sample(short, F.xxhash64("doc_id", "text"), sample_docs).collect()]
+    drawn = hash_sample(docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text")), F.col("h"), sample_docs)
     rng = np.random.default_rng(seed)
-    ordinary = [p for t in some for p in t.split("\n") if p.strip() and not any(k in p.lower() for k in ("licen", "copyright", "rights reserved", "spdx"))]
+    ordinary = sorted(r.p for r in drawn.select("text").mapInArrow(_some_paragraphs, "p string").collect())
     ordinary = ordinary or ["nothing of note is written here"]
-    order = rng.permutation(len(ordinary))[: VARIANTS * 120]
+    order = rng.permutation(len(ordinary))
     texts, labels = [ordinary[i] for i in order], [len(CLASSES) - 1] * len(order)
     for c, family in enumerate(TEMPLATES):
         for template in TEMPLATES[family]:
@@ -306,13 +342,21 @@ def _fit(model: Classifier, x: np.ndarray, y: np.ndarray, steps: int = 300, pena
 RESULT = "n_paragraphs long, n_license long, license string, probability double, similarity double"
 
 
+def _paragraphs(g: Grams, n: int) -> np.ndarray:
+    """Runs of lines with words, by text; a blank line or the text's end closes one."""
+    if not len(g.line):
+        return np.zeros(n, np.int64)
+    new = np.concatenate(([True], (g.line[1:] != g.line[:-1]) & ((g.line_doc[g.line[1:]] != g.line_doc[g.line[:-1]]) | (g.row[1:] > g.row[:-1] + 1))))
+    return np.bincount(g.line_doc[g.line[new]], minlength=n)
+
+
 def _scan_batch(model: Classifier, texts: pa.Array) -> pa.StructArray:
     cols: tuple[list, ...] = ([], [], [], [], [])
     none = len(CLASSES) - 1
     for b in text_blocks(texts, lower=True):
         g = grams(b)
         p = model.probabilities(g)
-        paragraphs = np.bincount(g.line_doc, minlength=b.n)
+        paragraphs = _paragraphs(g, b.n)
         found: list[dict[str, int]] = [{} for _ in range(b.n)]
         told: dict[int, list[tuple[int, int, str]]] = {}
         best = np.zeros(b.n), np.zeros(b.n)

@@ -377,6 +377,62 @@ def test_licences(spark, classifier, sf_dir):
     assert licenses.scan(docs.limit(0), classifier).count() == 0
 
 
+def test_grams_probabilities_and_confirmation_by_plain_python(classifier):
+    """What a paragraph's words, features, probabilities and template share must be, word by word."""
+    from sitara.llm.blocks import mix
+
+    texts = ["Released under the MIT License.\n\n(this) 'is' prose: w1 w2\nmore, here", "", "one", "*** --- licensed under the (apache) license, version 2.0 ***", "the the the license license"]
+    one = {}
+    words = lambda line: [w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in line.split()]
+    for w in {w for t in texts for w in words(t)}:
+        one[w] = licenses._grams_of([w or "-"]).one[0]
+    pair = lambda a, b: mix(mix(np.array([one[a]])) + one[b])[0]
+    n = 0
+    for b in text_blocks(pa.array(texts), lower=True):
+        g = licenses.grams(b)
+        p = classifier.probabilities(g)
+        lines = [(d, words(x)) for d, t in enumerate(texts) for x in t.split("\n") if x.split()]
+        assert len(lines) == len(g.line_doc) and g.line_doc.tolist() == [d for d, _ in lines]
+        assert licenses._paragraphs(g, b.n).tolist() == [2, 0, 1, 1, 1]
+        for i, (_, ws) in enumerate(lines):
+            got = g.line == i
+            assert g.one[got].tolist() == [one[w] for w in ws] and g.two[got][:-1].tolist() == [pair(a, c) for a, c in zip(ws, ws[1:])]
+            weights = {int(h): classifier.weights[k] for k, h in enumerate(classifier.vocab)}
+            z = classifier.bias.copy()
+            for h in [*(one[w] for w in ws), *(pair(a, c) for a, c in zip(ws, ws[1:]))]:
+                z = z + weights.get(int(h), 0.0) / math.sqrt(len(ws))
+            e = np.exp((z - z.max()) / classifier.temperature)
+            assert p[i] == pytest.approx(e / e.sum())
+            have = {int(pair(a, c)) for a, c in zip(ws, ws[1:])}
+            for family, templates in licenses.TEMPLATES.items():
+                best = 0.0
+                for t in templates:
+                    tw = words(t)
+                    if all(w in one for w in tw):
+                        best = max(best, len({int(pair(a, c)) for a, c in zip(tw, tw[1:])} & have) / len({int(pair(a, c)) for a, c in zip(tw, tw[1:])}))
+                assert classifier.confirm(family, g.two[got]) >= best - 1e-12
+            n += 1
+    assert n == 6
+
+
+def test_whole_licence_texts(spark, classifier):
+    import textwrap
+
+    cases = [("Copyright (c) 2024 A Person\n\n" + textwrap.fill(max(licenses.TEMPLATES[f], key=len), 72), f) for f in ("mit", "apache-2.0", "gpl-3.0", "bsd", "isc", "unlicense", "epl", "mpl-2.0")]
+    cases += [("\n\n".join(textwrap.fill(x + ".", 70) for x in max(licenses.TEMPLATES["bsd"], key=len).split(". ")), "bsd")]
+    out = licenses.scan(_docs(spark, [(i, t) for i, (t, _) in enumerate(cases)]), classifier).collect()
+    said = {r.doc_id: set(r.license.split(",")) - {"unknown"} for r in out}
+    assert said == {i: {f} for i, (_, f) in enumerate(cases)}
+
+
+def test_licences_of_odd_tables(spark):
+    """An empty table to fit on, null ids, repeated rows."""
+    rows = _docs(spark, [(None, "Released under the MIT License."), (1, None), (2, "x"), (2, "x")])
+    model = licenses.fit(rows.limit(0))
+    out = licenses.scan(rows, model).collect()
+    assert sorted((r.doc_id or 0, r.license, r.n_paragraphs) for r in out) == [(0, "mit", 1), (1, "none", 0), (2, "none", 1), (2, "none", 1)]
+
+
 def test_licences_in_wrapped_and_long_lines(spark, classifier):
     import textwrap
 
