@@ -56,8 +56,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    table = secrets.fit(docs, _table(spark, sf_dir, "labels"))
-    found = secrets.scan(docs, table)
+    found = secrets.scan(docs, secrets.fit(docs, _table(spark, sf_dir, "labels")))
     spans = F.col("secret_spans")
     kinds = F.transform(spans, lambda s: s["kind"])
     n = lambda kind: F.size(F.filter(kinds, lambda x: x == kind)).cast("long").alias(f"n_{kind}")
@@ -88,4 +87,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+# --- what SQL can say of them: the same operators over whole tables, in the columns that DuckDB can compute
+
+
+def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document, as sharding counts it."""
+    return op2_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def sharding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each shard, and its slots without gaps."""
+    by = op2_sharding(spark, sf_dir).groupBy("shard")
+    return by.agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+
+
+def sharding_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each shard in proportion: none is off by more than a row (plus one for rounding at either end)."""
+    placed = sharding.interleave(_table(spark, sf_dir, "documents")).groupBy("source", "shard").agg(F.count("*").alias("n"))
+    return placed.groupBy("source").agg((F.max("n") - F.min("n") <= 2).alias("even"), F.sum("n").alias("n"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the base verdict of every document."""
+    return op3_quality_rules(spark, sf_dir).drop("kept")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of base spans of every document."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document, and its source's size and target."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_SIZED = f"(SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents)"
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+
+SQL_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "sharding_sizes": (sharding_sizes, "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size, 'rows' AS law FROM documents"),
+    "sharding_counts": (
+        sharding_counts,
+        """SELECT s::INT AS shard, n, n AS slots, 0::BIGINT AS first, n - 1 AS last FROM (SELECT s, ((s + 1) * total + 23) // 24 - (s * total + 23) // 24 AS n
+  FROM range(24) AS t(s), (SELECT count(*) AS total FROM documents)) WHERE n > 0""",
+    ),
+    "sharding_mixture": (sharding_mixture, "SELECT source, true AS even, count(*)::BIGINT AS n FROM documents GROUP BY source"),
+    "quality_base": (
+        quality_base,
+        f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+  w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+  g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1 AS again FROM w WHERE i + 2 <= len(ws)),
+  r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE again) GROUP BY doc_id),
+  m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d)
+  SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id)""",
+    ),
+    "secret_base": (
+        secret_base,
+        f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    ),
+    "mixing_targets": (
+        mixing_targets,
+        f"""WITH s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM {_SIZED} GROUP BY source),
+  b AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 3 * source_size AS stop FROM s),
+  o AS (SELECT *, greatest(sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+    / sum(w) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM b),
+  l AS (SELECT min_by(rate, stop / w) AS level FROM o WHERE rate * w < stop)
+  SELECT doc_id, size, source_size::BIGINT AS source_size, round(CASE WHEN rate * w >= stop OR level IS NULL THEN stop ELSE least(stop, level * w) END, 3) AS target
+  FROM {_SIZED} AS d JOIN o ON d.source IS NOT DISTINCT FROM o.source CROSS JOIN l""",
+    ),
+}
+QUERIES |= {name: query for name, (query, _) in SQL_QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in SQL_QUERIES.items()}

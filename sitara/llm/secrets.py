@@ -3,17 +3,21 @@
 One model describes random strings, the other ordinary words and identifiers;
 both are counts of character pairs over labelled samples. A run of key-like
 characters whose log-likelihood ratio speaks for the random model is a secret,
-in addition to the spans of the fixed patterns.
+in addition to the spans of the fixed patterns. How far it must speak for it
+is chosen on samples that the models were not trained on, so that ordinary
+strings rarely pass.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitara.llm.common import fresh_name, hash_sample, pick_columns, words
+from sitara.functions.text import laid_out, let
+from sitara.llm.common import fresh_name, hash_sample, materialize, pick_columns, release, words
 
 # Fixed patterns: kind, pattern, group whose length counts, least length. In the order of ties.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,11 +28,17 @@ _SCAN = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,
 _GUARD = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 
 #: Strings that the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Random by nature, but names of things: no secrets.
+UUID = r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: A candidate is a secret if the ratio exceeds PRIOR (natural log: random strings are rare) and PER_CHAR per pair.
-PRIOR = 12.0
-PER_CHAR = 0.45
+#: A candidate is a secret if the ratio exceeds a threshold, and another times its length. Both are the quantiles that let
+#: FALSE_ALARMS of the ordinary held-out strings of 16 characters and more pass, but not below PRIOR and PER_CHAR (natural log).
+FALSE_ALARMS = 0.0005
+PRIOR = 8.0
+PER_CHAR = 0.35
+#: Every so-manieth string of a sample, by hash, is held out.
+HELD_OUT = 5
 #: A secret has so many different characters at least; runs of a few characters are ornament.
 DISTINCT = 8
 #: Pseudo-counts of each character pair: contexts that a sample hardly holds say little.
@@ -40,7 +50,13 @@ PROGRAM_WORDS = (
     "enable encode end entry error event exception execute export factory field file filter find first flag folder format frame function generator get global graph group "
     "handle hash header height host identifier image import initialize insert instance integer interface item iterator key label language last layer length level library "
     "limit line link list load local location lock log loop main make map match max member memory merge message method min model module name network next node number "
-    "object offset open operation option order output package page parent parse password path pattern"
+    "object offset open operation option order output package page parent parse password path pattern pause payload pending person phone pixel plugin point policy pool port position "
+    "prefix previous price print priority private process product profile program project property protocol provider proxy public query queue random range rate read reader record "
+    "reference refresh region register release remote remove render replace report request require reset resource response result retry return role root route rule schedule schema "
+    "scope screen script search section select sender sequence serial server service session setting shadow shape share signal single size socket sort source space split stack start "
+    "state static status storage store stream string style submit subscribe success suffix summary support switch symbol sync system table target task template test text thread time "
+    "timeout title token topic total trace track transaction transfer transform trigger type unique unit update upload user utility valid validate value variable vector version view "
+    "virtual visible volume warning weight widget width window worker wrapper write zone"
 ).split()
 #: Documents whose words are the sample of ordinary strings, at most; and random strings made.
 SAMPLE_DOCS = 500
@@ -48,24 +64,10 @@ RANDOM_STRINGS = 4000
 
 
 def matches(text: Column, pattern: str, kind: str, rank: int) -> Column:
-    """All leftmost matches with their places in code points: array of (start, kind_rank, end, kind, value).
-
-    The pieces between matches and the matches, laid end to end, are the
-    text, so running sums of their lengths are the places.
-    """
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """All leftmost matches with their places in code points: array of (start, kind_rank, end, kind, value)."""
     # A trailing blank keeps split from treating a match at the end as special.
-    gaps = F.split(F.concat(text, F.lit("\n")), pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), m.alias("m")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    places = laid_out(F.split(F.concat(text, F.lit("\n")), pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -82,13 +84,14 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def samples(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, strings: int = RANDOM_STRINGS) -> DataFrame:
-    """Labelled strings (random boolean, value): half of them random keys, half ordinary words and identifiers.
+    """Labelled strings (random boolean, value): random keys, and ordinary words, identifiers, paths and addresses.
 
     Random strings are SHA-256 digests of a counter, in hexadecimal and base64,
     whole and without signs or cases. Ordinary strings are the words of the
     documents of at most ``most_docs`` labels of good quality (those whose
-    ids have the least hashes), and common words of program text, joined as
-    names in code are.
+    ids have the least hashes), alone and joined to the word after them, and
+    common words of program text, joined as names in code, paths and
+    addresses are.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
@@ -98,12 +101,14 @@ def samples(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, st
     good = labels.where((F.col("quality") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
     good = hash_sample(good, F.xxhash64("good_id"), most_docs)
     some = docs.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
-    plain = some.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z0-9+/_=-]", "")))).alias("w")).where(F.length("w") >= 2)
-    second = F.reverse(F.col("w"))
-    joined = F.array(F.col("w"), F.concat("w", F.lit("_"), F.lower("w")), F.concat("w", F.initcap("w")), F.concat(F.upper("w"), F.lit("_"), F.upper(second)), F.concat(F.lower("w"), F.lit("-"), F.lower("w")), F.concat("w", F.lit("/"), "w", F.lit("1")))
+    kept = F.array_distinct(F.transform(words(F.col("text")), lambda w: F.regexp_replace(w, "[^A-Za-z0-9+/_=-]", "")))
+    after = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(ws, i + 1), w).alias("x")))
+    plain = some.select(kept.alias("ws")).select(F.inline(after(F.col("ws")))).where(F.length("w") >= 2)
+    low, next_ = F.lower("w"), F.lower("x")
+    joined = F.array(F.col("w"), F.concat_ws("_", low, next_), F.concat(low, F.initcap("x")), F.upper(F.concat_ws("_", "w", "x")), F.concat_ws("-", low, next_), F.concat(low, F.lit("/"), next_, F.lit("1")), F.concat_ws("-", low, next_, low))
     one = lambda name: F.explode(F.array(*[F.lit(w) for w in PROGRAM_WORDS])).alias(name)
     two = spark.range(1).select(one("a")).select("a", one("b"))
-    names = F.array(F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat(F.initcap("a"), F.initcap("b")), F.concat_ws("-", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))
+    names = F.array(F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat(F.initcap("a"), F.initcap("b")), F.concat_ws("-", "a", "b"), F.upper(F.concat_ws("_", "a", "b")), F.concat(F.lit("/"), "a", F.lit("/"), "b", F.lit("/v2/"), "a"), F.concat("a", F.lit("="), "b", F.lit("-2024-01-15")))
     return random.union(plain.select(F.lit(False), F.explode(joined))).union(two.select(F.lit(False), F.explode(names)))
 
 
@@ -137,7 +142,23 @@ def ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def scan(docs: DataFrame, table: list[float], prior: float = PRIOR, per_char: float = PER_CHAR) -> DataFrame:
+@dataclass(frozen=True)
+class Model:
+    """Ratios of character pairs, and the thresholds of a candidate's ratio: as such, and for each character."""
+
+    table: list[float]
+    prior: float
+    per_char: float
+
+
+def calibrate(strings: DataFrame, table: list[float], false_alarms: float = FALSE_ALARMS) -> Model:
+    """The thresholds that so large a share of ordinary strings (those a scan would judge) passes each of."""
+    judged = strings.where(~F.col("random") & F.col("value").rlike(f"^{CANDIDATE}$")).select(ratio(F.col("value"), table).alias("r"), F.char_length("value").alias("n"))
+    q = judged.agg(F.percentile("r", F.lit(1 - false_alarms)).alias("prior"), F.percentile(F.col("r") / F.col("n"), F.lit(1 - false_alarms)).alias("per_char")).first()
+    return Model(table, round(max(PRIOR, q["prior"] or PRIOR), 6), round(max(PER_CHAR, q["per_char"] or PER_CHAR), 6))
+
+
+def scan(docs: DataFrame, model: Model) -> DataFrame:
     """All rows of ``docs`` with ``secret_spans``: array of (start, rank, end, kind, value), by start, then kind.
 
     Kinds are assign, access, hex and markov; a markov span overlaps none of
@@ -153,16 +174,17 @@ def scan(docs: DataFrame, table: list[float], prior: float = PRIOR, per_char: fl
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     more = F.filter(
         matches(text, CANDIDATE, "markov", len(BASE)),
-        lambda s: ~F.exists(F.col(base_name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & _is_random(s["value"], table, prior, per_char),
+        lambda s: ~F.exists(F.col(base_name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & is_random(s["value"], model),
     )
     more = F.when(text.rlike(CANDIDATE), more).otherwise(none)
     return marked.select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(F.col(base_name), more)).alias("secret_spans"))
 
 
-def _is_random(value: Column, table: list[float], prior: float, per_char: float) -> Column:
-    r = ratio(value, table)
+def is_random(value: Column, model: Model) -> Column:
+    """Whether a candidate is a random string; UUIDs and numbers (runs without a letter) are none."""
     varied = F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT
-    return varied & (r > prior) & (r > F.char_length(value) * per_char)
+    said = let(ratio(value, model.table), lambda r: (r > model.prior) & (r > F.char_length(value) * model.per_char))
+    return varied & said & value.rlike("[A-Za-z]") & ~value.rlike(UUID)
 
 
 def spans_text(spans: Column) -> Column:
@@ -170,6 +192,13 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """The table of ratios, from the labelled samples."""
-    return train(samples(docs, labels))
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Ratios from four fifths of the labelled samples, thresholds from the rest.
+
+    Without labels, or good ones, the ordinary strings are those of program
+    words alone.
+    """
+    strings = materialize(samples(docs, labels).withColumn("held", F.pmod(F.xxhash64("value"), F.lit(HELD_OUT)) == 0), "secret-samples")
+    model = calibrate(strings.where("held"), train(strings.where("NOT held").select("random", "value")))
+    release(strings)
+    return model

@@ -204,5 +204,55 @@ def test_markov_models_on_held_out_strings(spark, ratios):
     parts = "account user total session manager payload response internal request buffer default value counter weather quarter invoice".split()
     plain = ["_".join(rng.choice(parts) for _ in range(4)) for _ in range(100)] + ["".join(rng.choice(parts).title() for _ in range(4)) for _ in range(100)]
     df = spark.createDataFrame([(True, x) for x in random_] + [(False, x) for x in plain], "random boolean, value string")
-    out = df.select("random", secrets._is_random(F.col("value"), ratios, secrets.PRIOR, secrets.PER_CHAR).alias("said")).collect()
-    assert sum(r.random == r.said for r in out) / len(out) > 0.95
+    out = df.select("random", secrets.is_random(F.col("value"), ratios).alias("said")).collect()
+    assert sum(r.random == r.said for r in out) / len(out) > 0.97
+
+
+def test_markov_recall_by_length_and_false_alarms(spark, ratios, sf_dir):
+    """Random strings of 16 characters and more are found; names, paths, dates, UUIDs and words of documents are not."""
+    import string
+
+    rng = random.Random(31)
+    found = {}
+    for n in (16, 20, 32, 48):
+        rows = [("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)),) for _ in range(300)]
+        found[n] = spark.createDataFrame(rows, "value string").where(secrets.is_random(F.col("value"), ratios)).count() / 300
+    assert found[16] > 0.85 and found[20] > 0.95 and found[32] > 0.99 and found[48] > 0.99, found
+    import uuid
+
+    plain = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(50)]
+    plain += ["4785380592391139", "20240115093045123", "+20-1012-3456-7890-11"]
+    plain += ["/usr/local/share/applications/index", "com/example/service/internal/RequestHandler", "2024-01-15-release-candidate-notes", "ThisIsAVeryLongClassNameForTesting", "MAX_CONCURRENT_CONNECTIONS_PER_HOST", "internationalisation-and-localisation", "==================", "--------------------------------"]
+    plain += ["_".join(rng.sample(secrets.PROGRAM_WORDS, 3)) for _ in range(200)]
+    wrong = [r.value for r in spark.createDataFrame([(x,) for x in plain], "value string").where(secrets.is_random(F.col("value"), ratios)).collect()]
+    assert len(wrong) <= 2, wrong
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[a-z]{16,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("value")).distinct()
+    n = words.count()
+    assert words.where(secrets.is_random(F.col("value"), ratios)).count() <= 0.005 * n + 1
+
+
+def test_pair_counts_and_ratios_by_plain_python(spark):
+    import math
+
+    rng = random.Random(4)
+    rows = [(rng.random() < 0.5, "".join(rng.choice("abcXYZ019+-é") for _ in range(rng.randrange(0, 30)))) for _ in range(300)] + [(True, None), (False, "")]
+    table = secrets.train(spark.createDataFrame(rows, "random boolean, value string"))
+    n = len(secrets.ALPHABET)
+    counts = {label: Counter() for label in (True, False)}
+    for label, v in rows:
+        for a, b in zip(v or "", (v or "")[1:]):
+            if a in secrets.ALPHABET and b in secrets.ALPHABET:
+                counts[label][a, b] += 1
+    rate = lambda label, a, b: (counts[label][a, b] + secrets.PSEUDO) / (sum(counts[label][a, c] for c in secrets.ALPHABET) + secrets.PSEUDO * n)
+    want = {(a, b): math.log(rate(True, a, b) / rate(False, a, b)) for a in secrets.ALPHABET for b in secrets.ALPHABET}
+    assert table == pytest.approx([want[a, b] for a in secrets.ALPHABET for b in secrets.ALPHABET], abs=2e-6)
+    values = ["abcXYZ", "a", "019+-", "zzzzzzzzzz_=/"]
+    out = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.ratio(F.col("v"), table).alias("r")).collect()
+    assert [r.r for r in out] == pytest.approx([sum(want[p] for p in zip(r.v, r.v[1:])) for r in out], abs=1e-4)
+
+
+def test_secrets_without_labels(spark):
+    docs = _docs(spark, [(1, "token = kJ8xQz2LmN4pR7sT9vW1yB3dF5gH6jK0", "s"), (2, None, None)])
+    model = secrets.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [len(r.secret_spans) for r in secrets.scan(docs, model).orderBy("doc_id").collect()] == [1, 0]
