@@ -110,10 +110,10 @@ class Block:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
-def text_blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Block]:
-    """Blocks of consecutive texts of about BLOCK bytes each; a null text is empty.
+def text_blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = BLOCK) -> Iterator[Block]:
+    """Blocks of consecutive texts of about ``size`` bytes each; a null text is empty.
 
-    A text beyond BLOCK bytes is a block of its own and stays whole.
+    A text beyond that is a block of its own and stays whole.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -127,7 +127,7 @@ def text_blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Itera
     all_bytes = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + BLOCK, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, side="right")) - 1)
         data = all_bytes[offs[lo] : offs[hi]]
         if lower:
             data = _LOWER[data]

@@ -1,45 +1,64 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""An interpolated modified Kneser-Ney trigram model, counted in Spark.
 
 Counting goes over all training texts. Words are hashed to 64 bits; the sorted
-distinct hashes are the vocabulary and a word's rank in it is its id, so a
-pair of ids is one 64-bit key without collisions. The model is a set of files
-of sorted arrays in the shared folder: vocabulary shards by the high bits of
-the hash, pair shards by the context's id (those of frequent contexts spread
-over all shards by the word's id), and statistics by id. Workers map the files
-into memory and look up sorted batches of keys, so scoring needs no memory of
-the model's size and no shuffle.
-
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p1(w), with
-p1(w) = max(k(w) - D1(k(w)), 0) / K + g1 / (V + 1), where k(w) is the number of
-distinct words before w, K their sum, g and g1 what the discounts D, D1 set
-free, and V + 1 the vocabulary and one unknown word. Discounts for counts 1, 2
-and 3 or more come from the counts of counts (Chen and Goodman).
+distinct hashes are the vocabulary, and words get ids, frequent ones first.
+Tasks count trigrams of ids and hand them over in compressed runs, by shards
+that the middle word sets (a frequent one is spread over all shards by the
+word before it). So a shard has what a trigram, its context and its last two
+words need, and is written, as hash tables, to one of the model's files in the
+shared folder. Workers map the files into memory and look up whole blocks of
+keys at once, so scoring needs no memory of the model's size and no shuffle.
+
+p(w | uv) = max(c(uvw) - D3(c(uvw)), 0) / c(uv) + g(uv) p(w | v),
+p(w | v) = max(k(vw) - D2(k(vw)), 0) / k(v) + g(v) p(w),
+p(w) = max(k(w) - D1(k(w)), 0) / K + g / (V + 1), where c counts trigrams and
+c(uv) is their sum; k(vw) is the number of distinct words before vw, k(v) their
+sum, k(w) the number of distinct words before w and K their sum; g is what the
+discounts set free, and V + 1 the vocabulary and one unknown word. Before a
+text's first word stand two starts. Discounts for counts 1, 2 and 3 or more
+come from the counts of counts (Chen and Goodman). Contexts that were never
+seen leave the word to the shorter one.
+
+A table holds 32 bits of a key's hash; its shard and bucket give 8 to 30 more,
+so two keys are mixed up about once in 10**12 lookups.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import shutil
 import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitara.llm.blocks import Block, text_blocks
+from sitara.llm.blocks import Block, mix, text_blocks
 from sitara.llm.common import bounded_batches, materialize, pick_columns, run_dir, shuffle_partitions
+from sitara.llm.common import release as drop
 
-#: The hash that stands for the end of a text (no word has the length that would give it on purpose).
+#: The hash that stands for the end of a text. A word may hash to it, as to any other's, once in 2**64.
 END = np.uint64(0x7C0FFEE123456789)
-#: Contexts with more tokens than a shard's share times this are spread over all shards.
+#: Words in the middle with more tokens than a shard's share times this are spread over all shards.
 SPREAD = 0.25
 #: Counts are handed over whenever so many distinct ones have gathered in a task.
 HELD = 1 << 21
+#: Bytes of text whose keys are looked up at once.
+LOOKUP = 1 << 22
+#: Tokens of a shard, which one task holds in memory; tokens of a file from which on files grow in number; files before that.
+SHARD_TOKENS, FILE_TOKENS, SOME_FILES = 1 << 20, 1 << 26, 64
+#: Words of a file of the vocabulary or of statistics.
+FILE_WORDS = 1 << 21
+#: Entries of a bucket of a hash table, about.
+BUCKET = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,57 +88,185 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     fs.move(rough, path)
 
 
-@lru_cache(maxsize=100_000)
-def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory."""
+def _mapped(uri: str) -> pa.Buffer:
+    """A file's bytes, mapped into memory. Where a store has no mount, workers of a machine share a copy."""
     fs, path = _filesystem(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        source = pa.memory_map(path)
-    else:  # a store without mounts: a local copy that has no name any more and goes with the mapping
-        with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile() as copy:
-            shutil.copyfileobj(f, copy)
-            copy.flush()
-            source = pa.memory_map(copy.name)
-    table = pa.ipc.open_file(source).read_all()
+    if not isinstance(fs, pafs.LocalFileSystem):
+        folder = os.path.join(tempfile.gettempdir(), "sitara-model-files")
+        os.makedirs(folder, exist_ok=True)
+        local = os.path.join(folder, hashlib.sha256(uri.encode()).hexdigest())
+        if not os.path.exists(local):
+            with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(dir=folder, delete=False) as copy:
+                shutil.copyfileobj(f, copy)
+            os.replace(copy.name, local)
+        path = local
+    with pa.memory_map(path) as f:
+        return f.read_buffer()
+
+
+@lru_cache(maxsize=256)
+def map_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped into memory. Only the files used last stay open."""
+    table = pa.ipc.open_file(_mapped(uri)).read_all()
     return {k: (table.column(k).chunk(0).to_numpy() if len(table) else np.zeros(0, table.schema.field(k).type.to_pandas_dtype())) for k in table.column_names}
 
 
+class TableWriter:
+    """A file of hash tables, some kinds for each shard, one shard after another.
+
+    A table is a list of buckets by the high bits of the keys (``off``), and
+    in their order the low 32 bits of the keys and a byte for the value.
+    Values that a byte cannot hold go to the file's index, with their place.
+    """
+
+    def __init__(self, uri: str, kinds: tuple[str, ...]) -> None:
+        self.uri, self.at = uri, 0
+        self.fs, self.path = _filesystem(uri)
+        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+        self.rough = f"{self.path}.{os.getpid()}-{np.random.default_rng().integers(1 << 62)}"
+        self.out = self.fs.open_output_stream(self.rough)
+        self.index: dict[str, list] = {f"{k}_{part}": [] for k in kinds for part in ("shard", "bits", "off", "key", "value", "first", "large_at", "large")}
+        self.count = dict.fromkeys(kinds, 0)
+
+    def _put(self, a: np.ndarray) -> int:
+        at = self.at
+        data = a.tobytes()
+        data += bytes(-len(data) % 8)
+        self.out.write(data)
+        self.at += len(data)
+        return at
+
+    def table(self, kind: str, shard: int, keys: np.ndarray, codes: np.ndarray, large: np.ndarray, values: np.ndarray) -> None:
+        """``codes`` are the values' bytes, ``large`` says which do not fit, ``values`` (rows by entry) are all in full."""
+        bits = max(1, (len(keys) // BUCKET).bit_length())
+        order = np.argsort((keys >> np.uint64(64 - bits) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF)))
+        keys = keys[order]
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        off = np.zeros((1 << bits) + 1, np.uint32)
+        off[1:] = np.cumsum(np.bincount(bucket, minlength=1 << bits))
+        at = np.flatnonzero(large[order])
+        add = lambda part, x: self.index[f"{kind}_{part}"].append(x)
+        add("shard", shard)
+        add("bits", bits)
+        add("off", self._put(off) // 4)
+        add("key", self._put(keys.astype(np.uint32)) // 4)
+        add("value", self._put(codes[order].astype(np.uint8)))
+        add("first", self.count[kind])
+        add("large_at", at + self.count[kind])
+        add("large", values[order][at])
+        self.count[kind] += len(keys)
+
+    def close(self) -> None:
+        self.out.close()
+        arrays = {}
+        for name, xs in self.index.items():
+            wide = name.endswith(("large_at", "large"))
+            arrays[name] = np.concatenate(xs).astype(np.int64) if wide and xs else np.array(xs if not wide else [], dtype=np.int64)
+        held = io.BytesIO()
+        np.savez(held, **arrays)
+        with self.fs.open_output_stream(f"{self.rough}.index") as out:
+            out.write(held.getvalue())
+        self.fs.move(self.rough, self.path)
+        self.fs.move(f"{self.rough}.index", f"{self.path}.index")
+
+
+class TableFile:
+    """Lookups in a file that TableWriter wrote; its tables stay mapped, not read."""
+
+    def __init__(self, uri: str, shards: int) -> None:
+        data = _mapped(uri)
+        self.bytes = np.frombuffer(data, np.uint8)
+        self.words = np.frombuffer(data, np.uint32, count=len(self.bytes) // 4)
+        arrays = np.load(io.BytesIO(_mapped(f"{uri}.index").to_pybytes()))
+        self.kinds: dict[str, dict[str, np.ndarray]] = {}
+        for kind in {name.split("_")[0] for name in arrays.files}:
+            own = {part: arrays[f"{kind}_{part}"] for part in ("bits", "off", "key", "value", "first", "large_at", "large")}
+            at = np.full(shards, -1)
+            at[arrays[f"{kind}_shard"] % shards] = np.arange(len(own["bits"]))
+            self.kinds[kind] = own | {"at": at}
+
+    def find(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are there, their places among the kind's entries, and in the file their bytes); places of others mean nothing."""
+        t = self.kinds[kind]
+        at = t["at"][shard]
+        there = np.flatnonzero(at >= 0)
+        at, keys = at[there], keys[there]
+        off = t["off"][at] + (keys >> (64 - t["bits"][at]).astype(np.uint64)).astype(np.int64)
+        low, end = self.words[off].astype(np.int64), self.words[off + 1].astype(np.int64)
+        key, base, high = keys.astype(np.uint32), t["key"][at], end.copy()
+        for _ in range(int((end - low).max(initial=0)).bit_length()):
+            mid = (low + high) >> 1
+            up = (low < high) & (self.words[np.minimum(base + mid, len(self.words) - 1)] < key)
+            high = np.where(up, high, mid)
+            low = np.where(up, mid + 1, low)
+        hit = low < end
+        hit[hit] = self.words[(base + low)[hit]] == key[hit]
+        there, at, low = there[hit], at[hit], low[hit]
+        return there, t["first"][at] + low, self.bytes[t["value"][at] + low]
+
+    def large(self, kind: str, places: np.ndarray) -> np.ndarray:
+        t = self.kinds[kind]
+        return t["large"][np.searchsorted(t["large_at"], places)]
+
+
+@lru_cache(maxsize=256)
+def table_file(uri: str, shards: int) -> TableFile:
+    return TableFile(uri, shards)
+
+
+def _gram_key(*ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of ids."""
+    key = np.uint64(0x9E3779B97F4A7C15)
+    for x in ids:
+        key = mix(key + x.astype(np.uint64) + np.uint64(1))
+    return key
+
+
 @dataclass(frozen=True)
 class Model:
-    """Where the files lie, and the numbers that all workers need."""
+    """Where the files lie, and the numbers that all workers need.
+
+    ``shards`` of grams, ``per_file`` to a file; vocabulary files by the high
+    bits of a word's hash; statistics by id, ``stat_rows`` to a file.
+    """
 
     path: str
     vocab_shift: int
-    vocab_starts: tuple[int, ...]
-    pair_shards: int
+    vocab_files: frozenset[int]
+    shards: int
+    per_file: int
     stat_rows: int
     vocab: int
     tokens: int
     spread_from: int
-    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    files: frozenset[int] = frozenset()
+    pair_files: frozenset[int] = frozenset()
+    discounts: tuple[tuple[float, float, float], ...] = ()
     unknown: float = 0.0
 
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype("<u4" if self.vocab + 1 < 1 << 32 else "<u8")
+
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and training counts of sorted hashes; -1 and 0 for unknown ones."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        shard = h >> np.uint64(self.vocab_shift)
-        for s, lo, hi in _runs(shard):
-            if self.vocab_starts[s + 1] == self.vocab_starts[s]:
-                continue
-            a = map_arrays(f"{self.path}/vocab-{s}")
-            at = np.searchsorted(a["hash"], h[lo:hi])
-            ok = np.flatnonzero(a["hash"][np.minimum(at, len(a["hash"]) - 1)] == h[lo:hi])
-            ids[lo + ok], counts[lo + ok] = at[ok] + self.vocab_starts[s], a["count"][at[ok]]
+        for s, lo, hi in _runs(h >> np.uint64(self.vocab_shift)):
+            if s in self.vocab_files:
+                a = map_arrays(f"{self.path}/vocab-{s}")
+                at = np.searchsorted(a["hash"], h[lo:hi])
+                ok = np.flatnonzero(a["hash"][np.minimum(at, len(a["hash"]) - 1)] == h[lo:hi])
+                ids[lo + ok], counts[lo + ok] = a["id"][at[ok]], a["count"][at[ok]]
         return ids, counts
 
     @property
     def start(self) -> int:
-        """The id of the context before a text's first token."""
+        """The id of what stands before a text's first token."""
         return self.vocab
 
-    def shard(self, context: np.ndarray, word: np.ndarray, context_count: np.ndarray) -> np.ndarray:
-        spread = np.where(context_count > self.spread_from, word, 0)
-        return (context + spread) % self.pair_shards
+    def shard(self, middle: np.ndarray, beside: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        own, dealt = middle % self.shards, (_gram_key(middle, beside) % np.uint64(self.shards)).astype(np.int64)
+        return np.where(spread, dealt, own)
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -192,110 +339,270 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(h=k.view(np.int64), c=c)
 
 
-def _pair_keys(model: Model, b: Block) -> tuple[np.ndarray, ...]:
-    """Ids and counts of all tokens and of the contexts before them."""
+def _trigrams(model: Model, b: Block) -> tuple[np.ndarray, ...]:
+    """For every token: id, training count, the ids of the two tokens before it, whether the nearer of these is spread; and the ends."""
     h, ends = _tokens(b)
     uniq, inverse = np.unique(h, return_inverse=True)
     ids, counts = model.ids(uniq)
-    word, count = ids[inverse], counts[inverse]
-    context, before = np.empty_like(word), np.empty_like(count)
-    context[1:], before[1:] = word[:-1], count[:-1]
+    w, count = ids[inverse], counts[inverse]
     first = np.concatenate(([0], ends[:-1] + 1))
-    context[first], before[first] = model.start, np.iinfo(np.int64).max
-    return word, count, context, before, ends
+    v, u, spread = np.empty_like(w), np.empty_like(w), np.empty(len(w), bool)
+    v[1:], spread[1:] = w[:-1], count[:-1] > model.spread_from
+    v[first], spread[first] = model.start, True
+    u[1:] = v[:-1]
+    u[first] = model.start
+    return w, count, v, u, spread, ends
+
+
+def _pack(kind: np.dtype, *columns: np.ndarray) -> bytes:
+    """Columns, the first ascending, as a compressed run: differences of the first, and bytes by significance."""
+    ready = [np.diff(columns[0], prepend=0), *columns[1:]]
+    planes = [np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes() for x in ready]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
 
+def _unpack(kind: np.dtype, run: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(run), np.uint8).reshape(columns, kind.itemsize, -1)
+    out = [np.ascontiguousarray(x.T).view(kind).ravel() for x in raw]
+    return [np.cumsum(out[0], dtype=kind), *out[1:]]
 
-def _count_pairs(model: Model):
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+_RUN = "shard int, spread boolean, run binary"
+
+
+def _run_rows(model: Model, shard: np.ndarray, spread: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, spread, run) of columns that are sorted by shard, spread and themselves."""
+    both = shard * 2 + spread
+    rows = [(s // 2, bool(s % 2), _pack(model.kind, *[x[lo:hi] for x in columns])) for s, lo, hi in _runs(both)]
+    if rows:
+        shards, flags, runs = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(flags), pa.array(runs, pa.binary())], names=["shard", "spread", "run"])
+
+
+def _count_trigrams(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def hand_over() -> Iterator[pa.RecordBatch]:
-            k, c = counter.take()
-            # Which contexts are spread is a property of their training count: bit 63 of the key says so.
-            key = k & np.uint64((1 << 63) - 1)
-            context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            shard = (context + np.where(k >> np.uint64(63), word, 0)) % model.pair_shards
-            yield from _rows(shard=shard.astype(np.int32), key=key.view(np.int64), c=c.astype(np.int32))
+            v, u, w, both = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((w, u, v, both))
+            v, u, w, both = v[order], u[order], w[order], both[order]
+            at = _firsts(both, v, u, w)
+            count = np.diff(np.append(at, len(v)))
+            yield from _run_rows(model, both[at].astype(np.int64) // 2, both[at] % 2 == 1, [v[at], u[at], w[at], count])
 
         for batch in batches:
-            for b in text_blocks(batch.column(0), lower=True):
-                word, _, context, before, _ = _pair_keys(model, b)
-                spread = (before > model.spread_from).astype(np.uint64) << np.uint64(63)
-                counter.add((context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64) | spread)
-                if counter.size > HELD:
+            for b in text_blocks(batch.column(0), lower=True, size=LOOKUP):
+                w, _, v, u, spread, _ = _trigrams(model, b)
+                both = (model.shard(v, u, spread) * 2 + spread).astype(np.uint32)
+                held.append((v.astype(model.kind), u.astype(model.kind), w.astype(model.kind), both))
+                size += len(w)
+                if size > HELD:
                     yield from hand_over()
-        if counter.size:
+                    held, size = [], 0
+        if held:
             yield from hand_over()
 
     return run
 
 
-def _write_vocab(path: str, shift: int):
-    """Writes a vocabulary shard for each run of rows; gives its length and tokens."""
+def _write_vocab(path: str, shift: int, starts: dict[tuple[int, int], int], kind: np.dtype):
+    """Writes a vocabulary file for each run of rows (hash, count) in order of hash; ids go on from ``starts`` by file and class."""
+
+    def write(s: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        level, ids = _level(c), np.zeros(len(h), kind)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            ids[at] = starts[s, int(k)] + np.arange(len(at))
+        write_arrays(f"{path}/vocab-{s}", {"hash": h, "count": c, "id": ids})
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        for s, lo, hi in _runs(h >> np.uint64(shift)):
-            write_arrays(f"{path}/vocab-{s}", {"hash": h[lo:hi], "count": c[lo:hi]})
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([hi - lo], pa.int64()), pa.array([int(c[lo:hi].sum())], pa.int64())], names=["shard", "n", "tokens"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = -1
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for s, lo, hi in _runs(h >> np.uint64(shift)):
+                if s != now and held:
+                    yield write(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                now = s
+                held.append((h[lo:hi], c[lo:hi]))
+        if held:
+            yield write(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-_PAIR_STATS = "id long, total long, n1 long, n2 long, n3 long, k long"
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Classes of frequency: the whole part of the binary logarithm."""
+    return np.frexp(counts.astype(np.float64))[1] - 1
 
 
-def _write_pairs(path: str):
-    """Writes a pair shard for each shard of a partition; gives partial statistics by id.
+_PART = "id long, total long, n1 long, n2 long, n3 long, k long, shard int, spread boolean, run binary"
+_STATS = ("total", "n1", "n2", "n3", "k")
 
-    Rows with id -1 to -4 hold, as ``total``, the pairs that occur 1 to 4 times.
+
+class _Parts:
+    """Partial statistics of words, by id, handed over when many have gathered. Ids below zero hold counts of counts."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, **values: np.ndarray) -> None:
+        rows = np.zeros((len(ids), 6), np.int64)
+        rows[:, 0] = ids
+        for name, x in values.items():
+            rows[:, 1 + _STATS.index(name)] = x
+        self.held.append(rows)
+        self.size += len(rows)
+
+    def coc(self, counts: np.ndarray, order: int) -> None:
+        """Counts of the counts 1 to 4 of an order, under -1 to -4 (order 3) or -5 to -8 (order 2)."""
+        self.add(-np.arange(1, 5) - (4 if order == 2 else 0), total=np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
+
+    def pairs(self, v: np.ndarray, w: np.ndarray, k: np.ndarray) -> None:
+        """Sorted pairs with the numbers of distinct words before them."""
+        if not len(v):
+            return
+        self.coc(k, 2)
+        at = _firsts(v)
+        sums = [np.add.reduceat(x.astype(np.int64), at) for x in (k, k == 1, k == 2, k >= 3)]
+        self.add(v[at], **dict(zip(_STATS[:4], sums, strict=True)))
+        ids, n = np.unique(w, return_counts=True)
+        self.add(ids, k=n)
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        rows = np.concatenate(self.held)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        at = _firsts(rows[:, 0])
+        sums = np.add.reduceat(rows, at, axis=0)
+        sums[:, 0] = rows[at, 0]
+        self.held, self.size = [], 0
+        n = len(sums)
+        for lo in range(0, n, 1 << 17):
+            part = sums[lo : lo + (1 << 17)]
+            none = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.bool_()), pa.nulls(len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(part[:, i])) for i in range(6)], *none], names=["id", *_STATS, "shard", "spread", "run"])
+
+
+def _byte(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.minimum(values, 255), values >= 255, values.reshape(-1, 1)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bool, bytes]]]]:
+    """(shard, its runs) of rows that come sorted by shard."""
+    now, held = -1, []
+    for batch in batches:
+        for s, spread, run in zip(batch.column("shard").to_pylist(), batch.column("spread").to_pylist(), batch.column("run"), strict=True):
+            if s != now and held:
+                yield now, held
+                held = []
+            now = s
+            held.append((spread, run.as_py()))
+    if held:
+        yield now, held
+
+
+def _write_grams(model: Model, pairs_only: bool):
+    """Writes the tables of shards that come one after another; gives partial statistics, and the pairs of spread words as runs for their own shards.
+
+    With ``pairs_only`` the runs are those pairs: (first word, second word, distinct words before).
     """
+    name, kinds, columns = ("pairs", ("big",), 3) if pairs_only else ("grams", ("tri", "ctx", "big"), 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(np.int64)) for b in batches]
-        if not parts:
-            return
-        shards, keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(shards, kind="stable")
-        shards, keys, counts = shards[order], keys[order], counts[order]
-        for s, lo, hi in _runs(shards):
-            k, c = merge(keys[lo:hi], counts[lo:hi])
-            write_arrays(f"{path}/pairs-{s}", {"key": k, "count": c.astype(np.uint32) if c.max() < 1 << 32 else c})
-            context, word = (k >> np.uint64(32)).astype(np.int64), np.sort((k & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            sums = [np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c >= 3)]
-            wat = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            before = np.diff(np.concatenate((wat, [len(word)])))
-            zero = lambda n: np.zeros(n, np.int64)
-            yield from _rows(**dict(zip(("id", "total", "n1", "n2", "n3", "k"), [context[at], *sums, zero(len(at))], strict=True)))
-            yield from _rows(**dict(zip(("id", "total", "n1", "n2", "n3", "k"), [word[wat], *[zero(len(wat))] * 4, before], strict=True)))
-            coc = np.array([np.count_nonzero(c == j) for j in (1, 2, 3, 4)], np.int64)
-            yield from _rows(**dict(zip(("id", "total", "n1", "n2", "n3", "k"), [-np.arange(1, 5), coc, *[zero(4)] * 4], strict=True)))
+        writer, file, parts = None, -1, _Parts()
+        for shard, runs in _by_shard(batches):
+            if shard // model.per_file != file:
+                if writer:
+                    writer.close()
+                file = shard // model.per_file
+                writer = TableWriter(f"{model.path}/{name}-{file}", kinds)
+            got = [(spread, _unpack(model.kind, r, columns)) for spread, r in runs]
+            cols = [np.concatenate(x) for x in zip(*(c for _, c in got), strict=True)]
+            order = np.lexsort(cols[-2::-1])
+            cols = [x[order] for x in cols]
+            at = _firsts(*cols[:-1])
+            n = np.add.reduceat(cols[-1].astype(np.int64), at)
+            grams = [x[at].astype(np.int64) for x in cols[:-1]]
+            if pairs_only:
+                writer.table("big", shard, _gram_key(*grams), *_byte(n))
+                parts.pairs(*grams, n)
+            else:
+                yield from _trigram_tables(model, writer, parts, shard, grams, n, np.unique(np.concatenate([c[0] for spread, c in got if spread] or [np.zeros(0, model.kind)])))
+            if parts.size > HELD // 4:
+                yield from parts.take()
+        if writer:
+            writer.close()
+        yield from parts.take()
 
     return run
 
 
+def _trigram_tables(model: Model, writer: TableWriter, parts: _Parts, shard: int, grams: list[np.ndarray], n: np.ndarray, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+    v, u, w = grams
+    writer.table("tri", shard, _gram_key(v, u, w), *_byte(n))
+    parts.coc(n, 3)
+    at = _firsts(v, u)
+    full = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
+    # Most contexts have few followers, seen once or twice: five bits for the ones, three for the twos; zero stands for all others.
+    code = np.where((full[:, 3] == 0) & (full[:, 1] < 32) & (full[:, 2] < 8), full[:, 1] + 32 * full[:, 2], 0)
+    writer.table("ctx", shard, _gram_key(v[at], u[at]), code, code == 0, full)
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    at = _firsts(v, w)
+    k = np.diff(np.append(at, len(v)))
+    v, w = v[at], w[at]
+    far = np.isin(v, spread)
+    near = ~far
+    writer.table("big", shard, _gram_key(v[near], w[near]), *_byte(k[near]))
+    parts.pairs(v[near], w[near], k[near])
+    if far.any():
+        v, w, k = v[far], w[far], k[far]
+        to = model.shard(v, w, np.ones(len(v), bool))
+        order = np.lexsort((w, v, to))
+        for b in _run_rows(model, to[order], np.ones(len(to), bool), [v[order], w[order], k[order]]):
+            none = [pa.nulls(len(b), pa.int64())] * 6
+            yield pa.RecordBatch.from_arrays([*none, *b.columns], names=["id", *_STATS, "shard", "spread", "run"])
+
+
 def _write_stats(path: str, rows: int):
-    """Writes blocks of ``rows`` statistics by id: what a context multiplies and adds, and p1."""
+    """Writes blocks of ``rows`` statistics, which come in order of id: what a context multiplies and adds, and p(w)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-        if not parts:
-            return
+    def write(s: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         ids, total, free, p1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(ids)
-        ids, total, free, p1 = ids[order], total[order], free[order], p1[order]
-        for s, lo, hi in _runs(ids // rows):
-            a = {n: np.full(rows, v) for n, v in (("total", 0.0), ("free", 1.0), ("p1", np.nan))}
-            at = ids[lo:hi] - s * rows
-            a["total"][at], a["free"][at], a["p1"][at] = total[lo:hi], free[lo:hi], p1[lo:hi]
-            write_arrays(f"{path}/stats-{s}", a)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
+        a = {n: np.full(rows, v) for n, v in (("total", 0.0), ("free", 1.0), ("p1", np.nan))}
+        at = ids - s * rows
+        a["total"][at], a["free"][at], a["p1"][at] = total, free, p1
+        write_arrays(f"{path}/stats-{s}", a)
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["file"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            for s, lo, hi in _runs(cols[0] // rows):
+                if s != now and held:
+                    yield write(now, held)
+                    held = []
+                now = s
+                held.append(tuple(c[lo:hi] for c in cols))
+        if held:
+            yield write(now, held)
 
     return run
 
@@ -303,16 +610,31 @@ def _write_stats(path: str, rows: int):
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Chen and Goodman's discounts from the counts of counts 1 to 4.
 
-    Where these give no discount between 0 and the count (tiny or odd data),
-    0.5, 1 and 1.5 stand in.
+    They suppose that counts of counts fall smoothly. Where they do not (tiny
+    data, or a corpus whose documents come in pairs, which has few threes for
+    its twos) a discount may leave its bounds, 0 and the count, or leave less of
+    a greater count than of a smaller one; 0.5, 1 and 1.5 stand in for all
+    three then, so what is seen more often always weighs more.
     """
     n1, n2, n3, n4 = (float(x) for x in n)
     out = []
     y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
     for j, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
-        d = j - (j + 1) * y * b / a if a else -1.0
-        out.append(d if 0 < d < j else j / 2)
-    return out[0], out[1], out[2]
+        out.append(j - (j + 1) * y * b / a if a else -1.0)
+    left = [j - d for j, d in enumerate(out, 1)]
+    if all(0 < x < j for j, x in enumerate(left, 1)) and left == sorted(left):
+        return out[0], out[1], out[2]
+    return 0.5, 1.0, 1.5
+
+
+def _layout(tokens: int, parts: int) -> tuple[int, int]:
+    """(files, shards to a file): shards of bounded size, and files whose number grows with the tokens but slowly."""
+    files = max(1, -(-tokens // FILE_TOKENS), min(parts, SOME_FILES, -(-tokens // (4 * SHARD_TOKENS))))
+    return files, max(1, -(-tokens // (files * SHARD_TOKENS)))
+
+
+def _free(d: tuple[float, float, float], total: Column) -> Column:
+    return F.when(total > 0, (F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / total).otherwise(F.lit(1.0))
 
 
 def train(texts: DataFrame) -> Model:
@@ -322,35 +644,53 @@ def train(texts: DataFrame) -> Model:
     that knows no word and scores every token 1 (probability of its one unknown word).
     """
     spark = bounded_batches(texts).sparkSession
-    path, parts = run_dir(spark, "lm"), shuffle_partitions(spark)
-    bits = max(1, (parts - 1).bit_length())
-    shift = 64 - bits
-    words = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    dealt = words.repartition(parts, F.shiftrightunsigned("h", shift))
-    made = {r["shard"]: r for r in dealt.mapInArrow(_write_vocab(path, shift), "shard int, n long, tokens long").collect()}
-    starts = np.concatenate(([0], np.cumsum([made[s]["n"] if s in made else 0 for s in range(1 << bits)]))).tolist()
-    vocab, tokens = int(starts[-1]), sum(r["tokens"] for r in made.values())
-    if vocab >= 1 << 31:
-        raise ValueError("pair keys hold 2**31 distinct words; this corpus has more")
-    block = max(1, -(-(vocab + 1) // parts))
-    model = Model(path, shift, tuple(starts), parts, block, vocab, tokens, int(SPREAD * tokens / parts))
-    pairs = texts.mapInArrow(_count_pairs(model), "shard int, key long, c int").repartition(parts, "shard")
-    partial = pairs.mapInArrow(_write_pairs(path), _PAIR_STATS)
-    stats = materialize(partial.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "k")]), "lm-stats")
-    coc = {r["id"]: r["total"] for r in stats.where("id < 0").collect()}
+    path = run_dir(spark, "lm")
+    words = materialize(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
+    size = words.agg(F.count("*").alias("vocab"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
+    bits = max(1, (-(-size.vocab // FILE_WORDS) - 1).bit_length())
+    shift, files = 64 - bits, 1 << bits
+    words = words.withColumn("file", F.shiftrightunsigned("h", shift).cast("int"))
+    # Ids by class of frequency, then by file: a row for each of both reaches the driver.
+    level = F.length(F.bin("c")) - 1
+    starts, at = {}, 0
+    for r in sorted(words.groupBy("file", level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: (-r.level, r.file)):
+        starts[r.file, r.level] = at
+        at += r.n
+    model = Model(path, shift, frozenset(), 1, 1, 1, size.vocab, size.tokens, 0)
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    dealt = words.repartition(files, "file").sortWithinPartitions(unsigned).select("h", "c")
+    vocab_files = frozenset(r.file for r in dealt.mapInArrow(_write_vocab(path, shift, starts, model.kind), "file int").collect())
+    gram_files, per_file = _layout(size.tokens, shuffle_partitions(spark))
+    stat_files = max(1, -(-(size.vocab + 1) // FILE_WORDS))
+    shards = gram_files * per_file
+    model = replace(model, vocab_files=vocab_files, shards=shards, per_file=per_file, stat_rows=-(-(size.vocab + 1) // stat_files), spread_from=int(SPREAD * size.tokens / shards))
+    drop(words)
+    in_files = lambda runs: runs.repartition(gram_files, F.floor(F.col("shard") / per_file)).sortWithinPartitions("shard")
+    runs = texts.mapInArrow(_count_trigrams(model), _RUN)
+    part = materialize(in_files(runs).mapInArrow(_write_grams(model, False), _PART), "lm-parts")
+    far = part.where("run IS NOT NULL").select("shard", "spread", "run")
+    more = materialize(in_files(far).mapInArrow(_write_grams(model, True), _PART), "lm-pair-parts")
+    of_file = F.floor(F.col("shard") / per_file).alias("file")
+    pair_files = frozenset(int(r.file) for r in far.select(of_file).distinct().collect())
+    sums = part.where("run IS NULL").union(more).groupBy("id").agg(*[F.sum(c).alias(c) for c in _STATS])
+    stats = materialize(sums, "lm-stats")
+    drop(part), drop(more)
+    coc = {r.id: r.total for r in stats.where("id < 0").collect()}
     real = stats.where("id >= 0")
     lower = real.agg(*[F.coalesce(F.count_if(F.col("k") == j), F.lit(0)).alias(f"k{j}") for j in (1, 2, 3, 4)], F.count_if(F.col("k") >= 3).alias("many"), F.sum("k").alias("K")).first()
-    d = discounts([coc.get(-j, 0) for j in (1, 2, 3, 4)])
+    d3, d2 = (discounts([coc.get(-j - shift_, 0) for j in (1, 2, 3, 4)]) for shift_ in (0, 4))
     d1 = discounts([lower[f"k{j}"] for j in (1, 2, 3, 4)])
     K = float(lower["K"] or 0)
     free1 = (d1[0] * lower["k1"] + d1[1] * lower["k2"] + d1[2] * lower["many"]) / K if K else 1.0
-    unknown = free1 / (vocab + 1)
+    unknown = free1 / (size.vocab + 1)
     cut = F.when(F.col("k") >= 3, F.lit(d1[2])).when(F.col("k") == 2, F.lit(d1[1])).when(F.col("k") == 1, F.lit(d1[0])).otherwise(F.lit(0.0))
     p1 = (F.col("k") - cut) / F.lit(max(K, 1.0)) + F.lit(unknown)
-    free = F.when(F.col("total") > 0, (F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("total")).otherwise(F.lit(1.0))
-    final = real.select("id", F.col("total").cast("double").alias("total"), free.alias("free"), p1.alias("p1"))
-    final.repartition(parts, F.floor(F.col("id") / block)).mapInArrow(_write_stats(path, block), "shard int").count()
-    return Model(path, shift, tuple(starts), parts, block, vocab, tokens, model.spread_from, d, unknown)
+    final = real.select("id", F.col("total").cast("double").alias("total"), _free(d2, F.col("total")).alias("free"), p1.alias("p1"))
+    final = final.repartition(stat_files, F.floor(F.col("id") / model.stat_rows)).sortWithinPartitions("id")
+    final.mapInArrow(_write_stats(path, model.stat_rows), "file int").count()
+    drop(stats)
+    gram_set = frozenset(range(gram_files)) if size.tokens else frozenset()
+    return replace(model, files=gram_set, pair_files=pair_files, discounts=(d3, d2), unknown=unknown)
 
 
 # --- scoring -----------------------------------------------------------------
@@ -367,32 +707,74 @@ def _stat(model: Model, ids: np.ndarray, names: tuple[str, ...]) -> list[np.ndar
     return out
 
 
-def _probabilities(model: Model, word: np.ndarray, context: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """p(word | context) of every token."""
-    known, where = np.unique(word, return_inverse=True)
+def _lookup(model: Model, name: str, kind: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+    """Values (rows of ``width`` numbers) of keys; zeros for those that no table holds."""
+    out = np.zeros((len(keys), width), np.int64)
+    file = shard // model.per_file
+    order = np.lexsort((keys, file))
+    for f, lo, hi in _runs(file[order]):
+        if f not in (model.files if name == "grams" else model.pair_files):
+            continue
+        at = order[lo:hi]
+        try:
+            t = table_file(f"{model.path}/{name}-{f}", model.per_file)
+        except FileNotFoundError:  # no gram fell to the file
+            continue
+        hit, places, code = t.find(kind, shard[at] % model.per_file, keys[at])
+        code = code.astype(np.int64)
+        if kind == "ctx":
+            ones, twos = code & 31, code >> 5
+            values, large = np.stack([ones + 2 * twos, ones, twos, np.zeros_like(ones)], axis=1), code == 0
+        else:
+            values, large = code.reshape(-1, 1), code == 255
+        if large.any():
+            values[large] = t.large(kind, places[large])
+        out[at[hit]] = values
+    return out
+
+
+def _follow(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return count - np.array([0.0, *d])[np.minimum(count, 3)]
+
+
+def _probabilities(model: Model, w: np.ndarray, v: np.ndarray, u: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """p(w | uv) of every token."""
+    d3, d2 = model.discounts
+    known, where = np.unique(w, return_inverse=True)
     p1 = np.full(len(known), model.unknown)
-    ok = known >= 0
-    p1[ok] = _stat(model, known[ok], ("p1",))[0]
+    p1[known >= 0] = _stat(model, known[known >= 0], ("p1",))[0]
     p = p1[where]
-    seen, at = np.unique(context, return_inverse=True)
+    seen, where = np.unique(v, return_inverse=True)
     total, free = np.zeros(len(seen)), np.ones(len(seen))
-    ok = seen >= 0
-    total[ok], free[ok] = _stat(model, seen[ok], ("total", "free"))
-    total, free = total[at], free[at]
-    count = np.zeros(len(word))
-    both = np.flatnonzero((word >= 0) & (context >= 0) & (total > 0))
-    if len(both):
-        key = (context[both].astype(np.uint64) << np.uint64(32)) | word[both].astype(np.uint64)
-        shard = model.shard(context[both], word[both], before[both])
-        order = np.lexsort((key, shard))
-        key, shard, at = key[order], shard[order], both[order]
-        for s, lo, hi in _runs(shard):
-            a = map_arrays(f"{model.path}/pairs-{s}")
-            found = np.searchsorted(a["key"], key[lo:hi])
-            found[found == len(a["key"])] = 0
-            count[at[lo:hi]] = np.where(a["key"][found] == key[lo:hi], a["count"][found], 0)
-    d = np.array([0.0, *model.discounts])[np.minimum(count, 3).astype(np.int64)]
-    return np.where(total > 0, (count - d) / np.maximum(total, 1.0) + free * p, p)
+    total[seen >= 0], free[seen >= 0] = _stat(model, seen[seen >= 0], ("total", "free"))
+    total, free = total[where], free[where]
+    # Pairs: each distinct one is looked up once. Those of spread first words lie in files of their own.
+    both = np.flatnonzero((w >= 0) & (v >= 0) & (total > 0))
+    keys, first, where = np.unique(_gram_key(v[both], w[both]), return_index=True, return_inverse=True)
+    at = both[first]
+    k = np.zeros(len(keys), np.int64)
+    for name, flag in (("grams", False), ("pairs", True)):
+        own = np.flatnonzero(spread[at] == flag)
+        k[own] = _lookup(model, name, "big", model.shard(v[at[own]], w[at[own]], spread[at[own]]), keys[own], 1)[:, 0]
+    count = np.zeros(len(w), np.int64)
+    count[both] = k[where]
+    p = np.where(total > 0, _follow(count, d2) / np.maximum(total, 1.0) + free * p, p)
+    # Contexts of two words, then the trigrams of those that were seen.
+    both = np.flatnonzero((u >= 0) & (v >= 0))
+    keys, first, where = np.unique(_gram_key(v[both], u[both]), return_index=True, return_inverse=True)
+    at = both[first]
+    found = _lookup(model, "grams", "ctx", model.shard(v[at], u[at], spread[at]), keys, 4)
+    sums = np.maximum(found[:, 0], 1)
+    leave = (found[:, 1:] @ np.array(d3)) / sums
+    total, free = np.zeros(len(w), np.int64), np.ones(len(w))
+    total[both], free[both] = found[where, 0], leave[where]
+    whole = np.flatnonzero((total > 0) & (w >= 0))
+    keys, first, where = np.unique(_gram_key(v[whole], u[whole], w[whole]), return_index=True, return_inverse=True)
+    at = whole[first]
+    count[:] = 0
+    count[whole] = _lookup(model, "grams", "tri", model.shard(v[at], u[at], spread[at]), keys, 1)[where, 0]
+    return np.where(total > 0, _follow(count, d3) / np.maximum(total, 1) + free * p, p)
 
 
 SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -400,14 +782,14 @@ SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 def _score_batch(model: Model, texts: pa.Array) -> pa.StructArray:
     parts: list[list[np.ndarray]] = [[], [], [], []]
-    for b in text_blocks(texts, lower=True):
+    for b in text_blocks(texts, lower=True, size=LOOKUP):
         if not model.vocab:
             ends = b.first[1:] + np.arange(b.n)
-            word = np.full(len(b.starts) + b.n, -1)
-            logs, base, count = np.zeros(len(word)), np.zeros(len(word)), np.zeros(len(word))
+            n = len(b.starts) + b.n
+            logs, base, count = np.zeros(n), np.zeros(n), np.zeros(n)
         else:
-            word, count, context, before, ends = _pair_keys(model, b)
-            logs = np.log10(_probabilities(model, word, context, before))
+            w, count, v, u, spread, ends = _trigrams(model, b)
+            logs = np.log10(_probabilities(model, w, v, u, spread))
             base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.vocab + 1)))
         begins = np.concatenate(([0], ends[:-1] + 1))
         parts[0].append(ends + 1 - begins)

@@ -188,40 +188,52 @@ def test_copies_with_small_blocks(spark, monkeypatch):
 
 
 def _kneser_ney(train: list[list], score: list[list]) -> tuple[list[float], int, int]:
-    uni, bi = Counter(x for s in train for x in s), Counter()
+    uni, tri = Counter(x for s in train for x in s), Counter()
     for s in train:
-        bi.update(zip(["<s>", *s], s, strict=False))
-    d2 = lm.discounts([sum(v == j for v in bi.values()) for j in (1, 2, 3, 4)])
-    before = Counter(x for _, x in bi)
-    d1 = lm.discounts([sum(v == j for v in before.values()) for j in (1, 2, 3, 4)])
-    total, free, K = Counter(), Counter(), sum(before.values())
-    for (p, _), n in bi.items():
-        total[p] += n
-        free[p] += d2[min(n, 3) - 1]
-    free1 = sum(d1[min(n, 3) - 1] for n in before.values()) / K
-
-    def p1(x):
-        return (max(before[x] - d1[min(before[x], 3) - 1], 0) / K if before[x] else 0) + free1 / (len(uni) + 1)
-
-    def prob(p, x):
-        if not total[p]:
-            return p1(x)
-        n = bi[p, x]
-        return (n - d2[min(n, 3) - 1] if n else 0) / total[p] + free[p] / total[p] * p1(x)
-
-    for p in list(total)[:20]:
-        assert sum(prob(p, x) for x in uni) + prob(p, "never seen") == pytest.approx(1)
-    return [sum(math.log10(prob(p, x)) for p, x in zip(["<s>", *s], s, strict=False)) for s in score], sum(uni.values()), len(uni)
-
-
-def test_language_model(spark):
-    texts = list(enumerate(_texts()))
+        padded = ["<s>", "<s>", *s]
+        tri.update(zip(padded, padded[1:], padded[2:], strict=False))
+    bi = Counter((v, w) for _, v, w in tri)
+    one = Counter(w for _, w in bi)
+    d3, d2, d1 = (lm.discounts([sum(n == j for n in c.values()) for j in (1, 2, 3, 4)]) for c in (tri, bi, one))
+    total3, free3, total2, free2, K = Counter(), Counter(), Counter(), Counter(), sum(one.values())
+    for (u, v, _), n in tri.items():
+        total3[u, v] += n
+        free3[u, v] += d3[min(n, 3) - 1]
+    for (v, _), n in bi.items():
+        total2[v] += n
+        free2[v] += d2[min(n, 3) - 1]
+    free1 = sum(d1[min(n, 3) - 1] for n in one.values()) / K
+
+    def level(n, total, free, d, lower):
+        return (n - d[min(n, 3) - 1] if n else 0) / total + free / total * lower if total else lower
+
+    def prob(u, v, w):
+        p = (max(one[w] - d1[min(one[w], 3) - 1], 0) / K if one[w] else 0) + free1 / (len(uni) + 1)
+        return level(tri[u, v, w], total3[u, v], free3[u, v], d3, level(bi[v, w], total2[v], free2[v], d2, p))
+
+    for u, v in [*list(total3)[:20], ("never", "seen"), ("never", next(iter(uni)))]:
+        assert sum(prob(u, v, x) for x in uni) + prob(u, v, "never seen") == pytest.approx(1)
+    logs = []
+    for s in score:
+        padded = ["<s>", "<s>", *s]
+        logs.append(sum(math.log10(prob(*x)) for x in zip(padded, padded[1:], padded[2:], strict=False)))
+    return logs, sum(uni.values()), len(uni)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model(spark, monkeypatch, small):
+    """Scores are those of the plain model; also with many files, shards, spread words and hand-overs."""
+    if small:
+        for name, value in (("SHARD_TOKENS", 300), ("FILE_TOKENS", 1500), ("FILE_WORDS", 16), ("HELD", 400), ("LOOKUP", 2000), ("SPREAD", 0.05), ("BUCKET", 2)):
+            monkeypatch.setattr(lm, name, value)
+    texts = list(enumerate(_texts() + ["common word here " * 400]))
     docs = _docs(spark, texts)
     toks = {d: [*WORDS.findall(_lower(t or "")), None] for d, t in texts}
     seen = [d for d, _ in texts if zlib.crc32(str(d).encode()) % 5 != 1]
     want, n, vocab = _kneser_ney([toks[d] for d in seen], [toks[d] for d, _ in texts])
     model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))).select("text"))
     assert (model.tokens, model.vocab) == (n, vocab)
+    assert not small or (len(model.files) > 5 and model.per_file > 1 and len(model.vocab_files) > 1 and len(model.pair_files) > 1)
     uni = Counter(x for d in seen for x in toks[d])
     got = {r.doc_id: r for r in lm.score(docs, model).collect()}
     for (d, _), w in zip(texts, want, strict=True):
@@ -232,6 +244,36 @@ def test_language_model(spark):
     lm.release(spark, model)
 
 
+def test_tables_of_grams(tmp_path):
+    """Every key is found with its value, large ones too; others are not."""
+    rng = np.random.default_rng(3)
+    uri = str(tmp_path / "grams-0")
+    writer = lm.TableWriter(uri, ("tri", "ctx"))
+    want = {}
+    for shard, n in ((0, 0), (2, 1), (3, 5000)):
+        keys = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        values = np.where(rng.random(n) < 0.01, rng.integers(255, 10**9, n), rng.integers(1, 255, n))
+        want[shard] = keys, values
+        writer.table("tri", shard, keys, *lm._byte(values))
+    writer.close()
+    t = lm.TableFile(uri, 4)
+    for shard, (keys, values) in want.items():
+        hit, places, code = t.find("tri", np.full(len(keys), shard), keys)
+        assert hit.tolist() == list(range(len(keys)))
+        got = code.astype(np.int64)
+        got[got == 255] = t.large("tri", places[got == 255])[:, 0] if (got == 255).any() else 0
+        assert got.tolist() == values[hit].tolist()
+        assert not len(t.find("tri", np.full(len(keys), shard), keys ^ np.uint64(2))[0])
+    assert not len(t.find("tri", np.array([1]), np.array([5], np.uint64))[0]) and not len(t.find("ctx", np.array([0]), np.array([5], np.uint64))[0])
+
+
+def test_runs_of_columns():
+    rng = np.random.default_rng(5)
+    for kind in (np.dtype("<u4"), np.dtype("<u8")):
+        cols = [np.sort(rng.integers(0, 1 << 31, 1000)).astype(kind), *[rng.integers(0, 1 << 31, 1000).astype(kind) for _ in range(2)]]
+        assert all(np.array_equal(a, b) for a, b in zip(cols, lm._unpack(kind, lm._pack(kind, *cols), 3), strict=True))
+
+
 def test_language_model_of_nothing(spark):
     docs = _docs(spark, [(1, "a b"), (2, None)])
     model = lm.train(docs.select("text").limit(0))
@@ -246,6 +288,17 @@ def test_language_model_beats_unigrams_on_held_out_text(spark, sf_dir):
     assert r.s > r.b
 
 
+def test_repeated_texts_score_higher(spark, sf_dir):
+    """A text that the model learnt twice scores above what words in its length usually score."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    learnt = docs.where(~lm.held_out(F.col("doc_id")))
+    scored = lm.score(docs, lm.train(learnt.union(learnt.where("doc_id % 9 = 0")).select("text")))
+    rate = scored.where("n_tokens > 50").select("doc_id", (F.col("score") / F.col("n_tokens")).alias("r"))
+    known = rate.where(~lm.held_out(F.col("doc_id")))
+    once, twice = (known.where(x).agg(F.percentile_approx("r", 0.5)).first()[0] for x in ("doc_id % 9 <> 0", "doc_id % 9 = 0"))
+    assert twice > once > rate.where(lm.held_out(F.col("doc_id"))).agg(F.percentile_approx("r", 0.5)).first()[0]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     public_tokenizers = pytest.importorskip("public_tokenizers")
