@@ -19,8 +19,8 @@ text's first word stand two starts. Discounts for counts 1, 2 and 3 or more
 come from the counts of counts (Chen and Goodman). Contexts that were never
 seen leave the word to the shorter one.
 
-A table holds 32 bits of a key's hash; its shard and bucket give 8 to 30 more,
-so two keys are mixed up about once in 10**12 lookups.
+A table holds 32 bits of a key's hash in buckets of about eight, so a key that
+is not there is taken for another once in 500 million lookups.
 """
 
 from __future__ import annotations

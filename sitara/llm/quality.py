@@ -128,6 +128,17 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
+@dataclass(frozen=True)
+class Certificate:
+    """What proves some cutoffs: of ``n`` good texts of the strata, ``k`` are rejected; so few have this probability at most if more than ALPHA were."""
+
+    strata: tuple[str | None, ...]
+    cutoffs: dict[str, float]
+    n: int
+    k: int
+    tail: float
+
+
 @dataclass(frozen=True)
 class Cutoffs:
     """Cutoffs by (stratum, rule) for the strata in ``own``, which have a proof of their own; ``rest`` by rule, proved on a pool, for all others."""
@@ -135,6 +146,7 @@ class Cutoffs:
     at: dict[tuple[str | None, str], float] = field(default_factory=dict)
     own: frozenset[str | None] = frozenset()
     rest: dict[str, float] = field(default_factory=dict)
+    certificates: tuple[Certificate, ...] = ()
 
     def rejects(self, stratum: Column) -> Column:
         out = F.lit(False)
@@ -214,8 +226,8 @@ def fewest(alpha: float, delta: float) -> float:
     return math.log(delta) / math.log1p(-alpha)
 
 
-def _cutoffs(c: Counted, inside: np.ndarray, alpha: float, delta: float) -> dict[str, float] | None:
-    """Certified cutoffs by rule for the strata of the rows ``inside``; None if the labels are too few for a proof."""
+def _cutoffs(c: Counted, inside: np.ndarray, alpha: float, delta: float) -> Certificate | None:
+    """Certified cutoffs by rule for the strata of the rows ``inside``, with their proof; None if the labels are too few for one."""
     own, others = c.pick(inside), c.pick(~inside)
     if others.total(True) >= fewest(alpha, delta):
         proof, learn = own, c.pick(~inside | ~c.good)
@@ -223,18 +235,23 @@ def _cutoffs(c: Counted, inside: np.ndarray, alpha: float, delta: float) -> dict
         proof, learn = own.pick((own.half == 1) | ~own.good), c.pick(~inside | ~c.good | (c.half == 0))
     if proof.total(True) < fewest(alpha, delta):
         return None
-    if (state := certify(proof, nested_path(learn, alpha), alpha, delta)) is None:
-        return {}
-    return {rule: ladder[i] for (rule, ladder), i in zip(LADDERS.items(), state.tolist(), strict=True) if i >= 0}
+    state = certify(proof, nested_path(learn, alpha), alpha, delta)
+    if state is None:
+        state = np.full(len(LADDERS), -1)
+    n, k = proof.total(True), proof.hit(state, True)
+    strata = tuple(sorted(set(c.stratum[inside].tolist()), key=lambda s: (s is None, s or "")))
+    cuts = {rule: ladder[i] for (rule, ladder), i in zip(LADDERS.items(), state.tolist(), strict=True) if i >= 0}
+    return Certificate(strata, cuts, n, k, binomial_tail(k, n, alpha))
 
 
 def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> Cutoffs:
     """Choose cutoffs from ``measured`` (doc_id, stratum, m) and ``labels`` (doc_id, quality).
 
-    Every labelled row counts. A document labelled twice is good only if all
-    its labels are; null ids or qualities are ignored. What reaches the driver
-    is a count for each stratum and combination of levels. Strata without
-    labels fall under the pooled cutoffs.
+    Every labelled text counts, and once: copies are no trials of their own.
+    A text labelled twice is good only if all its labels are; null ids or
+    qualities are ignored. What reaches the driver is a count for each stratum
+    and combination of levels. Strata without labels fall under the pooled
+    cutoffs.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     levels = {}
@@ -243,35 +260,40 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
         for cut in LADDERS[rule]:
             above = above + (value > cut).cast("int")
         levels[rule] = F.lit(len(LADDERS[rule])) - above
-    held = measured.where(~base_failed()).select("doc_id", F.col(stratum).cast("string").alias("stratum"), *[v.alias(r) for r, v in levels.items()])
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")
-    rows = held.join(marks, "doc_id").groupBy("stratum", "good", half, *LADDERS).agg(F.count("*").alias("n")).collect()
+    held = measured.where(~base_failed()).select("doc_id", "text_key", F.col(stratum).cast("string").alias("stratum"), *[v.alias(r) for r, v in levels.items()])
+    texts = held.join(marks, "doc_id").groupBy("stratum", "text_key", *LADDERS).agg(F.min("good").alias("good"))
+    half = F.pmod(F.xxhash64("text_key"), F.lit(2)).alias("half")
+    rows = texts.groupBy("stratum", "good", half, *LADDERS).agg(F.count("*").alias("n")).collect()
     if not rows:
         return Cutoffs()
     c = Counted(np.array([r.stratum for r in rows], dtype=object), np.array([r.good for r in rows], dtype=bool), np.array([r.half for r in rows]), np.array([[r[rule] for rule in LADDERS] for r in rows]), np.array([r.n for r in rows]))
     sizes = sorted(((c.pick(c.stratum == s).total(True), s) for s in set(c.stratum.tolist())), key=lambda x: (-x[0], x[1] is None, x[1] or ""))
     n_own = max((m for m in range(len(sizes) + 1) if all(n >= fewest(alpha, delta / (m + 1)) for n, _ in sizes[:m])), default=0)
     share = delta / (n_own + 1)
-    at, own, pool = {}, [], sizes[n_own:]
+    at, own, pool, proofs = {}, [], sizes[n_own:], []
     for n, s in sizes[:n_own]:
-        cuts = _cutoffs(c, c.stratum == s, alpha, share)
-        if cuts is None:
+        proof = _cutoffs(c, c.stratum == s, alpha, share)
+        if proof is None:
             pool.append((n, s))
             continue
         own.append(s)
-        at |= {(s, rule): cut for rule, cut in cuts.items()}
+        proofs.append(proof)
+        at |= {(s, rule): cut for rule, cut in proof.cutoffs.items()}
     # The pool: all strata without a proof, and the smallest of the others until one is possible.
     names = {s for _, s in pool}
     left = [s for _, s in sizes if s not in names]
     while (rest := _cutoffs(c, np.array([s in names for s in c.stratum.tolist()], dtype=bool), alpha, share)) is None and left:
         names.add(left.pop())
-    return Cutoffs(at, frozenset(own), rest or {})
+    if rest:
+        proofs.append(rest)
+    return Cutoffs(at, frozenset(own), rest.cutoffs if rest else {}, tuple(proofs))
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of every row, and the struct ``m`` of its text's measures (null: an empty text)."""
+    """``keep`` columns of every row, the struct ``m`` of its text's measures (null: an empty text), and ``text_key``, a hash of the text."""
     pick_columns(docs, "text", *keep)
-    return bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep], text_measures(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+    return bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep], key, text_measures(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
 
 
 def judge(measured: DataFrame, cutoffs: Cutoffs, stratum: str = "lang") -> DataFrame:

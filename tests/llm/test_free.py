@@ -98,6 +98,21 @@ def test_cutoffs_of_small_strata(spark):
     assert {r.doc_id for r in quality.judge(measured, cut).where("kept").collect()} == {i for i in range(len(langs)) if i % 4}
 
 
+def test_certificates_and_copies(spark):
+    """Copies are one trial; certificates hold what a binomial tail needs; null strata have cutoffs."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"word{rng.randrange(10**6)}" + ("***" if i % 4 == 0 else "") for _ in range(60)), None if i % 2 else "en") for i in range(800)]
+    copies = [(1000 + i, rows[1][1], None) for i in range(500)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i >= 1000 or i % 4 != 0)) for i in [*range(800), *range(1000, 1500)]], "doc_id long, quality int")
+    cut = quality.fit(quality.measure(docs, "doc_id", "lang"), labels)
+    assert {c.strata: c.n for c in cut.certificates if len(c.strata) == 1}.get((None,), 0) <= 400
+    for c in cut.certificates:
+        assert c.tail == pytest.approx(quality.binomial_tail(c.k, c.n, quality.ALPHA)) and c.tail <= quality.DELTA
+    assert any("symbols" in c.cutoffs for c in cut.certificates)
+    assert quality.fit(quality.measure(docs, "doc_id", "lang"), labels.limit(0)) == quality.Cutoffs()
+
+
 def _fingerprint(t: str) -> int:
     w = WORDS.findall(_lower(t))
     hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)] or ([xxhash.xxh64_intdigest(" ".join(w).encode(), 42)] if w else [])

@@ -156,6 +156,50 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.contaminated(_docs(spark, docs).limit(0), table).count() == 0
 
 
+def test_recall_at_the_border_by_item_length(spark):
+    """Of windows at similarity 0.80 to 0.85 (shingles replaced), those within the radius, by shingles of the item."""
+    rng = random.Random(21)
+    rows = []
+    for n in (10, 20, 40, 80, 200):
+        for k in range(120):
+            a = [rng.getrandbits(63) for _ in range(n)]
+            changed = n // 9  # n - c common of n + c: 0.8 at c = n / 9
+            rows.append((n, a, [*a[changed:], *[rng.getrandbits(63) for _ in range(changed)]]))
+    df = spark.createDataFrame(rows, "n int, a array<long>, b array<long>")
+    far = F.bit_count(decontam.simhash(F.col("a")).bitwiseXOR(decontam.simhash(F.col("b"))))
+    out = df.groupBy("n").agg(F.avg((far <= decontam.RADIUS).cast("double")).alias("recall"), F.min(decontam.weighted_jaccard(F.col("a"), F.col("b"))).alias("least")).collect()
+    assert all(r.least >= 0.8 for r in out)
+    assert {r.n: r.recall >= 0.97 for r in out} == {n: True for n in (10, 20, 40, 80, 200)}, out
+
+
+def test_weighted_jaccard_by_counters(spark):
+    rng = random.Random(22)
+    rows = [([rng.randrange(6) for _ in range(rng.randrange(9))], [rng.randrange(6) for _ in range(rng.randrange(9))]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [r[0] for r in df.select(decontam.weighted_jaccard(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([_jaccard(Counter(a), Counter(b)) for a, b in rows])
+
+
+def test_targets_of_tiny_shares_end(spark):
+    """A target far below its source, where words move in steps larger than the tolerance, still ends."""
+    sizes = spark.createDataFrame([("a", 1_000_003, 7), ("b", 1, 10**6)], "src string, size long, n long")
+    goal = spark.createDataFrame([("a", 7_000_021, 35.0), ("b", 10**6, 1e-3)], "src string, source_size long, target double")
+    assert mixing.balance(sizes, goal).where("done").count() == 2
+
+
+def test_large_groups_are_salted(spark, monkeypatch):
+    """Beyond the broadcast's bytes joins salt their groups; results are the same."""
+    from sitara.llm import common
+
+    rows = _random_rows(300)
+    plain = Counter(map(repr, sharding.interleave(_docs(spark, rows)).collect())), Counter((r.doc_id, r.text, r.mix_copies) for r in mixing.mix(_docs(spark, rows)).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert plain == (Counter(map(repr, sharding.interleave(_docs(spark, rows)).collect())), Counter((r.doc_id, r.text, r.mix_copies) for r in mixing.mix(_docs(spark, rows)).collect()))
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "a b")], "item_id long, text string")
+    docs = _docs(spark, [(1, "x one two three four five six seven y", "s"), (2, "so a b it is", "s"), (3, "none", "s")])
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(1, 1), (2, 2)}
+
+
 def test_hamming_blocks_miss_nothing(spark):
     """Any fingerprint within the radius shares a block value with the sought one."""
     rng = random.Random(2)
