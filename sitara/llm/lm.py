@@ -193,12 +193,11 @@ class TableFile:
         at, keys = at[there], keys[there]
         off = t["off"][at] + (keys >> (64 - t["bits"][at]).astype(np.uint64)).astype(np.int64)
         low, end = self.words[off].astype(np.int64), self.words[off + 1].astype(np.int64)
-        key, base, high = keys.astype(np.uint32), t["key"][at], end.copy()
-        for _ in range(int((end - low).max(initial=0)).bit_length()):
-            mid = (low + high) >> 1
-            up = (low < high) & (self.words[np.minimum(base + mid, len(self.words) - 1)] < key)
-            high = np.where(up, high, mid)
-            low = np.where(up, mid + 1, low)
+        key, base = keys.astype(np.uint32), t["key"][at]
+        # The first entry of the bucket that is not below the key, by halving steps.
+        for step in (1 << k for k in reversed(range(int((end - low).max(initial=0)).bit_length()))):
+            to = low + step
+            low += step * ((to <= end) & (self.words[np.minimum(base + to, len(self.words)) - 1] < key))
         hit = low < end
         hit[hit] = self.words[(base + low)[hit]] == key[hit]
         there, at, low = there[hit], at[hit], low[hit]
@@ -214,14 +213,37 @@ def table_file(uri: str, shards: int) -> TableFile:
     return TableFile(uri, shards)
 
 
-def _gram_key(*ids: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ids."""
-    key = np.uint64(0x9E3779B97F4A7C15)
+def _gram_key(*ids: np.ndarray, after: np.ndarray | np.uint64 = np.uint64(0x9E3779B97F4A7C15)) -> np.ndarray:
+    """A 64-bit hash of ids; ``after`` is that of the ids before them."""
+    key = after
     for x in ids:
         key = mix(key + x.astype(np.uint64) + np.uint64(1))
     return key
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each stands, the number of each key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
+def _order(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    """The order of rows by columns of ids, the first counting most."""
+    if kind.itemsize > 4:
+        return np.lexsort(columns[::-1])
+    key = columns[0].astype(np.uint64)
+    for i, x in enumerate(columns[1:]):
+        if i:  # two ids fill a key; their number among all leaves room for one more
+            key = _distinct(key)[2].astype(np.uint64)
+        key = key << np.uint64(32) | x.astype(np.uint64)
+    return np.argsort(key)
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the files lie, and the numbers that all workers need.
@@ -264,9 +286,11 @@ class Model:
         """The id of what stands before a text's first token."""
         return self.vocab
 
-    def shard(self, middle: np.ndarray, beside: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        own, dealt = middle % self.shards, (_gram_key(middle, beside) % np.uint64(self.shards)).astype(np.int64)
-        return np.where(spread, dealt, own)
+    def shard(self, middle: np.ndarray, key: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Of a middle word, or the key of it and a word beside it if it is spread."""
+        out = middle % self.shards
+        out[spread] = key[spread] % np.uint64(self.shards)
+        return out
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -340,18 +364,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trigrams(model: Model, b: Block) -> tuple[np.ndarray, ...]:
-    """For every token: id, training count, the ids of the two tokens before it, whether the nearer of these is spread; and the ends."""
+    """(ids and training counts of the distinct words, the start last; for every token its place among these, and those of the two before it; the ends of texts)."""
     h, ends = _tokens(b)
-    uniq, inverse = np.unique(h, return_inverse=True)
+    uniq, _, w = _distinct(h)
     ids, counts = model.ids(uniq)
-    w, count = ids[inverse], counts[inverse]
+    ids, counts = np.append(ids, model.start), np.append(counts, np.iinfo(np.int64).max)
     first = np.concatenate(([0], ends[:-1] + 1))
-    v, u, spread = np.empty_like(w), np.empty_like(w), np.empty(len(w), bool)
-    v[1:], spread[1:] = w[:-1], count[:-1] > model.spread_from
-    v[first], spread[first] = model.start, True
+    v, u = np.empty_like(w), np.empty_like(w)
+    v[1:] = w[:-1]
+    v[first] = len(ids) - 1
     u[1:] = v[:-1]
-    u[first] = model.start
-    return w, count, v, u, spread, ends
+    u[first] = len(ids) - 1
+    return ids, counts, w, v, u, ends
 
 
 def _pack(kind: np.dtype, *columns: np.ndarray) -> bytes:
@@ -395,7 +419,7 @@ def _count_trigrams(model: Model):
 
         def hand_over() -> Iterator[pa.RecordBatch]:
             v, u, w, both = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((w, u, v, both))
+            order = _order(model.kind, both, v, u, w)
             v, u, w, both = v[order], u[order], w[order], both[order]
             at = _firsts(both, v, u, w)
             count = np.diff(np.append(at, len(v)))
@@ -403,8 +427,10 @@ def _count_trigrams(model: Model):
 
         for batch in batches:
             for b in text_blocks(batch.column(0), lower=True, size=LOOKUP):
-                w, _, v, u, spread, _ = _trigrams(model, b)
-                both = (model.shard(v, u, spread) * 2 + spread).astype(np.uint32)
+                ids, counts, w, v, u, _ = _trigrams(model, b)
+                spread = (counts > model.spread_from)[v]
+                w, v, u = ids[w], ids[v], ids[u]
+                both = (model.shard(v, _gram_key(v, u), spread) * 2 + spread).astype(np.uint32)
                 held.append((v.astype(model.kind), u.astype(model.kind), w.astype(model.kind), both))
                 size += len(w)
                 if size > HELD:
@@ -534,7 +560,7 @@ def _write_grams(model: Model, pairs_only: bool):
                 writer = TableWriter(f"{model.path}/{name}-{file}", kinds)
             got = [(spread, _unpack(model.kind, r, columns)) for spread, r in runs]
             cols = [np.concatenate(x) for x in zip(*(c for _, c in got), strict=True)]
-            order = np.lexsort(cols[-2::-1])
+            order = _order(model.kind, *cols[:-1])
             cols = [x[order] for x in cols]
             at = _firsts(*cols[:-1])
             n = np.add.reduceat(cols[-1].astype(np.int64), at)
@@ -562,7 +588,7 @@ def _trigram_tables(model: Model, writer: TableWriter, parts: _Parts, shard: int
     # Most contexts have few followers, seen once or twice: five bits for the ones, three for the twos; zero stands for all others.
     code = np.where((full[:, 3] == 0) & (full[:, 1] < 32) & (full[:, 2] < 8), full[:, 1] + 32 * full[:, 2], 0)
     writer.table("ctx", shard, _gram_key(v[at], u[at]), code, code == 0, full)
-    order = np.lexsort((w, v))
+    order = _order(model.kind, v, w)
     v, w = v[order], w[order]
     at = _firsts(v, w)
     k = np.diff(np.append(at, len(v)))
@@ -573,7 +599,7 @@ def _trigram_tables(model: Model, writer: TableWriter, parts: _Parts, shard: int
     parts.pairs(v[near], w[near], k[near])
     if far.any():
         v, w, k = v[far], w[far], k[far]
-        to = model.shard(v, w, np.ones(len(v), bool))
+        to = model.shard(v, _gram_key(v, w), np.ones(len(v), bool))
         order = np.lexsort((w, v, to))
         for b in _run_rows(model, to[order], np.ones(len(to), bool), [v[order], w[order], k[order]]):
             none = [pa.nulls(len(b), pa.int64())] * 6
@@ -711,7 +737,7 @@ def _lookup(model: Model, name: str, kind: str, shard: np.ndarray, keys: np.ndar
     """Values (rows of ``width`` numbers) of keys; zeros for those that no table holds."""
     out = np.zeros((len(keys), width), np.int64)
     file = shard // model.per_file
-    order = np.lexsort((keys, file))
+    order = np.argsort(file.astype(np.uint16) if model.shards <= 1 << 16 else file, kind="stable")
     for f, lo, hi in _runs(file[order]):
         if f not in (model.files if name == "grams" else model.pair_files):
             continue
@@ -738,43 +764,39 @@ def _follow(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return count - np.array([0.0, *d])[np.minimum(count, 3)]
 
 
-def _probabilities(model: Model, w: np.ndarray, v: np.ndarray, u: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """p(w | uv) of every token."""
+def _probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """p(w | uv) of every token; all three are places among ``ids``."""
     d3, d2 = model.discounts
-    known, where = np.unique(w, return_inverse=True)
-    p1 = np.full(len(known), model.unknown)
-    p1[known >= 0] = _stat(model, known[known >= 0], ("p1",))[0]
-    p = p1[where]
-    seen, where = np.unique(v, return_inverse=True)
-    total, free = np.zeros(len(seen)), np.ones(len(seen))
-    total[seen >= 0], free[seen >= 0] = _stat(model, seen[seen >= 0], ("total", "free"))
-    total, free = total[where], free[where]
+    spread, known = counts > model.spread_from, ids >= 0
+    order = np.flatnonzero(known)[np.argsort(ids[known])]
+    p1, total, free = np.full(len(ids), model.unknown), np.zeros(len(ids)), np.ones(len(ids))
+    p1[order], total[order], free[order] = _stat(model, ids[order], ("p1", "total", "free"))
+    own = _gram_key(np.maximum(ids, 0))
     # Pairs: each distinct one is looked up once. Those of spread first words lie in files of their own.
-    both = np.flatnonzero((w >= 0) & (v >= 0) & (total > 0))
-    keys, first, where = np.unique(_gram_key(v[both], w[both]), return_index=True, return_inverse=True)
-    at = both[first]
-    k = np.zeros(len(keys), np.int64)
+    both = np.flatnonzero(known[w] & (total > 0)[v])
+    keys, first, where = _distinct(_gram_key(ids[w[both]], after=own[v[both]]))
+    at = v[both[first]]
+    shard, k = model.shard(ids[at], keys, spread[at]), np.zeros(len(keys), np.int64)
     for name, flag in (("grams", False), ("pairs", True)):
-        own = np.flatnonzero(spread[at] == flag)
-        k[own] = _lookup(model, name, "big", model.shard(v[at[own]], w[at[own]], spread[at[own]]), keys[own], 1)[:, 0]
+        part = np.flatnonzero(spread[at] == flag)
+        k[part] = _lookup(model, name, "big", shard[part], keys[part], 1)[:, 0]
     count = np.zeros(len(w), np.int64)
     count[both] = k[where]
-    p = np.where(total > 0, _follow(count, d2) / np.maximum(total, 1.0) + free * p, p)
+    p = np.where(total[v] > 0, _follow(count, d2) / np.maximum(total, 1.0)[v] + free[v] * p1[w], p1[w])
     # Contexts of two words, then the trigrams of those that were seen.
-    both = np.flatnonzero((u >= 0) & (v >= 0))
-    keys, first, where = np.unique(_gram_key(v[both], u[both]), return_index=True, return_inverse=True)
-    at = both[first]
-    found = _lookup(model, "grams", "ctx", model.shard(v[at], u[at], spread[at]), keys, 4)
-    sums = np.maximum(found[:, 0], 1)
-    leave = (found[:, 1:] @ np.array(d3)) / sums
-    total, free = np.zeros(len(w), np.int64), np.ones(len(w))
-    total[both], free[both] = found[where, 0], leave[where]
-    whole = np.flatnonzero((total > 0) & (w >= 0))
-    keys, first, where = np.unique(_gram_key(v[whole], u[whole], w[whole]), return_index=True, return_inverse=True)
-    at = whole[first]
-    count[:] = 0
-    count[whole] = _lookup(model, "grams", "tri", model.shard(v[at], u[at], spread[at]), keys, 1)[where, 0]
-    return np.where(total > 0, _follow(count, d3) / np.maximum(total, 1) + free * p, p)
+    both = np.flatnonzero(known[u] & known[v])
+    keys, first, where = _distinct(_gram_key(ids[u[both]], after=own[v[both]]))
+    at = v[both[first]]
+    shard = model.shard(ids[at], keys, spread[at])
+    found = _lookup(model, "grams", "ctx", shard, keys, 4)
+    leave = (found[:, 1:] @ np.array(d3)) / np.maximum(found[:, 0], 1)
+    has = np.flatnonzero((found[where, 0] > 0) & known[w[both]])
+    seen = where[has]
+    count = _lookup(model, "grams", "tri", shard[seen], _gram_key(ids[w[both[has]]], after=keys[seen]), 1)[:, 0]
+    sums = found[:, 0][where]
+    p[both] = np.where(sums > 0, leave[where] * p[both], p[both])
+    p[both[has]] += _follow(count, d3) / sums[has]
+    return p
 
 
 SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -788,9 +810,10 @@ def _score_batch(model: Model, texts: pa.Array) -> pa.StructArray:
             n = len(b.starts) + b.n
             logs, base, count = np.zeros(n), np.zeros(n), np.zeros(n)
         else:
-            w, count, v, u, spread, ends = _trigrams(model, b)
-            logs = np.log10(_probabilities(model, w, v, u, spread))
-            base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.vocab + 1)))
+            ids, counts, w, v, u, ends = _trigrams(model, b)
+            logs = np.log10(_probabilities(model, ids, counts, w, v, u))
+            count = counts[w]
+            base = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.vocab + 1)))[w]
         begins = np.concatenate(([0], ends[:-1] + 1))
         parts[0].append(ends + 1 - begins)
         parts[1].append(np.add.reduceat((count > 0).astype(np.int64), begins))

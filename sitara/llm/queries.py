@@ -18,7 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))).select("text"))
-    scored = lm.score(docs, model)
+    # The scores are written, so that the model's files can go.
+    scored = materialize(lm.score(docs, model), "lm-scores")
+    lm.release(spark, model)
     return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
