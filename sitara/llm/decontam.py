@@ -116,7 +116,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     places = materialize(goal.select("length", "k", F.posexplode("hs").alias("offset", "h")).distinct(), "item-shingles")
     texts = docs.select(*_text_key(F.col("text")), normal_words(F.col("text")).alias("ws"))
     # Shingles of all sizes follow one another in one list, so all take one pass over the texts.
-    at = texts.select("t1", "t2", F.size("ws").alias("n"), F.posexplode(F.concat(*[shingles(F.col("ws"), k) for k in sizes])).alias("p", "h"))
+    # The number of words is a column before the generator, which else would carry all words along with each shingle.
+    listed = texts.select("t1", "t2", F.size("ws").alias("n"), F.concat(*[shingles(F.col("ws"), k) for k in sizes]).alias("hs"))
+    at = listed.select("t1", "t2", "n", F.posexplode_outer("hs").alias("p", "h")).where(F.col("h").isNotNull())
     found, first = join_groups_many(at, places, ["h"], F.col("p")), {}
     for k in sizes:
         first[k] = sum((F.greatest(F.col("n") - j + 1, F.lit(0)) for j in sizes if j < k), F.lit(0))
