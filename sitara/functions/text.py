@@ -212,15 +212,32 @@ def snippet(text: Column, start: Column, end: Column, width: int = 40) -> Column
 
 
 def splice(text: Column, spans: Column) -> Column:
-    """Replace spans (start, end, replacement) of a text; overlaps and bad places raise an error."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement"))))
+    """Replace spans (start, end, replacement) of a text; overlaps and bad places raise an error.
 
-    def step(acc: Column, s: Column) -> Column:
-        bad = (s["start"] < acc["at"]) | (s["end"] <= s["start"]) | (s["end"] > F.char_length(text))
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["replacement"])
-        return F.struct(F.when(bad, F.raise_error(F.lit("spans overlap or leave the text")).cast("int")).otherwise(s["end"]).alias("at"), out.alias("out"))
+    The text is cut into pieces of _RUN spans first, then each piece at its
+    spans, as every cut runs over what lies before it.
+    """
+    bare = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement")))
+
+    def filled(run: Column, to: Column) -> Column:
+        begun = run[0]["start"]
+        piece = F.substring(text, begun + 1, to - begun)
+
+        def one(base: Column) -> Column:
+            until = lambda i: F.coalesce(F.get(run, i + 1)["start"], to)
+            return F.array_join(F.transform(run, lambda s, i: F.concat(s["replacement"], F.substring(base, s["end"] - begun + 1, until(i) - s["end"]))), "")
+
+        return let(piece, one)
+
+    def cut(ordered: Column) -> Column:
+        length = F.char_length(text)
+        bad = F.exists(F.transform(ordered, lambda s, i: (s["start"] < F.coalesce(F.get(ordered, i - 1)["end"], F.lit(0))) | (s["end"] <= s["start"]) | (s["end"] > length)), lambda b: b)
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1)), F.lit(_RUN))
+        runs = F.transform(firsts, lambda i: F.struct(F.slice(ordered, i, F.lit(_RUN)).alias("run"), F.coalesce(F.get(ordered, i + _RUN - 1)["start"], length).alias("to")))
+        whole = F.concat(F.substring(text, F.lit(1), ordered[0]["start"]), F.array_join(F.transform(runs, lambda r: filled(r["run"], r["to"])), ""))
+        return F.when(F.size(ordered) == 0, text).when(bad, F.raise_error(F.lit("spans overlap or leave the text")).cast("string")).otherwise(whole)
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])))
+    return let(F.array_sort(bare), cut)
 
 
 def pieces(text: Column, spans: Column) -> Column:

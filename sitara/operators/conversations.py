@@ -111,8 +111,15 @@ def hit_rate(slots: DataFrame, cached: DataFrame) -> DataFrame:
     return n.withColumn("hit_rate", F.coalesce(F.round(F.col("hits") / F.nullif(F.col("hits") + F.col("misses"), F.lit(0)), 4), F.lit(0.0)))
 
 
-def parse_stream(frames: DataFrame) -> DataFrame:
-    """Deltas of server-sent events (request_id, seq, body) joined in order; stops at [DONE], skips bad JSON."""
+def parse_stream(frames: DataFrame, chunks: bool = False) -> DataFrame:
+    """Deltas of server-sent events (request_id, seq, body) joined in order; stops at [DONE], skips bad JSON.
+
+    A body holds whole frames, or with ``chunks`` what the network gave: frames
+    may then go on from one body to the next, as all of an answer are joined.
+    """
+    if chunks:
+        bodies = F.array_sort(F.collect_list(F.struct("seq", "body")))
+        frames = frames.groupBy("request_id").agg(F.array_join(F.transform(bodies, lambda x: x["body"]), "").alias("body"), F.min("seq").alias("seq"))
     lines = frames.select("request_id", "seq", F.posexplode(F.split("body", "\n\n")).alias("at", "frame")).where(F.col("frame").startswith("data: "))
     data = lines.select("request_id", F.struct("seq", "at").alias("at"), F.substring("frame", 7, 1 << 30).alias("data"))
     ends = data.where("trim(data) = '[DONE]'").groupBy("request_id").agg(F.min("at").alias("end"))

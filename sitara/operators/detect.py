@@ -96,18 +96,20 @@ def passing(spans: Column, policy: Policy) -> Column:
     return F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & F.coalesce(s["score"] >= threshold(s), F.lit(False)) & ~written(s))
 
 
-def detect(texts: DataFrame, policy: Policy, today: Column | None = None, extra: Column | None = None) -> DataFrame:
+def detect(texts: DataFrame, policy: Policy, today: Column | None = None, extra: Column | None = None, entities: tuple[str, ...] | None = None) -> DataFrame:
     """Adds ``spans``: detected spans by place, with their values (never write these), and ``lang``.
 
     A narrow transformation: a row's spans stay in one array, so nothing
-    shuffles. ``extra`` may add candidate spans from model taggers, in source places.
+    shuffles. ``extra`` may add candidate spans from model taggers, in source
+    places. ``entities`` are those asked for (default: all of the policy).
     Null and empty texts have no spans.
     """
     whole = texts.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     folded = whole.withColumn("__n", normalize(F.col("__text"), DIGITS)).withColumns({"__folded": F.col("__n.text"), "__places": F.col("__n.offset_map")})
-    raw = folded.withColumn("__found", candidates(F.col("__text"), F.col("__folded"), F.col("__places"), policy, recognizers(policy, today)))
+    raw = folded.withColumn("__found", candidates(F.col("__text"), F.col("__folded"), F.col("__places"), policy, [r for r in recognizers(policy, today) if entities is None or r.entity in entities]))
     if extra is not None:
-        raw = raw.withColumn("__found", F.concat("__found", extra))
+        wanted = extra if entities is None else F.filter(extra, lambda s: s["entity_type"].isin(*entities))
+        raw = raw.withColumn("__found", F.concat("__found", wanted))
     kept = raw.withColumn("__found", passing(F.col("__found"), policy))
     out = kept.withColumn("spans", deconflict(F.col("__found"))).drop("__found", "__text", "__n", "__folded", "__places")
     hint = F.col("lang_hint") if "lang_hint" in texts.columns else None

@@ -394,11 +394,22 @@ def quantile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.nearest_rank(e, "variant", "value", {"p95": 0.95, "p50": 0.5})
 
 
-@query()
+def _shape(kind: str, entities: tuple[str, ...]) -> str:
+    names = ", ".join(f"'{e}'" for e in entities)
+    return f"SELECT '{kind}' AS corpus, [{names}][CAST(CAST('0x' || substr(md5('7 {kind} ' || i), 1, 8) AS BIGINT) % {len(entities)} AS INT) + 1] AS entity_type FROM range(280) AS t(i)"
+
+
+# What the sentence shapes of each corpus hold, in their order; without context the general IBAN is surer. In long texts context comes from neighbours, so both count as one.
+_SHAPES = " UNION ALL ".join(_shape(k, e) for k, e in {"arabic": ("EG_NATIONAL_ID", "EG_MOBILE", "EG_ADDRESS", "EG_IBAN"), "latin": ("EG_MOBILE", "EG_NATIONAL_ID", "IBAN_CODE", "EG_TAX_ID"), "mixed": ("EG_MOBILE", "EG_NATIONAL_ID", "EG_IBAN")}.items())
+
+
+@query(f"WITH s AS ({_SHAPES}) SELECT corpus, entity_type, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'long', replace(entity_type, 'IBAN_CODE', 'EG_IBAN'), count(*) FROM s GROUP BY 2")
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection over the synthetic corpora, Arabic digits included: spans by corpus and entity."""
     p = baseline()
-    return prepare.entity_totals(prepare.prepare(detect(synthetic.corpus(spark, 280), p, today()), p, PEPPER), "corpus")
+    found = prepare.findings(prepare.prepare(detect(synthetic.corpus(spark, 280), p, today()), p, PEPPER), "corpus")
+    entity = F.when(F.col("corpus") == "long", F.replace("entity_type", F.lit("IBAN_CODE"), F.lit("EG_IBAN"))).otherwise(F.col("entity_type"))
+    return found.groupBy("corpus", entity.alias("entity_type")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'user-' || i AS user_id, 1::BIGINT AS occurrences, CAST(epoch(TIMESTAMP '2026-09-19 12:00:00') AS BIGINT) - i * 3600 AS last_seen FROM range(40) AS t(i)")

@@ -57,6 +57,11 @@ def audit_rows(spark: SparkSession, n: int = 5000, users: int = 40, days: int =
     return rows.select("id", "ts", "request_id", "user_id", "entity_type", F.lit("MASK").alias("action"), F.lit(0.9).alias("score"), "value_fp")
 
 
+def seed(rows: DataFrame, table: str) -> None:
+    """Writes rows as a new table; a table that is there already is left as it is, with an error."""
+    rows.write.mode("errorifexists").parquet(table)
+
+
 # Sentence shapes of the benchmark corpus.
 TEMPLATES = {
     "arabic": ("رقم قومي {nid} للمريض", "موبايل العميل {mobile}", "العنوان 12 شارع الهرم، الجيزة", "الحساب البنكي {iban}"),
@@ -65,18 +70,23 @@ TEMPLATES = {
 }
 
 
+def drawn(seed: int, what: str) -> Column:
+    """A number below 2**32 by seed, purpose and the column id; other engines can compute it."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed} {what} "), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def corpus(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """Texts of four corpora (the fourth joins 40 of the others); two fifths of those with Arabic letters have Arabic digits."""
     ids = spark.range(n).withColumn("birth", F.date_add(F.lit("1960-01-01").cast("date"), F.pmod(F.col("id") * 37, F.lit(15_000)).cast("int")))
     ids = ids.withColumns({"nid": national_id(F.col("id"), F.col("birth")), "mobile": mobile(F.col("id")), "iban": iban(F.col("id")), "tax": tax_id(F.col("id"))})
     made = []
     for kind, shapes in TEMPLATES.items():
-        shape = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(shapes))) + 1).cast("int"))
+        shape = F.get(F.array(*[F.lit(s) for s in shapes]), F.pmod(drawn(seed, kind), F.lit(len(shapes))).cast("int"))
         for name in ("nid", "mobile", "iban", "tax"):
             shape = F.replace(shape, F.lit("{" + name + "}"), F.col(name))
         made.append(F.struct(F.lit(kind).alias("corpus"), "id", shape.alias("text")))
     out = ids.select(F.inline(F.array(*made)))
-    turned = F.when(F.contains("text", F.lit("ا")) & (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) < 2), to_arabic_digits(F.col("text"))).otherwise(F.col("text"))
+    turned = F.when(F.contains("text", F.lit("ا")) & (F.pmod(drawn(seed, "digits"), F.lit(5)) < 2), to_arabic_digits(F.col("text"))).otherwise(F.col("text"))
     out = out.withColumn("text", turned)
     long = out.groupBy(F.lit("long").alias("corpus"), F.floor(F.col("id") / 14).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "corpus", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return out.union(long).repartition(8)

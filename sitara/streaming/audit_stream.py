@@ -138,6 +138,12 @@ def distinct_events(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["id"])
 
 
+def settled(drafts: DataFrame, by: str = "conv_id", gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """The last text (columns ``by``, ts, text) before each pause of ``gap``: what is worth scanning while someone types."""
+    w = drafts.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), by)
+    return w.agg(F.max(F.struct("ts", "text")).alias("last")).select(by, F.col("last.ts").alias("ts"), F.col("last.text").alias("text"))
+
+
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Streaming timeline: tumbling hours by entity, closed when the watermark has passed."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "entity_type")

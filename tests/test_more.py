@@ -109,3 +109,50 @@ def test_many_labels_of_an_address(spark):
     rows = spark.createDataFrame([("a@" + "b." * 30_000 + "com",), ("x@b.com.",), ("x@b.com.1",)], "text string")
     out = detect(rows, only("EMAIL_ADDRESS")).collect()
     assert [(r.spans[0].start, r.spans[0].end) for r in out] == [(0, 60_005), (0, 7), (0, 7)]
+
+
+def test_splice_of_many_spans(spark):
+    from sitara.functions.text import splice
+
+    cases = []
+    for n in (0, 1, 2, 127, 128, 129, 400):
+        text, spans = "", []
+        for i in range(n):
+            text += "é" * (i % 3)
+            spans.append((len(text), len(text) + 2, "" if i % 5 == 0 else f"<{i}>"))
+            text += "ab"
+        cases.append((text + "zé", spans[::-1]))
+    rows = spark.createDataFrame(cases, "t string, s array<struct<start:int,end:int,replacement:string>>")
+    for r in rows.select("t", "s", splice(F.col("t"), F.col("s")).alias("x")).collect():
+        want, at = "", 0
+        for s in sorted(r.s):
+            want, at = want + r.t[at : s.start] + s.replacement, s.end
+        assert r.x == want + r.t[at:]
+    for bad in ([(0, 3, "x"), (2, 4, "y")], [(0, 99, "x")], [(2, 2, "x")], [(3, 1, "x")], [(-1, 1, "x")]):
+        with pytest.raises(Exception, match="spans overlap"):
+            spark.createDataFrame([("abcdef", bad)], rows.schema).select(splice(F.col("t"), F.col("s"))).collect()
+
+
+def test_only_entities_asked_for(spark):
+    from sitara.operators.detect import detect
+
+    rows = spark.createDataFrame([("a@b.com 01012345678",)], "text string")
+    assert [s.entity_type for s in detect(rows, baseline(), entities=("EG_MOBILE",)).first().spans] == ["EG_MOBILE"]
+
+
+def test_frames_over_chunks(spark):
+    whole = "".join(f'data: {{"choices":[{{"delta":{{"content":"{s}"}}}}]}}\n\n' for s in ("Hel", "lo", " you")) + "data: [DONE]\n\n"
+    rows = [("r", i, whole[at : at + 11]) for i, at in enumerate(range(0, len(whole), 11))]
+    out = conversations.parse_stream(spark.createDataFrame(rows, "request_id string, seq int, body string"), chunks=True)
+    assert [tuple(r) for r in out.collect()] == [("r", "Hello you")]
+
+
+def test_settled_texts(spark, tmp_path):
+    from sitara.sources.synthetic import seed
+
+    rows = spark.createDataFrame([("c", 0.0, "h"), ("c", 0.2, "he"), ("c", 0.4, "hey"), ("c", 2.0, "hey you"), ("d", 0.1, "x")], "conv_id string, at double, text string")
+    rows = rows.select("conv_id", F.timestamp_millis((F.col("at") * 1000).cast("long")).alias("ts"), "text")
+    assert {(r.conv_id, r.text) for r in st.settled(rows).collect()} == {("c", "hey"), ("c", "hey you"), ("d", "x")}
+    seed(rows, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="exists"):
+        seed(rows, str(tmp_path / "t"))
