@@ -134,25 +134,38 @@ def dominant_script(text: Column) -> Column:
     return F.when((letters > 0) & (arabic >= letters * ARABIC_SHARE), "arabic").otherwise("latin")
 
 
+def script_runs(text: Column) -> Column:
+    """Texts of the runs of one script, from the first letter on: array of strings.
+
+    Characters that are no letters belong to the run before them. A run goes
+    on until the other script's next letter; one class and a star, so long
+    texts need no deep matching.
+    """
+    arabic, latin = rf"[{ARABIC_CLASS}&&\p{{L}}]", rf"[\p{{L}}&&[^{ARABIC_CLASS}]]"
+    return F.regexp_extract_all(text, F.lit(f"{arabic}{_not(latin)}*|{latin}{_not(arabic)}*"), F.lit(0))
+
+
+def is_arabic_run(run: Column) -> Column:
+    return run.rlike(f"^[{ARABIC_CLASS}]")
+
+
 def script_segments(text: Column) -> Column:
     """Runs of one script: array of (script, start, end).
 
     Characters that are no letters belong to the run before them, those at
     the beginning to the first run; a text without letters has no runs.
     """
-    arabic, latin = rf"[{ARABIC_CLASS}&&\p{{L}}]", rf"[\p{{L}}&&[^{ARABIC_CLASS}]]"
-    # A run goes on until the other script's next letter; one class and a star, so long texts need no deep matching.
-    runs = F.regexp_extract_all(text, F.lit(f"{arabic}{_not(latin)}*|{latin}{_not(arabic)}*"), F.lit(0))
-    lead = F.char_length(text) - F.aggregate(runs, F.lit(0), lambda s, r: s + F.char_length(r))
-    empty = F.array().cast("array<struct<script:string,start:int,end:int>>")
 
-    def step(acc: Column, run: Column) -> Column:
-        end = acc["at"] + F.char_length(run)
-        script = F.when(run.rlike(rf"^[{ARABIC_CLASS}]"), "arabic").otherwise("latin")
-        begin = F.when(F.size(acc["out"]) == 0, F.lit(0)).otherwise(acc["at"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(script.alias("script"), begin.alias("start"), end.alias("end")))).alias("out"))
+    def placed(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda r: F.char_length(r)))
+        lead = F.char_length(text) - F.aggregate(xs, F.lit(0), lambda s, r: s + F.char_length(r))
+        return let(F.struct(ends.alias("ends"), lead.alias("lead")), lambda e: F.transform(xs, lambda r, i: one(e["ends"], e["lead"], r, i)))
+
+    def one(ends: Column, lead: Column, run: Column, i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0)).otherwise(lead + F.get(ends, i - 1))
+        return F.struct(F.when(is_arabic_run(run), "arabic").otherwise("latin").alias("script"), begin.alias("start"), (lead + F.get(ends, i)).alias("end"))
 
-    return F.aggregate(runs, F.struct(lead.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return let(script_runs(text), placed)
 
 
 def let(value: Column, use) -> Column:
@@ -172,35 +185,40 @@ def spans_of(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), laid_out(gaps, found)).otherwise(empty)
 
 
-#: Matches that are laid out one after another; runs of so many are joined at the end.
+#: Numbers that are summed one after another; runs of so many are joined at the end.
 _RUN = 128
 
 
-def laid_out(gaps: Column, found: Column) -> Column:
-    """Places of matches from the texts before each: array of (start, end, value).
+def running(numbers: Column) -> Column:
+    """Running sums of an array of whole numbers, each with its own.
 
-    Runs of matches are laid out apart, then moved to where they begin, so
-    what is copied grows far less than the square of their number.
+    Runs of numbers are summed apart, then moved by what lies before them, so
+    what is copied grows far less than the square of the array's size.
     """
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), m.alias("m"), F.char_length(m).alias("n")))
-    spans, starts = "array<struct<start:int,end:int,value:string>>", "array<int>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + x["n"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+    sums = "array<int>"
 
     def run(xs: Column, at: Column) -> Column:
-        return F.aggregate(xs, F.struct(at.alias("at"), F.array().cast(spans).alias("out")), step, lambda acc: acc["out"])
+        grown = F.struct(at.alias("at"), F.array().cast(sums).alias("out"))
+        return F.aggregate(xs, grown, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")), lambda a: a["out"])
 
     def many(xs: Column) -> Column:
         firsts = F.sequence(F.lit(1), F.size(xs), F.lit(_RUN))
-        runs = F.transform(firsts, lambda i: F.slice(xs, i, F.least(F.lit(_RUN), F.size(xs) - i + 1)))
-        lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + x["g"] + x["n"]))
-        begun = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast(starts).alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-        return F.flatten(F.zip_with(runs, begun, run))
+        runs = F.transform(firsts, lambda i: F.slice(xs, i, F.lit(_RUN)))
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda s, n: s + n))
+        return let(run(totals, F.lit(0)), lambda ends: F.flatten(F.transform(runs, lambda r, i: run(r, F.coalesce(F.get(ends, i - 1), F.lit(0))))))
+
+    return let(numbers, lambda xs: F.when(F.size(xs) > _RUN, many(xs)).otherwise(run(xs, F.lit(0))))
+
+
+def laid_out(gaps: Column, found: Column) -> Column:
+    """Places of matches from the texts before each: array of (start, end, value)."""
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), m.alias("m"), F.char_length(m).alias("n")))
+
+    def placed(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: x["g"] + x["n"]))
+        return F.zip_with(xs, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), end.alias("end"), x["m"].alias("value")))
 
-    return let(pairs, lambda xs: F.when(F.size(xs) > _RUN, many(xs)).otherwise(run(xs, F.lit(0))))
+    return let(pairs, placed)
 
 
 def snippet(text: Column, start: Column, end: Column, width: int = 40) -> Column:

@@ -7,6 +7,7 @@ weights; ``OnnxTagger`` runs a token classifier if its files are there.
 from __future__ import annotations
 
 import math
+import re
 import time
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitara.functions.text import script_segments
+from sitara.functions.text import ARABIC_BLOCKS, is_arabic_run, script_runs
 
 #: Spans (start, end, label, score) in places of the text given.
 Tag = tuple[int, int, str, float]
@@ -146,11 +147,20 @@ def tag_spans(make: Callable[[], Tagger], script: str, entities: dict[str, str]
     Rows without a long enough run of the script send nothing to Python.
     """
 
+    arabic = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ARABIC_BLOCKS) + "]")
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tagger = make()
         for texts, runs in batches:
             out: list[list[dict]] = [[] for _ in texts]
-            pieces = [(i, seg["start"], t[seg["start"] : seg["end"]]) for i, (t, segments) in enumerate(zip(texts.to_pylist(), runs.to_pylist(), strict=True)) for seg in segments or ()]
+            pieces = []
+            for i, (t, parts) in enumerate(zip(texts.to_pylist(), runs.to_pylist(), strict=True)):
+                at = len(t or "") - sum(map(len, parts or ()))  # characters before the first letter belong to the first run
+                for k, part in enumerate(parts or ()):
+                    start, end = (0 if k == 0 else at), at + len(part)
+                    if end - start >= least and bool(arabic.match(part)) == (script == "arabic"):
+                        pieces.append((i, start, t[start:end]))
+                    at = end
             # All runs of a batch in one call.
             for (i, at, _), tags in zip(pieces, tagger.tag([p for *_, p in pieces]) if pieces else (), strict=True):
                 for s, e, label, score in tags:
@@ -164,8 +174,8 @@ def tag_spans(make: Callable[[], Tagger], script: str, entities: dict[str, str]
     udf = F.arrow_udf(run, "array<struct<start:int,end:int,entity_type:string,recognizer:string,score:double,context_term:string>>", ArrowUDFType.SCALAR_ITER)
 
     def apply(text: Column) -> Column:
-        runs = F.filter(script_segments(text), lambda r: (r["script"] == script) & (r["end"] - r["start"] >= least))
-        wanted = F.size(runs) > 0
+        runs = script_runs(text)
+        wanted = (F.char_length(text) >= least) & F.exists(runs, lambda r: is_arabic_run(r) if script == "arabic" else ~is_arabic_run(r))
         return F.coalesce(F.when(wanted, udf(F.when(wanted, text), F.when(wanted, runs))), F.array().cast("array<struct<start:int,end:int,entity_type:string,recognizer:string,score:double,context_term:string>>"))
 
     return apply
