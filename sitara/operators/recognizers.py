@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitara.functions import validators as v
-from sitara.functions.text import fold, let, script_segments, spans_of
+from sitara.functions.text import fold, has_arabic, let, script_segments, spans_of
 from sitara.sources.policy import Policy, folded_terms
 
 SPAN = "struct<start:int,end:int,entity_type:string,recognizer:string,score:double,context_term:string>"
@@ -31,7 +31,8 @@ class Recognizer:
     """One pattern of an entity.
 
     ``score`` is the pattern's own; ``judge`` gives a value's score, null to
-    drop it; ``terms`` near a match add CONTEXT_BOOST.
+    drop it; ``terms`` near a match add CONTEXT_BOOST. A text without ``sign``
+    is passed over.
     """
 
     entity: str
@@ -43,8 +44,15 @@ class Recognizer:
     window: int = CONTEXT_WINDOW
     places: tuple[str, ...] = ()
     arabic_only: bool = False
+    sign: str | None = None
 
     def spans(self, text: Column) -> Column:
+        if self.arabic_only or self.sign:
+            wanted = has_arabic(text) if self.arabic_only else F.contains(text, F.lit(self.sign))
+            return F.when(wanted, self._spans(text)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return self._spans(text)
+
+    def _spans(self, text: Column) -> Column:
         kept = F.filter(F.transform(spans_of(text, self.pattern), lambda s: self._span(text, s)), lambda s: s["score"].isNotNull())
         if self.arabic_only:
             meets = lambda s, runs: F.exists(runs, lambda r: (r["script"] == "arabic") & (r["start"] < s["end"]) & (s["start"] < r["end"]))
@@ -111,7 +119,7 @@ def recognizers(policy: Policy, today: Column | None = None) -> list[Recognizer]
         Recognizer("EG_IBAN", "eg_iban", r"(?i)(?<![A-Z0-9])EG[0-9]{2}(?:[ \-]?[A-Z0-9]){25}(?![A-Z0-9])", 0.8, _keep_if(v.eg_iban_valid), c.get("bank", ())),
         Recognizer("EG_TAX_ID", "tax_id", r"(?<![0-9/-])[0-9]{3}[ \-/]?[0-9]{3}[ \-/]?[0-9]{3}(?![0-9/-])", 0.3, _keep_if(v.tax_id_plausible), c.get("tax", ())),
         Recognizer("EG_PASSPORT", "passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", 0.3, None, c.get("passport", ())),
-        Recognizer("EMAIL_ADDRESS", "email", EMAIL, 1.0),
+        Recognizer("EMAIL_ADDRESS", "email", EMAIL, 1.0, sign="@"),
         Recognizer("CREDIT_CARD", "card", r"(?<![0-9])(?=[1-9])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])", 1.0, _keep_if(v.luhn_ok)),
         Recognizer("IBAN_CODE", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ \-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 1.0, _keep_if(v.iban_valid)),
         Recognizer("EG_ADDRESS", "address", _address(policy), 0.45, None, c.get("address", ()), 48, folded_terms(policy.gazetteer.places), True),
