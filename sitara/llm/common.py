@@ -147,19 +147,14 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if weigh(df) <= (BROADCAST_BYTES if most is None else most) else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column) -> DataFrame:
-    """Rows with the columns of their group (a row per key), whatever share of the rows a group has.
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column, few: bool | None = None) -> DataFrame:
+    """Rows with the columns of their group (one row for a key, or some), whatever share of the rows a group has.
 
-    Small tables of groups are broadcast. Larger ones are repeated for each
-    of SALTS salts, and rows get one by ``spread``, so a group's rows go to
-    many tasks.
+    Small tables of groups are broadcast (``few`` says that they are, else
+    their bytes are counted). Larger ones are repeated for each of SALTS
+    salts, and rows get one by ``spread``, so a group's rows go to many tasks.
     """
-    return join_groups_many(rows, groups, key, spread)
-
-
-def join_groups_many(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column) -> DataFrame:
-    """``join_groups`` where a key may have several rows in ``groups``."""
-    if weigh(groups) <= BROADCAST_BYTES:
+    if few if few is not None else weigh(groups) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), key)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return salted.join(groups.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*key, "__salt"]).drop("__salt")
@@ -216,7 +211,7 @@ def bucket_starts(counts: DataFrame, group: list[str], bucket: str, n: str, star
     runs = counts.groupBy(*group, run).agg(F.sum(n).alias("__n")).withColumn("__begun", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy(*group, "__run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     summed = counts.withColumn("__run", run).withColumn(start, F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    joined = summed.join(small(runs), [*group, "__run"])
+    joined = summed.join(runs, [*group, "__run"])
     return joined.withColumn(start, (F.col(start) + F.col("__begun")).cast("long")).drop("__run", "__begun")
 
 
@@ -232,13 +227,16 @@ def spread_rank(rows: DataFrame, groups: DataFrame, group: list[str], h: str, or
     columns, which the result keeps. A group is cut by the high bits of
     ``h`` into buckets in proportion to its share of all rows, so a group
     with a third of the rows is ranked by a third of the tasks; the
-    counts of the buckets before a bucket give where its ranks start.
+    counts of the buckets before a bucket give where its ranks start. These
+    are as many as the buckets and groups, so one count of bytes decides how
+    both are joined.
     """
     buckets = 8 * shuffle_partitions(rows.sparkSession)
+    few = weigh(groups) + 64 * buckets <= BROADCAST_BYTES // 2
     share = F.ceil(F.col("n") * F.lit(float(buckets)) / F.lit(float(max(1, total))))
     unit = F.shiftrightunsigned(F.col(h), 33).cast("double") / F.lit(float(1 << 31))
-    dealt = join_groups(rows, groups, group, F.col(h)).withColumn("bucket", F.floor(unit * F.greatest(F.lit(1), share)).cast("long"))
+    dealt = join_groups(rows, groups, group, F.col(h), few).withColumn("bucket", F.floor(unit * F.greatest(F.lit(1), share)).cast("long"))
     key = [*group, "bucket"]
     starts = bucket_starts(dealt.groupBy(*key).agg(F.count("*").alias("bucket_n")), group, "bucket", "bucket_n", "bucket_start")
-    inside = ranked(join_groups(dealt, starts.select(*key, "bucket_start"), key, F.col(h)), key, [F.shiftrightunsigned(F.col(h), 1), F.col(h), *[F.col(c) for c in order]], "rank")
+    inside = ranked(join_groups(dealt, starts.select(*key, "bucket_start"), key, F.col(h), few), key, [F.shiftrightunsigned(F.col(h), 1), F.col(h), *[F.col(c) for c in order]], "rank")
     return inside.withColumn("rank", F.col("rank") + F.col("bucket_start")).drop("bucket", "bucket_start")

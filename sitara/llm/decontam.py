@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitara.functions.text import let
-from sitara.llm.common import join_groups_many, materialize, pick_columns, small
+from sitara.llm.common import join_groups, materialize, pick_columns, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -119,7 +119,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     # The number of words is a column before the generator, which else would carry all words along with each shingle.
     listed = texts.select("t1", "t2", F.size("ws").alias("n"), F.concat(*[shingles(F.col("ws"), k) for k in sizes]).alias("hs"))
     at = listed.select("t1", "t2", "n", F.posexplode_outer("hs").alias("p", "h")).where(F.col("h").isNotNull())
-    found, first = join_groups_many(at, places, ["h"], F.col("p")), {}
+    found, first = join_groups(at, places, ["h"], F.col("p")), {}
     for k in sizes:
         first[k] = sum((F.greatest(F.col("n") - j + 1, F.lit(0)) for j in sizes if j < k), F.lit(0))
     p = F.col("p") - F.coalesce(*[F.when(F.col("k") == k, first[k]) for k in sizes])

@@ -52,7 +52,7 @@ SPREAD = 0.25
 #: Counts are handed over whenever so many distinct ones have gathered in a task.
 HELD = 1 << 21
 #: Bytes of text whose keys are looked up at once.
-LOOKUP = 1 << 22
+LOOKUP = 1 << 21
 #: Tokens of a shard, which one task holds in memory; tokens of a file from which on files grow in number; files before that.
 SHARD_TOKENS, FILE_TOKENS, SOME_FILES = 1 << 20, 1 << 26, 64
 #: Words of a file of the vocabulary or of statistics.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitara.llm.common import bucket_starts, join_groups, materialize, pick_columns, ranked, shuffle_partitions, source_key, spread_rank
+from sitara.llm.common import BROADCAST_BYTES, bucket_starts, join_groups, materialize, pick_columns, ranked, shuffle_partitions, source_key, spread_rank
 
 SHARDS = 24
 SEED = 20240229
@@ -51,7 +51,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     placed = materialize(placed.withColumn("at", at).withColumn("cell", F.floor(F.col("at") * cells)).drop("rank", "n"), "shard-ranks")
     starts = bucket_starts(placed.groupBy("cell").agg(F.count("*").alias("cell_n")).withColumn("all", F.lit(0)), ["all"], "cell", "cell_n", "cell_start")
     order = [F.col(c) for c in ("at", "src", "h", "doc_id", "size", "text_crc32")]
-    placed = ranked(join_groups(placed, starts.select("cell", "cell_start"), ["cell"], F.col("h")), ["cell"], order, "place")
+    placed = ranked(join_groups(placed, starts.select("cell", "cell_start"), ["cell"], F.col("h"), 64 * cells <= BROADCAST_BYTES), ["cell"], order, "place")
     placed = placed.withColumn("place", F.col("place") + F.col("cell_start")).withColumn("shard", F.expr(f"place * {shards}L div {max(1, total)}L"))
     first = F.expr(f"(shard * {max(1, total)}L + {shards - 1}L) div {shards}L")
     return placed.select(
