@@ -33,13 +33,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitara.llm.blocks import Block, mix, text_blocks
-from sitara.llm.common import bounded_batches, join_counted, join_groups, materialize, pick_columns, shuffle_partitions, small
+from sitara.llm.common import bounded_batches, join_counted, join_groups, materialize, pick_columns, release, shuffle_partitions, small
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Cells with more members are compared block by block, each pair of blocks apart.
 CELL_ROWS = 20_000
+#: A node with fewer edges needs no care of its own.
+HUB = 1_000
 #: Bits of the six parts: whole segments of two bits.
 PARTS = (12, 12, 10, 10, 10, 10)
 _LOW = 0x5555555555555555
@@ -222,27 +224,30 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is joins and minima over edges; only the counts that tell
     whether a round changed anything reach the driver. The edges of a node
     with a large share of all edges stay where they are: its minimum goes to
-    them.
+    them. Every star is written, so no plan holds more than one.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(e: DataFrame, both: bool, total: int) -> DataFrame:
+    def star(e: DataFrame, both: bool) -> DataFrame:
         around = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
         least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
-        joined = join_counted(around, least, "u", total)
+        least = materialize(least, "minima")
+        size = least.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+        joined = join_counted(around, least, "u", size.total) if size.most is not None and size.most >= HUB else around.join(least, "u")
         if both:  # neighbours above go to the least
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # the node and its neighbours below go to the least
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u != v").distinct()
+        out = materialize(out.where("u != v").distinct(), "edges", instead=e)
+        release(least)
+        return out
 
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     before = state(edges)
     while before[0]:
-        # What the first star makes has at most as many edges as both ways of those before.
-        edges = materialize(star(star(edges, True, 2 * before[0]), False, before[0]), "edges", instead=edges)
+        edges = star(star(edges, True), False)
         now = state(edges)
         if now == before:
             break
@@ -265,6 +270,7 @@ def groups(prints: DataFrame) -> DataFrame:
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n")), "fingerprints")
     found = components(links(nodes.select("fp")))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialize(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("members"))
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Components are named like nodes: a large one goes to its nodes, not they to it.

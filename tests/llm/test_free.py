@@ -194,6 +194,18 @@ def test_keep_one_by_five_word_shingles(spark):
     assert want.count(3) >= 1 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_components_of_hubs_and_hot_prints(spark):
+    """A hub of 3,000 edges, a chain and a pair; and rows of which a third share a fingerprint."""
+    edges = [(5000, i) for i in range(3000)] + [(i, i + 1) for i in range(6000, 6040)] + [(9001, 9000), (9000, 9001), (2999, 6040), (7, 7)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 3000), 5000, *range(6000, 6041)]} | {9001: 9000}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    rows = [(i, 0 if i % 3 == 0 else (i << 20) * 0x9E3779B97F4A7C15 % (1 << 62)) for i in range(6000)]
+    out = simhash.groups(spark.createDataFrame(rows, "doc_id long, fp long"))
+    assert out.columns == ["fp", "doc_id", "component_id"] and out.count() == 6000
+    assert out.where("fp = 0 AND component_id = 0").count() == 2000
+
+
 def test_copies_with_small_blocks(spark, monkeypatch):
     rng = random.Random(2)
     base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
