@@ -52,6 +52,8 @@ COPY_SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 4
 #: Cells of near copies with more members are compared block by block.
 COPY_ROWS = 2_000
+#: Shingles of texts that one text is compared with at once.
+COPY_HASHES = 1 << 18
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _draw.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -336,14 +338,14 @@ def copy_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) ->
         later = np.arange(i + 1, n)
         less, more = np.minimum(sizes[later], sizes[i]), np.maximum(sizes[later], sizes[i])
         later = later[(root[later] != root[i]) & (less > 0) & (less >= similarity * more - 1e-9)]
-        if not len(later):
-            continue
-        flat = np.concatenate([sets[j] for j in later])
-        at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
-        both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[later])[:-1])))
-        for r in np.unique(root[later[both >= similarity * (sizes[later] + sizes[i] - both) - 1e-9]]):
-            low, high = min(r, root[i]), max(r, root[i])
-            root[root == high] = low
+        # So many of them at once that what is laid end to end stays small, however long the texts are.
+        for part in np.split(later, np.flatnonzero(np.diff(np.cumsum(sizes[later]) // COPY_HASHES)) + 1) if len(later) else ():
+            flat = np.concatenate([sets[j] for j in part])
+            at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[part])[:-1])))
+            for r in np.unique(root[part[both >= similarity * (sizes[part] + sizes[i] - both) - 1e-9]]):
+                low, high = min(r, root[i]), max(r, root[i])
+                root[root == high] = low
     moved = np.flatnonzero(root != np.arange(n))
     return nodes[moved], nodes[root[moved]]
 

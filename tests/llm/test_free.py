@@ -211,6 +211,7 @@ def test_copies_with_small_blocks(spark, monkeypatch):
     base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
     docs = _docs(spark, [(i, " ".join([*base[: 100 + i % 90], f"end{i}", *base[100 + i % 90 :]])) for i in range(60)])
     monkeypatch.setattr(simhash, "COPY_ROWS", 7)
+    monkeypatch.setattr(simhash, "COPY_HASHES", 500)
     assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
 
 
