@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitara.llm import decontam, html, licenses, lm, mixing, quality, secrets, sharding, simhash, tokens
+from sitara.llm import codes, decontam, html, licenses, lm, mixing, quality, secrets, sharding, simhash, tokens, trie
 from sitara.llm.common import materialize
 
 
@@ -77,6 +77,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, columns=["doc_id"]).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).cast("long").alias("taken"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -88,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 # --- what SQL can say of them: the same operators over whole tables, in the columns that DuckDB can compute
@@ -165,5 +175,42 @@ SQL_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
   FROM {_SIZED} AS d JOIN o ON d.source IS NOT DISTINCT FROM o.source CROSS JOIN l""",
     ),
 }
+#: crc32 of the decimal digits of c, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda q, z: xor(q >> 1, 3988292384::BIGINT * (q & 1)))), 4294967295::BIGINT)"""
+_TRIE = f"""WITH t AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  h AS (SELECT c, ts, ({_CRC} % 9)::INT AS h FROM t),
+  r AS (SELECT h.c, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN t AS b ON b.c = h.c - h.c % 5),
+  m AS MATERIALIZED (SELECT c, d, len(ts) = d AS ends, ts[1:d] AS prefix, coalesce(strlen(ts[d].t), 0) AS n FROM (SELECT c, ts, unnest(range(len(ts) + 1))::BIGINT AS d FROM r)),
+  n AS MATERIALIZED (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, prefix),
+  o AS MATERIALIZED (SELECT m.c, m.d, n.conv_id FROM m JOIN n ON m.d = n.d AND m.prefix = n.prefix),
+  k AS MATERIALIZED (SELECT n.*, p.conv_id AS parent FROM n LEFT JOIN o AS p ON p.c = n.conv_id AND p.d = n.d - 1),
+  c AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+  s AS (SELECT a.conv_id, a.d, sum((k.n_convs - 1) * k.n) AS saved, count(*) FILTER (c.n_children IS NULL) AS leaves
+    FROM k LEFT JOIN c ON c.conv_id = k.conv_id AND c.d = k.d JOIN o AS a ON a.c = k.conv_id AND a.d <= k.d GROUP BY ALL)
+  SELECT k.conv_id, k.d AS depth, k.parent AS parent_conv_id, k.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends_sha256
+  FROM k JOIN s ON s.conv_id = k.conv_id AND s.d = k.d LEFT JOIN c ON c.conv_id = k.conv_id AND c.d = k.d"""
+
+
+def _codes_sql() -> str:
+    assign = """SELECT v.vec_id, v.p, v.s, min((d, b.e)) AS near FROM v JOIN b{r} AS b ON b.p = v.p,
+    LATERAL (SELECT list_sum(list_transform(list_zip(v.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) GROUP BY v.vec_id, v.p, v.s"""
+    rounds = "".join(
+        f"""  a{r} AS MATERIALIZED ({assign.format(r=r)}),
+  b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.s, b.s) AS s FROM b{r} AS b LEFT JOIN (SELECT p, e, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS s
+    FROM (SELECT p, near[2] AS e, i, sum(s[i]) AS t, count(*) AS n FROM a{r}, range(1, len(s) + 1) AS g(i) GROUP BY ALL) GROUP BY p, e) AS m ON m.p = b.p AND m.e = b.e),
+"""
+        for r in range(6)
+    )
+    return f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  v AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS s FROM k, range(8) AS g(p)),
+  b0 AS MATERIALIZED (SELECT p, e, s FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) JOIN v USING (vec_id) WHERE e < 16),
+{rounds}  a6 AS MATERIALIZED ({assign.format(r=6)}),
+  f AS (SELECT vec_id, string_agg(printf('%02x', near[2]), '' ORDER BY p) AS code, sum(near[1])::BIGINT AS error FROM a6 GROUP BY vec_id)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) FROM b6) AS codebooks_sha256 FROM f JOIN k USING (vec_id)"""
+
+
 QUERIES |= {name: query for name, (query, _) in SQL_QUERIES.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in SQL_QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in SQL_QUERIES.items()} | {"op11_conversation_trie": _TRIE, "op13_vector_codes": _codes_sql()}
