@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitara.llm import codes, decontam, html, licenses, lm, mixing, quality, secrets, sharding, simhash, tokens, trie
+from sitara.llm import codes, decontam, html, licenses, lm, mixing, ppm, quality, secrets, sharding, simhash, tokens, trie
 from sitara.llm.common import materialize
 
 
@@ -81,6 +81,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
+    found = ppm.predict(docs, model, columns=["doc_id"])
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_language_id": op12_language_id,
     "op13_vector_codes": op13_vector_codes,
 }
 
