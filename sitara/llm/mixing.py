@@ -10,7 +10,7 @@ of sizes, find l; a systematic rounding of the rates gives whole copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,11 +114,12 @@ def balance(sizes: DataFrame, goal: DataFrame, most: int = MOST, tolerance: floa
 
 
 def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Copies by source and size: src, size, source_size, target, base, h_last.
+    """Copies by source and size: src, size, source_size, target, base, h_last, n_last, torn.
 
     ``rows`` has src, size, h. A document takes ``base`` copies, and one more
-    if its h, in unsigned order, is ``h_last`` or less. Sizes of a source in
-    ascending order share a running sum of rates whose rounding says how many
+    if its h, in unsigned order, is less than ``h_last``; of those whose h is
+    ``h_last``, ``n_last`` take one more, which are not all of them if ``torn``.
+    Sizes of a source in ascending order share a running sum of rates whose rounding says how many
     copies each size gets, so the words taken miss the sum of rates by half a
     document at most.
     """
@@ -140,7 +141,9 @@ def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     groups = rated.select("src", "size", "n", "source_size", "target", F.expr("all_copies div n").alias("base"), F.expr("all_copies % n").alias("extra"))
     groups = materialize(groups, "mix-groups")
     placed = spread_rank(rows.select("src", "size", "h"), groups.where("extra > 0").select("src", "size", "n", "extra"), ["src", "size"], "h", [], total)
-    last = placed.where(F.col("rank") < F.col("extra")).groupBy("src", "size").agg(F.max(_unsigned(F.col("h"))).alias("h_last"))
+    # Equal rows have one h; the last h that takes more copies may have rows for which there is none.
+    by_h = placed.where(F.col("rank") <= F.col("extra")).groupBy("src", "size", "h").agg(F.count_if(F.col("rank") < F.col("extra")).alias("n_last"), (F.max("rank") == F.max("extra")).alias("torn"))
+    last = by_h.where("n_last > 0").groupBy("src", "size").agg(F.max(F.struct(_unsigned(F.col("h")).alias("h_last"), "n_last", "torn")).alias("last")).select("src", "size", "last.*")
     return materialize(groups.join(last, ["src", "size"], "left").drop("extra", "n"), "mix-copies")
 
 
@@ -154,8 +157,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
     Copies are whole numbers from 0 to ``most``; each source's words times
     copies come near its target. Null texts have size 0 and keep one copy;
-    null is a source, the last. Rows with equal doc_id and text are drawn
-    alike. Reruns agree whatever the partitioning: all sums are of whole
+    null is a source, the last. Rows with equal doc_id and text are as many
+    documents; where only some of them take another copy, it does not matter
+    which. Reruns agree whatever the partitioning: all sums are of whole
     numbers. An empty table gives an empty result; other columns stay as they
     are, unless they have one of the four names, which are replaced.
 
@@ -175,11 +179,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     table = copies(rows, weights, most)
     table = table.select([F.col(c).alias(f"__mix_{c}") for c in table.columns])
     out = join_groups(marked, table, ["__mix_src", "__mix_size"], F.col("__mix_h"))
-    drawn = F.col("__mix_base") + F.coalesce((_unsigned(F.col("__mix_h")) <= F.col("__mix_h_last")).cast("long"), F.lit(0))
-    return out.select(
+    own_h = _unsigned(F.col("__mix_h"))
+    some = F.coalesce(F.col("__mix_torn") & (own_h == F.col("__mix_h_last")), F.lit(False))
+    more = F.coalesce(own_h <= F.col("__mix_h_last"), F.lit(False))
+    if table.where("__mix_torn").isEmpty():
+        return _drawn(out, keep, more)
+    return _drawn(out.where(~some), keep, more).unionByName(_drawn_of_equals(out.where(some), keep))
+
+
+def _drawn(rows: DataFrame, keep: list[str], more: Column) -> DataFrame:
+    return rows.select(
         *[F.col(f"`{c}`") for c in keep],
         F.col("__mix_size").alias("mix_size"),
         F.col("__mix_source_size").alias("mix_source_size"),
         F.col("__mix_target").alias("mix_target"),
-        drawn.cast("int").alias("mix_copies"),
+        (F.col("__mix_base") + more.cast("long")).cast("int").alias("mix_copies"),
     )
+
+
+def _drawn_of_equals(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``_drawn`` of rows that are equal in each source and size: the first n_last of them in some order take one more copy.
+
+    The order is written down, as any row may come first; ranks are taken over
+    buckets of it, so equal rows may be a third of all rows.
+    """
+    names = ["__mix_src", "__mix_size"]
+    other = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in names]).alias("row")
+    ties = materialize(rows.select(*[F.col(c).alias(c.removeprefix("__mix_")) for c in names], other, F.xxhash64(F.monotonically_increasing_id()).alias("h")), "mix-ties")
+    groups = ties.groupBy("src", "size").agg(F.count("*").alias("n"))
+    placed = spread_rank(ties, materialize(groups, "mix-tied"), ["src", "size"], "h", [], ties.count())
+    back = placed.select(*[F.col(c.removeprefix("__mix_")).alias(c) for c in names], "row.*", F.col("rank").alias("__mix_rank"))
+    return _drawn(back, keep, F.col("__mix_rank") < F.col("__mix_n_last"))

@@ -300,3 +300,18 @@ def test_secrets_without_labels(spark):
     docs = _docs(spark, [(1, "token = kJ8xQz2LmN4pR7sT9vW1yB3dF5gH6jK0", "s"), (2, None, None)])
     model = secrets.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert [len(r.secret_spans) for r in secrets.scan(docs, model).orderBy("doc_id").collect()] == [1, 0]
+
+
+@pytest.mark.parametrize(("n", "others"), [(1000, 9500), (7, 40)])
+def test_mixing_of_equal_rows(spark, n, others):
+    """Sources of nothing but equal rows come within a document of their targets too, whatever the number of copies."""
+    rows = [(1, "four words are here", "c")] * n + [(2, "w x", "a")] * others + [(i, "one two three " * (i % 7), "b") for i in range(50)] + [(None, None, "c"), (1, "four words are here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = [mixing.mix(docs, columns=["source"]).groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.max("mix_target").alias("target"), F.max("mix_copies").alias("most"), F.count("*").alias("n")).collect() for _ in range(2)]
+    assert sorted(map(str, out[0])) == sorted(map(str, out[1]))
+    for r in out[0]:
+        assert r.most <= 3 and abs(r.taken - r.target) <= {"a": 2, "b": 18, "c": 4, None: 4}[r.source], r
+    assert sum(r.n for r in out[0]) == len(rows)
+    kept = mixing.mix(docs.withColumns({"Rank": F.lit(1), "n": F.lit(2), "bucket": F.lit(3)}))
+    assert kept.columns == ["doc_id", "text", "source", "Rank", "n", "bucket", "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    assert kept.agg(F.sum(F.col("mix_copies") * F.col("mix_size"))).first()[0] == sum(r.taken for r in out[0])
