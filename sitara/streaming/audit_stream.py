@@ -3,7 +3,11 @@
 Every micro-batch detects, masks and appends audit rows. If the table cannot
 be written the rows go to numbered JSON segments; ``replay`` appends these,
 oldest first, and deletes a segment only after its rows are in the table.
-Delivery is at least once; ``distinct_events`` drops repeats by id.
+
+Into a plain folder delivery is at least once, and ``distinct_events`` drops
+repeats by id. Into a versioned table it is exactly once: an append carries
+the query and the number of its batch, or the segment's name, and the table passes
+over one that it has.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from pyspark.sql.streaming import StreamingQuery
 from sitara.operators import audit, prepare
 from sitara.operators.detect import detect
 from sitara.sources.policy import Policy
+from sitara.sources.versioned import Table
 
 SEGMENTS = 8
+#: Files that one micro-batch takes at most; the rest waits for the next.
 BATCH_FILES = 200
 INTERVAL = "1 second"
 log = logging.getLogger(__name__)
@@ -54,11 +60,15 @@ class Spill:
             return []
         return sorted(p.getPath().toString() for p in self.fs.listStatus(root) if p.getPath().getName().startswith("audit-"))
 
-    def append(self, rows: DataFrame) -> int:
-        """Writes a segment; gives the number of rows in old ones dropped."""
+    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Writes a segment, and beside it which batch it is; gives the number of rows in old ones dropped."""
         have = self.segments()
         at = int(have[-1].rsplit("-", 1)[1]) + 1 if have else 0
         rows.write.mode("errorifexists").json(f"{self.folder}/audit-{at:08d}")
+        if batch is not None:
+            out = self.fs.create(self._path(f"{self.folder}/audit-{at:08d}/_batch"), True)
+            out.write(bytearray(json.dumps(batch).encode()))
+            out.close()
         lost = 0
         for old in [*have, "new"][: max(0, len(have) + 1 - self.most)]:
             lost += self.read(old).count()
@@ -74,6 +84,18 @@ class Spill:
         parsed = F.from_json("value", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
         return self.spark.read.text(segment).where(F.trim("value") != "").where(parsed["broken"].isNotNull()).count()
 
+    def batch(self, segment: str) -> tuple[str, int]:
+        """The writer that a replayed segment counts as: one of its own, named by the batch it holds."""
+        at = self._path(f"{segment}/_batch")
+        if not self.fs.exists(at):
+            return (f"spilled {segment} {self.fs.getFileStatus(self._path(segment)).getModificationTime()}", 0)
+        stream = self.fs.open(at)
+        try:
+            query, n = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return (f"spilled {query} {n}", 0)
+
     def pending(self) -> int:
         return sum(self.read(s).count() for s in self.segments())
 
@@ -82,23 +104,36 @@ class Spill:
 
 
 class AuditSink:
-    """What ``foreachBatch`` calls. ``append`` writes events; tests give one that fails."""
+    """What ``foreachBatch`` calls. ``append`` writes events; tests give one that fails.
+
+    ``table`` is a folder, or a versioned table, which takes each batch once.
+    """
 
-    def __init__(self, spark: SparkSession, table: str, spill: Spill, append: Callable[[DataFrame], None] | None = None) -> None:
+    def __init__(self, spark: SparkSession, table: str | Table, spill: Spill, append: Callable[[DataFrame], None] | None = None) -> None:
         self.table, self.spill, self.stats = table, spill, Stats()
-        self.append = append or (lambda rows: rows.write.mode("append").parquet(table))
+        self.append = append
+
+    def _append(self, rows: DataFrame, batch: tuple[str, int] | None) -> bool:
+        """Whether the rows were written; False for a batch that the table has."""
+        if self.append is not None:
+            self.append(rows)
+        elif isinstance(self.table, Table):
+            return self.table.append(rows, batch)
+        else:
+            rows.write.mode("append").parquet(self.table)
+        return True
 
-    def write(self, events: DataFrame) -> None:
+    def write(self, events: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """``batch``: the query and the number of the batch."""
         events = events.persist()
         try:
             n = events.count()
             try:
-                self.append(events)
-                self.stats.written += n
+                self.stats.written += n if self._append(events, batch) else 0
             except Exception as e:  # fail open: the text path must not stop for the audit
                 log.warning("audit append failed: %s", type(e).__name__)
                 self.stats.failures += 1
-                self.stats.dropped += self.spill.append(events)
+                self.stats.dropped += self.spill.append(events, batch)
                 self.stats.spilled += n
         finally:
             events.unpersist()
@@ -110,23 +145,28 @@ class AuditSink:
             rows = self.spill.read(segment)
             try:
                 n = rows.count()
-                self.append(rows)
+                # A segment that was appended but not deleted is known by its batch.
+                done += n if self._append(rows, self.spill.batch(segment)) else 0
             except Exception as e:
                 log.warning("audit replay stopped: %s", type(e).__name__)
                 self.stats.failures += 1
                 break
             self.spill.discard(segment)
-            done += n
         self.stats.replayed += done
         return done
 
 
+def source(spark: SparkSession, folder: str, schema: str, files: int = BATCH_FILES) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many a micro-batch at most: a backlog is worked off in bounded steps."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def start(texts: DataFrame, policy: Callable[[], Policy], pepper: bytes, sink: AuditSink, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Starts the stream over a streaming DataFrame of texts. The policy is asked for anew with each micro-batch, so changes hold from the next on."""
 
     def batch(rows: DataFrame, n: int) -> None:
         p = policy()
-        sink.write(audit.to_events(prepare.prepare(detect(rows, p), p, pepper), batch=f"{checkpoint} {n}"))
+        sink.write(audit.to_events(prepare.prepare(detect(rows, p), p, pepper), batch=f"{checkpoint} {n}"), (checkpoint, n))
         sink.replay()
 
     w = texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -138,6 +178,11 @@ def distinct_events(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["id"])
 
 
+def distinct_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Events once each, for streaming readers of an at-least-once folder; ids are forgotten when the watermark has passed them."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+
+
 def settled(drafts: DataFrame, by: str = "conv_id", gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """The last text (columns ``by``, ts, text) before each pause of ``gap``: what is worth scanning while someone types."""
     w = drafts.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), by)
@@ -164,7 +209,7 @@ def health(sink: AuditSink, query: StreamingQuery | None = None) -> dict[str, ob
     """Counters of a sink, rows that wait in its spill, and whether its table can be read and its stream runs."""
     spark = sink.spill.spark
     try:
-        spark.read.parquet(sink.table).schema  # noqa: B018
+        sink.table.version() if isinstance(sink.table, Table) else spark.read.parquet(sink.table).schema
         readable = True
     except Exception as e:
         log.warning("audit table cannot be read: %s", type(e).__name__)

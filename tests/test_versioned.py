@@ -200,3 +200,47 @@ def test_cached_detection(spark, tmp_path, monkeypatch):
     assert seen == [3, 0, 3]
     assert {r.lang for r in detect_cached(texts, p, cache).collect()} == {"en"}
     assert "a@b.com" not in str(cache.read().collect())
+
+
+def test_the_stream_writes_each_batch_once(spark, tmp_path):
+    """The process dies after a batch's append and before its checkpoint: the batch comes again, also from the spill, and is written once."""
+    from sitara.plans.queries import PEPPER
+    from sitara.streaming import audit_stream as st
+
+    src, schema = str(tmp_path / "in"), "request_id string, text_index int, text string"
+    spark.createDataFrame([("r1", 0, "mail a@b.com"), ("r2", 0, "c@d.org and e@f.net")], schema).write.parquet(src)
+    log = audit_log.open_log(spark, str(tmp_path / "audit"), clusters=4)
+    sink = st.AuditSink(spark, log, st.Spill(spark, str(tmp_path / "spill")))
+    policy = lambda: only("EMAIL_ADDRESS")
+
+    def dies(events, batch):
+        sink._append(events, batch)
+        raise SystemError("lost")
+
+    broken = st.AuditSink(spark, log, sink.spill)
+    broken.write = dies
+    for s in (broken, sink, sink):
+        q = st.start(st.source(spark, src, schema), policy, PEPPER, s, str(tmp_path / "ck"), once=True)
+        try:
+            q.awaitTermination(120)
+        except Exception as e:  # noqa: BLE001
+            assert s is broken and "lost" in str(e)
+    assert log.read().count() == 3 == log.read().select("id").distinct().count()
+    events = log.read()
+    with_batch = ("query", 5)
+    sink.spill.append(events, with_batch)
+    (segment,) = sink.spill.segments()
+    assert log.append(sink.spill.read(segment), sink.spill.batch(segment))
+    assert sink.replay() == 0 and sink.spill.segments() == [] and log.read().count() == 6
+    assert st.health(sink)["readable"]
+
+
+def test_distinct_events_of_a_stream(spark, tmp_path):
+    from sitara.streaming import audit_stream as st
+
+    rows = spark.createDataFrame([("a", DAY), ("a", DAY + timedelta(minutes=5)), ("b", DAY)], "id string, ts timestamp")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = []
+    q = st.distinct_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda df, _: out.extend(r.id for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start()
+    q.awaitTermination(60)
+    assert sorted(out) == ["a", "b"]
