@@ -249,15 +249,15 @@ def splice(text: Column, spans: Column) -> Column:
 
         return let(piece, one)
 
-    def cut(ordered: Column) -> Column:
-        length = F.char_length(text)
+    def cut(ordered: Column, length: Column) -> Column:
         bad = F.exists(F.transform(ordered, lambda s, i: (s["start"] < F.coalesce(F.get(ordered, i - 1)["end"], F.lit(0))) | (s["end"] <= s["start"]) | (s["end"] > length)), lambda b: b)
         firsts = F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1)), F.lit(_RUN))
         runs = F.transform(firsts, lambda i: F.struct(F.slice(ordered, i, F.lit(_RUN)).alias("run"), F.coalesce(F.get(ordered, i + _RUN - 1)["start"], length).alias("to")))
         whole = F.concat(F.substring(text, F.lit(1), ordered[0]["start"]), F.array_join(F.transform(runs, lambda r: filled(r["run"], r["to"])), ""))
         return F.when(F.size(ordered) == 0, text).when(bad, F.raise_error(F.lit("spans overlap or leave the text")).cast("string")).otherwise(whole)
 
-    return let(F.array_sort(bare), cut)
+    # The length is counted once, not once for each span.
+    return let(F.struct(F.array_sort(bare).alias("spans"), F.char_length(text).alias("length")), lambda x: cut(x["spans"], x["length"]))
 
 
 def pieces(text: Column, spans: Column) -> Column:

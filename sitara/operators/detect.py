@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitara.functions.text import DIGITS, dominant_script, normalize, to_original
-from sitara.operators.recognizers import Recognizer, recognizers
+from sitara.functions.text import DIGITS, dominant_script, normalize
+from sitara.operators import scan
+from sitara.operators.recognizers import recognizers
 from sitara.sources.policy import Policy
 
-#: Entities of these name prefixes win ties: they are more specific.
-SPECIFIC = ("EG_", "AR_")
+#: Policies whose expressions are kept.
+KEPT = 16
 #: Rows of one text that go to one task when distinct texts are joined back; and how many such texts are broadcast (80 bytes each).
 HOT, HOT_BROADCAST = 100_000, 200_000
-FOUND = "struct<start:int,end:int,entity_type:string,recognizer:string,score:double,context_term:string>"
 
 
 def language(text: Column, hint: Column | None = None, supported: tuple[str, ...] = ("ar", "en")) -> Column:
@@ -31,31 +32,9 @@ def _lookup(policy: Policy, what, kind: str, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def specific(entity: Column) -> Column:
-    out = F.lit(False)
-    for p in SPECIFIC:
-        out = out | entity.startswith(p)
-    return out.cast("int")
-
-
-def deconflict(spans: Column) -> Column:
-    """Drop spans contained in a kept one: longest first, then score, specificity, name.
-
-    Containment is transitive, so it is enough to go through spans by start
-    and descending end and to remember the farthest end so far. An ALLOW
-    span never swallows one that is to be masked or blocked.
-    """
-    key = lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["score"]).alias("c"), (-specific(s["entity_type"])).alias("d"), s["entity_type"].alias("e"), s.alias("span"))
-    ordered = F.transform(F.array_sort(F.transform(spans, key)), lambda k: k["span"])
-
-    def step(acc: Column, s: Column) -> Column:
-        weak = s["action"] == "ALLOW"
-        gone = s["end"] <= F.when(weak, F.greatest(acc["any"], acc["strong"])).otherwise(acc["strong"])
-        out = F.when(gone, acc["out"]).otherwise(F.concat(acc["out"], F.array(s)))
-        strong = F.when(weak, acc["strong"]).otherwise(F.greatest(acc["strong"], s["end"]))
-        return F.struct(F.greatest(acc["any"], s["end"]).alias("any"), strong.alias("strong"), out.alias("out"))
-
-    return F.aggregate(ordered, F.struct(F.lit(-1).alias("any"), F.lit(-1).alias("strong"), F.slice(spans, 1, 0).alias("out")), step, lambda acc: acc["out"])
+def deconflict(spans: str = "spans") -> Column:
+    """The array column ``spans`` without spans contained in a kept one; see ``scan.deconflicted``."""
+    return F.expr(scan.deconflicted(spans))
 
 
 def deconflict_rows(spans: DataFrame, *text: str) -> DataFrame:
@@ -69,18 +48,29 @@ def deconflict_rows(spans: DataFrame, *text: str) -> DataFrame:
     return spans.withColumn("__reached", reached).where(F.col("__reached").isNull() | (F.col("__reached") < F.col("end"))).drop("__reached")
 
 
-def candidates(text: Column, folded: Column, places: Column, policy: Policy, found: list[Recognizer]) -> Column:
-    """Spans of all recognizers over folded text, in places of the source text, with action and value."""
-    spans = F.concat(*[r.spans(folded) for r in found]) if found else F.array().cast(f"array<{FOUND}>")
-    length = F.char_length(text)
+_built: dict[tuple, tuple[Column, Column, Column]] = {}
+
+
+def _scan(policy: Policy, today: Column | None, entities: tuple[str, ...] | None) -> tuple[Column, Column, Column]:
+    """The expressions of a scan: matches, their bases, spans. Built once for each policy, as a stream needs them for every micro-batch."""
+    key = (id(SparkContext._active_spark_context), policy.fingerprint(), repr(policy.gazetteer), tuple(sorted(policy.entities)), repr(today), entities)
+    if key not in _built:
+        found = [r for r in recognizers(policy, today) if entities is None or r.entity in entities]
+        if not found:
+            none = F.expr(f"CAST(array() AS array<{scan.FOUND}>)")
+            return none, none, none
 
-    def rebase(s: Column) -> Column:
-        at = to_original(places, s["start"], s["end"], length)
-        value = F.substring(text, at["start"] + 1, at["end"] - at["start"])
-        action = _lookup(policy, lambda e: e.action, "string", s["entity_type"])
-        return F.struct(at["start"].alias("start"), at["end"].alias("end"), s["entity_type"].alias("entity_type"), s["recognizer"].alias("recognizer"), s["score"].alias("score"), s["context_term"].alias("context_term"), action.alias("action"), value.alias("value"))
+        def base(m: Column) -> Column:
+            out = F.when(m["r"] == 0, found[0].base(m["value"]))
+            for k, r in enumerate(found[1:], 1):
+                out = out.when(m["r"] == k, r.base(m["value"]))
+            return m.withField("base", out)
 
-    return F.transform(spans, rebase)
+        bases = F.filter(F.transform("__found", base), lambda m: m["base"].isNotNull())
+        _built[key] = (F.expr(scan.matches(found)), F.when(F.size("__found") > 0, bases).otherwise(F.transform("__found", lambda m: m.withField("base", F.lit(None).cast("double")))), F.expr(scan.judged(found, policy)))
+        while len(_built) > KEPT:
+            del _built[next(iter(_built))]
+    return _built[key]
 
 
 def passing(spans: Column, policy: Policy) -> Column:
@@ -104,14 +94,14 @@ def detect(texts: DataFrame, policy: Policy, today: Column | None = None, extra:
     places. ``entities`` are those asked for (default: all of the policy).
     Null and empty texts have no spans.
     """
+    matches, bases, found = _scan(policy, today, entities)
     whole = texts.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     folded = whole.withColumn("__n", normalize(F.col("__text"), DIGITS)).withColumns({"__folded": F.col("__n.text"), "__places": F.col("__n.offset_map")})
-    raw = folded.withColumn("__found", candidates(F.col("__text"), F.col("__folded"), F.col("__places"), policy, [r for r in recognizers(policy, today) if entities is None or r.entity in entities]))
+    kept = folded.withColumn("__found", matches).withColumn("__judged", bases).withColumn("__found", found)
     if extra is not None:
         wanted = extra if entities is None else F.filter(extra, lambda s: s["entity_type"].isin(*entities))
-        raw = raw.withColumn("__found", F.concat("__found", wanted))
-    kept = raw.withColumn("__found", passing(F.col("__found"), policy))
-    out = kept.withColumn("spans", deconflict(F.col("__found"))).drop("__found", "__text", "__n", "__folded", "__places")
+        kept = kept.withColumn("__found", F.concat("__found", passing(wanted, policy)))
+    out = kept.withColumn("spans", deconflict("__found")).drop("__found", "__judged", "__text", "__n", "__folded", "__places")
     hint = F.col("lang_hint") if "lang_hint" in texts.columns else None
     return out.withColumn("lang", language(F.coalesce(F.col("text"), F.lit("")), hint))
 

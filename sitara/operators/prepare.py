@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitara.functions import validators as v
 from sitara.functions.text import fold, let, normalize, splice
+from sitara.operators import scan
 from sitara.sources.policy import Policy, PolicyError
 
 FINGERPRINT_DIGITS = 16
@@ -39,8 +44,6 @@ def canonical(entity: Column, folded: Column) -> Column:
 
 def hmac_sha256(message: Column, key: bytes) -> Column:
     """HMAC of text in hexadecimal, from nested SHA-256. The derived pads are as secret as the key: redact plans."""
-    import hashlib
-
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (F.unhex(F.lit(bytes(b ^ x for b in key).hex())) for x in (0x36, 0x5C))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
@@ -91,6 +94,21 @@ def _by_entity(policy: Policy, entity: Column, make, default: Column) -> Column:
     return out.otherwise(default)
 
 
+#: Expressions that prepare spans, by policy: a stream needs them for every micro-batch.
+_built: dict[tuple, Column] = {}
+KEPT = 64
+
+
+def _once(key: tuple, make: Callable[[], Column]) -> Column:
+    """The expression of a key, built at its first use."""
+    key = (id(SparkContext._active_spark_context), *key)
+    if key not in _built:
+        _built[key] = make()
+        while len(_built) > KEPT:
+            del _built[next(iter(_built))]
+    return _built[key]
+
+
 def prepare(found: DataFrame, policy: Policy, pepper: bytes) -> DataFrame:
     """Spans without their values, and ``masked``, ``blocked``, ``entity_counts``, ``block_reasons``.
 
@@ -111,11 +129,11 @@ def prepare(found: DataFrame, policy: Policy, pepper: bytes) -> DataFrame:
         fields |= {"category": category, "value_len": F.char_length(s["value"]), "value_fp": fp, "preview": shown, "replacement": stands}
         return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-    out = found.withColumn("spans", F.transform("spans", one))
-    out = out.withColumn("masked", mask(F.col("text"), F.col("spans")))
-    out = out.withColumn("blocked", F.exists("spans", lambda s: s["action"] == "BLOCK"))
-    out = out.withColumn("entity_counts", counts(F.col("spans")))
-    return out.withColumn("block_reasons", F.when(F.col("blocked"), counts(F.filter("spans", lambda s: s["action"] == "BLOCK"))))
+    key = (policy.fingerprint(), tuple(sorted(policy.entities)), hashlib.sha256(pepper or b"").digest())
+    out = found.withColumn("spans", _once(key, lambda: F.transform("spans", one)))
+    blocks = lambda: F.filter("spans", lambda s: s["action"] == "BLOCK")
+    made = {"blocked": lambda: F.size(blocks()) > 0, "entity_counts": lambda: counts(F.col("spans")), "block_reasons": lambda: F.when(F.size(blocks()) > 0, counts(blocks()))}
+    return masked(out).withColumns({n: _once((n,), make) for n, make in made.items()})
 
 
 def _fold_native(value: Column) -> Column:
@@ -134,23 +152,11 @@ def counts(spans: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(entity, lambda e: e == n))))
 
 
-def join_overlaps(spans: Column) -> Column:
-    """Partly overlapping spans (start, end, replacement) as one, under the replacement of the first."""
-    ordered = F.array_sort(spans)
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        meets = (F.size(acc) > 0) & (last["end"] > s["start"])
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["replacement"].alias("replacement"))
-        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(ordered, F.slice(spans, 1, 0), step)
-
-
-def mask(text: Column, spans: Column) -> Column:
-    """The text with all MASK spans replaced; null stays null."""
-    cut = F.transform(F.filter(spans, lambda s: s["action"] == "MASK"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement")))
-    return F.when(text.isNotNull(), F.when(F.size(cut) > 0, splice(text, join_overlaps(cut))).otherwise(text))
+def masked(texts: DataFrame, text: str = "text", spans: str = "spans", name: str = "masked") -> DataFrame:
+    """Adds the text with all MASK spans replaced; null stays null. Partly overlapping spans go as one, under the first one's replacement."""
+    cut = lambda: F.transform(F.filter(spans, lambda s: s["action"] == "MASK"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement")))
+    whole = lambda: F.when(F.col(text).isNotNull(), F.when(F.size("__cut") > 0, splice(F.col(text), F.expr(scan.joined("__cut")))).otherwise(F.col(text)))
+    return texts.withColumn("__cut", _once(("cut", spans), cut)).withColumn(name, _once(("whole", text), whole)).drop("__cut")
 
 
 def findings(prepared: DataFrame, *keep: str) -> DataFrame:

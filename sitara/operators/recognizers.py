@@ -1,8 +1,6 @@
-"""Pattern recognizers: columns of candidate spans over folded text.
+"""Pattern recognizers over DIGITS-folded text: what they look for and how a match is judged.
 
-A recognizer turns a column of DIGITS-folded text into an array of spans
-(start, end, entity_type, recognizer, score, context_term) in the coordinates
-of that text. All of it is native expressions; a guard keeps rows without
+``scan`` turns them into one native expression; a guard keeps rows without
 candidates off the costly part.
 """
 
@@ -16,12 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitara.functions import validators as v
-from sitara.functions.text import fold, has_arabic, let, script_segments, spans_of
+from sitara.functions.text import fold, let
 from sitara.sources.policy import Policy, folded_terms
 
-SPAN = "struct<start:int,end:int,entity_type:string,recognizer:string,score:double,context_term:string>"
 CONTEXT_WINDOW = 64
 CONTEXT_BOOST = 0.35
+#: Added for a known place in an address.
+PLACE_BOOST = 0.2
 
 Check = Callable[[Column, Column], Column]
 
@@ -46,39 +45,9 @@ class Recognizer:
     arabic_only: bool = False
     sign: str | None = None
 
-    def spans(self, text: Column) -> Column:
-        if self.arabic_only or self.sign:
-            wanted = has_arabic(text) if self.arabic_only else F.contains(text, F.lit(self.sign))
-            return F.when(wanted, self._spans(text)).otherwise(F.array().cast(f"array<{SPAN}>"))
-        return self._spans(text)
-
-    def _spans(self, text: Column) -> Column:
-        kept = F.filter(F.transform(spans_of(text, self.pattern), lambda s: self._span(text, s)), lambda s: s["score"].isNotNull())
-        if self.arabic_only:
-            meets = lambda s, runs: F.exists(runs, lambda r: (r["script"] == "arabic") & (r["start"] < s["end"]) & (s["start"] < r["end"]))
-            within = lambda k: let(script_segments(text), lambda runs: F.filter(k, lambda s: meets(s, runs)))
-            kept = let(kept, lambda k: F.when(F.size(k) > 0, within(k)).otherwise(k))
-        return kept
-
-    def _span(self, text: Column, s: Column) -> Column:
-        base = self.judge(s["value"], self.score) if self.judge else F.lit(self.score)
-        term = context_term(text, s["start"], s["end"], self.terms, self.window) if self.terms else F.lit(None).cast("string")
-
-        def made(x: Column) -> Column:
-            score = F.when(x["term"].isNotNull(), F.least(F.lit(1.0), x["base"] + CONTEXT_BOOST)).otherwise(x["base"])
-            if self.places:
-                inside = let(fold(s["value"]), lambda v: any_of(v, self.places))
-                score = score + F.when(inside, 0.2).otherwise(0.0)
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(self.entity).alias("entity_type"), F.lit(self.name).alias("recognizer"), F.when(x["base"].isNotNull(), F.least(F.lit(1.0), score)).alias("score"), x["term"].alias("context_term"))
-
-        return let(F.struct(base.cast("double").alias("base"), term.alias("term")), made)
-
-
-def any_of(text: Column, terms: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    def base(self, value: Column) -> Column:
+        """The score of a match without its context; null if it is none."""
+        return (self.judge(value, self.score) if self.judge else F.lit(self.score)).cast("double")
 
 
 def context_term(text: Column, start: Column, end: Column, terms: tuple[str, ...], window: int = CONTEXT_WINDOW) -> Column:

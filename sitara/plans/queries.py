@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from sitara.functions import validators as v
 from sitara.functions.text import dominant_script, fold, script_segments
-from sitara.operators import audit, evaluate, prepare
+from sitara.operators import audit, cache, evaluate, prepare
 from sitara.operators.detect import deconflict_rows, detect
+from sitara.sources import audit_log as logs
 from sitara.sources import synthetic
 from sitara.sources.policy import Policy, Preview, baseline
+from sitara.sources.versioned import Table, scratch
 
 #: For tests and examples only.
 PEPPER = b"0123456789abcdef0123456789abcdef"
@@ -227,6 +229,61 @@ def pivot_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.fingerprint_users(log, _some_fp(log)).withColumn("last_seen", epoch(F.col("last_seen")))
 
 
+def _written_log(spark: SparkSession, sf_dir: str) -> Table:
+    """The audit log as a versioned table: three appends, of which two are in clusters and one is loose."""
+    events = audit_log(spark, sf_dir)
+    kinds = dict(x.rsplit(" ", 1) for x in audit.EVENT_SCHEMA.split(", "))
+    whole = events.select(*[(F.col(c) if c in events.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    log = logs.open_log(spark, scratch(spark, "log"), clusters=16)
+    for k in range(3):
+        log.append(whole.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k), ("query", k))
+        if k == 1:
+            log.compact()
+    return log
+
+
+@query(f"SELECT count(*) AS occurrences, count(DISTINCT user_id) AS users, count(DISTINCT request_id) AS requests, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_seen, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_seen FROM {_AUDIT} WHERE value_fp = {_SOME_FP}")
+def log_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of the most frequent value, from the log's files of its cluster."""
+    log = _written_log(spark, sf_dir)
+    fp = _some_fp(log.read())
+    out = audit.fingerprint_summary(logs.find(log, audit.Filters(value_fp=fp)), fp)
+    return out.withColumns({c: epoch(F.col(c)) for c in ("first_seen", "last_seen")})
+
+
+@query(f"SELECT id::VARCHAR AS id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM {_AUDIT} ORDER BY ts DESC, id::VARCHAR DESC LIMIT 150 OFFSET 300")
+def log_seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of the log, by tokens."""
+    log, token = _written_log(spark, sf_dir), None
+    for _ in range(3):
+        page, token = logs.seek(log, 150, token)
+    return page.select("id", epoch(F.col("ts")).alias("at"))
+
+
+@query("SELECT DISTINCT 'e' || doc_id AS event_id, CASE WHEN doc_id % 3 = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS day FROM labels WHERE doc_id % 7 <> 0")
+def log_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts through a versioned table: written, a third of them replaced, a seventh deleted."""
+    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    event = F.concat(F.lit("e"), F.col("doc_id").cast("string"))
+    rows = lambda d, verdict, day: d.select(event.alias("event_id"), F.lit(verdict).alias("verdict"), F.lit("ann").alias("flagged_by"), F.lit(None).cast("string").alias("note"), F.lit(f"2026-01-0{day}").cast("timestamp").alias("created_at"))
+    flags = logs.open_flags(spark, scratch(spark, "flags"))
+    logs.flag(flags, rows(ids, "confirmed", 1))
+    logs.flag(flags, rows(ids.where("doc_id % 3 = 0"), "confirmed", 1).unionByName(rows(ids.where("doc_id % 3 = 0"), "false_positive", 2)))
+    flags.delete(ids.where("doc_id % 7 = 0").select(event.alias("event_id")))
+    return flags.read().select("event_id", "verdict", F.dayofmonth("created_at").alias("day"))
+
+
+@query(f"SELECT doc_id, start, length(m)::INT AS value_len, md5(m) AS value_md5 FROM {_placed(_EMAIL)}")
+def cached_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses of every document, all from the cache: a first pass over those of even number and a second over all have filled it."""
+    docs, p = table(spark, sf_dir, "documents"), only("EMAIL_ADDRESS")
+    kept = cache.open_cache(spark, scratch(spark, "cache"), clusters=16)
+    for rows in (docs.where("doc_id % 2 = 0"), docs):
+        cache.detect_cached(rows, p, kept)
+    found = cache.detect_cached(docs, p, kept)
+    return _exploded(found).select("doc_id", "s.start", F.char_length("s.value").alias("value_len"), F.md5("s.value").alias("value_md5"))
+
+
 @query(f"SELECT id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM {_AUDIT} WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last day of the log."""

@@ -136,7 +136,7 @@ def test_masking_is_idempotent_and_blocks(spark):
 
 def test_partial_overlaps_are_joined(spark):
     s = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(x).alias("replacement"), F.lit("MASK").alias("action")) for a, b, x in ((0, 4, "<A>"), (3, 8, "<B>"), (8, 9, "<C>"))])
-    assert spark.range(1).select(prepare.mask(F.lit("abcdefghij"), s)).first()[0] == "<A><C>j"
+    assert prepare.masked(spark.range(1).select(F.lit("abcdefghij").alias("text"), s.alias("spans"))).first().masked == "<A><C>j"
 
 
 def test_arabic_digits_give_the_same_fingerprint(spark):
@@ -187,3 +187,70 @@ def test_policy_rules():
         Preview("last", 0, 9)
     with pytest.raises(PolicyError):
         prepare.check_pepper("short")
+
+
+def test_many_spans_in_one_text(spark):
+    """Time follows the number of spans: 20,000 in one text, cut and masked too."""
+    import time
+
+    n = 20_000
+    rows = spark.createDataFrame([(" ".join(f"u{i}@example.com" for i in range(n)),), ("mobile ٠١٠12345678 " * 3,)], "text string")
+    p = Policy({k: v for k, v in baseline().entities.items() if k in ("EMAIL_ADDRESS", "EG_MOBILE")}, baseline().gazetteer)
+    done = prepare.prepare(detect(rows, p), p, b"0" * 32)
+    began = time.monotonic()
+    got = done.select("spans", "masked").collect()
+    assert time.monotonic() - began < 20
+    spans = sorted(got, key=lambda r: -len(r.spans))
+    assert [(s.start, s.end) for s in spans[0].spans][:3] == [(0, 14), (15, 29), (30, 44)] and len(spans[0].spans) == n
+    assert spans[0].masked == " ".join(["<EMAIL>"] * n) and len(spans[1].spans) == 3
+
+
+def test_span_pieces_by_plain_python(spark):
+    """Deconfliction and joining of overlaps over hundreds of random spans against loops."""
+    import random
+
+    from sitara.operators import scan
+
+    rng = random.Random(9)
+    cases = []
+    for k in range(40):
+        n = rng.choice([0, 1, 5, 127, 129, 400])
+        spans = []
+        for i in range(n):
+            a = rng.randrange(0, 40 + 4 * n)
+            spans.append((a, a + rng.randrange(1, 12), rng.choice(["EG_A", "B", "AR_C"]), "r", rng.choice([0.5, 0.9]), None, rng.choice(["MASK", "ALLOW", "BLOCK"]), str(i)))
+        cases.append((k, spans))
+    df = spark.createDataFrame(cases, f"k int, s array<{scan.FOUND}>")
+    cut = F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("replacement")))
+    out = df.withColumn("cut", cut).select("k", F.expr(scan.deconflicted("s")).alias("kept"), F.expr(scan.joined("cut")).alias("joined")).collect()
+    for r in out:
+        spans = sorted(cases[r.k][1], key=lambda s: (s[0], -s[1], -s[4], -int(s[2][:3] in ("EG_", "AR_")), s[2], s[:5], s[6:]))
+        every = strong = -1
+        want = []
+        for s in spans:
+            if s[1] > (max(every, strong) if s[6] == "ALLOW" else strong):
+                want.append(s)
+            every, strong = max(every, s[1]), strong if s[6] == "ALLOW" else max(strong, s[1])
+        assert [tuple(x) for x in r.kept] == want
+        joined = []
+        for a, b, v in sorted((s[0], s[1], s[7]) for s in cases[r.k][1]):
+            if joined and joined[-1][1] > a:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]), joined[-1][2])
+            else:
+                joined.append((a, b, v))
+        assert [tuple(x) for x in r.joined] == joined
+
+
+def test_a_scan_is_built_once(spark, monkeypatch):
+    """Calls to the JVM for a second detection under the same policy, as each micro-batch makes one."""
+    from py4j import clientserver, java_gateway
+
+    calls = []
+    for kind in {java_gateway.GatewayConnection, clientserver.ClientServerConnection}:
+        monkeypatch.setattr(kind, "send_command", lambda self, *a, _send=kind.send_command, **b: (calls.append(1), _send(self, *a, **b))[1])
+    rows = spark.createDataFrame([("a@b.com",)], "text string")
+    p = baseline()
+    prepare.prepare(detect(rows, p), p, b"0" * 32)
+    calls.clear()
+    prepare.prepare(detect(rows, p), p, b"0" * 32)
+    assert len(calls) < 1_000
