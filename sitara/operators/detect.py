@@ -97,11 +97,11 @@ def detect(texts: DataFrame, policy: Policy, today: Column | None = None, extra:
     matches, bases, found = _scan(policy, today, entities)
     whole = texts.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     folded = whole.withColumn("__n", normalize(F.col("__text"), DIGITS)).withColumns({"__folded": F.col("__n.text"), "__places": F.col("__n.offset_map")})
-    kept = folded.withColumn("__found", matches).withColumn("__judged", bases).withColumn("__found", found)
+    kept = folded.withColumn("__digits", F.expr(scan.DIGITS_SIDE_BY_SIDE)).withColumn("__found", matches).withColumn("__judged", bases).withColumn("__found", found)
     if extra is not None:
         wanted = extra if entities is None else F.filter(extra, lambda s: s["entity_type"].isin(*entities))
         kept = kept.withColumn("__found", F.concat("__found", passing(wanted, policy)))
-    out = kept.withColumn("spans", deconflict("__found")).drop("__found", "__judged", "__text", "__n", "__folded", "__places")
+    out = kept.withColumn("spans", deconflict("__found")).drop("__found", "__judged", "__digits", "__text", "__n", "__folded", "__places")
     hint = F.col("lang_hint") if "lang_hint" in texts.columns else None
     return out.withColumn("lang", language(F.coalesce(F.col("text"), F.lit("")), hint))
 

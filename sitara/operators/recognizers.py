@@ -31,7 +31,7 @@ class Recognizer:
 
     ``score`` is the pattern's own; ``judge`` gives a value's score, null to
     drop it; ``terms`` near a match add CONTEXT_BOOST. A text without ``sign``
-    is passed over.
+    is passed over, or without two digits side by side if ``digits``.
     """
 
     entity: str
@@ -44,6 +44,7 @@ class Recognizer:
     places: tuple[str, ...] = ()
     arabic_only: bool = False
     sign: str | None = None
+    digits: bool = False
 
     def base(self, value: Column) -> Column:
         """The score of a match without its context; null if it is none."""
@@ -82,15 +83,15 @@ def recognizers(policy: Policy, today: Column | None = None) -> list[Recognizer]
     nid = lambda value, _: let(v.parse_nid(value, today), lambda p: F.when(p.isNotNull(), v.nid_score(p)))
     mobile = _keep_if(lambda x: v.mobile_e164(x).isNotNull())
     found = [
-        Recognizer("EG_NATIONAL_ID", "national_id", r"(?<![0-9])[0-9]{14}(?![0-9])", 0.85, nid, c.get("national_id", ())),
-        Recognizer("EG_MOBILE", "mobile_international", r"(?<![0-9])(?:\+|00)?20[ \-.]?1[0125][ \-.]?[0-9]{4}[ \-.]?[0-9]{4}(?![0-9])", 0.7, mobile, c.get("mobile", ())),
-        Recognizer("EG_MOBILE", "mobile_local", r"(?<![0-9+])01[0125][ \-.]?[0-9]{4}[ \-.]?[0-9]{4}(?![0-9])", 0.6, mobile, c.get("mobile", ())),
-        Recognizer("EG_IBAN", "eg_iban", r"(?i)(?<![A-Z0-9])EG[0-9]{2}(?:[ \-]?[A-Z0-9]){25}(?![A-Z0-9])", 0.8, _keep_if(v.eg_iban_valid), c.get("bank", ())),
-        Recognizer("EG_TAX_ID", "tax_id", r"(?<![0-9/-])[0-9]{3}[ \-/]?[0-9]{3}[ \-/]?[0-9]{3}(?![0-9/-])", 0.3, _keep_if(v.tax_id_plausible), c.get("tax", ())),
-        Recognizer("EG_PASSPORT", "passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", 0.3, None, c.get("passport", ())),
+        Recognizer("EG_NATIONAL_ID", "national_id", r"(?<![0-9])[0-9]{14}(?![0-9])", 0.85, nid, c.get("national_id", ()), digits=True),
+        Recognizer("EG_MOBILE", "mobile_international", r"(?<![0-9])(?:\+|00)?20[ \-.]?1[0125][ \-.]?[0-9]{4}[ \-.]?[0-9]{4}(?![0-9])", 0.7, mobile, c.get("mobile", ()), digits=True),
+        Recognizer("EG_MOBILE", "mobile_local", r"(?<![0-9+])01[0125][ \-.]?[0-9]{4}[ \-.]?[0-9]{4}(?![0-9])", 0.6, mobile, c.get("mobile", ()), digits=True),
+        Recognizer("EG_IBAN", "eg_iban", r"(?i)(?<![A-Z0-9])EG[0-9]{2}(?:[ \-]?[A-Z0-9]){25}(?![A-Z0-9])", 0.8, _keep_if(v.eg_iban_valid), c.get("bank", ()), digits=True),
+        Recognizer("EG_TAX_ID", "tax_id", r"(?<![0-9/-])[0-9]{3}[ \-/]?[0-9]{3}[ \-/]?[0-9]{3}(?![0-9/-])", 0.3, _keep_if(v.tax_id_plausible), c.get("tax", ()), digits=True),
+        Recognizer("EG_PASSPORT", "passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", 0.3, None, c.get("passport", ()), digits=True),
         Recognizer("EMAIL_ADDRESS", "email", EMAIL, 1.0, sign="@"),
-        Recognizer("CREDIT_CARD", "card", r"(?<![0-9])(?=[1-9])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])", 1.0, _keep_if(v.luhn_ok)),
-        Recognizer("IBAN_CODE", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ \-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 1.0, _keep_if(v.iban_valid)),
+        Recognizer("CREDIT_CARD", "card", r"(?<![0-9])(?=[1-9])(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])", 1.0, _keep_if(v.luhn_ok), digits=True),
+        Recognizer("IBAN_CODE", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ \-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 1.0, _keep_if(v.iban_valid), digits=True),
         Recognizer("EG_ADDRESS", "address", _address(policy), 0.45, None, c.get("address", ()), 48, folded_terms(policy.gazetteer.places), True),
     ]
     return [r for r in found if r.entity in policy.entities]

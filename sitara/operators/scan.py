@@ -5,7 +5,7 @@ to the JVM for each of its nodes; and matches of all recognizers share what
 lays them out and judges them. What is grown along an array is grown in runs, and
 pieces of a text are cut from blocks of it, so the time follows the number of spans.
 
-Expressions use the columns ``__text``, ``__folded`` and ``__places`` of ``detect``.
+Expressions use the columns ``__text``, ``__folded``, ``__places`` and ``__digits`` of ``detect``.
 """
 
 from __future__ import annotations
@@ -67,12 +67,17 @@ def cut(own: str, at: str, n: str) -> str:
     return f"substring(concat(coalesce(get({own}, ({at}) div {BLOCK}), ''), coalesce(get({own}, ({at}) div {BLOCK} + 1), '')), ({at}) % {BLOCK} + 1, {n})"
 
 
+#: Whether the text has two digits side by side: most have not, and need none of the patterns of numbers.
+DIGITS_SIDE_BY_SIDE = "__folded RLIKE '[0-9]{2}'"
+
+
 def matches(found: list[Recognizer]) -> str:
     """All matches: array of (r, start, end, value), r the recognizer's number, places in the folded text."""
     hits = []
     for k, r in enumerate(found):
         p = quoted(r.pattern)
         guards = [f"contains(__folded, {quoted(r.sign)})"] if r.sign else []
+        guards += ["__digits"] if r.digits else []
         guards += [f"__folded RLIKE {quoted(f'(?=[^\\x00-\\x7F])[{ARABIC_CLASS}]')}"] if r.arabic_only else []
         hits.append(f"CASE WHEN {' AND '.join([*guards, f'__folded RLIKE {p}'])} THEN named_struct('r', {k}, 'gaps', split(__folded, {p}, -1), 'hits', regexp_extract_all(__folded, {p}, 0)) END")
     pairs = "zip_with(slice(h.gaps, 1, size(h.hits)), h.hits, (g, m) -> named_struct('g', char_length(g), 'm', m, 'n', char_length(m)))"
