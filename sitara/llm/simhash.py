@@ -50,8 +50,8 @@ COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
 #: Bands of MinHash values. At similarity 0.8 a pair shares none of them once in 38,000 (0.59 ** 20).
 BANDS, BAND_ROWS = 20, 4
-#: Cells of near copies with more members are compared block by block.
-COPY_ROWS = 2_000
+#: Shingles of a block of a cell's members, 8 bytes each: a task holds two blocks at most, or two texts.
+COPY_WEIGHT = 1 << 21
 #: Shingles of texts that one text is compared with at once.
 COPY_HASHES = 1 << 18
 _draw = np.random.default_rng(SEED)
@@ -330,10 +330,15 @@ def _sets(texts: pa.Array, k: int) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(ids.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hs"])
 
 
-def copy_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) of the groups of a cell: each set is compared with all later ones that are not yet in its group."""
+def copy_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of the groups of a cell: each set is compared with all later ones that are not yet in its group.
+
+    Members that are ``joined`` are one group from the start.
+    """
     n = len(nodes)
     root, sizes = np.arange(n), np.array([len(x) for x in sets])
+    if joined is not None and joined.any():
+        root[joined] = np.flatnonzero(joined)[0]
     for i in range(n - 1):
         later = np.arange(i + 1, n)
         less, more = np.minimum(sizes[later], sizes[i]), np.maximum(sizes[later], sizes[i])
@@ -351,27 +356,67 @@ def copy_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) ->
 
 
 def _copy_cells(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of rows (cell, node, hs) that come sorted by cell."""
-    cell, nodes, sets = None, [], []
+    """Links of rows (cell, node, joined, hs) that come sorted by cell."""
+    cell, nodes, sets, joined = None, [], [], []
 
     def emit() -> pa.RecordBatch:
-        u, v = copy_links(np.array(nodes, np.int64), sets, similarity)
+        u, v = copy_links(np.array(nodes, np.int64), sets, similarity, np.array(joined, bool))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     for batch in batches:
         hs = batch.column("hs")
         offsets, flat = hs.offsets.to_numpy(), hs.values.to_numpy()
-        for c, node, i, j in zip(batch.column("cell").to_pylist(), batch.column("node").to_pylist(), offsets, offsets[1:], strict=False):
+        for c, node, old, i, j in zip(batch.column("cell").to_pylist(), batch.column("node").to_pylist(), batch.column("joined").to_pylist(), offsets, offsets[1:], strict=False):
             if c != cell:
                 if len(nodes) > 1:
                     yield emit()
-                cell, nodes, sets = c, [], []
+                cell, nodes, sets, joined = c, [], [], []
             nodes.append(node)
-            sets.append(flat[i:j])
+            joined.append(old)
+            # A copy, as a slice would keep its whole batch.
+            sets.append(flat[i:j].copy())
     if len(nodes) > 1:
         yield emit()
 
 
+def _copy_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that connect the near copies of each cell. ``members``: (cell, node), ``texts``: (node, hs).
+
+    Cells of one block are compared in a task. In larger ones all members are
+    compared with one of them first; those that join it are connected, so of them
+    only those pairs are left that have a member which did not. Blocks of these
+    meet blocks of the others and one another; where all joined there is nothing left.
+    """
+    spark = members.sparkSession
+    compare = lambda rows: rows.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell").select("cell", "node", "joined", "hs").mapInArrow(lambda batches: _copy_cells(batches, similarity), "u long, v long")
+    sized = materialize(members.join(texts.select("node", F.size("hs").cast("long").alias("weight")), "node"), "copy-sized")
+    weights = sized.groupBy("cell").agg(F.sum("weight").alias("weight"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("first"))
+    large = materialize(weights.where(F.col("weight") > COPY_WEIGHT), "copy-large")
+    own = sized.join(small(large.select("cell")), "cell", "left_anti").select("cell", "node", F.lit(False).alias("joined")).join(texts, "node")
+    out = compare(own)
+    if large.isEmpty():
+        return out
+    firsts = large.select("cell", F.col("first").alias("node")).join(texts, "node").select("cell", F.col("node").alias("first"), F.col("hs").alias("first_hs"))
+    inside = sized.join(small(large.select("cell")), "cell", "left_semi")
+    rest = join_groups(inside.join(texts, "node"), materialize(firsts, "copy-firsts"), ["cell"], F.col("node"))
+    both = F.size(F.array_intersect("hs", "first_hs"))
+    alike = both >= similarity * (F.size("hs") + F.size("first_hs") - both) - 1e-9
+    tried = materialize(rest.select("cell", "node", "weight", "first", (alike | (F.col("node") == F.col("first"))).alias("joined")), "copy-tried")
+    side = tried.groupBy("cell").agg(F.coalesce(F.sum(F.when(F.col("joined"), F.col("weight"))), F.lit(0)).alias("w_in"), F.coalesce(F.sum(F.when(~F.col("joined"), F.col("weight"))), F.lit(0)).alias("w_out")).where("w_out > 0")
+    side = side.select("cell", *[F.ceil(F.col(w) / COPY_WEIGHT).cast("long").alias(n) for w, n in (("w_in", "n_in"), ("w_out", "n_out"))])
+    left = join_groups(tried.select("cell", "node", "joined"), materialize(side, "copy-sides"), ["cell"], F.col("node"))
+    block = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("joined"), F.col("n_in")).otherwise(F.col("n_out")), F.lit(1)))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    left = materialize(left.withColumn("block", block), "copy-left")
+    # Joined block a meets open block b as (0, a, b); open blocks a <= b meet as (1, a, b).
+    mixed = left.select("node", "joined", "cell", "block", F.explode(F.when(F.col("joined"), to(F.col("n_out"))).otherwise(to(F.col("n_in")))).alias("other"))
+    mixed = mixed.select("node", "joined", F.xxhash64(F.lit(0), "cell", F.when(F.col("joined"), F.col("block")).otherwise(F.col("other")), F.when(F.col("joined"), F.col("other")).otherwise(F.col("block"))).alias("cell"))
+    among = left.where(~F.col("joined")).select("node", "joined", "cell", "block", F.explode(to(F.col("n_out"))).alias("other"))
+    among = among.select("node", "joined", F.xxhash64(F.lit(1), "cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
+    hubs = tried.where(F.col("joined") & (F.col("node") != F.col("first"))).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return out.unionByName(hubs).unionByName(compare(mixed.unionByName(among).join(texts, "node")))
+
+
 def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """(doc_id, text_key, root) of every row: ``root`` is shared by the texts that near copies connect.
 
@@ -394,11 +439,7 @@ def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float
     wanted = materialize(wanted.select("text_key"), "copy-texts")
     texts = join_groups(docs.select("doc_id", key.alias("text_key"), "text"), wanted, ["text_key"], F.col("doc_id")).select(sets(F.col("text")).alias("s"))
     texts = materialize(texts.groupBy("s.node").agg(F.any_value("s.hs").alias("hs")), "copy-shingles")
-    blocks = F.ceil(F.col("n") / COPY_ROWS)
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    pair = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
-    dealt = members.select(pair, "node").join(texts, "node").repartition(shuffle_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
-    found = components(dealt.select("cell", "node", "hs").mapInArrow(lambda batches: _copy_cells(batches, similarity), "u long, v long"))
+    found = components(_copy_pairs(members, texts, similarity))
     nodes = prints.groupBy("node").agg(F.count("*").alias("n")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = join_counted(prints.select("doc_id", "text_key", "node"), materialize(nodes, "copy-nodes"), "node", prints.count())
     return rooted.select("doc_id", "text_key", "root")

@@ -210,11 +210,31 @@ def test_copies_with_small_blocks(spark, monkeypatch):
     rng = random.Random(2)
     base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
     docs = _docs(spark, [(i, " ".join([*base[: 100 + i % 90], f"end{i}", *base[100 + i % 90 :]])) for i in range(60)])
-    monkeypatch.setattr(simhash, "COPY_ROWS", 7)
+    monkeypatch.setattr(simhash, "COPY_WEIGHT", 300)
     monkeypatch.setattr(simhash, "COPY_HASHES", 500)
     assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
 
 
+@pytest.mark.parametrize("weight", [300, 1500])
+def test_copies_of_large_cells(spark, monkeypatch, weight):
+    """Members of a cell that are unlike its first are compared with those that joined it, and with one another, over all blocks."""
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(900)]
+    chain = [" ".join(words[8 * k : 8 * k + 200]) for k in range(60)]
+    core = [f"c{i}" for i in range(150)]
+    star = [" ".join([f"s{k}-{i}" if i in range(3 * k, 3 * k + 12) else w for i, w in enumerate(core)]) for k in range(40)]
+    docs = _docs(spark, list(enumerate(chain + star)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, chain + star)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    monkeypatch.setattr(simhash, "COPY_WEIGHT", weight)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+
+
 def _kneser_ney(train: list[list], score: list[list]) -> tuple[list[float], int, int]:
     uni, tri = Counter(x for s in train for x in s), Counter()
     for s in train:
