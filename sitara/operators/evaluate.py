@@ -41,13 +41,50 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
+#: Spans are cut at every so many characters, and each stretch of a text is swept apart.
+STRETCH = 1 << 16
+
+
+def _cut(spans: DataFrame, *keep: str) -> DataFrame:
+    """Spans in pieces: ``keep``, case_id, stretch, lo, hi."""
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    stretch = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor(last / STRETCH))).alias("stretch")
+    at = lambda k: (F.col("stretch") + k) * STRETCH
+    return spans.select("*", stretch).select(*keep, "case_id", "stretch", F.greatest(F.col("start"), at(0)).alias("lo"), F.least(F.col("end"), at(1)).alias("hi"))
+
+
+def touching(spans: DataFrame, others: DataFrame, keys: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct ``keys`` of spans (case_id, start and end among them) and ``hit``: some other span of the case, and of equal ``within``, overlaps.
+
+    A sweep, not a join of pairs: others that overlap are those that begin
+    before the end, less those that end before the beginning, and both are
+    running sums over the sorted ends of all spans of a stretch of text.
+    """
+    by = ["case_id", *within]
+    own = spans.select(*keys).distinct()
+    ours = _cut(own.select(*keys), *[F.col(k).alias(f"k_{k}") for k in keys], *within)
+    theirs = _cut(others.where(F.col("case_id").isNotNull()), *within)
+    names = [f"k_{k}" for k in keys]
+    none = lambda n: F.lit(None).cast(ours.schema[n].dataType).alias(n)
+    # At one place: ends of ours, then all of theirs, then beginnings of ours.
+    ask = lambda x, turn: ours.select(*by, "stretch", F.col(x).alias("x"), F.lit(turn).alias("turn"), F.lit(0).alias("begun"), F.lit(0).alias("ended"), *names)
+    tell = lambda x, begun: theirs.select(*by, "stretch", F.col(x).alias("x"), F.lit(1).alias("turn"), F.lit(begun).alias("begun"), F.lit(1 - begun).alias("ended"), *[none(n) for n in names])
+    events = ask("hi", 0).unionByName(ask("lo", 2)).unionByName(tell("lo", 1)).unionByName(tell("hi", 0))
+    upto = Window.partitionBy(*by, "stretch").orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.withColumns({"begun": F.sum("begun").over(upto), "ended": F.sum("ended").over(upto)}).where("turn <> 1")
+    n = F.sum(F.when(F.col("turn") == 0, F.col("begun")).otherwise(-F.col("ended")))
+    each = swept.groupBy(*names, "stretch").agg((n > 0).alias("hit")).groupBy(*names).agg(F.bool_or("hit").alias("hit"))
+    return each.select(*[F.col(f"k_{k}").alias(k) for k in keys], "hit")
+
+
 def span_hits(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Gold spans with ``hit`` (some prediction overlaps) and ``typed`` (one of the same label does)."""
-    g, p = gold.alias("g"), predictions.alias("p")
-    overlap = (F.col("g.case_id") == F.col("p.case_id")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end"))
-    joined = g.join(p, overlap, "left")
-    keys = [F.col(f"g.{c}").alias(c) for c in ("case_id", "register", "start", "end", "label")]
-    return joined.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("p.start").isNotNull()), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(F.col("p.label") == F.col("g.label")), F.lit(False)).alias("typed"))
+    """Distinct gold spans with ``hit`` (some prediction overlaps) and ``typed`` (one of the same label does)."""
+    keys = ["case_id", "register", "start", "end", "label"]
+    found = lambda within, name: touching(gold, predictions, keys, within).select(*keys, F.lit(name).alias("kind"), "hit")
+    both = found((), "any").unionByName(found(("label",), "typed"))
+    hit = lambda kind: F.coalesce(F.bool_or(F.when(F.col("kind") == kind, F.col("hit"))), F.lit(False))
+    # A label that is null is equal to none.
+    return both.groupBy(*keys).agg(hit("any").alias("hit"), (hit("typed") & F.col("label").isNotNull()).alias("typed"))
 
 
 def coverage(hits: DataFrame) -> DataFrame:
@@ -57,16 +94,21 @@ def coverage(hits: DataFrame) -> DataFrame:
     return out.withColumns({"coverage_any": ratio(F.col("covered"), F.col("spans")), "coverage_typed": ratio(F.col("covered_typed"), F.col("spans"))})
 
 
-def _characters(spans: DataFrame, name: str) -> DataFrame:
-    return spans.groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1)))).alias(name))
-
-
 def character_coverage(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row: characters of gold spans, those covered, and characters predicted outside; each once however often covered."""
-    both = _characters(gold, "want").join(_characters(predictions, "have"), "case_id", "full_outer")
-    none = F.array().cast("array<int>")
-    want, have = F.coalesce("want", none), F.coalesce("have", none)
-    sums = both.agg(F.sum(F.size(want)).alias("gold_chars"), F.sum(F.size(F.array_intersect(want, have))).alias("covered_chars"), F.sum(F.size(F.array_except(have, want))).alias("extra_chars"))
+    """One row: characters of gold spans, those covered, and characters predicted outside; each once however often covered.
+
+    A sweep over the ends of all spans of a stretch: how many of either kind are
+    open says what the characters up to the next end are.
+    """
+    pieces = _cut(gold).withColumns({"g": F.lit(1), "p": F.lit(0)}).unionByName(_cut(predictions).withColumns({"g": F.lit(0), "p": F.lit(1)}))
+    steps = F.inline(F.array(F.struct(F.col("lo").alias("x"), F.col("g").alias("g"), F.col("p").alias("p")), F.struct(F.col("hi").alias("x"), (-F.col("g")).alias("g"), (-F.col("p")).alias("p"))))
+    # Equal ends of a stretch are one step.
+    at = pieces.where("hi > lo").select("case_id", "stretch", steps).groupBy("case_id", "stretch", "x").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    order = Window.partitionBy("case_id", "stretch").orderBy("x")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = at.select((F.lead("x").over(order) - F.col("x")).alias("n"), (F.sum("g").over(upto) > 0).alias("g"), (F.sum("p").over(upto) > 0).alias("p"))
+    chars = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("long")
+    sums = open_.agg(chars(F.col("g")).alias("gold_chars"), chars(F.col("g") & F.col("p")).alias("covered_chars"), chars(F.col("p") & ~F.col("g")).alias("extra_chars"))
     return sums.withColumns({"char_recall": ratio(F.col("covered_chars"), F.col("gold_chars")), "over_mask_ratio": ratio(F.col("extra_chars"), F.col("gold_chars"))})
 
 
@@ -82,12 +124,12 @@ def gather(*rows: DataFrame) -> DataFrame:
 
 def precision(cases: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row: predictions, those that touch gold, and false ones per case without entities."""
-    p, g = predictions.alias("p"), gold.alias("g")
-    touch = (F.col("g.case_id") == F.col("p.case_id")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end"))
+    counted = predictions.groupBy("case_id", "start", "end").agg(F.count("*").alias("n"))
+    true = touching(counted, gold, ["case_id", "start", "end", "n"]).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("true_spans"))
     clean = cases.join(gold.select("case_id").distinct(), "case_id", "left_anti").select("case_id")
     one = gather(
         predictions.agg(F.count("*").alias("predicted")),
-        p.join(g, touch, "left_semi").agg(F.count("*").alias("true_spans")),
+        true,
         predictions.join(clean, "case_id", "left_semi").agg(F.count("*").alias("false_in_clean")),
         clean.agg(F.count("*").alias("clean_cases")),
     )

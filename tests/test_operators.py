@@ -149,3 +149,49 @@ def test_nearest_rank_holds_no_group_in_a_task(spark):
 
     median = {g: statistics.median(vs) for g, vs in groups.items()} | {"d": None}
     assert {r.variant: (r.p95_ms, r.median_ms) for r in evaluate.latency(df).collect()} == {g: (v[0], median[g]) for g, v in want.items()}
+
+
+def _spans(rng, n, most):
+    out = []
+    for _ in range(n):
+        a = rng.randrange(0, 3 * most)
+        out.append((f"c{rng.randrange(4)}", rng.choice(["msa", "mixed_script"]), a, a + rng.randrange(1, most), rng.choice(["PER", "LOC", None])))
+    return out
+
+
+@pytest.mark.parametrize(("stretch", "most"), [(1 << 16, 12), (8, 30)])
+def test_sweeps_against_pairs(spark, monkeypatch, stretch, most):
+    """Hits, precision and characters by comparing every pair and every character, also with spans over several stretches."""
+    import random
+
+    from sitara.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "STRETCH", stretch)
+    rng = random.Random(most)
+    gold, pred = _spans(rng, 25, most), _spans(rng, 25, most)
+    gold += gold[:2] + [(None, "msa", 1, 5, "PER")]
+    pred += pred[:3] + [(None, "msa", 1, 5, "PER")]
+    schema = "case_id string, register string, start int, end int, label string"
+    g, p = spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema)
+    meets = lambda a, b: a[0] is not None and a[0] == b[0] and a[2] < b[3] and b[2] < a[3]
+    want = {(*x, any(meets(x, y) for y in pred), any(meets(x, y) and x[4] is not None and x[4] == y[4] for y in pred)) for x in gold}
+    assert {tuple(r) for r in evaluate.span_hits(g, p).select("case_id", "register", "start", "end", "label", "hit", "typed").collect()} == want
+    chars = lambda spans: {(s[0], i) for s in spans for i in range(s[2], s[3])}
+    a, b = chars(gold), chars(pred)
+    assert tuple(evaluate.character_coverage(g, p).first())[:3] == (len(a), len(a & b), len(b - a))
+    cases = spark.createDataFrame([(f"c{i}",) for i in range(6)], "case_id string")
+    row = evaluate.precision(cases, g, p).first()
+    assert (row.predicted, row.true_spans) == (len(pred), sum(any(meets(x, y) for y in gold) for x in pred))
+
+
+def test_a_case_of_many_spans(spark):
+    import time
+
+    from sitara.operators import evaluate
+
+    g = spark.range(100_000).select(F.lit("c").alias("case_id"), F.lit("msa").alias("register"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 7).cast("int").alias("end"), F.lit("PER").alias("label"))
+    p = g.withColumns({"start": F.col("start") + 5, "end": F.col("end") + 6})
+    began = time.monotonic()
+    assert evaluate.span_hits(g, p).where("hit AND typed").count() == 100_000
+    assert tuple(evaluate.character_coverage(g, p).first())[:3] == (700_000, 499_997, 300_003)
+    assert time.monotonic() - began < 40
