@@ -453,7 +453,7 @@ def quantile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shape(kind: str, entities: tuple[str, ...]) -> str:
     names = ", ".join(f"'{e}'" for e in entities)
-    return f"SELECT '{kind}' AS corpus, [{names}][CAST(CAST('0x' || substr(md5('7 {kind} ' || i), 1, 8) AS BIGINT) % {len(entities)} AS INT) + 1] AS entity_type FROM range(280) AS t(i)"
+    return f"SELECT '{kind}' AS corpus, [{names}][CAST(CAST('0x' || substr(md5('7 {kind} ' || i), 1, 8) AS BIGINT) % {len(entities)} AS INT) + 1] AS entity_type FROM (SELECT c_custkey AS i FROM customer)"
 
 
 # What the sentence shapes of each corpus hold, in their order; without context the general IBAN is surer. In long texts context comes from neighbours, so both count as one.
@@ -462,17 +462,38 @@ _SHAPES = " UNION ALL ".join(_shape(k, e) for k, e in {"arabic": ("EG_NATIONAL_I
 
 @query(f"WITH s AS ({_SHAPES}) SELECT corpus, entity_type, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'long', replace(entity_type, 'IBAN_CODE', 'EG_IBAN'), count(*) FROM s GROUP BY 2")
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection over the synthetic corpora, Arabic digits included: spans by corpus and entity."""
+    """Detection over the corpora made for all customers, Arabic digits included: spans by corpus and entity."""
     p = baseline()
-    found = prepare.findings(prepare.prepare(detect(synthetic.corpus(spark, 280), p, today()), p, PEPPER), "corpus")
+    texts = synthetic.corpus(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+    found = prepare.findings(prepare.prepare(detect(texts, p, today()), p, PEPPER), "corpus")
     entity = F.when(F.col("corpus") == "long", F.replace("entity_type", F.lit("IBAN_CODE"), F.lit("EG_IBAN"))).otherwise(F.col("entity_type"))
     return found.groupBy("corpus", entity.alias("entity_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'user-' || i AS user_id, 1::BIGINT AS occurrences, CAST(epoch(TIMESTAMP '2026-09-19 12:00:00') AS BIGINT) - i * 3600 AS last_seen FROM range(40) AS t(i)")
+def _share(k: int) -> str:
+    """SQL: the share that synthetic rows draw by an event's id."""
+    return f"CAST('0x' || substr(md5('7 audit {k} ' || event_id), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+def _by_weight() -> str:
+    upto, cases = 0, []
+    for name, w in reversed(synthetic.WEIGHTS.items()):
+        upto += w
+        cases.append(f"WHEN {_share(1)} < {upto} / {sum(synthetic.WEIGHTS.values())}.0 THEN '{name}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+@query(
+    f"""SELECT entity_type, user_id, count(*) AS n, count(DISTINCT request_id) AS requests, CAST(epoch(max(ts)) AS BIGINT) AS last_seen FROM (
+  SELECT {_by_weight()} AS entity_type, 'user-' || CAST(floor({_share(2)} * 40) AS BIGINT) AS user_id, 'req-' || event_id AS request_id, TIMESTAMP '2026-09-19 12:00:00' - to_seconds(CAST(floor({_share(4)} * 1209600) AS BIGINT)) AS ts FROM events
+  UNION ALL SELECT 'EG_NATIONAL_ID', 'user-7', 'paste-' || (i // 20), TIMESTAMP '2026-09-19 12:00:00' FROM range(60) AS t(i)
+  UNION ALL SELECT 'EG_MOBILE', 'user-' || i, 'shared-' || i, TIMESTAMP '2026-09-19 12:00:00' - to_hours(i) FROM range(40) AS t(i)) GROUP BY ALL"""
+)
 def synthetic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of the value that everyone shares, in synthetic audit rows."""
-    return audit.fingerprint_users(synthetic.audit_rows(spark), "5a" * 8).withColumn("last_seen", epoch(F.col("last_seen")))
+    """Synthetic audit rows of all events' ids, by entity and user."""
+    rows = synthetic.audit_rows(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
+    by = rows.groupBy("entity_type", "user_id").agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("requests"), F.max("ts").alias("last_seen"))
+    return by.withColumn("last_seen", epoch(F.col("last_seen")))
 
 
 @query("SELECT doc_id, lower(translate(source, 'آأإٱةىیک', 'ااااهييك')) AS folded FROM documents")

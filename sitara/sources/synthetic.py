@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitara.functions import validators as v
@@ -40,15 +40,16 @@ def tax_id(n: Column) -> Column:
     return F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 3))
 
 
-def audit_rows(spark: SparkSession, n: int = 5000, users: int = 40, days: int = 14, end: str = "2026-09-19 12:00:00", seed: int = 7) -> DataFrame:
-    """Background rows, one user's bulk paste of 60 values in 3 requests, and one value that all users share."""
-    total = sum(WEIGHTS.values())
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1_000_000)) / 1_000_000.0
+def audit_rows(ids: DataFrame, users: int = 40, days: int = 14, end: str = "2026-09-19 12:00:00", seed: int = 7) -> DataFrame:
+    """Background rows, one for each of ``ids`` (a column id); one user's bulk paste of 60 values in 3 requests, and one value that all users share."""
+    spark, total = ids.sparkSession, sum(WEIGHTS.values())
+    n = ids.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    u = lambda k: drawn(seed, f"audit {k}") / float(1 << 32)
     until, upto, entity = F.lit(end).cast("timestamp"), 0, F.lit(None).cast("string")
     for name, w in reversed(WEIGHTS.items()):
         upto += w
         entity = F.coalesce(entity, F.when(u(1) < upto / total, F.lit(name)))
-    base = spark.range(n).select(
+    base = ids.select(
         "id", entity.alias("entity_type"), F.concat(F.lit("user-"), F.floor(u(2) * users)).alias("user_id"), F.concat(F.lit("req-"), "id").alias("request_id"), F.substring(F.sha2(F.concat(F.lit("v"), F.floor(u(3) * n / 2)), 256), 1, 16).alias("value_fp"), F.timestamp_seconds(F.unix_timestamp(until) - F.floor(u(4) * days * 86_400)).alias("ts")
     )
     paste = spark.range(60).select((F.col("id") + n).alias("id"), F.lit("EG_NATIONAL_ID"), F.lit("user-7"), F.concat(F.lit("paste-"), F.floor(F.col("id") / 20)), F.substring(F.sha2(F.concat(F.lit("p"), "id"), 256), 1, 16), until)
@@ -75,9 +76,9 @@ def drawn(seed: int, what: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed} {what} "), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def corpus(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """Texts of four corpora (the fourth joins 40 of the others); two fifths of those with Arabic letters have Arabic digits."""
-    ids = spark.range(n).withColumn("birth", F.date_add(F.lit("1960-01-01").cast("date"), F.pmod(F.col("id") * 37, F.lit(15_000)).cast("int")))
+def corpus(ids: DataFrame, seed: int = 7) -> DataFrame:
+    """Texts of four corpora, one of each of the first three for each of ``ids`` (a column id; the fourth joins 40 of the others); two fifths of those with Arabic letters have Arabic digits."""
+    ids = ids.withColumn("birth", F.date_add(F.lit("1960-01-01").cast("date"), F.pmod(F.col("id") * 37, F.lit(15_000)).cast("int")))
     ids = ids.withColumns({"nid": national_id(F.col("id"), F.col("birth")), "mobile": mobile(F.col("id")), "iban": iban(F.col("id")), "tax": tax_id(F.col("id"))})
     made = []
     for kind, shapes in TEMPLATES.items():
@@ -89,4 +90,4 @@ def corpus(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     turned = F.when(F.contains("text", F.lit("ا")) & (F.pmod(drawn(seed, "digits"), F.lit(5)) < 2), to_arabic_digits(F.col("text"))).otherwise(F.col("text"))
     out = out.withColumn("text", turned)
     long = out.groupBy(F.lit("long").alias("corpus"), F.floor(F.col("id") / 14).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "corpus", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return out.union(long).repartition(8)
+    return out.union(long)
