@@ -543,6 +543,10 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, held
 
 
+#: Statistics of ids from minus this on down say that a file of grams was written.
+WRITTEN = 100
+
+
 def _write_grams(model: Model, pairs_only: bool):
     """Writes the tables of shards that come one after another; gives partial statistics, and the pairs of spread words as runs for their own shards.
 
@@ -558,6 +562,8 @@ def _write_grams(model: Model, pairs_only: bool):
                     writer.close()
                 file = shard // model.per_file
                 writer = TableWriter(f"{model.path}/{name}-{file}", kinds)
+                if not pairs_only:
+                    parts.add(np.array([-WRITTEN - file]), total=np.array([1]))
             got = [(spread, _unpack(model.kind, r, columns)) for spread, r in runs]
             cols = [np.concatenate(x) for x in zip(*(c for _, c in got), strict=True)]
             order = _order(model.kind, *cols[:-1])
@@ -715,7 +721,7 @@ def train(texts: DataFrame) -> Model:
     final = final.repartition(stat_files, F.floor(F.col("id") / model.stat_rows)).sortWithinPartitions("id")
     final.mapInArrow(_write_stats(path, model.stat_rows), "file int").count()
     drop(stats)
-    gram_set = frozenset(range(gram_files)) if size.tokens else frozenset()
+    gram_set = frozenset(-i - WRITTEN for i in coc if i <= -WRITTEN)
     return replace(model, files=gram_set, pair_files=pair_files, discounts=(d3, d2), unknown=unknown)
 
 
@@ -742,10 +748,8 @@ def _lookup(model: Model, name: str, kind: str, shard: np.ndarray, keys: np.ndar
         if f not in (model.files if name == "grams" else model.pair_files):
             continue
         at = order[lo:hi]
-        try:
-            t = table_file(f"{model.path}/{name}-{f}", model.per_file)
-        except FileNotFoundError:  # no gram fell to the file
-            continue
+        # Files that were written are known, so one that is not there is an error and not a gram never seen.
+        t = table_file(f"{model.path}/{name}-{f}", model.per_file)
         hit, places, code = t.find(kind, shard[at] % model.per_file, keys[at])
         code = code.astype(np.int64)
         if kind == "ctx":

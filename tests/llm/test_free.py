@@ -268,6 +268,25 @@ def _kneser_ney(train: list[list], score: list[list]) -> tuple[list[float], int,
     return logs, sum(uni.values()), len(uni)
 
 
+def test_a_lost_model_file_is_an_error(spark):
+    from pathlib import Path
+
+    docs = _docs(spark, [(i, f"one two three word{i} again and again") for i in range(200)])
+    model = lm.train(docs.select("text"))
+    assert model.files and lm.score(docs, model).where("score < 0").count() == 200
+    folder = Path(model.path.removeprefix("file:"))
+    lost = sorted(folder.glob("grams-*"))
+    assert {p.stem for p in lost} == {f"grams-{f}" for f in model.files}
+    lost[0].unlink()
+    lm.table_file.cache_clear()
+    fresh = spark.createDataFrame([(i, f"one two three word{i} again and again", "", "", "", 0) for i in range(200)], docs.schema)
+    moved = folder.rename(folder.with_name(folder.name + "-moved"))  # files that workers have open stay readable under the old name only
+    from dataclasses import replace
+
+    with pytest.raises(Exception, match="grams-"):
+        lm.score(fresh, replace(model, path=str(moved))).collect()
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_language_model(spark, monkeypatch, small):
     """Scores are those of the plain model; also with many files, shards, spread words and hand-overs."""
