@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,20 +58,19 @@ _INVISIBLE_CLASS = _class([(p, p) for p in INVISIBLE])
 _MARKS_CLASS = _class([(TATWEEL, TATWEEL), *DIACRITICS])
 ARABIC_CLASS = _class(list(ARABIC_BLOCKS))
 _NOT_ASCII = r"(?=[^\x00-\x7F])"
-#: Blocks whose characters mostly fold to themselves; text outside them is folded in Python.
+#: Blocks whose characters mostly fold to themselves.
 _COMMON = ((0x00, 0x24F), (0x370, 0x4FF), (0x5D0, 0x5EA), (0x600, 0x6FF), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 
 def _steady(strip_marks: bool) -> str:
     """Class of the characters of common blocks that no fold drops or expands, by Python's Unicode tables."""
-    gone = set(INVISIBLE) | ({TATWEEL, *(p for a, b in DIACRITICS for p in range(a, b + 1))} if strip_marks else set())
+    gone = _dropped(Profile("", strip_marks))
     return _class(_ranges([p for a, b in _COMMON for p in range(a, b + 1) if p not in gone and unicodedata.normalize("NFKC", chr(p)) == chr(p)]))
 
 
 def fold_text(text: str, profile: Profile = DIGITS) -> tuple[str, list[int]]:
     """One text folded, and for each character of the result the place of its source."""
-    marks = {TATWEEL, *(p for a, b in DIACRITICS for p in range(a, b + 1))} if profile.strip_marks else set()
-    dropped = marks | set(INVISIBLE)
+    dropped = _dropped(profile)
     table = dict(zip(map(ord, DIGITS_FROM), DIGITS_TO, strict=True))
     if profile.fold_letters:
         table |= dict(zip(map(ord, LETTERS_FROM), LETTERS_TO, strict=True))
@@ -79,32 +78,61 @@ def fold_text(text: str, profile: Profile = DIGITS) -> tuple[str, list[int]]:
     return "".join(y for y, _ in pairs).translate(table), [i for _, i in pairs]
 
 
-_slow: dict[Profile, object] = {}
+def _dropped(profile: Profile) -> set[int]:
+    return set(INVISIBLE) | ({TATWEEL, *(p for a, b in DIACRITICS for p in range(a, b + 1))} if profile.strip_marks else set())
 
 
-def _slow_udf(profile: Profile):
-    if profile not in _slow:
+@lru_cache(maxsize=8)
+def _changes(profile: Profile) -> dict[str, str]:
+    """What each character that a fold drops, changes or expands becomes, before digits and letters are folded; by Python's Unicode tables."""
+    gone = _dropped(profile)
+    out = {}
+    for x in (chr(p) for p in range(0x80, 0x110000) if not 0xD800 <= p <= 0xDFFF):
+        to = "" if ord(x) in gone else "".join(y for y in unicodedata.normalize("NFKC", x) if ord(y) not in gone)
+        if to != x:
+            out[x] = to
+    return out
 
-        def run(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else dict(zip(("text", "offset_map"), fold_text(t, profile), strict=True)) for t in texts.to_pylist()], pa.struct([("text", pa.string()), ("offset_map", pa.list_(pa.int32()))]))
 
-        _slow[profile] = F.arrow_udf(run, "text string, offset_map array<int>")
-    return _slow[profile]
+#: Parts the list of what characters become; no fold gives it.
+_PART = "\x01"
 
 
 def normalize(text: Column, profile: Profile = DIGITS) -> Column:
     """struct(text, offset_map); a null map stands for "every character keeps its place".
 
-    Texts of steady characters are folded by ``translate``; only the others
-    reach Python. Put the result in a column of its own before using it twice.
+    Texts without a character that is dropped or expanded go through
+    ``translate`` alone. The others are cut at these characters; the pieces and
+    what the characters become, by their place in a list, are joined again, and
+    places are running sums of the pieces' lengths. Put the result in a column
+    of its own before using it twice.
     """
-    # All of ASCII is steady; a look at that first spares most characters the long class.
-    needs = text.rlike(f"{_NOT_ASCII}[^{_steady(profile.strip_marks)}]")
+    changes = _changes(profile)
+    class_ = f"[{_class(_ranges([ord(x) for x in changes]))}]"
+    # All of ASCII is steady, then most of common blocks; a look at these first spares most characters the long class.
+    needs = text.rlike(f"{_NOT_ASCII}(?=[^{_steady(profile.strip_marks)}]){class_}")
     source, target = DIGITS_FROM, DIGITS_TO
     if profile.fold_letters:
         source, target = source + LETTERS_FROM, target + LETTERS_TO
+    keys, becomes = F.lit("".join(changes)), F.split(F.lit(_PART.join(changes.values())), _PART, -1)
+    none = F.array().cast("array<int>")
+
+    def joined(pieces: Column, made: Column) -> Column:
+        return F.array_join(F.zip_with(pieces, made, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
+
+    def places(pieces: Column, made: Column) -> Column:
+        ends = running(F.transform(pieces, lambda g: F.char_length(g) + 1))
+        own = lambda g, end: F.when(g != "", F.sequence(end - F.char_length(g) - 1, end - 2)).otherwise(none)
+        begun = F.zip_with(pieces, ends, lambda g, end: F.struct(own(g, end).alias("own"), (end - 1).alias("at")))
+        return F.flatten(F.zip_with(begun, made, lambda x, e: F.concat(x["own"], F.when(e != "", F.array_repeat(x["at"], F.char_length(e))).otherwise(none))))
+
+    def slow(x: Column) -> Column:
+        return F.struct(F.translate(joined(x["pieces"], x["made"]), source, target).alias("text"), places(x["pieces"], x["made"]).alias("offset_map"))
+
+    made = F.transform(F.regexp_extract_all(text, F.lit(class_), F.lit(0)), lambda h: F.element_at(becomes, F.position(h, keys)))
+    cut = F.struct(F.split(text, class_, -1).alias("pieces"), made.alias("made"))
     fast = F.struct(F.translate(text, source, target).alias("text"), F.lit(None).cast("array<int>").alias("offset_map"))
-    return F.when(needs, _slow_udf(profile)(F.when(needs, text))).otherwise(F.when(text.isNotNull(), fast))
+    return F.when(needs, let(cut, slow)).when(text.isNotNull(), fast)
 
 
 def fold(text: Column) -> Column:

@@ -48,7 +48,15 @@ def deconflict_rows(spans: DataFrame, *text: str) -> DataFrame:
     return spans.withColumn("__reached", reached).where(F.col("__reached").isNull() | (F.col("__reached") < F.col("end"))).drop("__reached")
 
 
-_built: dict[tuple, tuple[Column, Column, Column]] = {}
+_built: dict[tuple, tuple[Column, ...]] = {}
+
+
+def _normalized() -> Column:
+    """``normalize`` of the column ``__text``, built once."""
+    key = (id(SparkContext._active_spark_context), "normalize")
+    if key not in _built:
+        _built[key] = (normalize(F.col("__text"), DIGITS),)
+    return _built[key][0]
 
 
 def _scan(policy: Policy, today: Column | None, entities: tuple[str, ...] | None) -> tuple[Column, Column, Column]:
@@ -96,7 +104,7 @@ def detect(texts: DataFrame, policy: Policy, today: Column | None = None, extra:
     """
     matches, bases, found = _scan(policy, today, entities)
     whole = texts.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
-    folded = whole.withColumn("__n", normalize(F.col("__text"), DIGITS)).withColumns({"__folded": F.col("__n.text"), "__places": F.col("__n.offset_map")})
+    folded = whole.withColumn("__n", _normalized()).withColumns({"__folded": F.col("__n.text"), "__places": F.col("__n.offset_map")})
     kept = folded.withColumn("__digits", F.expr(scan.DIGITS_SIDE_BY_SIDE)).withColumn("__found", matches).withColumn("__judged", bases).withColumn("__found", found)
     if extra is not None:
         wanted = extra if entities is None else F.filter(extra, lambda s: s["entity_type"].isin(*entities))

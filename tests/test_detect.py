@@ -241,6 +241,13 @@ def test_span_pieces_by_plain_python(spark):
         assert [tuple(x) for x in r.joined] == joined
 
 
+def test_detection_runs_no_python(spark):
+    p = baseline()
+    done = prepare.prepare(detect(spark.createDataFrame([("ﻻ 😀 a@b.com",)], "text string"), p), p, b"0" * 32)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+
+
 def test_a_scan_is_built_once(spark, monkeypatch):
     """Calls to the JVM for a second detection under the same policy, as each micro-batch makes one."""
     from py4j import clientserver, java_gateway

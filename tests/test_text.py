@@ -92,3 +92,16 @@ def test_pieces_strip_snippet(spark):
     r = df.select(t.pieces(F.col("text"), one).alias("p"), t.strip_spans(F.col("text"), one).alias("s"), t.snippet(F.col("text"), F.lit(2), F.lit(4), 1).alias("c")).first()
     assert [(p.kind, p.text) for p in r.p] == [("plain", "a "), ("span", "bb"), ("plain", "  c")]
     assert r.s == "a c" and r.c.context == " bb " and r.c.context_offset == 1
+
+
+@pytest.mark.parametrize("profile", [t.DIGITS, t.GAZETTEER])
+def test_every_character_folds_as_in_python(spark, profile):
+    """All code points, one by one between letters, and many in a row; nothing of it runs in Python."""
+    points = [chr(p) for p in range(1, 0x110000) if not 0xD800 <= p <= 0xDFFF and unicodedata.category(chr(p)) not in ("Cn", "Co")]
+    texts = ["a" + x + "b" for x in points if x in t._changes(profile)] + ["".join(points[i : i + 200]) for i in range(0, len(points), 200)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").withColumn("n", t.normalize(F.col("text"), profile))
+    assert "Eval" not in df._jdf.queryExecution().executedPlan().toString().replace("Evaluate", "")
+    for r in df.collect():
+        text, places = t.fold_text(r.text, profile)
+        assert r.n["text"] == text, r.text
+        assert (list(range(len(text))) if r.n["offset_map"] is None else list(r.n["offset_map"])) == places
