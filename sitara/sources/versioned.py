@@ -92,6 +92,10 @@ class Files:
         at = self._path(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
+    def length(self, folder: str) -> int:
+        """Bytes of all files below a folder."""
+        return self.fs.getContentSummary(self._path(folder)).getLength()
+
     def read(self, at: str) -> str:
         stream = self.fs.open(self._path(at))
         try:

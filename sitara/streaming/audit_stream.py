@@ -19,14 +19,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitara.operators import audit, prepare
 from sitara.operators.detect import detect
 from sitara.sources.policy import Policy
-from sitara.sources.versioned import Table
+from sitara.sources.versioned import Files, Table
 
 SEGMENTS = 8
 #: Files that one micro-batch takes at most; the rest waits for the next.
@@ -44,63 +44,75 @@ class Stats:
     failures: int = 0
 
 
+#: Bytes from which on a segment takes no more batches.
+SEGMENT_BYTES = 16 << 20
+
+
 class Spill:
-    """Numbered segments of JSON lines; the oldest are dropped, and counted, beyond a number of them."""
+    """Segments of spilled batches: numbered folders, in each a folder of JSON lines for every batch.
+
+    A segment takes batches until it has ``roll`` bytes; beyond ``most`` segments
+    the oldest go. Beside its rows a batch has an index: whose it is, and how
+    many rows, so what was dropped or waits is counted without reading rows.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, most: int = SEGMENTS) -> None:
-        self.spark, self.folder, self.most = spark, folder.rstrip("/"), most
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, most: int = SEGMENTS, roll: int = SEGMENT_BYTES) -> None:
+        self.spark, self.folder, self.most, self.roll = spark, folder.rstrip("/"), most, roll
+        self.files = Files(spark, self.folder)
 
     def segments(self) -> list[str]:
         """Oldest first."""
-        root = self._path(self.folder)
-        if not self.fs.exists(root):
-            return []
-        return sorted(p.getPath().toString() for p in self.fs.listStatus(root) if p.getPath().getName().startswith("audit-"))
+        return sorted(f"{self.files.root}/{n}" for n in self.files.names(self.folder) if n.startswith("audit-"))
+
+    def batches(self, segment: str) -> list[str]:
+        """Folders of a segment's batches, oldest first."""
+        return sorted(f"{segment}/{n}" for n in self.files.names(segment) if n.startswith("batch-"))
 
     def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Writes a segment, and beside it which batch it is; gives the number of rows in old ones dropped."""
+        """Adds a batch to the last segment, or to a new one if that is full; gives the number of rows in old segments dropped."""
         have = self.segments()
-        at = int(have[-1].rsplit("-", 1)[1]) + 1 if have else 0
-        rows.write.mode("errorifexists").json(f"{self.folder}/audit-{at:08d}")
-        if batch is not None:
-            out = self.fs.create(self._path(f"{self.folder}/audit-{at:08d}/_batch"), True)
-            out.write(bytearray(json.dumps(batch).encode()))
-            out.close()
+        if have and self.files.length(have[-1]) < self.roll:
+            segment = have[-1]
+        else:
+            segment = f"{self.files.root}/audit-{int(have[-1].rsplit('-', 1)[1]) + 1 if have else 0:08d}"
+        at = f"{segment}/batch-{len(self.files.names(segment)):06d}-{uuid.uuid4().hex}"
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(at)
+        self.files.create_once(f"{at}/_index.json", json.dumps({"writer": list(batch) if batch else [f"batch {at}", 0], "rows": seen.get["n"]}))
         lost = 0
-        for old in [*have, "new"][: max(0, len(have) + 1 - self.most)]:
-            lost += self.read(old).count()
+        for old in self.segments()[: -self.most]:
+            lost += self.rows(old)
             self.discard(old)
         return lost
 
-    def read(self, segment: str) -> DataFrame:
-        """A segment's rows; blank and corrupt lines are passed over."""
-        return self.spark.read.schema(audit.EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(segment)
+    def index(self, batch: str) -> dict:
+        """Of a batch whose writer died before its index: its rows are counted by reading them."""
+        if "_index.json" not in self.files.names(batch):
+            return {"writer": [f"batch {batch}", 0], "rows": self.read(batch).count()}
+        return json.loads(self.files.read(f"{batch}/_index.json"))
+
+    def rows(self, segment: str) -> int:
+        return sum(self.index(b)["rows"] for b in self.batches(segment))
 
-    def corrupt(self, segment: str) -> int:
+    def read(self, folder: str) -> DataFrame:
+        """The rows of a segment or a batch; blank and corrupt lines are passed over."""
+        return self.spark.read.schema(audit.EVENT_SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(folder)
+
+    def corrupt(self, folder: str) -> int:
         kinds = f"{audit.EVENT_SCHEMA}, broken string"
         parsed = F.from_json("value", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-        return self.spark.read.text(segment).where(F.trim("value") != "").where(parsed["broken"].isNotNull()).count()
-
-    def batch(self, segment: str) -> tuple[str, int]:
-        """The writer that a replayed segment counts as: one of its own, named by the batch it holds."""
-        at = self._path(f"{segment}/_batch")
-        if not self.fs.exists(at):
-            return (f"spilled {segment} {self.fs.getFileStatus(self._path(segment)).getModificationTime()}", 0)
-        stream = self.fs.open(at)
-        try:
-            query, n = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.spark.read.option("recursiveFileLookup", "true").text(folder).where(F.trim("value") != "").where(parsed["broken"].isNotNull()).count()
+
+    def batch(self, folder: str) -> tuple[str, int]:
+        """The writer that a replayed batch counts as: one of its own, named by the batch it holds."""
+        query, n = self.index(folder)["writer"]
         return (f"spilled {query} {n}", 0)
 
     def pending(self) -> int:
-        return sum(self.read(s).count() for s in self.segments())
+        return sum(self.rows(s) for s in self.segments())
 
-    def discard(self, segment: str) -> None:
-        self.fs.delete(self._path(segment), True)
+    def discard(self, folder: str) -> None:
+        self.files.delete(folder)
 
 
 class AuditSink:
@@ -139,19 +151,19 @@ class AuditSink:
             events.unpersist()
 
     def replay(self) -> int:
-        """Appends spilled segments, oldest first; stops at the first failure, which keeps its segment."""
+        """Appends spilled batches, oldest first; stops at the first failure, which keeps its batch and all after it."""
         done = 0
-        for segment in self.spill.segments():
-            rows = self.spill.read(segment)
-            try:
-                n = rows.count()
-                # A segment that was appended but not deleted is known by its batch.
-                done += n if self._append(rows, self.spill.batch(segment)) else 0
-            except Exception as e:
-                log.warning("audit replay stopped: %s", type(e).__name__)
-                self.stats.failures += 1
-                break
-            self.spill.discard(segment)
+        try:
+            for segment in self.spill.segments():
+                for folder in self.spill.batches(segment):
+                    # A batch that was appended but not deleted is known by its name.
+                    n = self.spill.index(folder)["rows"]
+                    done += n if self._append(self.spill.read(folder), self.spill.batch(folder)) else 0
+                    self.spill.discard(folder)
+                self.spill.discard(segment)
+        except Exception as e:
+            log.warning("audit replay stopped: %s", type(e).__name__)
+            self.stats.failures += 1
         self.stats.replayed += done
         return done
 

@@ -107,7 +107,8 @@ def test_stream_spills_and_replays(spark, tmp_path):
     (segment,) = sink.spill.segments()
     from pathlib import Path
 
-    Path(segment.removeprefix("file:"), "part-torn.json").write_text('{"id": 3, "ts"\n\n')
+    (folder,) = sink.spill.batches(segment)
+    Path(folder.removeprefix("file:"), "part-torn.json").write_text('{"id": 3, "ts"\n\n')
     assert sink.spill.corrupt(segment) == 1
     down["now"] = False
     assert sink.replay() == 1 and sink.spill.segments() == []
@@ -120,7 +121,7 @@ def test_stream_spills_and_replays(spark, tmp_path):
 
 
 def test_spill_keeps_the_latest_segments(spark, tmp_path, events):
-    spill = st.Spill(spark, str(tmp_path / "s"), most=2)
+    spill = st.Spill(spark, str(tmp_path / "s"), most=2, roll=0)
     assert [spill.append(events.select("id")) for _ in range(4)] == [0, 0, events.count(), events.count()]
     assert [s.rsplit("-", 1)[1] for s in spill.segments()] == ["00000002", "00000003"]
 
@@ -195,3 +196,22 @@ def test_a_case_of_many_spans(spark):
     assert evaluate.span_hits(g, p).where("hit AND typed").count() == 100_000
     assert tuple(evaluate.character_coverage(g, p).first())[:3] == (700_000, 499_997, 300_003)
     assert time.monotonic() - began < 40
+
+
+def test_an_outage_fills_few_segments(spark, tmp_path, events):
+    """Segments roll by their bytes, the oldest go, and what was dropped is counted from their indexes."""
+    rows = events.select("id")
+    n = rows.count()
+    one = st.Spill(spark, str(tmp_path / "one"))
+    one.append(rows, ("q", 0))
+    size = one.files.length(one.segments()[0])
+    spill = st.Spill(spark, str(tmp_path / "s"), most=3, roll=2 * size)
+    lost = [spill.append(rows, ("q", k)) for k in range(11)]
+    assert len(spill.segments()) == 3 and sum(lost) == (11 * n) - spill.pending() and sum(lost) > 0
+    assert max(len(spill.batches(s)) for s in spill.segments()) >= 2
+    held = [spill.batch(b) for s in spill.segments() for b in spill.batches(s)]
+    assert held == [(f"spilled q {k}", 0) for k in range(11 - len(held), 11)]
+    kept = []
+    sink = st.AuditSink(spark, "", spill, lambda df: kept.append(df.count()))
+    waits = spill.pending()
+    assert sink.replay() == waits == sum(kept) and spill.segments() == []

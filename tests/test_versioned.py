@@ -230,7 +230,8 @@ def test_the_stream_writes_each_batch_once(spark, tmp_path):
     with_batch = ("query", 5)
     sink.spill.append(events, with_batch)
     (segment,) = sink.spill.segments()
-    assert log.append(sink.spill.read(segment), sink.spill.batch(segment))
+    (folder,) = sink.spill.batches(segment)
+    assert log.append(sink.spill.read(folder), sink.spill.batch(folder))
     assert sink.replay() == 0 and sink.spill.segments() == [] and log.read().count() == 6
     assert st.health(sink)["readable"]
 
