@@ -95,12 +95,77 @@ def tidy(text: str, spans: Sequence[Tag]) -> list[Tag]:
     return out
 
 
-class OnnxTagger:
+#: Tokens that a model takes at once, those shared by neighbouring windows, and windows of one call.
+WINDOW, OVERLAP, CALL = 512, 64, 16
+
+
+class TokenClassifier:
+    """A token classifier: texts of any length in overlapping windows of tokens, windows of like length in one call.
+
+    ``run`` gives logits (windows, tokens, labels) for arrays ``input_ids``,
+    ``attention_mask`` and ``token_type_ids``. Where windows overlap, a token is
+    judged in the one whose edge is farther from it, so an entity at a border
+    is found once and whole.
+    """
+
+    def __init__(self, run: Callable[[dict[str, np.ndarray]], np.ndarray], tokenizer, labels: Sequence[str], window: int = WINDOW, overlap: int = OVERLAP, call: int = CALL) -> None:
+        self.run, self.tokenizer, self.labels, self.call = run, tokenizer, list(labels), call
+        mask = tokenizer.encode("a").special_tokens_mask
+        ids = tokenizer.encode("a").ids
+        first = mask.index(0) if 0 in mask else len(mask)
+        last = len(mask) - mask[::-1].index(0) if 0 in mask else len(mask)
+        self.head, self.tail = ids[:first], ids[last:]
+        self.size = window - len(self.head) - len(self.tail)
+        if not 0 <= overlap < self.size:
+            raise ValueError("a window must hold more than the overlap")
+        self.step, self.overlap = self.size - overlap, overlap
+
+    def windows(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(begin, end, from, to) of the windows of n tokens: what a window holds, and the tokens that are judged in it."""
+        out, at = [], 0
+        while True:
+            end = min(n, at + self.size)
+            out.append((at, end, at if not out else at + self.overlap - self.overlap // 2, end))
+            if len(out) > 1:
+                out[-2] = (*out[-2][:3], out[-1][2])
+            if end == n:
+                return out
+            at += self.step
+
+    def _logits(self, windows: list[list[int]]) -> list[np.ndarray]:
+        """Of windows' tokens, without those that stand around them."""
+        out: list[np.ndarray] = [np.zeros((0, len(self.labels)))] * len(windows)
+        order = sorted((i for i, w in enumerate(windows) if w), key=lambda i: len(windows[i]))
+        for lo in range(0, len(order), self.call):
+            own = order[lo : lo + self.call]
+            rows = [[*self.head, *windows[i], *self.tail] for i in own]
+            width = max(map(len, rows))
+            ids, mask = np.zeros((len(rows), width), np.int64), np.zeros((len(rows), width), np.int64)
+            for k, row in enumerate(rows):
+                ids[k, : len(row)], mask[k, : len(row)] = row, 1
+            got = self.run({"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)})
+            for k, i in enumerate(own):
+                out[i] = got[k, len(self.head) : len(self.head) + len(windows[i])]
+        return out
+
+    def tag(self, texts: Sequence[str]) -> list[list[Tag]]:
+        encoded = [self.tokenizer.encode(t, add_special_tokens=False) for t in texts]
+        laid = [self.windows(len(e.ids)) for e in encoded]
+        logits = iter(self._logits([e.ids[lo:hi] for e, ws in zip(encoded, laid, strict=True) for lo, hi, _, _ in ws]))
+        out = []
+        for t, e, ws in zip(texts, encoded, laid, strict=True):
+            p = softmax(np.concatenate([next(logits)[a - lo : b - lo] for lo, _, a, b in ws]))
+            best = p.argmax(axis=-1) if len(p) else []
+            out.append(tidy(t, decode_bio([self.labels[i] for i in best], p.max(axis=-1).tolist() if len(p) else [], e.offsets)))
+        return out
+
+
+class OnnxTagger(TokenClassifier):
     """A token classifier exported to ONNX, with its tokenizer and labels, in one folder."""
 
     FILES = ("model.onnx", "tokenizer.json", "labels.txt")
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, window: int = WINDOW, overlap: int = OVERLAP) -> None:
         root = Path(folder)
         if missing := [f for f in self.FILES if not (root / f).exists()]:
             raise FileNotFoundError(f"missing in {folder}: {', '.join(missing)}")
@@ -109,20 +174,12 @@ class OnnxTagger:
 
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = options.inter_op_num_threads = 1
-        self.session = onnxruntime.InferenceSession(str(root / "model.onnx"), options, providers=["CPUExecutionProvider"])
-        self.tokenizer = Tokenizer.from_file(str(root / "tokenizer.json"))
-        self.labels = (root / "labels.txt").read_text("utf-8").split()
-
-    def tag(self, texts: Sequence[str]) -> list[list[Tag]]:
-        out = []
-        for t in texts:
-            e = self.tokenizer.encode(t)
-            feed = {"input_ids": np.array([e.ids], np.int64), "attention_mask": np.array([e.attention_mask], np.int64), "token_type_ids": np.array([e.type_ids], np.int64)}
-            names = {i.name for i in self.session.get_inputs()}
-            p = softmax(self.session.run(None, {k: v for k, v in feed.items() if k in names})[0][0])
-            best = p.argmax(axis=-1)
-            out.append(tidy(t, decode_bio([self.labels[i] for i in best], p.max(axis=-1).tolist(), e.offsets)))
-        return out
+        session = onnxruntime.InferenceSession(str(root / "model.onnx"), options, providers=["CPUExecutionProvider"])
+        names = {i.name for i in session.get_inputs()}
+        tokenizer = Tokenizer.from_file(str(root / "tokenizer.json"))
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        super().__init__(lambda feed: session.run(None, {k: v for k, v in feed.items() if k in names})[0], tokenizer, (root / "labels.txt").read_text("utf-8").split(), window, overlap)
 
 
 class ZeroShotTagger:

@@ -156,3 +156,54 @@ def test_settled_texts(spark, tmp_path):
     seed(rows, str(tmp_path / "t"))
     with pytest.raises(Exception, match="exists"):
         seed(rows, str(tmp_path / "t"))
+
+
+class _Words:
+    """A tokenizer of words: its length is a word's id; 101 and 102 stand around a text."""
+
+    def encode(self, text, add_special_tokens=True):
+        import re
+        from types import SimpleNamespace
+
+        words = list(re.finditer(r"\S+", text))
+        ids, offsets = [len(m[0]) if m[0] != "Ann" and m[0] != "Lee" else 90 + (m[0] == "Lee") for m in words], [m.span() for m in words]
+        if add_special_tokens:
+            ids, offsets = [101, *ids, 102], [(0, 0), *offsets, (0, 0)]
+        return SimpleNamespace(ids=ids, offsets=offsets, special_tokens_mask=[int(i > 100) for i in ids])
+
+
+@pytest.mark.parametrize(("window", "overlap"), [(8, 2), (9, 3), (32, 8)])
+def test_long_texts_in_windows(window, overlap):
+    """The model refuses more tokens than it takes, and knows a second name only by the first beside it: names at any border are found once."""
+    import numpy as np
+
+    calls = []
+
+    def run(feed):
+        ids, mask = feed["input_ids"], feed["attention_mask"]
+        assert ids.shape[1] <= window and ids.shape == mask.shape == feed["token_type_ids"].shape
+        assert all(row[0] == 101 and row[int(m.sum()) - 1] == 102 for row, m in zip(ids, mask, strict=True))
+        calls.append(len(ids))
+        out = np.zeros((*ids.shape, 3))
+        out[..., 0] = 5.0
+        out[ids == 90] = [0, 9, 0]
+        second = np.zeros(ids.shape, bool)
+        second[:, 1:] = (ids[:, 1:] == 91) & (ids[:, :-1] == 90)
+        out[second] = [0, 0, 9]
+        return out
+
+    tagger = models.TokenClassifier(run, _Words(), ["O", "B-PER", "I-PER"], window, overlap, call=4)
+    texts = []
+    for at in range(40):
+        words = ["w" * (1 + i % 7) for i in range(60)]
+        words[at : at + 2] = ["Ann", "Lee"]
+        texts.append(" ".join(words))
+    for t, tags in zip(texts, tagger.tag(texts), strict=True):
+        assert [(a, b, label) for a, b, label, _ in tags] == [(t.index("Ann"), t.index("Ann") + 7, "PER")]
+    assert max(calls) == 4 and tagger.tag(["", "no name", "Ann"])[0] == []
+    for n in (0, 1, window - 2, window - 1, 100):
+        ws = tagger.windows(n)
+        assert [a for _, _, a, _ in ws][1:] == [b for _, _, _, b in ws][:-1] and ws[0][2] == 0 and ws[-1][3] == n
+        assert all(lo <= a <= b <= hi <= lo + window - 2 for lo, hi, a, b in ws)
+    with pytest.raises(ValueError, match="overlap"):
+        models.TokenClassifier(run, _Words(), ["O"], 4, 2)
