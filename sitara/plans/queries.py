@@ -251,6 +251,14 @@ def log_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: epoch(F.col(c)) for c in ("first_seen", "last_seen")})
 
 
+@query(f"SELECT id::VARCHAR AS id, request_id FROM {_AUDIT} WHERE request_id ILIKE '%REQ-12%' OR user_id ILIKE '%REQ-12%'")
+def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text search over the written log, by the trigrams of its clustered parts."""
+    log, grams = _written_log(spark, sf_dir), logs.open_grams(spark, scratch(spark, "grams"), clusters=16)
+    logs.index_grams(log, grams)
+    return logs.search(log, grams, audit.Filters(search="REQ-12")).select("id", "request_id")
+
+
 @query(f"SELECT id::VARCHAR AS id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM {_AUDIT} ORDER BY ts DESC, id::VARCHAR DESC LIMIT 150 OFFSET 300")
 def log_seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of the log, by tokens."""

@@ -7,7 +7,7 @@ a failure is not written twice. Rows of a day are clustered by a hash of
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,9 @@ from sitara.operators.audit import EVENT_COLUMNS, EVENT_SCHEMA, PAGE, PAGE_MOST,
 from sitara.sources.versioned import CLUSTERS, Part, Table, Version, _iso
 
 BLOOM = ("value_fp", "id", "request_id")
+#: Columns that a free-text search looks at, and what the index of their trigrams holds: where a trigram occurs.
+IDENTITIES = ("user_id", "key_alias", "end_user_id", "request_id")
+GRAM_SCHEMA = "gram string, part string, place int"
 FLAG_SCHEMA = "event_id string, verdict string, flagged_by string, note string, created_at timestamp"
 
 
@@ -84,3 +87,60 @@ def seek(log: Table, limit: int = PAGE, after: Token | None = None, filters: Fil
     last = page.select("ts", "id").collect()
     more = Token(last[-1].ts, last[-1].id, version.number) if len(last) == limit else None
     return page, more
+
+
+def open_grams(spark: SparkSession, path: str, clusters: int = CLUSTERS) -> Table:
+    """An index of the trigrams of identities, for free-text search."""
+    return Table(spark, path, GRAM_SCHEMA, key="gram", bloom=("gram",), clusters=clusters)
+
+
+def _name(log: Table, part: Part) -> str:
+    return part.path.removeprefix(f"{log.path}/data/")
+
+
+def _indexed(grams: Table) -> set[str]:
+    """Names of the parts in the index: each has a row of the empty trigram."""
+    return {r.part for r in grams.read(key="").where("gram = ''").select("part").distinct().collect()}
+
+
+def index_grams(log: Table, grams: Table) -> int:
+    """Adds the log's clustered parts that the index lacks; how many. Loose parts are few and are searched without it."""
+    have = _indexed(grams)
+    new = [p for p in log.version().parts if p.clusters is not None and _name(log, p) not in have]
+    if new:
+        # A part is a folder of a day, its clusters are folders in it.
+        at = F.split(F.col("_metadata.file_path"), "/")
+        rows = log._frame([f for p in new for f in p.folders()])
+        placed = rows.select(*IDENTITIES, F.concat_ws("/", F.element_at(at, -4), F.element_at(at, -3)).alias("part"), F.regexp_extract(F.element_at(at, -2), "[0-9]+", 0).cast("int").alias("place"))
+        of = lambda v: F.when(F.char_length(v) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(v) - 2), lambda i: F.substring(v, i, 3))).otherwise(F.array().cast("array<string>"))
+        found = F.array_distinct(F.concat(F.array(F.lit("")), *[of(F.lower(F.coalesce(c, F.lit("")))) for c in IDENTITIES]))
+        grams.append(placed.select(F.explode(found).alias("gram"), "part", "place").distinct())
+        grams.compact()
+    return len(new)
+
+
+def search(log: Table, grams: Table, filters: Filters) -> DataFrame:
+    """``find`` by a free text, from clusters that hold all its trigrams, loose parts, and parts that the index lacks.
+
+    Texts of fewer than three characters have no trigram: all files are looked at.
+    """
+    version, term = log.version(), filters.search or ""
+    folded = log.spark.range(1).select(F.lower(F.lit(term))).first()[0]
+    wanted = sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
+    if not wanted:
+        return find(log, filters, version)
+    hits = None
+    for g in wanted:
+        own = grams.read(key=g).where(F.col("gram") == g)
+        hits = own if hits is None else hits.unionByName(own)
+    # A row for each folder at most.
+    at: dict[str, set[int]] = {}
+    for r in hits.distinct().groupBy("part", "place").count().where(F.col("count") == len(wanted)).collect():
+        at.setdefault(r.part, set()).add(r.place)
+    have, parts = _indexed(grams), []
+    for p in version.parts:
+        if p.clusters is None or _name(log, p) not in have:
+            parts.append(p)
+        elif left := tuple(c for c in p.clusters if c in at.get(_name(log, p), ())):
+            parts.append(replace(p, clusters=left))
+    return find(log, filters, Version(version.number, tuple(parts)))

@@ -149,6 +149,8 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: str, time: str | None = None, bloom: tuple[str, ...] = (), clusters: int = CLUSTERS) -> None:
         self.spark, self.key, self.time, self.bloom, self.n = spark, key, time, bloom, clusters
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if taken := {"day", "cluster"} & {f.name.lower() for f in self.schema.fields}:
+            raise ValueError(f"names of folders cannot be columns: {sorted(taken)}")
         self.files = Files(spark, path)
         self.path = self.files.root
 

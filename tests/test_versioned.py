@@ -245,3 +245,26 @@ def test_distinct_events_of_a_stream(spark, tmp_path):
     q = st.distinct_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda df, _: out.extend(r.id for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start()
     q.awaitTermination(60)
     assert sorted(out) == ["a", "b"]
+
+
+def test_search_by_trigrams(spark, tmp_path):
+    """The rows of a scan of everything, from fewer files; also of loose rows and of parts that are not indexed yet."""
+    log, grams = audit_log.open_log(spark, str(tmp_path / "audit"), clusters=10), audit_log.open_grams(spark, str(tmp_path / "grams"), clusters=4)
+    events = _events(spark, 600, days=3).withColumn("request_id", F.concat(F.lit("Req-"), F.abs(F.hash("id")).cast("string")))
+    log.append(events)
+    log.compact()
+    assert audit_log.index_grams(log, grams) == 3 and audit_log.index_grams(log, grams) == 0
+    every = log.read()
+    wanted = every.select("request_id").first().request_id[2:].upper()
+    ids = lambda df: sorted(r.id for r in df.collect())
+    for term in (wanted, "zzz", "u3", "_%", "req-"):
+        f = audit.Filters(search=term)
+        assert ids(audit_log.search(log, grams, f)) == ids(f.apply(every)), term
+    assert len(audit_log.search(log, grams, audit.Filters(search=wanted)).inputFiles()) <= 3 < len(every.inputFiles())
+    log.append(events.limit(5).withColumn("user_id", F.lit("ZZZ top")))
+    assert audit_log.search(log, grams, audit.Filters(search="zzz t")).count() == 5
+    log.compact()
+    assert audit_log.search(log, grams, audit.Filters(search="zzz t")).count() == 5
+    audit_log.index_grams(log, grams)
+    found = audit_log.search(log, grams, audit.Filters(search="zzz t"))
+    assert found.count() == 5 and len(found.inputFiles()) <= 5
