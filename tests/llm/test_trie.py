@@ -93,3 +93,19 @@ def test_no_conversation(spark):
     assert got(spark, []) == set()
     assert got(spark, [(None, 1, "user", "a")]) == set()
     assert got(spark, [(1, None, None, None)]) == brute([(1, None, None, None)])
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_trie", "op13_vector_codes"])
+def test_whole_tables_against_sql(spark, sf_dir, name):
+    import duckdb
+
+    from sitara.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(repr([r[c] for c in columns]) for r in got.collect()) == sorted(repr([r[i] for i in at]) for r in want.fetchall())
