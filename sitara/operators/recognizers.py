@@ -72,6 +72,8 @@ def _address(policy: Policy) -> str:
     return rf"(?U)(?:[0-9]{{1,4}}\s+)?\b(?:{markers})\s+[^\n،,.;]{{2,60}}(?:[،,]\s*(?:{places}))?"
 
 
+#: No place inside hexadecimal text (digests, keys): there a run of digits has letters to F on both sides, or at one side a letter and two more such characters.
+NOT_HEX = r"(?<![0-9A-Fa-f]{2}[A-Fa-f])(?![0-9]+[A-Fa-f][0-9A-Fa-f]{2})(?!(?<=[A-Fa-f])[0-9]+[A-Fa-f])"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\."
 #: Labels are taken for good (any number of them, without deep matching) as long as another label or the last one follows.
 EMAIL = rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@(?:{_LABEL}(?=[A-Za-z]{{2,}}+(?![A-Za-z0-9])|{_LABEL}))++[A-Za-z]{{2,}}(?![A-Za-z0-9])"
@@ -83,9 +85,9 @@ def recognizers(policy: Policy, today: Column | None = None) -> list[Recognizer]
     nid = lambda value, _: let(v.parse_nid(value, today), lambda p: F.when(p.isNotNull(), v.nid_score(p)))
     mobile = _keep_if(lambda x: v.mobile_e164(x).isNotNull())
     found = [
-        Recognizer("EG_NATIONAL_ID", "national_id", r"(?<![0-9])[0-9]{14}(?![0-9])", 0.85, nid, c.get("national_id", ()), digits=True),
-        Recognizer("EG_MOBILE", "mobile_international", r"(?<![0-9])(?:\+|00)?20[ \-.]?1[0125][ \-.]?[0-9]{4}[ \-.]?[0-9]{4}(?![0-9])", 0.7, mobile, c.get("mobile", ()), digits=True),
-        Recognizer("EG_MOBILE", "mobile_local", r"(?<![0-9+])01[0125][ \-.]?[0-9]{4}[ \-.]?[0-9]{4}(?![0-9])", 0.6, mobile, c.get("mobile", ()), digits=True),
+        Recognizer("EG_NATIONAL_ID", "national_id", rf"(?<![0-9]){NOT_HEX}[0-9]{{14}}(?![0-9])", 0.85, nid, c.get("national_id", ()), digits=True),
+        Recognizer("EG_MOBILE", "mobile_international", rf"(?<![0-9])(?:\+|{NOT_HEX}(?:00)?)20[ \-.]?1[0125][ \-.]?[0-9]{{4}}[ \-.]?[0-9]{{4}}(?![0-9])", 0.7, mobile, c.get("mobile", ()), digits=True),
+        Recognizer("EG_MOBILE", "mobile_local", rf"(?<![0-9+]){NOT_HEX}01[0125][ \-.]?[0-9]{{4}}[ \-.]?[0-9]{{4}}(?![0-9])", 0.6, mobile, c.get("mobile", ()), digits=True),
         Recognizer("EG_IBAN", "eg_iban", r"(?i)(?<![A-Z0-9])EG[0-9]{2}(?:[ \-]?[A-Z0-9]){25}(?![A-Z0-9])", 0.8, _keep_if(v.eg_iban_valid), c.get("bank", ()), digits=True),
         Recognizer("EG_TAX_ID", "tax_id", r"(?<![0-9/-])[0-9]{3}[ \-/]?[0-9]{3}[ \-/]?[0-9]{3}(?![0-9/-])", 0.3, _keep_if(v.tax_id_plausible), c.get("tax", ()), digits=True),
         Recognizer("EG_PASSPORT", "passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", 0.3, None, c.get("passport", ()), digits=True),

@@ -60,6 +60,12 @@ def test_ibans(spark):
     assert types(spark, "account EG880003000500000000012345678", "EG880003000500000000012345679", "GB82 WEST 1234 5698 7654 32") == [["EG_IBAN"], [], ["IBAN_CODE"]]
 
 
+def test_digits_of_hexadecimal_text_are_no_numbers(spark):
+    tokens = ("cc0386e01012345678f1", "7b201012345678c", "f01012345678ab3d9", "9e28503122148219d", "a28503122148219ab", "9f0e28503122148219")
+    assert types(spark, *[f'token = "{t}" end' for t in tokens]) == [[]] * len(tokens)
+    assert types(spark, "tel01012345678", "ID28503122148219", "no. a01012345678", "abc+201012345678 now", "01012345678cd") == [["EG_MOBILE"], ["EG_NATIONAL_ID"], *[["EG_MOBILE"]] * 3]
+
+
 def test_addresses(spark):
     rows = found(spark, "العنوان ١٢ شارع الهرم، الجيزة", "أنا عايش في القاهرة", "القاهرة مدينة كبيرة", "شارع", "123 Main Street, Springfield")
     assert rows[0][0][0] == "EG_ADDRESS" and rows[0][0][1] == 8
