@@ -53,38 +53,52 @@ def _cut(spans: DataFrame, *keep: str) -> DataFrame:
     return spans.select("*", stretch).select(*keep, "case_id", "stretch", F.greatest(F.col("start"), at(0)).alias("lo"), F.least(F.col("end"), at(1)).alias("hi"))
 
 
-def touching(spans: DataFrame, others: DataFrame, keys: list[str], within: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct ``keys`` of spans (case_id, start and end among them) and ``hit``: some other span of the case, and of equal ``within``, overlaps.
+#: Spans of one task of a sweep.
+SWEPT = 100_000
+
+
+def sweep_tasks(spans: DataFrame) -> int:
+    """Tasks for a sweep over as many spans, so that what one of them sorts stays the same however many there are."""
+    return max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spans.count() // SWEPT))
+
+
+def touching(spans: DataFrame, others: DataFrame, keys: list[str], like: str | None = None, tasks: int | None = None) -> DataFrame:
+    """Distinct ``keys`` of spans (case_id, start and end among them), ``n`` (how often each is there) and ``hit``: some other span of the case overlaps; with ``like``, also ``typed``: one of equal ``like`` does.
 
     A sweep, not a join of pairs: others that overlap are those that begin
     before the end, less those that end before the beginning, and both are
-    running sums over the sorted ends of all spans of a stretch of text.
+    running sums over the sorted ends of all spans of a stretch of text. Spans
+    are dealt by case and stretch once, to ``tasks`` (default: Spark's own
+    number); both sums run there. Equal spans weigh alike, so they are not told apart before.
     """
-    by = ["case_id", *within]
-    own = spans.select(*keys).distinct()
-    ours = _cut(own.select(*keys), *[F.col(k).alias(f"k_{k}") for k in keys], *within)
-    theirs = _cut(others.where(F.col("case_id").isNotNull()), *within)
-    names = [f"k_{k}" for k in keys]
-    none = lambda n: F.lit(None).cast(ours.schema[n].dataType).alias(n)
+    names, more = [f"k_{k}" for k in keys], [like] if like else []
+    first = F.floor(F.col("start") / STRETCH).alias("first")
+    ours = _cut(spans.select("*", first), *[F.col(k).alias(f"k_{k}") for k in keys], *more, "first")
+    theirs = _cut(others.where(F.col("case_id").isNotNull()), *more)
     # At one place: ends of ours, then all of theirs, then beginnings of ours.
-    ask = lambda x, turn: ours.select(*by, "stretch", F.col(x).alias("x"), F.lit(turn).alias("turn"), F.lit(0).alias("begun"), F.lit(0).alias("ended"), *names)
-    tell = lambda x, begun: theirs.select(*by, "stretch", F.col(x).alias("x"), F.lit(1).alias("turn"), F.lit(begun).alias("begun"), F.lit(1 - begun).alias("ended"), *[none(n) for n in names])
-    events = ask("hi", 0).unionByName(ask("lo", 2)).unionByName(tell("lo", 1)).unionByName(tell("hi", 0))
-    upto = Window.partitionBy(*by, "stretch").orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.withColumns({"begun": F.sum("begun").over(upto), "ended": F.sum("ended").over(upto)}).where("turn <> 1")
-    n = F.sum(F.when(F.col("turn") == 0, F.col("begun")).otherwise(-F.col("ended")))
-    each = swept.groupBy(*names, "stretch").agg((n > 0).alias("hit")).groupBy(*names).agg(F.bool_or("hit").alias("hit"))
-    return each.select(*[F.col(f"k_{k}").alias(k) for k in keys], "hit")
-
-
-def span_hits(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    step = lambda x, turn, begun, ended: F.struct(F.col(x).alias("x"), F.lit(turn).alias("turn"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
+    asked = ours.select("case_id", "stretch", *more, *names, (F.col("first") == F.col("stretch")).alias("whole"), F.inline(F.array(step("hi", 0, 0, 0), step("lo", 2, 0, 0))))
+    none = [F.lit(None).cast(ours.schema[n].dataType).alias(n) for n in names]
+    told = theirs.select("case_id", "stretch", *more, *none, F.lit(False).alias("whole"), F.inline(F.array(step("lo", 1, 1, 0), step("hi", 1, 0, 1))))
+    swept, sums = asked.unionByName(told), {"hit": ["case_id", "stretch"]} | ({"typed": ["case_id", "stretch", like]} if like else {})
+    if tasks:
+        swept = swept.repartition(tasks, "case_id", "stretch")
+    for name, by in sums.items():
+        upto = Window.partitionBy(*by).orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        swept = swept.withColumns({f"{name}_begun": F.sum("begun").over(upto), f"{name}_ended": F.sum("ended").over(upto)})
+    met = lambda name: F.sum(F.when(F.col("turn") == 0, F.col(f"{name}_begun")).otherwise(-F.col(f"{name}_ended")))
+    each = swept.where("turn <> 1").groupBy("case_id", "stretch", *names).agg(F.count_if((F.col("turn") == 0) & F.col("whole")).alias("n"), *[met(name).alias(name) for name in sums])
+    if tasks:
+        each = each.select(*names, "n", *sums).repartition(tasks, *names)
+    whole = each.groupBy(*names).agg(F.sum("n").alias("n"), *[(F.sum(name) > 0).alias(name) for name in sums])
+    return whole.select(*[F.col(f"k_{k}").alias(k) for k in keys], "n", *sums)
+
+
+def span_hits(gold: DataFrame, predictions: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct gold spans with ``hit`` (some prediction overlaps) and ``typed`` (one of the same label does)."""
     keys = ["case_id", "register", "start", "end", "label"]
-    found = lambda within, name: touching(gold, predictions, keys, within).select(*keys, F.lit(name).alias("kind"), "hit")
-    both = found((), "any").unionByName(found(("label",), "typed"))
-    hit = lambda kind: F.coalesce(F.bool_or(F.when(F.col("kind") == kind, F.col("hit"))), F.lit(False))
     # A label that is null is equal to none.
-    return both.groupBy(*keys).agg(hit("any").alias("hit"), (hit("typed") & F.col("label").isNotNull()).alias("typed"))
+    return touching(gold, predictions, keys, "label", tasks).select(*keys, "hit", (F.col("typed") & F.col("label").isNotNull()).alias("typed"))
 
 
 def coverage(hits: DataFrame) -> DataFrame:
@@ -122,17 +136,16 @@ def gather(*rows: DataFrame) -> DataFrame:
     return long.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
 
 
-def precision(cases: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def precision(cases: DataFrame, gold: DataFrame, predictions: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row: predictions, those that touch gold, and false ones per case without entities."""
-    counted = predictions.groupBy("case_id", "start", "end").agg(F.count("*").alias("n"))
-    true = touching(counted, gold, ["case_id", "start", "end", "n"]).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("true_spans"))
-    clean = cases.join(gold.select("case_id").distinct(), "case_id", "left_anti").select("case_id")
-    one = gather(
-        predictions.agg(F.count("*").alias("predicted")),
-        true,
-        predictions.join(clean, "case_id", "left_semi").agg(F.count("*").alias("false_in_clean")),
-        clean.agg(F.count("*").alias("clean_cases")),
-    )
+    true = touching(predictions, gold, ["case_id", "start", "end"], tasks=tasks).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("true_spans"))
+    # Cases, gold and predictions are counted case by case in one go; a case that is null has no gold and no predictions.
+    of = lambda rows, kind: rows.select("case_id", F.lit(kind).alias("kind"))
+    by = of(cases, 0).unionByName(of(gold, 1)).unionByName(of(predictions, 2)).groupBy("case_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(("cases", "gold", "predicted"))])
+    known = F.col("case_id").isNotNull()
+    clean = (F.col("cases") > 0) & ((F.col("gold") == 0) | ~known)
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    one = gather(by.agg(total("predicted").alias("predicted"), total(F.when(clean & known, F.col("predicted"))).alias("false_in_clean"), total(F.when(clean, F.col("cases"))).alias("clean_cases")), true)
     return one.withColumns({"span_precision": ratio(F.col("true_spans"), F.col("predicted")), "fp_per_clean": ratio(F.col("false_in_clean"), F.col("clean_cases"))})
 
 

@@ -185,6 +185,19 @@ def test_sweeps_against_pairs(spark, monkeypatch, stretch, most):
     assert (row.predicted, row.true_spans) == (len(pred), sum(any(meets(x, y) for y in gold) for x in pred))
 
 
+def test_tasks_of_a_sweep_follow_its_spans(spark, monkeypatch):
+    from sitara.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "SWEPT", 50)
+    g = spark.range(1_000).selectExpr("concat('c', id % 90) AS case_id", "'msa' AS register", "int(id % 7 * 40000) AS start", "int(id % 7 * 40000 + id % 50000 + 1) AS end", "if(id % 3 = 0, 'PER', 'LOC') AS label")
+    p = g.withColumns({"start": F.col("end") - 1, "end": F.col("end") + 30, "label": F.lit("PER")}).where("start % 4 = 0")
+    tasks = evaluate.sweep_tasks(g)
+    assert tasks == 20
+    got = evaluate.span_hits(g, p, tasks)
+    assert got.count() == g.distinct().count() and got.exceptAll(evaluate.span_hits(g, p)).count() == 0
+    assert got.rdd.getNumPartitions() == 20
+
+
 def test_a_case_of_many_spans(spark):
     import time
 
