@@ -94,6 +94,8 @@ def _changes(profile: Profile) -> dict[str, str]:
     return out
 
 
+#: Marks where a text is cut: a character that every fold drops, so a folded text has none.
+CUT = chr(INVISIBLE[0])
 #: Parts the list of what characters become; no fold gives it.
 _PART = "\x01"
 
@@ -104,16 +106,19 @@ def normalize(text: Column, profile: Profile = DIGITS) -> Column:
     Texts without a character that is dropped or expanded go through
     ``translate`` alone. The others are cut at these characters; the pieces and
     what the characters become, by their place in a list, are joined again, and
-    places are running sums of the pieces' lengths. Put the result in a column
-    of its own before using it twice.
+    places are running sums of the pieces' lengths. All patterns are literals
+    that are compiled once; ``split`` compiles its own for each row, so it gets
+    one character. Put the result in a column of its own before using it twice.
     """
     changes = _changes(profile)
     class_ = f"[{_class(_ranges([ord(x) for x in changes]))}]"
     # All of ASCII is steady, then most of common blocks; a look at these first spares most characters the long class.
-    needs = text.rlike(f"{_NOT_ASCII}(?=[^{_steady(profile.strip_marks)}]){class_}")
+    changed = f"{_NOT_ASCII}(?=[^{_steady(profile.strip_marks)}]){class_}"
+    needs = text.rlike(changed)
     source, target = DIGITS_FROM, DIGITS_TO
     if profile.fold_letters:
         source, target = source + LETTERS_FROM, target + LETTERS_TO
+    gone = "".join(x for x, to in changes.items() if not to)
     keys, becomes = F.lit("".join(changes)), F.split(F.lit(_PART.join(changes.values())), _PART, -1)
     none = F.array().cast("array<int>")
 
@@ -129,8 +134,9 @@ def normalize(text: Column, profile: Profile = DIGITS) -> Column:
     def slow(x: Column) -> Column:
         return F.struct(F.translate(joined(x["pieces"], x["made"]), source, target).alias("text"), places(x["pieces"], x["made"]).alias("offset_map"))
 
-    made = F.transform(F.regexp_extract_all(text, F.lit(class_), F.lit(0)), lambda h: F.element_at(becomes, F.position(h, keys)))
-    cut = F.struct(F.split(text, class_, -1).alias("pieces"), made.alias("made"))
+    becoming = lambda h: F.when(F.contains(F.lit(gone), h), "").otherwise(F.element_at(becomes, F.position(h, keys)))
+    made = F.transform(F.regexp_extract_all(text, F.lit(changed), F.lit(0)), becoming)
+    cut = F.struct(F.split(F.regexp_replace(text, changed, CUT), CUT, -1).alias("pieces"), made.alias("made"))
     fast = F.struct(F.translate(text, source, target).alias("text"), F.lit(None).cast("array<int>").alias("offset_map"))
     return F.when(needs, let(cut, slow)).when(text.isNotNull(), fast)
 

@@ -44,6 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in ("documents", "conversations") and df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to three tasks a core by their key: texts are made of them, and a small file, or one of few row groups, would be one task's."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def today() -> Column:
     return F.to_date(F.lit(_TODAY))
 

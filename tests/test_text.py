@@ -105,3 +105,20 @@ def test_every_character_folds_as_in_python(spark, profile):
         text, places = t.fold_text(r.text, profile)
         assert r.n["text"] == text, r.text
         assert (list(range(len(text))) if r.n["offset_map"] is None else list(r.n["offset_map"])) == places
+
+
+def test_cuts_at_any_changed_character(spark):
+    """Pieces are cut by a mark that every fold drops, so texts that hold it, or other characters that go or grow, keep their places."""
+    texts = ["​", "a​b", "​​a​", "x­ﬁ​½y‍", "مُحَمّد​ أحمد ـ ﷺ", "​ﬀ"]
+    for profile in (t.DIGITS, t.NAMES, t.GAZETTEER):
+        rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", t.normalize(F.col("t"), profile).alias("n")).collect()
+        for r in rows:
+            want, places = t.fold_text(r.t, profile)
+            assert (r.n.text, r.n.offset_map) == (want, places)
+
+
+def test_texts_of_one_file_are_dealt_to_all_cores(spark, sf_dir):
+    from sitara.plans.queries import QUERIES
+
+    for name in ("normalize_profiles", "recognize_address", "recognize_national_id"):
+        assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
