@@ -10,7 +10,7 @@ Expressions use the columns ``__text``, ``__folded``, ``__places`` and ``__digit
 
 from __future__ import annotations
 
-from sitara.functions.text import _INVISIBLE_CLASS, _MARKS_CLASS, ARABIC_CLASS, DIGITS_FROM, DIGITS_TO, LETTERS_FROM, LETTERS_TO
+from sitara.functions.text import _INVISIBLE_CLASS, _MARKS_CLASS, ARABIC_CLASS, CUT, DIGITS_FROM, DIGITS_TO, LETTERS_FROM, LETTERS_TO
 from sitara.operators.recognizers import CONTEXT_BOOST, PLACE_BOOST, Recognizer
 from sitara.sources.policy import Policy
 
@@ -79,7 +79,7 @@ def matches(found: list[Recognizer]) -> str:
         guards = [f"contains(__folded, {quoted(r.sign)})"] if r.sign else []
         guards += ["__digits"] if r.digits else []
         guards += [f"__folded RLIKE {quoted(f'(?=[^\\x00-\\x7F])[{ARABIC_CLASS}]')}"] if r.arabic_only else []
-        hits.append(f"CASE WHEN {' AND '.join([*guards, f'__folded RLIKE {p}'])} THEN named_struct('r', {k}, 'gaps', split(__folded, {p}, -1), 'hits', regexp_extract_all(__folded, {p}, 0)) END")
+        hits.append(f"CASE WHEN {' AND '.join([*guards, f'__folded RLIKE {p}'])} THEN named_struct('r', {k}, 'gaps', split(regexp_replace(__folded, {p}, {quoted(CUT)}), {quoted(CUT)}, -1), 'hits', regexp_extract_all(__folded, {p}, 0)) END")
     pairs = "zip_with(slice(h.gaps, 1, size(h.hits)), h.hits, (g, m) -> named_struct('g', char_length(g), 'm', m, 'n', char_length(m)))"
     laid = let(pairs, "ps", f"zip_with(ps, {running('transform(ps, p -> p.g + p.n)')}, (p, e) -> named_struct('r', h.r, 'start', e - p.n, 'end', e, 'value', p.m))")
     return f"flatten(transform(filter(array({', '.join(hits)}), h -> h IS NOT NULL), h -> {laid}))"
