@@ -477,7 +477,7 @@ _SHAPES = " UNION ALL ".join(_shape(k, e) for k, e in {"arabic": ("EG_NATIONAL_I
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection over the corpora made for all customers, Arabic digits included: spans by corpus and entity."""
     p = baseline()
-    texts = synthetic.corpus(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+    texts = synthetic.corpus(dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id"))
     found = prepare.findings(prepare.prepare(detect(texts, p, today()), p, PEPPER), "corpus")
     entity = F.when(F.col("corpus") == "long", F.replace("entity_type", F.lit("IBAN_CODE"), F.lit("EG_IBAN"))).otherwise(F.col("entity_type"))
     return found.groupBy("corpus", entity.alias("entity_type")).agg(F.count("*").alias("n"))
