@@ -16,7 +16,8 @@ a group of copies costs as many rows as it has members.
 The pipeline's stage ``keep_one`` follows another rule: texts are near copies
 if the Jaccard similarity of their five-word shingles is 0.8 or more. In 64 bits
 such pairs differ in up to 19, which the grid cannot carry, so candidates
-come from bands of MinHash values, and exact similarity decides.
+come from the links of fingerprints and, for pairs beyond their radius, from
+bands of MinHash values; exact similarity decides on both.
 """
 
 from __future__ import annotations
@@ -417,9 +418,25 @@ def _copy_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     return out.unionByName(hubs).unionByName(compare(mixed.unionByName(among).join(texts, "node")))
 
 
+def fingerprint_cells(prints: DataFrame) -> DataFrame:
+    """(node, cell) of texts (node, fp): every two of linked fingerprints share a cell.
+
+    ``links`` names one root for each linked group of a grid cell, and two
+    linked fingerprints lie in some grid cell together, so groups by root hold all links.
+    """
+    nodes = materialize(prints.select("node", "fp").distinct(), "copy-fingerprints")
+    prints_ = nodes.groupBy("fp").agg(F.count("*").alias("n"))
+    found = materialize(links(prints_.select("fp")).distinct(), "copy-links")
+    groups = found.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(found.select(F.col("v").alias("fp"), F.col("v").alias("root")))
+    alone = prints_.where("n > 1").select("fp", F.col("fp").alias("root"))
+    rooted = materialize(groups.unionByName(alone).distinct(), "copy-roots")
+    return join_groups(nodes, rooted, ["fp"], F.col("node")).select("node", F.xxhash64(F.lit(-1), "root").alias("cell"))
+
+
 def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """(doc_id, text_key, root) of every row: ``root`` is shared by the texts that near copies connect.
 
+    Candidates are those that SimHash links and those that share a MinHash band.
     Texts of the same words (ASCII case and white space aside) are one node;
     texts without words are one too. Cells with the same members count once,
     and shingles are made only for texts that share a cell.
@@ -428,9 +445,10 @@ def copy_groups(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     bands = F.arrow_udf(lambda t: _bands(t, shingle), "node long, bands array<long>")
     sets = F.arrow_udf(lambda t: _sets(t, shingle), "node long, hs array<long>")
-    prints = bounded_batches(docs).select("doc_id", key.alias("text_key"), bands(F.coalesce(F.col("text"), F.lit(""))).alias("b"))
-    prints = materialize(prints.select("doc_id", "text_key", "b.node", "b.bands"), "copy-prints")
-    cells = prints.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("cell")).distinct()
+    prints = bounded_batches(docs).select("doc_id", key.alias("text_key"), fingerprint("text").alias("fp"), bands(F.coalesce(F.col("text"), F.lit(""))).alias("b"))
+    prints = materialize(prints.select("doc_id", "text_key", "fp", "b.node", "b.bands"), "copy-prints")
+    cells = prints.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("cell"))
+    cells = cells.unionByName(fingerprint_cells(prints.where(F.size("bands") > 0))).distinct()
     mixed = F.xxhash64("node").cast("decimal(38,0)")
     shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(mixed).alias("s"), F.bit_xor("node").alias("x")).where("n > 1")
     shared = materialize(shared.groupBy("n", "s", "x").agg(F.min("cell").alias("cell")).select("cell", "n"), "copy-cells")

@@ -123,6 +123,24 @@ def test_stages_against_brute_force(spark, planted):
         assert max(n) - min(n) <= 2
 
 
+def test_near_copies_come_from_simhash_links(spark):
+    """Texts whose fingerprints are linked share a cell of candidates, whatever their MinHash bands are."""
+    from sitara.llm import simhash
+
+    rng = random.Random(9)
+    fps = [rng.getrandbits(63) for _ in range(60)]
+    near = [f ^ sum(1 << b for b in rng.sample(range(63), k % 4)) for k, f in enumerate(fps[:40])]
+    rows = [(i, f) for i, f in enumerate(fps)] + [(1000 + i, f) for i, f in enumerate(near)]
+    cells: dict[int, set] = {}
+    for r in simhash.fingerprint_cells(spark.createDataFrame(rows, "node long, fp long")).collect():
+        cells.setdefault(r.node, set()).add(r.cell)
+    of = dict(rows)
+    for a in of:
+        for b in of:
+            linked = a != b and (of[a] ^ of[b]).bit_count() <= simhash.RADIUS
+            assert bool(cells.get(a, set()) & cells.get(b, set())) == linked or a == b
+
+
 def test_run_is_its_stages(spark, planted):
     from sitara.llm import common
 
