@@ -54,7 +54,7 @@ def _cut(spans: DataFrame, *keep: str) -> DataFrame:
 
 
 #: Spans of one task of a sweep.
-SWEPT = 100_000
+SWEPT = 200_000
 
 
 def sweep_tasks(spans: DataFrame) -> int:
@@ -62,43 +62,42 @@ def sweep_tasks(spans: DataFrame) -> int:
     return max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spans.count() // SWEPT))
 
 
-def touching(spans: DataFrame, others: DataFrame, keys: list[str], like: str | None = None, tasks: int | None = None) -> DataFrame:
-    """Distinct ``keys`` of spans (case_id, start and end among them), ``n`` (how often each is there) and ``hit``: some other span of the case overlaps; with ``like``, also ``typed``: one of equal ``like`` does.
+def _stretches() -> tuple[Column, Column]:
+    """The first and the last stretch that a span lies in."""
+    return F.floor(F.col("start") / STRETCH), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / STRETCH)
 
-    A sweep, not a join of pairs: others that overlap are those that begin
-    before the end, less those that end before the beginning, and both are
-    running sums over the sorted ends of all spans of a stretch of text. Spans
-    are dealt by case and stretch once, to ``tasks`` (default: Spark's own
-    number); both sums run there. Equal spans weigh alike, so they are not told apart before.
+
+def swept(spans: DataFrame, others: DataFrame, *keep: str, like: str | None = None, tasks: int | None = None) -> DataFrame:
+    """A row for each stretch of text that a span (``turn`` 0, with ``keep``) or other (1) lies in: case_id, stretch, start, end, and for spans ``hit``: some other of the case and stretch overlaps; with ``like``, also ``typed``: one of equal ``like`` does.
+
+    A sweep, not a join of pairs: of the others that begin before a span's end,
+    the one that reaches farthest overlaps it if any does, and how far they reach
+    is a running maximum. So a span has one row, at its end, and another one, at
+    its beginning; both are whole in each of their stretches, and two that overlap
+    share one. They are dealt by case and stretch once, to ``tasks`` (default:
+    Spark's own number). A span without a place is in no stretch and hits nothing.
     """
-    names, more = [f"k_{k}" for k in keys], [like] if like else []
-    first = F.floor(F.col("start") / STRETCH).alias("first")
-    ours = _cut(spans.select("*", first), *[F.col(k).alias(f"k_{k}") for k in keys], *more, "first")
-    theirs = _cut(others.where(F.col("case_id").isNotNull()), *more)
-    # At one place: ends of ours, then all of theirs, then beginnings of ours.
-    step = lambda x, turn, begun, ended: F.struct(F.col(x).alias("x"), F.lit(turn).alias("turn"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
-    asked = ours.select("case_id", "stretch", *more, *names, (F.col("first") == F.col("stretch")).alias("whole"), F.inline(F.array(step("hi", 0, 0, 0), step("lo", 2, 0, 0))))
-    none = [F.lit(None).cast(ours.schema[n].dataType).alias(n) for n in names]
-    told = theirs.select("case_id", "stretch", *more, *none, F.lit(False).alias("whole"), F.inline(F.array(step("lo", 1, 1, 0), step("hi", 1, 0, 1))))
-    swept, sums = asked.unionByName(told), {"hit": ["case_id", "stretch"]} | ({"typed": ["case_id", "stretch", like]} if like else {})
+    more = [like] if like else []
+    laid = lambda rows, turn, *names: rows.select("case_id", "start", "end", *names, F.lit(turn).alias("turn"), F.explode_outer(F.sequence(*_stretches())).alias("stretch"))
+    rows = laid(spans, 0, *dict.fromkeys([*keep, *more])).unionByName(laid(others.where(F.col("case_id").isNotNull()), 1, *more), allowMissingColumns=True)
     if tasks:
-        swept = swept.repartition(tasks, "case_id", "stretch")
-    for name, by in sums.items():
-        upto = Window.partitionBy(*by).orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        swept = swept.withColumns({f"{name}_begun": F.sum("begun").over(upto), f"{name}_ended": F.sum("ended").over(upto)})
-    met = lambda name: F.sum(F.when(F.col("turn") == 0, F.col(f"{name}_begun")).otherwise(-F.col(f"{name}_ended")))
-    each = swept.where("turn <> 1").groupBy("case_id", "stretch", *names).agg(F.count_if((F.col("turn") == 0) & F.col("whole")).alias("n"), *[met(name).alias(name) for name in sums])
-    if tasks:
-        each = each.select(*names, "n", *sums).repartition(tasks, *names)
-    whole = each.groupBy(*names).agg(F.sum("n").alias("n"), *[(F.sum(name) > 0).alias(name) for name in sums])
-    return whole.select(*[F.col(f"k_{k}").alias(k) for k in keys], "n", *sums)
+        rows = rows.repartition(tasks, "case_id", "stretch")
+    # At one place: ends of spans, then beginnings of others.
+    at, reach = F.when(F.col("turn") == 0, F.col("end")).otherwise(F.col("start")), F.max(F.when(F.col("turn") == 1, F.col("end")))
+    for name, by in [("hit", []), *([("typed", more)] if like else [])]:
+        upto = Window.partitionBy("case_id", "stretch", *by).orderBy(at, "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn(name, F.coalesce((F.col("turn") == 0) & (reach.over(upto) > F.col("start")), F.lit(False)))
+    return rows
 
 
 def span_hits(gold: DataFrame, predictions: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct gold spans with ``hit`` (some prediction overlaps) and ``typed`` (one of the same label does)."""
     keys = ["case_id", "register", "start", "end", "label"]
+    each = swept(gold, predictions, "register", like="label", tasks=tasks).where("turn = 0").select(*keys, "hit", "typed")
+    if tasks:
+        each = each.repartition(tasks, *keys)
     # A label that is null is equal to none.
-    return touching(gold, predictions, keys, "label", tasks).select(*keys, "hit", (F.col("typed") & F.col("label").isNotNull()).alias("typed"))
+    return each.groupBy(*keys).agg(F.bool_or("hit").alias("hit"), (F.bool_or("typed") & F.col("label").isNotNull()).alias("typed"))
 
 
 def coverage(hits: DataFrame) -> DataFrame:
@@ -138,14 +137,21 @@ def gather(*rows: DataFrame) -> DataFrame:
 
 def precision(cases: DataFrame, gold: DataFrame, predictions: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row: predictions, those that touch gold, and false ones per case without entities."""
-    true = touching(predictions, gold, ["case_id", "start", "end"], tasks=tasks).agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("true_spans"))
-    # Cases, gold and predictions are counted case by case in one go; a case that is null has no gold and no predictions.
-    of = lambda rows, kind: rows.select("case_id", F.lit(kind).alias("kind"))
-    by = of(cases, 0).unionByName(of(gold, 1)).unionByName(of(predictions, 2)).groupBy("case_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(("cases", "gold", "predicted"))])
-    known = F.col("case_id").isNotNull()
-    clean = (F.col("cases") > 0) & ((F.col("gold") == 0) | ~known)
-    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
-    one = gather(by.agg(total("predicted").alias("predicted"), total(F.when(clean & known, F.col("predicted"))).alias("false_in_clean"), total(F.when(clean, F.col("cases"))).alias("clean_cases")), true)
+    first, last = _stretches()
+    counts = lambda **of: [of.get(n, F.lit(0)).cast("long").alias(n) for n in ("cases", "gold", "predicted", "true")]
+    ours, own, begun = F.col("turn") == 0, F.col("own"), F.col("stretch").eqNullSafe(first)
+    apart = ours & F.coalesce(first < last, F.lit(False))
+    # A prediction counts for its case where it begins. One of several stretches has a row of its own besides, as it is true once wherever it is hit.
+    rows = swept(predictions, gold, tasks=tasks).select("*", F.explode_outer(F.when(apart, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("own"))
+    rows = rows.select("case_id", *[F.when(own, F.col(c)).alias(c) for c in ("start", "end")], *counts(gold=~ours, predicted=ours & begun, true=F.col("hit") & (own | ~apart)))
+    rows = rows.unionByName(cases.select("case_id", *counts(cases=F.lit(1))), allowMissingColumns=True)
+    by = rows.groupBy("case_id", "start", "end").agg(*[F.sum(n).alias(n) for n in ("cases", "gold", "predicted", "true")])
+    # A case that is null has no gold and no predictions.
+    whole, known = F.col("start").isNull(), F.col("case_id").isNotNull()
+    clean = whole & (F.col("cases") > 0) & ((F.col("gold") == 0) | ~known)
+    total = lambda which, n: F.coalesce(F.sum(F.when(which, F.col(n))), F.lit(0)).cast("double")
+    true = F.when(whole, F.col("true")).when(F.col("true") > 0, F.col("predicted"))
+    one = by.withColumn("true", true).agg(total(whole, "predicted").alias("predicted"), total(clean & known, "predicted").alias("false_in_clean"), total(clean, "cases").alias("clean_cases"), total(F.lit(True), "true").alias("true_spans"))
     return one.withColumns({"span_precision": ratio(F.col("true_spans"), F.col("predicted")), "fp_per_clean": ratio(F.col("false_in_clean"), F.col("clean_cases"))})
 
 

@@ -185,6 +185,33 @@ def test_sweeps_against_pairs(spark, monkeypatch, stretch, most):
     assert (row.predicted, row.true_spans) == (len(pred), sum(any(meets(x, y) for y in gold) for x in pred))
 
 
+@pytest.mark.parametrize("stretch", [1 << 16, 8])
+def test_precision_deals_each_span_once(spark, monkeypatch, stretch):
+    """One row for a span in a stretch and one more for its case, empty spans and spans without an end as the comparison of pairs has them."""
+    import random
+
+    from sitara.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    pred, gold = ([(f"c{rng.randrange(9)}", a := rng.randrange(90), a + rng.choice([0, 0, 1, 3, 20])) for _ in range(60)] for _ in range(2))
+    gold = [g for g in gold if g[0] not in ("c2", "c5")]
+    # An empty span of gold where an empty prediction is takes nothing from the one around both.
+    pred += [("e", 5, 5), ("f", 5, 5), ("n", 1, None), ("n", None, 4), (None, 0, 9)] + 2 * [("c5", 3, 30), ("c1", 3, 30)]
+    gold += [("e", 5, 5), ("e", 3, 8), ("f", 5, 5), ("n", 0, 9), (None, 0, 9)]
+    cases = [*(f"c{i}" for i in range(12)), "e", None]
+    known = lambda *s: None not in s
+    true = sum(any(known(*x, *y) and x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in gold) for x in pred)
+    clean = [c for c in cases if c is None or c not in {g[0] for g in gold}]
+    schema = "case_id string, start int, end int"
+    p, g = spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema)
+    out = evaluate.precision(spark.createDataFrame([(c,) for c in cases], "case_id string"), g, p, 3)
+    row = out.first()
+    assert (row.predicted, row.true_spans, row.clean_cases) == (len(pred), true, len(clean))
+    assert row.false_in_clean == sum(x[0] is not None and x[0] in clean for x in pred)
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 2
+
+
 def test_tasks_of_a_sweep_follow_its_spans(spark, monkeypatch):
     from sitara.operators import evaluate
 
